@@ -9,9 +9,9 @@ from pagemill.functions.text import strip_ws
 # Accepted free-text layouts, tried in this order (zone UTC).
 DATE_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy HH:mm:ss", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy",
-    "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss z",
+    "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm:ss z",
 ]
 
 
@@ -19,7 +19,8 @@ def publish_date(c: Column) -> Column:
     """Timestamp from epoch text (13 digits are ms, 10 to 12 seconds) or free text, else NULL."""
     t = strip_ws(c.cast("string"))
     number = t.try_cast("bigint")
-    parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS])
+    named = F.regexp_replace(t, r"^[A-Za-z]{3}, ", "")
+    parsed = F.coalesce(*[F.try_to_timestamp(named, F.lit(f)) for f in DATE_FORMATS])
     return (
         F.when(t.rlike(r"^\d{13}\z"), F.timestamp_millis(number))
         .when(t.rlike(r"^\d{10,12}\z"), F.timestamp_seconds(number))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagemill.functions.text import (
-    WS, fingerprint, squeeze_newlines, strip_tags, strip_ws,
+    WS, bound, fingerprint, nonblank, once, squeeze_newlines, strip_tags, strip_ws,
 )
 from pagemill.functions.urls import resolve_url
 
@@ -167,17 +167,22 @@ def clean_inline_markup(c: Column) -> Column:
 
 def _later_h1_to_h2(c: Column) -> Column:
     """Every matched h1 after the first becomes an h2."""
-    parts = F.split(c, r"(?i)(?=<h1[\s>])")
-    first = F.when(F.get(parts, F.lit(0)).rlike(r"(?i)^<h1[\s>]"), 0).otherwise(1)
 
-    def convert(part: Column, i: Column) -> Column:
-        matched = (i > first) & part.rlike(r"(?is)^<h1(?:\s[^>]*)?>.*?</h1>")
+    def convert(part: Column, at: Column) -> Column:
         return F.when(
-            matched,
+            at & part.rlike(r"(?is)^<h1(?:\s[^>]*)?>.*?</h1>"),
             F.regexp_replace(part, r"(?is)^<h1(\s[^>]*)?>(.*?)</h1>", "<h2$1>$2</h2>"),
         ).otherwise(part)
 
-    return F.array_join(F.transform(parts, convert), "")
+    # The split leaves no empty first piece, so only piece 0 or 1 can be the first h1.
+    pieces = F.split(c, r"(?i)(?=<h1[\s>])")
+    return once(
+        pieces,
+        lambda ps: once(
+            F.when(F.get(ps, F.lit(0)).rlike(r"(?i)^<h1[\s>]"), 0).otherwise(1),
+            lambda first: F.array_join(F.transform(ps, lambda p, i: convert(p, i > first)), ""),
+        ),
+    )
 
 
 def heading_level_map(levels: Column) -> Column:
@@ -227,48 +232,47 @@ def normalize_headings(c: Column) -> Column:
         pieces = F.transform(F.split(packed["text"], r"(?i)(?=</?h[1-6][\s>])"), retag)
         return F.when(F.size(packed["levels"]) > 1, F.array_join(pieces, "")).otherwise(packed["text"])
 
-    # One-element array keeps the level map computed once per value.
-    packed = F.transform(
-        F.transform(F.array(c), lambda t: F.struct(t.alias("text"), _heading_levels(t).alias("levels"))),
-        lambda s: F.struct(s["text"].alias("text"), s["levels"].alias("levels"), heading_level_map(s["levels"]).alias("to")),
+    return once(
+        once(
+            once(c, lambda t: F.struct(t.alias("text"), _heading_levels(t).alias("levels"))),
+            lambda s: F.struct(s["text"].alias("text"), s["levels"].alias("levels"), heading_level_map(s["levels"]).alias("to")),
+        ),
+        relevel,
     )
-    return F.get(F.transform(packed, relevel), F.lit(0))
 
 
+@bound
 def remove_duplicate_blocks(c: Column) -> Column:
     """Keep the first block of each fingerprint inside one page; short ones are exempt."""
 
-    def dedupe(text: Column) -> Column:
-        state = F.transform(
-            F.transform(
-                F.array(F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), F.lit(0))),
-                lambda b: F.struct(b.alias("b"), F.transform(b, fingerprint).alias("f")),
-            ),
-            lambda s: F.struct(
-                s["b"].alias("b"),
-                F.filter(
-                    s["b"],
-                    lambda _x, i: (F.length(F.get(s["f"], i)) < SHORT_FINGERPRINT)
-                    | (F.array_position(s["f"], F.get(s["f"], i)) == i + 1),
-                ).alias("kept"),
-            ),
-        )
-        trailing = F.element_at(F.split(text, BLOCK_PATTERN), -1)
-        rebuilt = F.transform(
-            state,
-            lambda s: F.when(F.size(s["kept"]) == F.size(s["b"]), text).otherwise(
-                F.concat(F.array_join(s["kept"], "\n"), F.when(trailing.rlike(f"[^{WS[1:-1]}]"), trailing).otherwise(""))
-            ),
+    def kept(s: Column) -> Column:
+        return F.filter(
+            s["b"],
+            lambda _x, i: (F.length(F.get(s["f"], i)) < SHORT_FINGERPRINT)
+            | (F.array_position(s["f"], F.get(s["f"], i)) == i + 1),
         )
-        return F.get(rebuilt, F.lit(0))
 
-    return F.get(F.transform(F.array(c), dedupe), F.lit(0))
+    def rebuild(s: Column) -> Column:
+        trailing = F.element_at(F.split(c, BLOCK_PATTERN), -1)
+        return F.concat(F.array_join(kept(s), "\n"), once(trailing, lambda t: F.when(nonblank(t), t).otherwise("")))
+
+    prints = once(
+        F.regexp_extract_all(c, F.lit(BLOCK_PATTERN), F.lit(0)),
+        lambda b: F.struct(b.alias("b"), F.transform(b, fingerprint).alias("f")),
+    )
+
+    def decide(s: Column) -> Column:
+        long = F.filter(s["f"], lambda f: F.length(f) >= SHORT_FINGERPRINT)
+        return F.when(F.size(F.array_distinct(long)) == F.size(long), c).otherwise(rebuild(s))
+
+    return once(prints, decide)
 
 
 def strip_h1(c: Column) -> Column:
     return strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<h1[^>]*>.*?</h1>", ""))
 
 
+@bound
 def first_paragraph(c: Column) -> Column:
     p = F.regexp_extract(c, r"(?is)<p[^>]*>(.*?)</p>", 1)
     plain = strip_ws(strip_tags(c))
@@ -284,6 +288,7 @@ def first_image(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1), F.lit(""))
 
 
+@bound
 def outline(c: Column) -> Column:
     """Headings h1 to h3 of a body, in order, as ``array<struct<level, text>>``."""
     levels = F.regexp_extract_all(c, F.lit(r"(?is)<h([1-3])[^>]*>(.*?)</h\1>"), F.lit(1))

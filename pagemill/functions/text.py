@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
-# The space class of the source dialect, for use inside [...].
+# The white-space characters of the source dialect, as a regex class body and as text.
 WS_CHARS = (
-    r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+    r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+WS_TEXT = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{WS_CHARS}]"
 
 SLUG_PATTERN = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z"
@@ -50,7 +54,22 @@ MOJIBAKE_HINT = (
 
 def strip_ws(c: Column) -> Column:
     """Trim every kind of white space, line breaks included."""
-    return F.regexp_replace(c, f"^{WS}+|(?<!{WS}){WS}++\\z", "")
+    return F.trim(c, F.lit(WS_TEXT))
+
+
+def bound(fn):
+    """Evaluate the first argument once, however often the function refers to it."""
+
+    @functools.wraps(fn)
+    def wrapper(c: Column, *args, **kwargs) -> Column:
+        return once(c, lambda v: fn(v, *args, **kwargs))
+
+    return wrapper
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a costly value to a name inside one expression, so that it is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def nonblank(c: Column) -> Column:
@@ -73,7 +92,7 @@ def first_filled(*cols: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Every run of white space to one space, then trim."""
-    return strip_ws(F.regexp_replace(c, f"{WS}+", " "))
+    return strip_ws(F.regexp_replace(c, f"{WS}{{2,}}|[{WS_CHARS}&&[^ ]]", " "))
 
 
 def words(c: Column) -> Column:
@@ -81,7 +100,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(f"[^{WS_CHARS}]++"))
 
 
 def strip_tags(c: Column, replacement: str = "") -> Column:
@@ -119,9 +138,8 @@ def excerpt(excerpt_col: Column, body_col: Column, limit: int = 110) -> Column:
 
 def fingerprint(c: Column) -> Column:
     """Comparison text: tags, entities and punctuation out, lower case."""
-    c = strip_tags(c, " ")
-    c = F.regexp_replace(c, "(?i)&[a-z]+;", " ")
-    c = F.regexp_replace(c, f"[^\\w{WS_CHARS}]", "")
+    c = F.regexp_replace(c, "(?i)<[^>]*>|&[a-z]+;", " ")
+    c = F.regexp_replace(c, f"[^\\w{WS_CHARS}]++", "")
     return F.lower(squeeze(c))
 
 
@@ -188,7 +206,7 @@ def fix_encoding(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
-    c = F.regexp_replace(c, f"[{WS_CHARS}&&[^\\n]]+", " ")
+    c = F.regexp_replace(c, f"[{WS_CHARS}&&[^\\n]]{{2,}}|[{WS_CHARS}&&[^\\n ]]", " ")
     return strip_ws(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -208,6 +226,7 @@ def _wrap(parts: Column) -> Column:
     )
 
 
+@bound
 def ensure_html(c: Column) -> Column:
     """Plain text to paragraphs; text that already holds a tag passes."""
     return (
@@ -217,6 +236,7 @@ def ensure_html(c: Column) -> Column:
     )
 
 
+@bound
 def html_transform(c: Column) -> Column:
     return F.when(c.rlike(HTML_HINT), c).otherwise(_wrap(_paragraphs(c)))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagemill.functions.text import nonblank, plain_text, squeeze_newlines, strip_tags, strip_ws, word_count, words
+from pagemill.functions.text import bound, nonblank, once, plain_text, squeeze_newlines, strip_tags, strip_ws, word_count, words
 
 # Heading texts of secondary blocks, in matching order.
 SECONDARY_HEADINGS = [
@@ -49,11 +49,7 @@ class FilterOptions:
         return self.template == "practice" if self.remove_contact is None else self.remove_contact
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a costly value to a name inside one expression, so that it is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
+@bound
 def heading_reason(heading: Column, options: FilterOptions | None = None) -> Column:
     """Why a heading marks secondary content, NULL when it does not."""
     options = options or FilterOptions()
@@ -76,6 +72,7 @@ def _block(html: Column, level: Column, heading: Column) -> Column:
     )
 
 
+@bound
 def content_blocks(html: Column) -> Column:
     """``array<struct<html, heading, level, plain, words>>``: intro, then one block per h2."""
     pieces = F.split(html, r"(?i)(?=<h2\b[^>]*>)")
@@ -112,10 +109,11 @@ def link_words(html: Column) -> Column:
 
 def is_link_dense(html: Column, n_words: Column) -> Column:
     n_links = F.regexp_count(html, F.lit(LINK))
-    linked = link_words(html)
-    return (n_words >= 5) & (n_links > 3) & (n_words - linked < 50) & (linked / n_words > 0.6)
+    dense = once(link_words(html), lambda linked: (n_words - linked < 50) & (linked / n_words > 0.6))
+    return (n_words >= 5) & (n_links > 3) & dense
 
 
+@bound
 def _item_is_link(item: Column) -> Column:
     full = strip_ws(strip_tags(item))
     links = F.regexp_extract_all(item, F.lit(LINK), F.lit(0))
@@ -143,9 +141,12 @@ def _sub_heading_reason(html: Column, options: FilterOptions) -> Column:
 def secondary_reason(block: Column, options: FilterOptions | None = None) -> Column:
     """Why a block is secondary, NULL when it stays. Keep rules come first."""
     options = options or FilterOptions()
+    return once(heading_reason(block["heading"], options), lambda h: _judge(block, h, options))
+
+
+def _judge(block: Column, by_heading: Column, options: FilterOptions) -> Column:
     html, plain, n = block["html"], block["plain"], block["words"]
     heading, level = block["heading"], block["level"]
-    by_heading = heading_reason(heading, options)
     after = F.regexp_replace(html, r"(?is)^(.*?)<h2\b[^>]*>.*?</h2>", "$1")
     substantial = (level == 2) & (n >= 50) & after.rlike(r"(?is)<p\b[^>]*>.{20,}?</p>")
     stays = (
@@ -174,6 +175,7 @@ def _snippet(html: Column) -> Column:
     return F.substring(plain_text(html), 1, 120)
 
 
+@bound
 def strip_sub_sections(html: Column, options: FilterOptions | None = None) -> Column:
     """Cut h3–h6 sub-sections with a secondary heading: ``struct<html, removed>``.
 
@@ -219,6 +221,7 @@ def strip_sub_sections(html: Column, options: FilterOptions | None = None) -> Co
     )
 
 
+@bound
 def filter_secondary(html: Column, options: FilterOptions | None = None) -> Column:
     """``struct<html, removed array<struct<reason, snippet>>>``; a page is never emptied."""
     options = options or FilterOptions()

@@ -6,9 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from pagemill.functions.html import IMG_PATTERN, strip_h1
 from pagemill.functions.text import (
-    WS, ensure_html, nonblank, replace_first, squeeze, squeeze_newlines, strip_tags, strip_ws, word_count,
+    WS, bound, ensure_html, nonblank, once, replace_first, squeeze, squeeze_newlines, strip_tags, strip_ws, word_count,
 )
-from pagemill.operators.blocks import once
 
 SECTION_TYPE = "array<struct<body:string,image:string,imageAlt:string,imagePosition:string,showCTAs:boolean>>"
 FAQ_TYPE = "array<struct<question:string,answer:string>>"
@@ -28,18 +27,20 @@ FAQ_HEADING = (
 BLOCK_TAGS = "p|div|ul|ol|dl|table|blockquote|figure|section|article|h[1-6]|hr|pre"
 
 
+@bound
 def split_on_h2(html: Column) -> Column:
     """One section per h2; the intro joins the first section; without h2 one section."""
-    pieces = F.split(html, r"(?i)(?=<h2[\s>])")
-    has_intro = ~F.get(pieces, F.lit(0)).rlike(r"(?i)^<h2[\s>]") & (F.size(pieces) > 1)
-    intro = strip_ws(F.get(pieces, F.lit(0)))
-    merged = F.when(
-        has_intro,
-        F.concat(
-            F.array(F.concat(intro, strip_ws(F.get(pieces, F.lit(1))))),
-            F.transform(F.slice(pieces, F.lit(3), F.size(pieces)), strip_ws),
-        ),
-    ).otherwise(F.transform(pieces, strip_ws))
+
+    def merge(pieces: Column) -> Column:
+        first = F.get(pieces, F.lit(0))
+        has_intro = ~first.rlike(r"(?i)^<h2[\s>]") & (F.size(pieces) > 1)
+        joined = F.concat(
+            F.array(F.concat(strip_ws(first), strip_ws(F.get(pieces, F.lit(1))))),
+            F.slice(pieces, F.lit(3), F.size(pieces)),
+        )
+        return F.when(has_intro, joined).otherwise(pieces)
+
+    merged = F.transform(once(F.split(html, r"(?i)(?=<h2[\s>])"), merge), strip_ws)
     return F.when(nonblank(html), F.filter(merged, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
 
 
@@ -47,6 +48,7 @@ def _entity_free(c: Column) -> Column:
     return squeeze(F.regexp_replace(strip_tags(c, " "), "(?i)&[a-z]+;", " "))
 
 
+@bound
 def is_thin_section(s: Column) -> Column:
     """Too little text, or no block beyond a heading."""
 
@@ -62,6 +64,7 @@ def is_thin_section(s: Column) -> Column:
     )
 
 
+@bound
 def drop_thin_sections(sections: Column) -> Column:
     kept = F.filter(sections, lambda s: ~is_thin_section(s))
     return once(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(sections))
@@ -173,11 +176,13 @@ def group_blocks(blocks: Column, html: Column) -> Column:
     return F.when((F.size(blocks) == 0) | (total < GROUP_WORDS), F.array(strip_ws(html))).otherwise(grouped)
 
 
+@bound
 def split_by_paragraphs(html: Column) -> Column:
     grouped = once(top_level_blocks(html), lambda b: group_blocks(b, html))
     return F.when(nonblank(html), grouped).otherwise(F.array().cast("array<string>"))
 
 
+@bound
 def split_sections(html: Column) -> Column:
     """h2 sections, or paragraph groups when a long body has no h2."""
     return once(
@@ -207,6 +212,7 @@ def strong_faq(html: Column) -> Column:
     return _pairs(html, STRONG_ANSWER)
 
 
+@bound
 def detect_faq(html: Column) -> Column:
     """FAQ pairs from a definition list or h3 questions; fewer than two is none."""
     none = F.array().cast(FAQ_TYPE)
@@ -214,6 +220,7 @@ def detect_faq(html: Column) -> Column:
     return F.coalesce(once(dl_faq(html), lambda p: F.when(F.size(p) >= 2, p).otherwise(by_h3)), none)
 
 
+@bound
 def extract_faq(html: Column) -> Column:
     """As ``detect_faq``, then bold questions; a single bold pair counts."""
     bold = strong_faq(html)
@@ -224,8 +231,11 @@ def extract_faq(html: Column) -> Column:
 
 def remove_faq(html: Column, items: Column) -> Column:
     """Take extracted FAQ items out of the body, with their headings."""
-    used = F.filter(items, lambda p: (p["question"] != "") & (p["answer"] != ""))
+    filled = F.filter(items, lambda p: (p["question"] != "") & (p["answer"] != ""))
+    return once(F.struct(html.alias("h"), filled.alias("u")), lambda v: _without_faq(v["h"], v["u"]))
+
 
+def _without_faq(html: Column, used: Column) -> Column:
     def without_lists(c: Column) -> Column:
         lists = F.regexp_extract_all(c, F.lit(r"(?is)<dl[^>]*>.*?</dl>"), F.lit(0))
         hit = F.filter(lists, lambda d: F.exists(used, lambda p: F.contains(strip_tags(d), p["question"])))
@@ -298,6 +308,7 @@ def normalize_sections(sections: Column) -> Column:
     )
 
 
+@bound
 def extract_image(body: Column) -> Column:
     """First image of a body: ``struct<body, image, imageAlt>``, its figure or paragraph wrapper removed."""
     img = F.regexp_extract(body, IMG_PATTERN, 0)

@@ -8,6 +8,8 @@ every window and the final reassembly reuse that distribution.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.text import WS, nonblank, squeeze_newlines, strip_ws
@@ -30,6 +32,7 @@ CONTENT_CLASSES = [
     "page-content",
 ]
 LAYOUT_TAGS = ["div", "section", "article", "main", "header", "footer", "aside", "nav"]
+STRUCTURE_TAGS = ["div", "section", "article", "main", "header", "footer", "aside", "nav", "span"]
 NESTED_BLOCK_TAGS = ["div", "section", "article", "main", "aside", "nav"]
 CONTENT_CONTAINER_TAGS = ["div", "span", "section", "article"]
 REMOVABLE_TAGS = ["div", "section", "article", "aside", "nav"]
@@ -67,7 +70,14 @@ def distribute(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
 
 
-def tokenize(df: DataFrame, key: str, html: str, tags: list[str], carry: list[str] | None = None) -> DataFrame:
+Keys = str | list[str]
+
+
+def _keys(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def tokenize(df: DataFrame, key: Keys, html: str, tags: list[str], carry: list[str] | None = None) -> DataFrame:
     """One row per structural tag: ``key, pos, head, tail, tag, kind, attrs`` and the carried columns.
 
     ``head`` is the tag itself and ``tail`` everything up to the next structural tag, so
@@ -76,7 +86,7 @@ def tokenize(df: DataFrame, key: str, html: str, tags: list[str], carry: list[st
     """
     names = "|".join(tags)
     pieces = F.split(F.coalesce(F.col(html), F.lit("")), rf"(?i)(?=</?(?:{names})(?:\s|>|/))")
-    rows = df.select(key, *(carry or []), F.posexplode(pieces).alias("pos", "_piece"))
+    rows = df.select(*_keys(key), *(carry or []), F.posexplode(pieces).alias("pos", "_piece"))
     rows = rows.withColumn("head", F.regexp_extract("_piece", rf"(?i)^</?(?:{names})(?:\s[^>]*|/)?>", 0))
     rows = rows.withColumn("tail", F.expr("substr(_piece, length(head) + 1)")).drop("_piece")
     kind = (
@@ -92,19 +102,19 @@ def tokenize(df: DataFrame, key: str, html: str, tags: list[str], carry: list[st
     )
 
 
-def with_levels(tokens: DataFrame, key: str) -> DataFrame:
+def with_levels(tokens: DataFrame, key: Keys) -> DataFrame:
     """Add ``level``: equal on an opening tag and its matching close."""
-    w = Window.partitionBy(key, "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*_keys(key), "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     running = F.sum(delta).over(w)
     return tokens.withColumn("level", F.when(F.col("kind") == "close", running + 1).otherwise(running))
 
 
-def _pair_window(key: str):
-    return Window.partitionBy(key, "tag", "level", F.col("kind").isin("open", "close")).orderBy("pos")
+def _pair_window(key: Keys):
+    return Window.partitionBy(*_keys(key), "tag", "level", F.col("kind").isin("open", "close")).orderBy("pos")
 
 
-def with_close(tokens: DataFrame, key: str) -> DataFrame:
+def with_close(tokens: DataFrame, key: Keys) -> DataFrame:
     """Add ``close_pos`` on every opening tag, NULL when it is never closed."""
     w = _pair_window(key)
     return with_levels(tokens, key).withColumn(
@@ -113,13 +123,13 @@ def with_close(tokens: DataFrame, key: str) -> DataFrame:
     )
 
 
-def drop_spans(tokens: DataFrame, key: str, unwanted: Column) -> DataFrame:
+def drop_spans(tokens: DataFrame, key: Keys, unwanted: Column) -> DataFrame:
     """Mark what survives when every matched ``unwanted`` element goes, content included.
 
     Adds ``_keep_head`` and ``_keep_tail``.
     """
     pairs = _pair_window(key)
-    running = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*_keys(key)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = (
         with_close(tokens, key)
         .withColumn("_open_cut", F.coalesce(unwanted & F.col("close_pos").isNotNull(), F.lit(False)))
@@ -149,7 +159,7 @@ def _apply_keep(marked: DataFrame, columns: list[str], keep_head: Column, keep_t
     )
 
 
-def main_column_tokens(tokens: DataFrame, key: str) -> DataFrame:
+def main_column_tokens(tokens: DataFrame, key: Keys) -> DataFrame:
     """Drop narrow columns, asides or sidebars, whichever the page's layout calls for."""
     cls = _attr(F.col("attrs"), "class")
     narrow = F.col("tag").isin(REMOVABLE_TAGS) & _contains_any(cls, NARROW_COLUMNS)
@@ -160,7 +170,7 @@ def main_column_tokens(tokens: DataFrame, key: str) -> DataFrame:
         .when(F.col("_layout") == "sidebar", sidebar)
         .otherwise(F.lit(False))
     )
-    whole = Window.partitionBy(key)
+    whole = Window.partitionBy(*_keys(key))
     marked = drop_spans(tokens, key, unwanted)
     head, tail = F.length("head"), F.length("tail")
     kept = F.when(F.col("_keep_head"), head).otherwise(0) + F.when(F.col("_keep_tail"), tail).otherwise(0)
@@ -196,15 +206,15 @@ def _is_layout_wrapper() -> Column:
     )
 
 
-def unwrap_tokens(tokens: DataFrame, key: str) -> DataFrame:
+def unwrap_tokens(tokens: DataFrame, key: Keys) -> DataFrame:
     """Delete the tags of layout wrappers and of content containers that hold content.
 
     Closed form of the repeated outer-to-inner unwrapping: a kept wrapper has no nested
     block, so a later pass could not change it.
     """
     pairs = _pair_window(key)
-    running = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(key).orderBy("pos")
+    running = Window.partitionBy(*_keys(key)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*_keys(key)).orderBy("pos")
     attrs, tail = F.col("attrs"), F.col("tail")
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
 
@@ -254,42 +264,76 @@ def unwrap_tokens(tokens: DataFrame, key: str) -> DataFrame:
     return _apply_keep(t.withColumn("tail", text), tokens.columns, ~F.col("_cut"), F.lit(True))
 
 
-def reassemble(tokens: DataFrame, key: str, out: str, carry: str | None = None) -> DataFrame:
+def reassemble(tokens: DataFrame, key: Keys, out: str, carry: str | None = None) -> DataFrame:
     """Tokens back to one text per key, with the carried struct of the first row."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "head", "tail")))
     text = F.array_join(F.transform(ordered, lambda x: F.concat(x["head"], x["tail"])), "")
     extra = [F.first(carry, ignorenulls=True).alias(carry)] if carry else []
-    return tokens.groupBy(key).agg(text.alias(out), *extra)
+    return tokens.groupBy(*_keys(key)).agg(text.alias(out), *extra)
 
 
-def extract_main_content(df: DataFrame, key: str, html: str, out: str | None = None) -> DataFrame:
-    """Page shell, side columns, layout wrappers, layout attributes and empty wrappers out.
+def main_content_of_cells(df: DataFrame, key: str, cells: dict[str, Column], finish: Callable[[Column], Column]) -> DataFrame:
+    """Main content of several text columns in one pass.
 
-    ``key`` must be unique. Rows whose text is null or blank pass unchanged. The row's other
-    columns ride on its first token, so the page table is read and shuffled once.
+    ``cells`` maps a column to the condition under which its value is a page body; other
+    values stay as they are. ``finish`` runs on the extracted text. ``key`` must be unique:
+    rows are hashed by it once, every window and both groupings reuse that distribution,
+    and a row's other columns ride on its first token.
     """
-    out = out or html
-    others = [c for c in df.columns if c not in (key, html)]
-    blank = F.when(~nonblank(F.col(html)), F.col(html)).alias("_blank")
-    rest = [F.col(c) for c in others] + ([F.col(html)] if out != html else [])
-    shell = distribute(df, key).select(
-        key,
-        F.struct(blank, nonblank(F.col(html)).alias("_filled"), *rest).alias("_row"),
-        strip_page_shell(F.col(html)).alias("_shell"),
+    none = F.lit(None).cast("string")
+    picked = F.filter(
+        F.array(*[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.when(F.coalesce(cond & nonblank(F.col(f"`{name}`")), F.lit(False)), F.col(f"`{name}`")).otherwise(none).alias("html"),
+            )
+            for name, cond in cells.items()
+        ]),
+        lambda c: c["html"].isNotNull(),
+    )
+    rows = distribute(df, key).select(
+        F.col(key).alias("_key"),
+        F.struct(*[
+            (F.when(~F.coalesce(cells[c] & nonblank(F.col(f"`{c}`")), F.lit(False)), F.col(f"`{c}`")) if c in cells else F.col(f"`{c}`")).alias(c)
+            for c in df.columns
+        ]).alias("_row"),
+        F.posexplode_outer(picked).alias("_no", "_cell"),
     )
-    shell = shell.withColumn("_layout", page_layout(F.col("_shell")))
-    tokens = tokenize(shell, key, "_shell", CONTENT_CONTAINER_TAGS + ["main", "header", "footer", "aside", "nav"], ["_layout", "_row"])
-    tokens = tokens.withColumn("_row", F.when(F.col("pos") == 0, F.col("_row")))
-    tokens = unwrap_tokens(main_column_tokens(tokens, key), key)
-    text = reassemble(tokens, key, "_main", "_row")
+    rows = rows.select(
+        "_key", F.coalesce("_no", F.lit(-1)).alias("_no"), "_row", F.col("_cell.name").alias("_name"),
+        strip_page_shell(F.col("_cell.html")).alias("_shell"),
+    )
+    rows = rows.withColumn("_layout", page_layout(F.col("_shell")))
+    # Names and other columns only once per row of the source.
+    rows = rows.withColumn("_row", F.when(F.col("_no") <= 0, F.col("_row")))
+    keys = ["_key", "_no"]
+    tokens = tokenize(rows, keys, "_shell", STRUCTURE_TAGS, ["_layout", "_row", "_name"])
+    tokens = tokens.withColumn("_row", F.when(F.col("pos") == 0, F.struct("_row", "_name"))).drop("_name")
+    tokens = unwrap_tokens(main_column_tokens(tokens, keys), keys)
+    text = reassemble(tokens, keys, "_main", "_row")
     text = text.withColumn("_main", strip_layout_attributes(F.col("_main")))
     text = text.withColumn("_main", squeeze_newlines(remove_empty_wrappers(F.col("_main"))))
-    value = F.when(F.col("_row._filled"), F.col("_main")).otherwise(F.col("_row._blank")).alias(out)
-    keep = [F.col(key) if c == key else value if c == out else F.col(f"_row.`{c}`").alias(c) for c in df.columns]
-    return text.select(*keep, *([value] if out not in df.columns else []))
+    text = text.withColumn("_main", finish(F.col("_main")))
+    whole = text.groupBy("_key").agg(
+        F.first("_row._row", ignorenulls=True).alias("_row"),
+        F.collect_list(F.when(F.col("_row._name").isNotNull(), F.struct("_row._name", "_main"))).alias("_done"),
+    )
+    done = F.map_from_entries(F.col("_done"))
+    return whole.select(*[
+        (F.coalesce(F.try_element_at(done, F.lit(c)), F.col(f"_row.`{c}`")) if c in cells else F.col(f"_row.`{c}`")).alias(c)
+        for c in df.columns
+    ])
+
+
+def extract_main_content(df: DataFrame, key: str, html: str) -> DataFrame:
+    """Page shell, side columns, layout wrappers, layout attributes and empty wrappers out.
+
+    Null and blank texts pass unchanged.
+    """
+    return main_content_of_cells(df, key, {html: F.lit(True)}, lambda c: c)
 
 
 __all__ = [
     "distribute", "tokenize", "with_levels", "with_close", "drop_spans", "main_column_tokens",
-    "page_layout", "unwrap_tokens", "reassemble", "extract_main_content",
+    "page_layout", "unwrap_tokens", "reassemble", "main_content_of_cells", "extract_main_content",
 ]
