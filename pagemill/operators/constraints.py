@@ -81,15 +81,15 @@ def assign_ids(existing: DataFrame, rows: DataFrame, column: str, order: str) ->
     Rows are range-partitioned; each partition numbers its own rows after the sum of the
     partitions before it. Only the partition counts meet in one place.
     """
-    top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
+    top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).first()["top"]
     ranged = rows.repartitionByRange(F.col(order)).withColumn("_pid", F.spark_partition_id())
     inside = Window.partitionBy("_pid").orderBy(order)
     ranged = ranged.withColumn("_rn", F.row_number().over(inside))
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    numbered = ranged.join(offsets, "_pid").crossJoin(F.broadcast(top))
-    return numbered.withColumn(column, F.col("_top") + F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off", "_top")
+    numbered = ranged.join(offsets, "_pid")
+    return numbered.withColumn(column, F.lit(top) + F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off")
 
 
 def revision_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str], at: Column) -> DataFrame:
