@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "pagemill", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session with the settings the jobs rely on.
 
     Adaptive execution sizes shuffles and splits skewed join partitions, so no
@@ -27,6 +27,8 @@ def build_session(app_name: str = "pagemill", master: str | None = None,
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
 
 

@@ -36,13 +36,18 @@ def load_outcomes(target: DataFrame, batch: DataFrame, key: str, order: str, mod
     return joined.select("row_index", "slug", status.alias("status"), text.alias("error_message"))
 
 
-def load_target(target: DataFrame, batch: DataFrame, outcomes: DataFrame, key: str, order: str) -> DataFrame:
-    """Target table after the load: survivors, plus the last written row of each created or updated key."""
+def written_rows(batch: DataFrame, outcomes: DataFrame, key: str, order: str) -> DataFrame:
+    """The last written row of each created or updated key."""
     written = outcomes.where(F.col("status").isin("created", "updated")).select(F.col("row_index").alias("_ri"))
     rows = batch.join(written, batch[order] == F.col("_ri"), "left_semi")
-    rest = [c for c in target.columns if c != key]
+    rest = [c for c in batch.columns if c != key]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r"))
-    new = last.select(*[F.col(key) if c == key else F.col(f"_r.`{c}`").alias(c) for c in target.columns])
+    return last.select(*[F.col(key) if c == key else F.col(f"_r.`{c}`").alias(c) for c in batch.columns])
+
+
+def load_target(target: DataFrame, batch: DataFrame, outcomes: DataFrame, key: str, order: str) -> DataFrame:
+    """Target table after the load: survivors, plus the written rows."""
+    new = written_rows(batch, outcomes, key, order).select(*target.columns)
     return target.join(new.select(key), key, "left_anti").select(*target.columns).unionByName(new)
 
 

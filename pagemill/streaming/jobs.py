@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions.text import fingerprint, null_if_blank
-from pagemill.sources.loads import job_items, job_row, load_outcomes, load_target
+from pagemill.operators.constraints import latest_per_id
+from pagemill.sources.loads import job_items, job_row, load_outcomes, written_rows
 
 QUIET = "1 second"
 THROTTLE_MS = 500
@@ -21,36 +22,38 @@ def import_batches(
 ):
     """Run the import over every micro-batch and load the result.
 
-    Each batch writes the whole next version of the target to its own folder, named by the
-    batch id, and the log rows under the same id. A batch repeated after a failure overwrites
-    its own folders, so nothing is loaded twice.
+    The target is an append log in folders per batch; its newest row per key is the table. A
+    batch writes only its own rows, under its batch id, so a batch repeated after a failure
+    overwrites its own folders and loads nothing twice.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = transform(batch)
-        before = read_version(spark, target, batch_id - 1)
-        current = before if before is not None else rows.limit(0)
-        done = load_outcomes(current, rows, key, order, mode)
-        log = job_items(done, F.lit(f"batch-{batch_id}"))
-        log.write.mode("overwrite").parquet(f"{items}/batch_id={batch_id}")
-        kept = spark.read.parquet(f"{items}/batch_id={batch_id}")
-        job_row(kept, template).write.mode("overwrite").parquet(f"{jobs}/batch_id={batch_id}")
-        load_target(current, rows, done, key, order).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        # The transformed rows are read several times; they are written once and read back.
+        staged = f"{target}_staged/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+        before = loaded_rows(spark, target, key, batch_id)
+        done = load_outcomes(before if before is not None else rows.limit(0), rows, key, order, mode)
+        job_items(done, F.lit(f"batch-{batch_id}")).write.mode("overwrite").parquet(f"{items}/batch_id={batch_id}")
+        log = spark.read.parquet(f"{items}/batch_id={batch_id}")
+        job_row(log, template).write.mode("overwrite").parquet(f"{jobs}/batch_id={batch_id}")
+        written_rows(rows, log, key, order).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
 
 
-def read_version(spark, folder: str, version: int) -> DataFrame | None:
-    """The target as a batch left it, None before the first batch."""
-    if version < 0:
-        return None
+def loaded_rows(spark, target: str, key: str, before_batch: int | None = None) -> DataFrame | None:
+    """The loaded table as the batches before one left it, None when nothing was loaded."""
     try:
-        return spark.read.parquet(f"{folder}/version={version}")
+        log = spark.read.parquet(target)
     except Exception as err:
-        if "PATH_NOT_FOUND" not in str(err):
+        if "PATH_NOT_FOUND" not in str(err) and "UNABLE_TO_INFER_SCHEMA" not in str(err):
             raise
         return None
+    log = log if before_batch is None else log.where(F.col("batch_id") < before_batch)
+    return latest_per_id(log, key, ["batch_id"]).drop("batch_id")
 
 
 def debounced(df: DataFrame, key: str, at: str, state: Column, quiet: str = QUIET, lateness: str = "10 seconds") -> DataFrame:
@@ -89,16 +92,17 @@ def first_touch_stream(df: DataFrame, session: str, url: str, at: str, ttl_minut
 
 def _throttle(min_gap_ms: int):
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Calls are taken in order of arrival, one Arrow batch at a time.
         last = state.get[0] if state.exists else None
-        out = []
-        pdf = pd.concat(list(frames)).sort_values("_ms")
-        for ms in pdf["_ms"]:
-            if last is None or ms - last >= min_gap_ms:
-                last = int(ms)
-                out.append(last)
+        for pdf in frames:
+            out = []
+            for ms in pdf["_ms"]:
+                if last is None or ms - last >= min_gap_ms:
+                    last = int(ms)
+                    out.append(last)
+            yield pd.DataFrame({"key": [str(k[0])] * len(out), "emitted_ms": out})
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame({"key": [str(k[0])] * len(out), "emitted_ms": out})
 
     return run
 
