@@ -1,0 +1,627 @@
+"""Page structure, site audit, SEO and tracking over pages and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagemill.catalog import sql as S
+from pagemill.catalog.registry import query
+from pagemill.catalog.tables import SQL_DEFINITIONS, SQL_SECTIONED, definition_list, sectioned, table
+from pagemill.functions import html as H
+from pagemill.functions import text as X
+from pagemill.functions.urls import cms_path, url_path_of
+from pagemill.operators import blocks as B
+from pagemill.operators import dedupe as D
+from pagemill.operators import sections as C
+from pagemill.operators import tokens as T
+from pagemill.operators.cleaning import CleaningOptions, clean_records, normalize_html
+from pagemill.operators.forms import form_usage, merge_lookups, form_lookups
+from pagemill.operators.links import HREF, broken_links, checked_links, page_links, redirect_paths, resolve_redirects
+from pagemill.plans import qa, seo, tracking
+from pagemill.plans.content import site_paths
+from pagemill.sources.sinks import page_entries
+
+ORIGIN = "https://site.example"
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages")
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+# --- page shell, attributes, duplicates -------------------------------------------------
+
+@query("strip_shell", f"select page_id, {S.shell('html')} as html from pages")
+def strip_shell(spark, sf):
+    return _pages(spark, sf).select("page_id", H.strip_page_shell(F.col("html")).alias("html"))
+
+
+_STYLED = """replace(replace(html, '<p>', '<p id="k" class="vc_text x" lang="z">'), '<article>', '<article class="a" id="b" data-x="1" title="t" role="main">')"""
+
+
+@query("layout_attributes", rf"""
+    select page_id, regexp_replace(
+      array_to_string(list_transform(string_split(regexp_replace(html, '<', chr(1) || '<', 'g'), chr(1)), lambda p:
+        case when regexp_extract(p, '(?i)^<(div|section|article|aside|header|footer|main|nav|span)(\s[^>]*)>', 1) = '' then p
+        else '<' || regexp_extract(p, '(?i)^<(div|section|article|aside|header|footer|main|nav|span)(\s[^>]*)>', 1)
+          || rtrim(' ' || {S.trim(r'''regexp_replace(regexp_extract(p, '(?i)^<(div|section|article|aside|header|footer|main|nav|span)(\s[^>]*)>', 2), '(?i)\s*(?:class|id|style|role|data-[a-z-]*|aria-[a-z-]*)\s*=\s*(?:"[^"]*"|''[^'']*'')', '', 'g')''')})
+          || '>' || regexp_replace(p, '^<[^>]*>', '') end), ''),
+      '(?i)<(p|h[1-6]|ul|ol|li|dl|dd|dt|blockquote|table|tr|td|th|figure|figcaption|a|img|strong|em)\b([^>]*)\s+class="[^"]*(?:elementor|et_pb_|vc_|fl-|fusion-|av-|cs-)[^"]*"([^>]*)>', '<\1\2\3>', 'g') as html
+    from (select page_id, {_STYLED} as html from pages)""")
+def layout_attributes(spark, sf):
+    h = F.replace(F.col("html"), F.lit("<p>"), F.lit('<p id="k" class="vc_text x" lang="z">'))
+    h = F.replace(h, F.lit("<article>"), F.lit('<article class="a" id="b" data-x="1" title="t" role="main">'))
+    p = _pages(spark, sf).select("page_id", h.alias("html"))
+    return p.select("page_id", H.strip_layout_attributes(F.col("html")).alias("html"))
+
+
+_BLOCK = (
+    r"(?i)<(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|hr|form|nav|header|footer)\b[^>]*>"
+    r"[\s\S]*?</(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|form|nav|header|footer)>|<hr\s*/?>"
+)
+_TWICE = f"select page_id, h || h || 'tail' as h from (select page_id, {S.shell('html')} as h from pages)"
+
+
+def _twice(spark, sf):
+    s = H.strip_page_shell(F.col("html"))
+    p = _pages(spark, sf).select("page_id", s.alias("h"))
+    return p.select("page_id", F.concat("h", "h", F.lit("tail")).alias("h"))
+
+
+@query("dedupe_blocks", f"""
+    with s as ({_TWICE}),
+    b as (select page_id, h, regexp_extract_all(h, '{_BLOCK}') as b, string_split_regex(h, '{_BLOCK}')[-1] as tail from s),
+    f as (select page_id, h, b, tail, list_transform(b, lambda x: {S.fingerprint('x')}) as f from b),
+    k as (select page_id, h, tail, len(b) as n, list_filter(b, lambda x, i: length(f[i]) < 20 or list_position(f, f[i]) = i) as kept from f)
+    select page_id, case when len(kept) = n then h else array_to_string(kept, chr(10)) || case when regexp_matches(tail, '{S.NOT_WS}') then tail else '' end end as html from k""")
+def dedupe_blocks(spark, sf):
+    return _twice(spark, sf).select("page_id", H.remove_duplicate_blocks(F.col("h")).alias("html"))
+
+
+@query("unique_blocks", f"""
+    with s as ({_TWICE}),
+    b as (select page_id, unnest(b) as block, unnest(range(len(b))) as block_no from (select page_id, regexp_extract_all(h, '{_BLOCK}') as b from s)),
+    f as (select page_id, block_no, block, {S.fingerprint('block')} as print from b)
+    select page_id, block_no, block, print from f
+    qualify length(print) < 20 or row_number() over (partition by page_id, print order by block_no) = 1""")
+def unique_blocks(spark, sf):
+    return D.unique_blocks(_twice(spark, sf), "page_id", "h").select(
+        "page_id", F.col("block_no").cast("long").alias("block_no"), "block", "print"
+    )
+
+
+@query("dedupe_records", f"""
+    select doc_id, source from (select doc_id, source, {S.fingerprint('text')} as f from documents)
+    qualify coalesce(length(f), 0) < 20 or row_number() over (partition by f order by doc_id) = 1""")
+def dedupe_records(spark, sf):
+    return D.unique_records(_docs(spark, sf), "doc_id", "text").select("doc_id", "source")
+
+
+# --- nesting: the token table ----------------------------------------------------------
+
+@query("tag_pairs", r"""
+    with s as (select page_id, unnest(string_split(regexp_replace(html, '(</?(?:p|b|ul|li|div|article)(?:[\s>/]))', chr(1) || '\1', 'g'), chr(1))) as piece,
+        unnest(range(len(string_split(regexp_replace(html, '(</?(?:p|b|ul|li|div|article)(?:[\s>/]))', chr(1) || '\1', 'g'), chr(1))))) as pos from pages),
+    t as (select page_id, pos, regexp_extract(piece, '^</?(?:p|b|ul|li|div|article)(?:\s[^>]*|/)?>') as head from s),
+    k as (select page_id, pos, lower(regexp_extract(head, '^</?([a-zA-Z]+)', 1)) as tag,
+        case when head = '' then 0 when starts_with(head, '</') then -1 else 1 end as d from t where head <> ''),
+    l as (select *, case when d = -1 then cum + 1 else cum end as level from (select *, sum(d) over (partition by page_id, tag order by pos) as cum from k)),
+    c as (select *, lead(d) over (partition by page_id, tag, level order by pos) as nxt from l)
+    select page_id, tag, count(*) filter (d = 1) as opened, count(*) filter (d = 1 and nxt = -1) as closed, max(level)::bigint as deepest
+    from c group by page_id, tag""")
+def tag_pairs(spark, sf):
+    tokens = T.tokenize(T.distribute(_pages(spark, sf).select("page_id", "html"), "page_id"), "page_id", "html", ["p", "b", "ul", "li", "div", "article"])
+    tokens = T.with_close(tokens.where("kind <> 'text'"), "page_id")
+    opened = F.col("kind") == "open"
+    return tokens.groupBy("page_id", "tag").agg(
+        F.count_if(opened).alias("opened"), F.count_if(opened & F.col("close_pos").isNotNull()).alias("closed"), F.max("level").alias("deepest")
+    )
+
+
+@query("main_content")
+def main_content(spark, sf):
+    return T.extract_main_content(_pages(spark, sf), "page_id", "html").select("page_id", "html")
+
+
+@query("normalize_html")
+def normalize_html_query(spark, sf):
+    return normalize_html(_pages(spark, sf), "page_id", "html", CleaningOptions(ORIGIN)).select("page_id", "html")
+
+
+@query("clean_records")
+def clean_records_query(spark, sf):
+    return clean_records(_pages(spark, sf), "page_id")
+
+
+@query("heading_levels")
+def heading_levels(spark, sf):
+    h = F.concat(F.replace(F.col("html"), F.lit("<p>"), F.lit("<h4>x</h4><p>")), F.lit("<h1>again</h1>"))
+    return _pages(spark, sf).select("page_id", H.normalize_headings(h).alias("html"))
+
+
+@query("inline_markup")
+def inline_markup(spark, sf):
+    h = F.replace(F.replace(F.col("html"), F.lit("<p>"), F.lit('<p><span class="k">')), F.lit("</p>"), F.lit("</span></p>"))
+    return _pages(spark, sf).select("page_id", H.clean_inline_markup(h).alias("html"))
+
+
+# --- blocks and sections ---------------------------------------------------------------
+
+_BLOCKS_SQL = f"""
+    select doc_id, unnest(b) as html, unnest(range(len(b))) as block_no from (
+      select doc_id, list_filter(list_transform(string_split(regexp_replace(h, '(?i)(<h2[\\s>])', chr(1) || '\\1', 'g'), chr(1)), lambda p: {S.trim('p')}), lambda p: p <> '') as b
+      from (select doc_id, {SQL_SECTIONED} as h from documents where regexp_matches(text, '{S.NOT_WS}')))"""
+
+
+@query("block_table", f"""
+    select doc_id, block_no, case when starts_with(html, '<h2') then 2 else 0 end::bigint as level,
+      case when starts_with(html, '<h2') then 'Part' else '' end as heading, {S.n_words(S.plain('html'))} as words, html
+    from ({_BLOCKS_SQL})""")
+def block_table(spark, sf):
+    d = _docs(spark, sf).where(X.nonblank(F.col("text"))).select("doc_id", sectioned(F.col("text")).alias("h"))
+    t = B.block_table(d, "doc_id", "h")
+    return t.select(
+        "doc_id", F.col("block_no").cast("long").alias("block_no"), F.col("level").cast("long").alias("level"), "heading",
+        F.col("words").cast("long").alias("words"), "html",
+    )
+
+
+_SECTIONS_SQL = f"""
+    select doc_id, case when len(p) > 1 and not starts_with(p[1], '<h2') then list_concat([p[1] || p[2]], p[3:]) else p end as s from (
+      select doc_id, list_transform(string_split(regexp_replace(h, '(?i)(<h2[\\s>])', chr(1) || '\\1', 'g'), chr(1)), lambda p: {S.trim('p')}) as p
+      from (select doc_id, {SQL_SECTIONED} as h from documents))"""
+
+
+@query("h2_sections", f"select doc_id, unnest(s) as body, unnest(range(len(s))) as section_no from ({_SECTIONS_SQL})")
+def h2_sections(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.posexplode(C.split_on_h2(sectioned(F.col("text")))).alias("n", "body"))
+    return d.select("doc_id", F.col("n").cast("long").alias("section_no"), "body")
+
+
+def _entity_free(x):
+    t = f"regexp_replace({S.strip_tags(x, ' ')}, '(?i)&[a-z]+;', ' ', 'g')"
+    return S.squeeze(t)
+
+
+@query("thin_sections", f"""
+    with s as ({_SECTIONS_SQL}),
+    k as (select doc_id, s, list_filter(s, lambda x: not (length({_entity_free('x')}) < 50
+        or not regexp_matches(x, '(?is)<p\\b[^>]*>.*?</p>')
+        or length({_entity_free(chr(39).join(["regexp_replace(x, ", "(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]>", ", ", "", ", ", "g", ")"]))}) < 30)) as kept from s)
+    select doc_id, len(case when len(kept) > 0 then kept else s end) as n_sections, array_to_string(case when len(kept) > 0 then kept else s end, chr(10)) as html from k""")
+def thin_sections(spark, sf):
+    d = _docs(spark, sf).select("doc_id", C.drop_thin_sections(C.split_on_h2(sectioned(F.col("text")))).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_sections"), F.array_join("s", "\n").alias("html"))
+
+
+@query("section_defaults", f"""
+    select doc_id, section_no, case when section_no % 2 = 0 then 'right' else 'left' end as position, section_no % 2 = 0 as ctas,
+      '/i/' || doc_id || '.png' as image, 'a' as alt, body
+    from (select doc_id, unnest(s) as body, unnest(range(len(s))) as section_no from ({_SECTIONS_SQL}))""")
+def section_defaults(spark, sf):
+    img = F.concat(F.lit('<p> <img alt="a" src="/i/'), F.col("doc_id"), F.lit('.png"></p>'))
+    bodies = F.transform(C.split_on_h2(sectioned(F.col("text"))), lambda b: F.concat(b, img))
+    d = _docs(spark, sf).select("doc_id", F.posexplode(C.extract_section_images(C.sections_from_bodies(bodies))).alias("n", "s"))
+    return d.select(
+        "doc_id", F.col("n").cast("long").alias("section_no"), F.col("s.imagePosition").alias("position"), F.col("s.showCTAs").alias("ctas"),
+        F.col("s.image").alias("image"), F.col("s.imageAlt").alias("alt"), F.col("s.body").alias("body"),
+    )
+
+
+@query("paragraph_groups")
+def paragraph_groups(spark, sf):
+    body = F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("</p><ul><li>x</li></ul><p>")), F.lit("</p>"))
+    d = _docs(spark, sf).select("doc_id", F.posexplode(C.split_by_paragraphs(body)).alias("n", "body"))
+    return d.select("doc_id", "n", "body")
+
+
+@query("faq_pairs", rf"""
+    select doc_id, question, answer from (
+      select doc_id, unnest(q) as question, unnest(a) as answer, len(list_filter(list_zip(q, a), lambda z: z[1] <> '' and z[2] <> '')) as n from (
+        select doc_id, list_transform(regexp_extract_all(h, '(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>', 1), lambda x: {S.trim(S.strip_tags('x'))}) as q,
+          list_transform(regexp_extract_all(h, '(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>', 2), lambda x: {S.trim('x')}) as a
+        from (select doc_id, {SQL_DEFINITIONS} as h from documents)))
+    where question <> '' and answer <> '' and n >= 2""")
+def faq_pairs(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.explode(C.detect_faq(definition_list(F.col("text")))).alias("p"))
+    return d.select("doc_id", "p.question", "p.answer")
+
+
+@query("faq_removed")
+def faq_removed(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.concat(F.lit("<h2>FAQ</h2>"), definition_list(F.col("text")), F.lit("<p>rest</p>")).alias("h"))
+    d = d.withColumn("faq", C.detect_faq(F.col("h")))
+    return d.select("doc_id", F.size("faq").alias("n_items"), C.remove_faq(F.col("h"), F.col("faq")).alias("html"))
+
+
+@query("outline", rf"""
+    select doc_id, unnest(l)::bigint as level, unnest(t) as heading, unnest(range(len(l))) as pos from (
+      select doc_id, list_transform(regexp_extract_all(h, '(?is)<h([1-3])[^>]*>(.*?)</h[1-3]>', 1), lambda x: x) as l,
+        list_transform(regexp_extract_all(h, '(?is)<h([1-3])[^>]*>(.*?)</h[1-3]>', 2), lambda x: {S.trim(S.strip_tags('x'))}) as t
+      from (select doc_id, '<h1>' || source || '</h1>' || {SQL_SECTIONED} as h from documents))""")
+def outline(spark, sf):
+    h = F.concat(F.lit("<h1>"), F.col("source"), F.lit("</h1>"), sectioned(F.col("text")))
+    d = _docs(spark, sf).select("doc_id", F.posexplode(H.outline(h)).alias("pos", "o"))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("o.level").cast("long").alias("level"), F.col("o.text").alias("heading"))
+
+
+# --- secondary blocks ------------------------------------------------------------------
+
+_HEADINGS = ["Contact Us", "Free Consultation", "Recent Posts", "Categories", "About the Author", "Newsletter", "Follow Us", "Leave a Reply", "In Boston", "In Dallas & Austin", "Our Services", ""]
+_HEADING_CASES = [
+    ("(?i)^(?:contact\\s+us|contact\\s+our|get\\s+in\\s+touch|reach\\s+out)$", "contact-widget"),
+    ("(?i)^(?:free\\s+consultation|call\\s+(?:us\\s+)?now|get\\s+help|schedule\\s+(?:a\\s+)?(?:consultation|appointment)|book\\s+a)$", "cta-block"),
+    ("(?i)^(?:recent\\s+posts?|latest\\s+posts?|related\\s+posts?|popular\\s+posts?|more\\s+articles?)$", "post-listing-widget"),
+    ("(?i)^(?:categories|archives|tags?|tag\\s+cloud)$", "sidebar-widget"),
+    ("(?i)^(?:about\\s+the\\s+author|author\\s+bio)$", "author-widget"),
+    ("(?i)^(?:newsletter|subscribe|sign\\s+up)$", "newsletter-widget"),
+    ("(?i)^(?:share\\s+this|follow\\s+us|social\\s+media)$", "social-widget"),
+    ("(?i)^(?:leave\\s+a\\s+(?:reply|comment)|comments?|discussion)$", "comments-section"),
+    ("(?i)^in\\s+[A-Z][a-z]+(?:\\s*(?:&|and)\\s*[A-Z][a-z]+)?$", "location-heading"),
+]
+
+
+@query("secondary_headings", f"""
+    select doc_id, case when h = '' then null {' '.join(f"when regexp_matches(h, '{p}') then '{r}'" for p, r in _HEADING_CASES)} end as reason
+    from (select doc_id, {_HEADINGS!r}[1 + doc_id % {len(_HEADINGS)}] as h from documents)""")
+def secondary_headings(spark, sf):
+    h = F.get(F.array(*[F.lit(x) for x in _HEADINGS]), (F.col("doc_id") % len(_HEADINGS)).cast("int"))
+    return _docs(spark, sf).select("doc_id", B.heading_reason(h).alias("reason"))
+
+
+@query("contact_blocks", rf"""
+    select conv_id, turn, n <= 100 and (phone::int + mail::int + (street or zip)::int + card::int) >= 2 as is_contact
+    from (select conv_id, turn, {S.n_words('p')} as n, regexp_matches(p, '\d{{3}}[-.\s]?\d{{3}}[-.\s]?\d{{4}}') or contains(lower(h), 'tel:') as phone,
+      contains(lower(h), 'mailto:') as mail, regexp_matches(p, '(?i)\d+\s+[A-Z][a-z]+\s+(?:St|Ave|Blvd|Dr|Rd|Ln|Way|Ct|Pl)\b') as street,
+      regexp_matches(p, '\b[A-Z]{{2}}\s+\d{{5}}\b') as zip, regexp_matches(h, '(?i)\.vcf|vcard') as card
+    from (select conv_id, turn, h, {S.plain('h')} as p from (
+      select conv_id, turn, '<p>' || text || '</p>' || case when turn % 2 = 0 then '<a href="mailto:x@y.z">m</a>' else '' end || ' 12 Oak St, TX 75001' as h from conversations)))""")
+def contact_blocks(spark, sf):
+    h = F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"), F.when(F.col("turn") % 2 == 0, '<a href="mailto:x@y.z">m</a>').otherwise(""), F.lit(" 12 Oak St, TX 75001"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", h.alias("h"))
+    c = c.withColumn("p", X.plain_text(F.col("h")))
+    return c.select("conv_id", "turn", B.is_contact_block(F.col("h"), F.col("p"), X.word_count(F.col("p"))).alias("is_contact"))
+
+
+@query("form_blocks", r"""
+    select page_id, regexp_matches(h, '(?i)<form\b') or (len(regexp_extract_all(h, '(?i)<input\b')) + len(regexp_extract_all(h, '(?i)<select\b'))
+      + len(regexp_extract_all(h, '(?i)wpforms'))) >= 2 as is_form
+    from (select page_id, html || repeat('<input type="text">', (page_id % 4)::bigint) || case when page_id % 5 = 0 then '<form>' else '' end as h from pages)""")
+def form_blocks(spark, sf):
+    h = F.concat(F.col("html"), F.repeat(F.lit('<input type="text">'), (F.col("page_id") % 4).cast("int")), F.when(F.col("page_id") % 5 == 0, "<form>").otherwise(""))
+    return _pages(spark, sf).select("page_id", B.is_form_block(h).alias("is_form"))
+
+
+@query("link_density", rf"""
+    select page_id, n >= 5 and links > 3 and n - linked < 50 and linked / n > 0.6 as dense, linked, n as words
+    from (select page_id, {S.n_words(S.plain('nav'))} as n, len(regexp_extract_all(nav, '(?is)<a\b[^>]*>.*?</a>')) as links,
+      {S.n_words("array_to_string(list_transform(regexp_extract_all(nav, '(?is)<a\\b[^>]*>.*?</a>'), lambda l: regexp_replace(l, '<[^>]*>', '', 'g')), ' ')")} as linked
+      from (select page_id, regexp_extract(html, '(?is)<nav>.*?</nav>') as nav from pages))""")
+def link_density(spark, sf):
+    p = _pages(spark, sf).select("page_id", F.regexp_extract("html", "(?is)<nav>.*?</nav>", 0).alias("nav"))
+    p = p.withColumn("words", X.word_count(X.plain_text(F.col("nav"))).cast("long"))
+    return p.select("page_id", B.is_link_dense(F.col("nav"), F.col("words")).alias("dense"), B.link_words(F.col("nav")).cast("long").alias("linked"), "words")
+
+
+@query("post_listings", rf"""
+    select page_id, len(list_filter(list_transform(regexp_extract_all(regexp_extract(html, '(?is)<ul\b[^>]*>(.*?)</ul>', 1), '(?is)<li\b[^>]*>(.*?)</li>', 1),
+        lambda i: length({S.trim("array_to_string(list_transform(regexp_extract_all(i, '(?is)<a\\b[^>]*>.*?</a>'), lambda l: regexp_replace(l, '<[^>]*>', '', 'g')), ' ')")})
+          / greatest(length({S.trim(S.strip_tags('i'))}), 1) >= 0.6 and {S.trim(S.strip_tags('i'))} <> ''), lambda b: b)) >= 3 as listing
+    from pages""")
+def post_listings(spark, sf):
+    return _pages(spark, sf).select("page_id", B.is_post_listing(F.col("html")).alias("listing"))
+
+
+@query("secondary_filter")
+def secondary_filter(spark, sf):
+    h = F.get(F.array(*[F.lit(x) for x in _HEADINGS]), (F.col("doc_id") % len(_HEADINGS)).cast("int"))
+    body = F.concat(sectioned(F.col("text")), F.lit("<h2>"), h, F.lit('</h2><p>call <a href="tel:5551234567">555-123-4567</a></p>'))
+    d = _docs(spark, sf).select("doc_id", B.filter_secondary(body, B.FilterOptions("practice")).alias("f"))
+    return d.select("doc_id", "f.html", F.size("f.removed").alias("n_removed"), F.get("f.removed", F.lit(0))["reason"].alias("reason"))
+
+
+# --- site audit ------------------------------------------------------------------------
+
+def _crawl(spark, sf):
+    tel = F.concat(F.lit('<a href="tel:555-000-'), F.lpad(F.col("page_id").cast("string"), 4, "0"), F.lit('">call</a><img src="/i/'), F.col("page_id"), F.lit('.png" alt="'))
+    alt = F.when(F.col("page_id") % 3 == 0, "").otherwise("x")
+    body = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(tel, alt, F.lit('">'))).otherwise(""), F.col("html"))
+    return _pages(spark, sf).select("page_id", "url", body.alias("html"))
+
+
+_CRAWL = """select page_id, url, case when page_id % 2 = 0 then '<a href="tel:555-000-' || lpad(page_id::varchar, 4, '0') || '">call</a><img src="/i/' || page_id || '.png" alt="'
+    || case when page_id % 3 = 0 then '' else 'x' end || '">' else '' end || html as html from pages"""
+
+
+def _meta(tag, key, value, attr):
+    return f"""regexp_extract(regexp_extract(html, '(?i)<{tag}\\b[^>]*\\b{key}=["'']{value}["''][^>]*>'), '(?i)\\b{attr}=["'']([^"'']*)["'']', 1)"""
+
+
+_FACTS = rf"""
+    select page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title, {_meta('meta', 'name', 'description', 'content')} as description,
+      {_meta('link', 'rel', 'canonical', 'href')} as canonical, {_meta('meta', 'name', 'robots', 'content')} as robots,
+      {_meta('meta', 'property', 'og:title', 'content')} as og_title, {_meta('meta', 'property', 'og:description', 'content')} as og_description,
+      {_meta('meta', 'property', 'og:image', 'content')} as og_image, len(regexp_extract_all(html, '(?i)<h1[\s>]')) as h1,
+      regexp_extract_all(html, '(?i)<img\b[^>]*>') as images,
+      list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref=["'']tel:([^"'']*)["'']', 1), lambda t: regexp_replace(t, '[^0-9]', '', 'g')) as tels,
+      regexp_matches(html, '(?i)<(?:main|header|h1)\b') as landmark, {S.plain(S.shell('html'))} as text
+    from ({_CRAWL})"""
+
+
+def _blank(x):
+    return f"not regexp_matches({x}, '{S.NOT_WS}')"
+
+
+_ISSUES = rf"""
+    with facts as ({_FACTS}),
+    m as (select *, list_filter(list_transform(regexp_extract_all(' ' || text, '[^/\d](\+?\d[\d\s().-]{{7,}}\d)', 1), lambda t: regexp_replace(t, '[^0-9]', '', 'g')), lambda d: length(d) >= 10) as numbers from facts),
+    n as (select *, list_filter(numbers, lambda d, i: list_position(numbers, d) = i) as texts from m)
+    select url, 'seo' as type, 'Missing page title' as message from n where {_blank('title')}
+    union all select url, 'seo', 'Missing meta description' from n where {_blank('description')}
+    union all select url, 'seo', 'Missing canonical URL' from n where {_blank('canonical')}
+    union all select url, 'seo', 'Page contains noindex' from n where contains(lower(robots), 'noindex')
+    union all select url, 'seo', 'Missing og:title' from n where {_blank('og_title')}
+    union all select url, 'seo', 'Missing og:description' from n where {_blank('og_description')}
+    union all select url, 'seo', 'Missing og:image' from n where {_blank('og_image')}
+    union all select url, 'content', 'Missing H1' from n where h1 = 0
+    union all select url, 'content', 'Multiple H1 tags found (' || h1 || ')' from n where h1 > 1
+    union all select url, 'render', 'App did not appear to finish rendering in time' from n where length(text) <= 30 and not landmark
+    union all select url, 'placeholder', 'Found "Lorem Ipsum" text' from n where contains(lower(text), 'lorem ipsum')
+    union all select url, 'conversion', 'No tel: links found on page' from n where len(tels) = 0
+    union all select url, 'conversion', 'Visible phone number text may not match tel: link number. tel: ' || tels[1] || ' visible: ' || array_to_string(texts, ', ')
+      from n where len(tels) = 1 and len(texts) > 0 and not list_contains(texts, tels[1])
+    union all select url, 'accessibility', 'Image missing alt text: ' || case when regexp_matches(i, '(?i)\bsrc=["'']([^"'']*)["'']') then regexp_extract(i, '(?i)\bsrc=["'']([^"'']*)["'']', 1) else 'unknown src' end
+      from (select url, unnest(images) as i from n) where {_blank(chr(39).join(["regexp_extract(i, ", "(?i)" + chr(92) + "balt=[" + chr(34) + chr(39) * 2 + "]([^" + chr(34) + chr(39) * 2 + "]*)[" + chr(34) + chr(39) * 2 + "]", ", 1)"]))}"""
+
+
+@query("qa_page_issues", _ISSUES)
+def qa_page_issues(spark, sf):
+    return qa.page_issues(_crawl(spark, sf))
+
+
+@query("qa_issue_rollup", f"select type, message, count(*) as issues, count(distinct url) as urls from ({_ISSUES}) group by 1, 2")
+def qa_issue_rollup(spark, sf):
+    return qa.report(qa.page_issues(_crawl(spark, sf)))
+
+
+@query("qa_title_h1", rf"select page_id, url, title, h1 from (select page_id, url, {S.trim(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))} as title, len(regexp_extract_all(html, '(?i)<h1[\s>]')) as h1 from pages)")
+def qa_title_h1(spark, sf):
+    facts = qa.page_facts(_pages(spark, sf))
+    keyed = _pages(spark, sf).select("page_id", "url")
+    return facts.join(keyed, "url").select("page_id", "url", X.strip_ws(F.col("title")).alias("title"), F.col("h1").cast("long").alias("h1"))
+
+
+_HREF = r"""(?is)<a\b[^>]*\bhref=["'']([^"'']*)["''][^>]*>(.*?)</a>"""
+
+
+@query("qa_links", rf"""
+    select page_id, unnest(range(len(h))) as link_no, unnest(h) as href, unnest(t) as text from (
+      select page_id, regexp_extract_all(html, '{_HREF}', 1) as h, list_transform(regexp_extract_all(html, '{_HREF}', 2), lambda x: {S.trim(S.strip_tags('x'))}) as t from pages)""")
+def qa_links(spark, sf):
+    return page_links(_pages(spark, sf), "page_id", "html").withColumn("link_no", F.col("link_no").cast("long"))
+
+
+@query("qa_duplicate_links", rf"""
+    select page_id, count(*) as links, count(distinct href) as distinct_links from (select page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) as href from pages) group by page_id""")
+def qa_duplicate_links(spark, sf):
+    hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
+    p = _pages(spark, sf).where(F.size(hrefs) > 0)
+    return p.select("page_id", F.size(hrefs).cast("long").alias("links"), F.size(F.array_distinct(hrefs)).cast("long").alias("distinct_links"))
+
+
+_CHECKED = rf"""
+    select page_id, href, '{ORIGIN}' || href as target from (
+      select page_id, href, pos, row_number() over (partition by page_id order by pos) as n from (
+        select page_id, unnest(h) as href, unnest(range(len(h))) as pos from (
+          select page_id, list_filter(regexp_extract_all(html, '{_HREF}', 1), lambda x: starts_with(x, '/') and not starts_with(x, '//')) as h from pages)))
+    where n <= 25 qualify row_number() over (partition by page_id, href order by pos) = 1"""
+
+
+@query("qa_checked_links", _CHECKED)
+def qa_checked_links(spark, sf):
+    return checked_links(_pages(spark, sf), "page_id", "html", ORIGIN).select("page_id", "href", "target")
+
+
+@query("qa_broken_links", f"select page_id, href, 404::bigint as target_status from ({_CHECKED}) where length(href) % 5 = 0")
+def qa_broken_links(spark, sf):
+    links = checked_links(_pages(spark, sf), "page_id", "html", ORIGIN)
+    crawl = links.select(F.col("target").alias("url"), F.when(F.length("href") % 5 == 0, 404).otherwise(200).cast("long").alias("status")).distinct()
+    return broken_links(links, crawl).select("page_id", "href", "target_status")
+
+
+@query("top_links", rf"""
+    select page_id, href from (select page_id, unnest(h) as href, unnest(range(len(h))) as pos from (select page_id, regexp_extract_all(html, '{_HREF}', 1) as h from pages))
+    qualify row_number() over (partition by page_id order by pos) <= 5""")
+def top_links(spark, sf):
+    hrefs = F.slice(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), 1, 5)
+    return _pages(spark, sf).select("page_id", F.explode(hrefs).alias("href"))
+
+
+_WORDS = r"""list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}.,!?;:()\[\]{}"''`\-–—/\\|@#$%^&*+=<>~]+'), lambda w: regexp_replace(w, '[^a-z'']', '', 'g')), lambda w: length(w) > 2))"""
+
+
+@query("qa_spelling", f"""
+    with d as (select distinct unnest({_WORDS}) as word from benchmark),
+    w as (select doc_id, unnest({_WORDS}) as word from documents)
+    select doc_id, word, reverse(word) as correction from w join d using (word) where length(word) > 6 and not starts_with(word, 't')""")
+def qa_spelling(spark, sf):
+    known = qa.word_table(table(spark, sf, "benchmark"), "item_id", F.col("text")).select("word").distinct()
+    dictionary = known.where(F.length("word") > 6).select("word", F.reverse("word").alias("correction"))
+    allowed = known.where(F.startswith("word", F.lit("t")))
+    words = qa.word_table(_docs(spark, sf), "doc_id", F.col("text"))
+    return qa.misspellings(words, dictionary, allowed).select("doc_id", "word", "correction")
+
+
+# --- paths, redirects, sitemaps ---------------------------------------------------------
+
+_CMS_PAGES = f"""select page_id, {S.cms_path(S.path_of('url'))} as url_path, case when page_id % 3 = 0 then 'draft' else 'published' end as status,
+    page_id % 10 = 1 as noindex, timestamp '2024-01-01' + interval (page_id) hour as updated_at from pages"""
+
+
+def _cms_pages(spark, sf):
+    return _pages(spark, sf).select(
+        "page_id", cms_path(F.col("url")).alias("url_path"), F.when(F.col("page_id") % 3 == 0, "draft").otherwise("published").alias("status"),
+        (F.col("page_id") % 10 == 1).alias("noindex"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("updated_at"),
+    )
+
+
+_CMS_POSTS = "select doc_id, case when doc_id % 4 = 0 then 'admin-x' else lang || '-' || doc_id % 500 end as slug, case when n_chars > 400 then 'published' else 'draft' end as status from documents"
+
+
+@query("site_paths_union", f"""
+    select url_path from ({_CMS_PAGES}) where status = 'published' and not starts_with(url_path, '/admin')
+    union select '/blog/' || slug from ({_CMS_POSTS}) where status = 'published'""")
+def site_paths_union(spark, sf):
+    slug = F.when(F.col("doc_id") % 4 == 0, "admin-x").otherwise(F.concat("lang", F.lit("-"), F.col("doc_id") % 500))
+    posts = _docs(spark, sf).select("doc_id", slug.alias("slug"), F.when(F.col("n_chars") > 400, "published").otherwise("draft").alias("status"))
+    return site_paths(_cms_pages(spark, sf), posts)
+
+
+@query("sitemap_rows", f"""
+    select url_path as sort_key, '  <url>' || chr(10) || '    <loc>https://site.example' || replace(replace(url_path, '&', '&amp;'), '''', '&apos;') || '</loc>' || chr(10)
+      || '    <lastmod>' || strftime(updated_at, '%Y-%m-%d') || '</lastmod>' || chr(10) || '  </url>' as entry
+    from ({_CMS_PAGES}) where status = 'published' and not noindex and not starts_with(url_path, '/admin')""")
+def sitemap_rows(spark, sf):
+    return page_entries(_cms_pages(spark, sf), ORIGIN + "/")
+
+
+@query("redirect_chain", """
+    with recursive r as (select '/o/' || o_orderkey as f, '/o/' || o_custkey as t from orders),
+    w(from_path, to_path, hops) as (
+      select f, t, 1 from r
+      union all select w.from_path, r.t, w.hops + 1 from w join r on w.to_path = r.f where w.hops < 64)
+    select from_path, arg_max(to_path, hops) as to_path, max(hops)::bigint as hops, arg_max(to_path, hops) in (select f from r) as is_cycle from w group by from_path""")
+def redirect_chain(spark, sf):
+    o = table(spark, sf, "orders")
+    r = o.select(F.concat(F.lit("/o/"), "o_orderkey").alias("from_path"), F.concat(F.lit("/o/"), "o_custkey").alias("to_path"), F.lit(True).alias("enabled"))
+    return resolve_redirects(r).withColumn("hops", F.col("hops").cast("long"))
+
+
+@query("redirect_paths", """
+    select l_orderkey, l_linenumber, path, '/p/' || l_partkey % 7 as final_path, cast(1 as bigint) as hops
+    from (select l_orderkey, l_linenumber, l_partkey, '/old/' || l_partkey as path from lineitem)""")
+def redirect_paths_query(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("/old/"), "l_partkey").alias("path"), "l_partkey")
+    rules = l.select("path", "l_partkey").distinct().select(
+        F.col("path").alias("from_path"), F.concat(F.lit("/p/"), F.col("l_partkey") % 7).alias("to_path"), F.lit(1).cast("long").alias("hops"),
+        F.lit(False).alias("is_cycle"),
+    )
+    return redirect_paths(l.drop("l_partkey"), "path", rules)
+
+
+# --- SEO -------------------------------------------------------------------------------
+
+_SETTINGS = {
+    "siteName": "Mill Site", "siteUrl": "https://mill.example", "phoneNumber": "555", "addressLine1": "1 Main St",
+    "addressLine2": "Austin, TX 78701", "logoUrl": "/logo.png", "globalSchema": '{"@type":"Organization"}',
+}
+
+
+@query("resolve_seo", f"""
+    with t as (select page_id, {S.trim(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))} as title, {S.path_of('url')} as p, page_id % 5 = 0 as noindex,
+        case when page_id % 4 = 0 then 'Mill Site' when page_id % 4 = 1 then ' Page ' || page_id || ' | mill site' end as meta_title, case when page_id % 3 = 0 then '/i/' || page_id || '.png' end as og_image from pages),
+    s as (select *, coalesce(nullif(trim(meta_title), ''), nullif(title, ''), 'Mill Site') as social from t)
+    select page_id, social as social_title, case when lower(social) = 'mill site' or ends_with(lower(social), '| mill site') or ends_with(lower(social), '- mill site') then social else social || ' | Mill Site' end as seo_title,
+      'https://mill.example' || {S.cms_path('p')} as canonical, case when noindex then 'noindex, nofollow' end as robots, og_image as image,
+      case when og_image is not null then 'summary_large_image' else 'summary' end as twitter_card, 'website' as og_type
+    from s""")
+def resolve_seo(spark, sf):
+    k = F.col("page_id")
+    routes = _pages(spark, sf).select(
+        "page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), url_path_of(F.col("url")).alias("url_path"),
+        (k % 5 == 0).alias("noindex"), F.when(k % 4 == 0, "Mill Site").when(k % 4 == 1, F.concat(F.lit(" Page "), k, F.lit(" | mill site"))).alias("meta_title"),
+        F.when(k % 3 == 0, F.concat(F.lit("/i/"), k, F.lit(".png"))).alias("og_image"), F.lit("page").alias("route_type"),
+    )
+    out = seo.resolve_seo(routes, _SETTINGS, ["page_id"])
+    return out.select("page_id", "social_title", "seo_title", "canonical", "robots", F.col("social_image.url").alias("image"), "twitter_card", "og_type")
+
+
+@query("json_ld")
+def json_ld(spark, sf):
+    kinds = F.get(F.array(*[F.lit(t) for t in ("LocalBusiness", "Article,WebPage", "FAQPage", '["Attorney","Other"]', "")]), (F.col("doc_id") % 5).cast("int"))
+    content = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("source").alias("question"), F.col("text").alias("answer"))).alias("items")).alias("faq")))
+    routes = _docs(spark, sf).select(
+        "doc_id", F.col("source").alias("title"), F.concat(F.lit("https://mill.example/"), "doc_id").alias("url"), kinds.alias("schema_type"),
+        content.alias("content"), F.when(F.col("doc_id") % 2 == 0, "post").otherwise("page").alias("route_type"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit('{"name":"Own","x":1}')).alias("schema_data"),
+    )
+    return seo.json_ld(routes, _SETTINGS, "doc_id")
+
+
+@query("favicon_links", """
+    with a as (select p_partkey, '/f/' || p_partkey || '.png' as src, case when p_size % 2 = 0 then '/f/' || p_partkey || '.svg' end as svg from part),
+    r as (select p_partkey, 'icon' as rel, coalesce(svg, src) as href, null as sizes, case when svg is not null then 'image/svg+xml' else 'image/png' end as type from a
+      union all select p_partkey, 'icon', src, '32x32', 'image/png' from a union all select p_partkey, 'icon', src, '192x192', 'image/png' from a
+      union all select p_partkey, 'icon', src, '512x512', 'image/png' from a union all select p_partkey, 'apple-touch-icon', src, '180x180', 'image/png' from a)
+    select distinct p_partkey, rel, href, sizes, type from r""")
+def favicon_links(spark, sf):
+    none = F.lit(None).cast("string")
+    src = F.concat(F.lit("/f/"), F.col("p_partkey"), F.lit(".png"))
+    svg = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/f/"), F.col("p_partkey"), F.lit(".svg")))
+    assets = F.struct(
+        src.alias("sourceUrl"), svg.alias("svgUrl"), none.alias("icon32Url"), none.alias("appleTouchIconUrl"), none.alias("manifest192Url"),
+        none.alias("manifest512Url"), none.alias("mimeType"),
+    )
+    p = table(spark, sf, "part").select("p_partkey", F.explode(seo.favicon_links(assets, none)).alias("l"))
+    return p.select("p_partkey", "l.rel", "l.href", "l.sizes", "l.type")
+
+
+# --- forms and tracking ----------------------------------------------------------------
+
+@query("form_usage", r"""
+    with f as (select distinct source as name, '00000000-0000-4000-8000-' || lpad(substr(source, 4), 12, '0') as id from documents),
+    p as (select doc_id, source, lang, case when doc_id % 2 = 0 then '00000000-0000-4000-8000-' || lpad(substr(source, 4), 12, '0') else source end as mark from documents)
+    select id as form_id, name as form_name, doc_id as page from p join f on p.mark = f.id or p.mark = f.name or f.name = 'src' || (p.doc_id % 20)""")
+def form_usage_query(spark, sf):
+    d = _docs(spark, sf)
+    ident = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.substring("source", 4, 10), 12, "0"))
+    mark = F.when(F.col("doc_id") % 2 == 0, ident).otherwise(F.col("source"))
+    content = F.concat(
+        F.lit('{"body":"x {{form:'), mark, F.lit('}} y","blocks":[{"formName":"src'), F.col("doc_id") % 20, F.lit('"}]}')
+    )
+    pages = d.select("doc_id", F.concat(F.lit("/d/"), "doc_id", F.lit("/")).alias("path"), content.alias("content"))
+    forms = d.select(F.col("source").alias("name"), ident.alias("id")).distinct()
+    return form_usage(pages, forms, "doc_id", "path", "content")
+
+
+@query("form_lookups", """select doc_id, 1::bigint as n_ids, case when lang = source then 1 else 2 end::bigint as n_names from documents""")
+def form_lookups_query(spark, sf):
+    one = F.concat(F.lit('{"a":"{{form:00000000-0000-4000-8000-000000000001}} {{form:'), "lang", F.lit('}}"}'))
+    two = F.concat(F.lit('{"formName":"'), "source", F.lit('","b":{"formName":"'), "lang", F.lit('"}}'))
+    d = _docs(spark, sf).select("doc_id", merge_lookups(form_lookups(one), form_lookups(two)).alias("l"))
+    return d.select("doc_id", F.size("l.ids").cast("long").alias("n_ids"), F.size("l.names").cast("long").alias("n_names"))
+
+
+@query("first_touch", """
+    select user_id, arg_min('/p/' || event_type || '?k=' || json_extract_string(props, '$.k'), (ts, event_id)) as landing_page, min(ts) as first_seen from events group by user_id""")
+def first_touch(spark, sf):
+    e = table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", F.concat(F.lit("/p/"), "event_type", F.lit("?k="), F.get_json_object("props", "$.k")).alias("url")
+    )
+    return tracking.first_touch(e, "user_id", "url", "ts", "event_id")
+
+
+def _phone_pages(spark, sf):
+    k = F.col("page_id")
+    own = F.concat(F.lit("512555"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    body = F.concat(
+        F.lit('<p>Call <a href="tel:+1'), own, F.lit('">now</a> or (512) 444-1000, 512-444-1000'), F.when(k % 2 == 0, ' <a href="tel:5124441000">x</a>').otherwise(""),
+        F.lit(", 512.333."), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("</p>"),
+    )
+    return _pages(spark, sf).select("page_id", F.replace(F.col("html"), F.lit("<article>"), F.concat(F.lit("<article>"), body)).alias("html"))
+
+
+@query("phone_mapping", """select page_id, '5124441000' as original_digits, '512555' || lpad((page_id % 10000)::varchar, 4, '0') as swapped_digits from pages""")
+def phone_mapping(spark, sf):
+    return tracking.phone_mapping(tracking.phone_counts(_phone_pages(spark, sf), "page_id", "html"), "page_id")
+
+
+@query("phone_rewrite")
+def phone_rewrite(spark, sf):
+    p = _phone_pages(spark, sf)
+    m = tracking.phone_mapping(tracking.phone_counts(p, "page_id", "html"), "page_id")
+    return tracking.sync_pages(p, "page_id", "html", m)
