@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pagemill.catalog import sql as S
 from pagemill.catalog.registry import query
 from pagemill.catalog.tables import table
+from pagemill.functions.text import jaccard
 from pagemill.operators import constraints as K
 from pagemill.operators import links as L
 from pagemill.operators import review as R
-from pagemill.operators.dedupe import word_overlap
 from pagemill.operators.forms import submission
 from pagemill.operators.slugs import resolve_collisions
 from pagemill.operators.validation import duplicate_groups, duplicate_issues
@@ -454,13 +454,12 @@ def slug_collisions(spark, sf):
     return resolve_collisions(o, "o_orderkey", "slug", "post", "unique_suffix")
 
 
-@query("jaccard_near_records", f"""
-    with d as (select doc_id, list_distinct({S.words('lower(text)')}) as w from documents), b as (select item_id, list_distinct({S.words('lower(text)')}) as w from benchmark)
-    select doc_id as left_id, item_id as right_id, len(list_intersect(d.w, b.w)) as shared from d, b
-    where len(list_intersect(d.w, b.w)) >= 0.5 * (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w)))""")
-def jaccard_near_records(spark, sf):
-    out = word_overlap(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text", 0.5)
-    return out.select("left_id", "right_id", F.col("shared").cast("long").alias("shared"))
+@query("word_similarity", f"""
+    with d as (select doc_id, list_distinct({S.words('lower(text)')}) as a, list_distinct({S.words("lower(replace(text, ' the ', ' a-the '))")}) as b from documents)
+    select doc_id, case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) end::double as similarity from d""")
+def word_similarity(spark, sf):
+    other = F.replace(F.col("text"), F.lit(" the "), F.lit(" a-the "))
+    return table(spark, sf, "documents").select("doc_id", jaccard(F.col("text"), other).alias("similarity"))
 
 
 @query("session_debounce", """

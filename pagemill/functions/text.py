@@ -288,11 +288,14 @@ def fill_template(template: str, fields: dict[str, Column]) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two word sets, 0 when either is empty."""
-    wa = F.array_distinct(words(F.lower(a)))
-    wb = F.array_distinct(words(F.lower(b)))
-    shared = F.size(F.array_intersect(wa, wb))
-    total = F.size(wa) + F.size(wb) - shared
-    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), F.lit(0.0)).otherwise(shared / total)
+    sets = F.struct(F.array_distinct(words(F.lower(a))).alias("a"), F.array_distinct(words(F.lower(b))).alias("b"))
+
+    def ratio(s: Column) -> Column:
+        total = F.size(s["a"]) + F.size(s["b"])
+        share = once(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (total - n))
+        return F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(share)
+
+    return once(sets, ratio)
 
 
 def round2(c: Column) -> Column:

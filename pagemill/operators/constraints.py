@@ -15,11 +15,15 @@ ENUMS = {
     "redirects.status_code": ["301", "302"],
     "cms_users.role": ["admin", "editor"],
     "import_jobs.template_type": ["practice", "post"],
+    "import_jobs.source_type": ["csv", "api", "json"],
+    "import_jobs.mode": ["create", "update", "upsert", "skip_duplicates"],
     "import_jobs.status": ["pending", "processing", "completed", "failed"],
-    "import_job_items.status": ["created", "updated", "skipped", "failed"],
+    "import_job_items.status": ["pending", "created", "updated", "skipped", "failed"],
+    "import_mapping_presets.template_type": ["practice", "post"],
+    "import_migration_sessions.status": ["in_progress", "completed", "abandoned"],
 }
 # Media policy.
-MEDIA_TYPES = ["image/jpeg", "image/png", "image/gif", "image/webp", "image/svg+xml", "video/mp4", "application/pdf"]
+MEDIA_TYPES = ["image/jpeg", "image/png", "image/gif", "image/webp", "image/svg+xml", "application/pdf"]
 MEDIA_MAX_BYTES = 52_428_800
 
 

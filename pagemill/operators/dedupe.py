@@ -1,11 +1,11 @@
-"""Corpus-wide duplicate removal by text fingerprint, and near-equal records."""
+"""Duplicate removal by text fingerprint: blocks inside a page, records across the corpus."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.functions.html import BLOCK_PATTERN, SHORT_FINGERPRINT
-from pagemill.functions.text import fingerprint, words
+from pagemill.functions.text import fingerprint
 from pagemill.operators.joins import keep_first
 
 
@@ -35,35 +35,3 @@ def unique_records(df: DataFrame, key: str, text: str) -> DataFrame:
     long = keep_first(marked.where(F.length("_print") >= SHORT_FINGERPRINT), F.col("_print"), key)
     short = marked.where(F.coalesce(F.length("_print"), F.lit(0)) < SHORT_FINGERPRINT)
     return long.unionByName(short).drop("_print")
-
-
-def word_overlap(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str, threshold: float) -> DataFrame:
-    """Pairs of a record and an existing one whose word sets are similar, exactly.
-
-    Prefix filtering on rare words: a pair at or above the threshold must share one of its
-    rarest words, so only those are joined. Word frequency comes from both sides; no pair is
-    lost and none is capped.
-    """
-    def sets(df, i, t, name):
-        return df.select(F.col(i).alias(name), F.array_distinct(words(F.lower(F.col(t)))).alias("_w")).where(F.size("_w") > 0)
-
-    a, b = sets(left, lid, ltext, "left_id"), sets(right, rid, rtext, "right_id")
-    ranks = (
-        a.select(F.explode("_w").alias("w")).unionByName(b.select(F.explode("_w").alias("w")))
-        .groupBy("w").agg(F.count("*").alias("n"))
-    )
-
-    def prefixes(s, name):
-        rows = s.select(name, F.size("_w").alias("size"), F.explode("_w").alias("w")).join(ranks, "w")
-        packed = rows.groupBy(name, "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-        keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-        return packed.select(name, "size", F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select(name, "size", F.col("x.w").alias("w"))
-
-    pa, pb = prefixes(a, "left_id"), prefixes(b, "right_id").withColumnRenamed("size", "rsize")
-    close = (F.col("size") * threshold <= F.col("rsize") + 1e-9) & (F.col("rsize") * threshold <= F.col("size") + 1e-9)
-    pairs = pa.join(pb, "w").where(close).select("left_id", "right_id").distinct()
-    joined = pairs.join(a.withColumnRenamed("_w", "wa"), "left_id").join(b.withColumnRenamed("_w", "wb"), "right_id")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    scored = joined.select("left_id", "right_id", shared.alias("shared"), (F.size("wa") + F.size("wb")).alias("total"))
-    scored = scored.withColumn("similarity", F.col("shared") / (F.col("total") - F.col("shared")))
-    return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "shared", "similarity")

@@ -108,7 +108,7 @@ class SessionStore(AppendStore):
     def create(self, rows: DataFrame) -> None:
         now = F.current_timestamp()
         given = rows if "id" in rows.columns else rows.withColumn("id", F.uuid())
-        self.append(given.withColumn("status", F.lit("active")).withColumn("created_at", now).withColumn("updated_at", now))
+        self.append(given.withColumn("status", F.lit("in_progress")).withColumn("created_at", now).withColumn("updated_at", now))
 
     def save(self, session_id: str, **changes: Column) -> None:
         self.change(F.col("id") == session_id, **changes)
@@ -117,7 +117,7 @@ class SessionStore(AppendStore):
         return self.current().where(F.col("id") == session_id)
 
     def list_active(self, limit: int = SESSION_LIMIT) -> DataFrame:
-        return self.current().where("status = 'active'").orderBy(F.desc_nulls_first("updated_at"), "id").limit(limit)
+        return self.current().where("status = 'in_progress'").orderBy(F.desc_nulls_first("updated_at"), "id").limit(limit)
 
     def complete(self, session_id: str) -> None:
         self.save(session_id, status=F.lit("completed"))
