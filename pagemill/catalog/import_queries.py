@@ -19,9 +19,6 @@ from pagemill.plans.engine import EngineOptions, engine_totals, prepare_records,
 
 # --- mapping -----------------------------------------------------------------------------
 
-_PREFIXES = ["", "post_", "hero_", "meta "]
-
-
 def _column_names(spark, sf):
     """Header-like names made of the words of all documents."""
     d = table(spark, sf, "documents")
@@ -49,9 +46,9 @@ def _match_sql(template: str) -> str:
 
 
 @query("auto_map", f"""
-    with c as (select name, min(w) as at from ({_names_sql()}) group by name),
-    m as (select name as source, at, {_match_sql('post')} as target from (select *, regexp_replace(lower(name), '[-_{S.WS[1:-1]}]+', '', 'g') as n from c))
-    select target, arg_min(source, at) as source from m where target is not null group by target""")
+    with c as (select name, min(w) as first_word from ({_names_sql()}) group by name),
+    m as (select name as source, first_word, {_match_sql('post')} as target from (select *, regexp_replace(lower(name), '[-_{S.WS[1:-1]}]+', '', 'g') as n from c))
+    select target, arg_min(source, first_word) as source from m where target is not null group by target""")
 def auto_map(spark, sf):
     names = _column_names(spark, sf).groupBy("name").agg(F.min("w").alias("at"))
     return M.auto_map_table(names, "name", "at", "post")

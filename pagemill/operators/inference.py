@@ -30,25 +30,35 @@ def infer_from_diff(mapped: DataFrame, output: DataFrame, sample: str) -> DataFr
     Tiers in order: exact copy, slug, path from slug, static value, concatenation, cleaned
     HTML, else ``ambiguous``. The pairs are the fields of one sample, a bounded set.
     """
-    o = output.where(X.nonblank(F.col("output_value")))
-    pairs = o.join(mapped, sample, "left")
-    src, out = F.col("mapped_value"), F.col("output_value")
-    slug = X.slugify(src)
+    def plain(c: Column) -> Column:
+        return X.strip_ws(X.strip_tags(c))
+
+    # Everything that concerns one value is computed once per value, before the pairs exist.
+    m = mapped.select(
+        sample, "mapped_no", "mapped_key", F.col("mapped_value").alias("_src"), X.slugify(F.col("mapped_value")).alias("_slug"),
+        plain(F.col("mapped_value")).alias("_src_text"), X.tag_count(F.col("mapped_value")).alias("_src_tags"),
+    )
+    o = output.where(X.nonblank(F.col("output_value"))).withColumn("_text", plain(F.col("output_value"))).withColumn(
+        "_tags", X.tag_count(F.col("output_value"))
+    )
+    pairs = o.join(m, sample, "left")
+    src, out, slug = F.col("_src"), F.col("output_value"), F.col("_slug")
     tier = (
         F.when(src == out, 1)
         .when((slug != "") & (out == slug), 2)
         .when(out == F.concat(F.lit("/"), slug, F.lit("/")), 3)
     )
-    related = (F.length(src) > 3) & (F.length(out) > 3) & (F.contains(out, src) | F.contains(src, out))
     contained = (F.length(src) > 3) & F.contains(out, src)
-    plain_in, plain_out = X.strip_ws(X.strip_tags(src)), X.strip_ws(X.strip_tags(out))
-    cleaned = (
-        (F.length(plain_in) > 20) & (F.length(plain_out) > 20)
-        & (X.tag_count(src) > X.tag_count(out)) & (X.jaccard(plain_in, plain_out) > SIMILAR)
+    related = (F.length(src) > 3) & (F.length(out) > 3) & (F.contains(out, src) | F.contains(src, out))
+    cleaned = F.when(
+        (F.length("_src_text") > 20) & (F.length("_text") > 20) & (F.col("_src_tags") > F.col("_tags")),
+        X.jaccard(F.col("_src_text"), F.col("_text")) > SIMILAR,
+    )
+    facts = pairs.select(
+        sample, "output_no", "output_key", "output_value", "mapped_no", "mapped_key", tier.alias("_tier"),
+        F.coalesce(related, F.lit(False)).alias("_rel"), F.coalesce(contained, F.lit(False)).alias("_in"),
+        F.coalesce(cleaned, F.lit(False)).alias("_clean"),
     )
-    facts = pairs.withColumn("_tier", tier).withColumn("_rel", F.coalesce(related, F.lit(False))).withColumn(
-        "_in", F.coalesce(contained, F.lit(False))
-    ).withColumn("_clean", F.coalesce(cleaned, F.lit(False)))
     grouped = facts.groupBy(sample, "output_no", "output_key", "output_value").agg(
         F.min_by("mapped_key", F.when(F.col("_tier") == 1, F.col("mapped_no"))).alias("copy"),
         # Slug and path form one pass over the mapped fields: the first field with either wins.

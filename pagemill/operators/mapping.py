@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pagemill.functions.text import WS_CHARS, html_transform, markdown_to_html, nonblank, null_if_blank, null_if_empty, slugify
+from pagemill.functions.text import WS_CHARS, html_transform, markdown_to_html, nonblank, null_if_blank, null_if_empty, once, slugify
 from pagemill.operators.templates import alias_lookup, mappable_fields, repeater_children
 
 
@@ -53,37 +53,45 @@ def _alias_map() -> Column:
 
 def match_field(name: Column, template: str) -> Column:
     """Field key for a column name: exact key, then alias, then substring either way."""
-    norm = normalize_name(name)
-    fields = _field_array(template)
-    keys = F.array(*[F.lit(f.key) for f in mappable_fields(template)])
-    exact = F.get(F.filter(fields, lambda f: f["norm"] == norm), F.lit(0))["key"]
-    alias = F.try_element_at(_alias_map(), norm)
-    alias = F.when(F.array_contains(keys, alias), alias)
-    partial = F.get(F.filter(fields, lambda f: F.contains(f["norm"], norm) | F.contains(norm, f["norm"])), F.lit(0))["key"]
-    return F.coalesce(exact, alias, partial)
+    fields = mappable_fields(template)
+    exact = F.create_map(*[F.lit(x) for f in reversed(fields) for x in (_python_norm(f.key), f.key)])
+    known = {f.key for f in fields}
+    alias = F.create_map(*[F.lit(x) for a, k in alias_lookup().items() if k in known for x in (a, k)])
+
+    def match(norm: Column) -> Column:
+        partial = F.get(
+            F.filter(_field_array(template), lambda f: F.contains(f["norm"], norm) | F.contains(norm, f["norm"])), F.lit(0)
+        )["key"]
+        return F.coalesce(F.try_element_at(exact, norm), F.try_element_at(alias, norm), partial)
+
+    return once(normalize_name(name), match)
 
 
 def suggestions(name: Column, template: str, used: list[str] | None = None) -> Column:
     """Ranked ``array<struct<key, score>>``; equal scores keep registry order."""
-    norm = normalize_name(name)
     fields = [f for f in mappable_fields(template) if f.key not in set(used or [])]
-    alias = F.try_element_at(_alias_map(), norm)
+    registry = F.array(*[
+        F.struct(F.lit(f.key).alias("key"), F.lit(_python_norm(f.key)).alias("norm"), F.lit(_python_norm(f.label)).alias("label"))
+        for f in fields
+    ])
 
     def either(a: Column, b: Column) -> Column:
         return F.contains(a, b) | F.contains(b, a)
 
-    def score(f) -> Column:
-        key, label = F.lit(_python_norm(f.key)), F.lit(_python_norm(f.label))
-        return (
-            F.when((key == norm) | (label == norm), 100).when(alias == f.key, 90)
-            .when(either(key, norm), 60).when(either(label, norm), 50).otherwise(0)
-        )
+    def rank(n: Column) -> Column:
+        def score(f: Column, i: Column) -> Column:
+            points = (
+                F.when((f["norm"] == n["norm"]) | (f["label"] == n["norm"]), 100).when(f["key"] == n["alias"], 90)
+                .when(either(f["norm"], n["norm"]), 60).when(either(f["label"], n["norm"]), 50)
+            )
+            return F.struct((-points).alias("rank"), i.alias("at"), f["key"].alias("key"))
 
-    scored = F.array(*[
-        F.struct((-score(f)).alias("rank"), F.lit(i).alias("at"), F.lit(f.key).alias("key")) for i, f in enumerate(fields)
-    ])
-    hits = F.array_sort(F.filter(scored, lambda s: s["rank"] < 0))
-    return F.transform(hits, lambda s: F.struct(s["key"].alias("key"), (-s["rank"]).alias("score")))
+        return F.array_sort(F.filter(F.transform(registry, score), lambda s: s["rank"].isNotNull()))
+
+    ranked = once(
+        once(normalize_name(name), lambda v: F.struct(v.alias("norm"), F.try_element_at(_alias_map(), v).alias("alias"))), rank
+    )
+    return F.transform(ranked, lambda s: F.struct(s["key"].alias("key"), (-s["rank"]).alias("score")))
 
 
 def auto_map_table(columns: DataFrame, name: str, order: str, template: str) -> DataFrame:

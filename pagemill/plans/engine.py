@@ -21,6 +21,7 @@ from pagemill.operators.rules import HERO_TYPE, Fields, Recipe, run_rule
 from pagemill.operators.scoring import FIELD_SCORE_TYPE, route, score_record
 from pagemill.operators.slugs import MAX_SUFFIX, resolve_collisions
 from pagemill.operators.validation import quick_checks
+from pagemill.session import checkpoint
 
 LOG_TYPE = (
     "array<struct<rule_id:string,target_field:string,rule_type:string,ai_used:boolean,confidence:double,description:string>>"
@@ -270,6 +271,9 @@ def run_recipe(df: DataFrame, key: str, mapping: Mapping, recipe: Recipe, option
     built = build_records(apply_rules(mapped, recipe), key, options)
     slug = "url_path" if options.template == "practice" else "slug"
     built = built.withColumn("_slug", F.col(f"record.{slug}"))
+    if options.slug_mode == "unique_suffix":
+        # Slugs are read three times; the built records are written once instead of built again.
+        built = checkpoint(built)
     built = resolve_collisions(built, key, "_slug", options.template, options.slug_mode, options.max_suffix)
     built = built.withColumn("record", F.col("record").withField(slug, F.col("_slug"))).drop("_slug")
     scored = built.withColumn(

@@ -39,7 +39,9 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
     columns = [c for c in named.columns if c != BAD]
     filled = F.exists(F.array(*[F.col(f"`{c}`") for c in columns]), nonblank) if columns else F.lit(False)
     records = named.where(F.coalesce(filled, F.lit(False)))
-    errors = named.where(F.col(BAD).isNotNull()).select(
+    # The length test keeps a data column in the scan: Spark refuses to read the bad-record column alone.
+    read_cells = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])) >= 0
+    errors = named.where(F.col(BAD).isNotNull() & read_cells).select(
         F.col(BAD).alias("record"), F.lit("Row does not match the header").alias("message")
     )
     return records.drop(BAD), errors
