@@ -23,10 +23,8 @@ def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """First row of each key by a unique order column.
 
-    Two aggregations and a join on the order column, which is unique, instead of a window
-    over the key: a key held by a third of all rows is reduced before the shuffle. The key
-    text is compared in full behind its hash.
+    An aggregate and a join on the order column, which is unique, instead of a window over
+    the key: a key held by a third of all rows is reduced before the shuffle.
     """
-    keyed = df.select(F.col(order).alias("_o"), key.alias("_k"))
-    firsts = keyed.groupBy(F.xxhash64("_k").alias("_h"), "_k").agg(F.min("_o").alias("_o")).select("_o")
+    firsts = df.select(F.col(order).alias("_o"), key.alias("_k")).groupBy("_k").agg(F.min("_o").alias("_o")).select("_o")
     return df.join(firsts, df[order] == firsts["_o"], "left_semi")

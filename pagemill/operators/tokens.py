@@ -272,13 +272,16 @@ def reassemble(tokens: DataFrame, key: Keys, out: str, carry: str | None = None)
     return tokens.groupBy(*_keys(key)).agg(text.alias(out), *extra)
 
 
-def main_content_of_cells(df: DataFrame, key: str, cells: dict[str, Column], finish: Callable[[Column], Column]) -> DataFrame:
+def main_content_of_cells(
+    df: DataFrame, key: str, cells: dict[str, Column], finish: Callable[[Column], Column], distributed: bool = False
+) -> DataFrame:
     """Main content of several text columns in one pass.
 
     ``cells`` maps a column to the condition under which its value is a page body; other
     values stay as they are. ``finish`` runs on the extracted text. ``key`` must be unique:
-    rows are hashed by it once, every window and both groupings reuse that distribution,
-    and a row's other columns ride on its first token.
+    rows are hashed by it once (unless ``distributed`` says they are already), every window
+    and both groupings reuse that distribution, and a row's other columns ride on its first
+    token.
     """
     none = F.lit(None).cast("string")
     picked = F.filter(
@@ -291,7 +294,7 @@ def main_content_of_cells(df: DataFrame, key: str, cells: dict[str, Column], fin
         ]),
         lambda c: c["html"].isNotNull(),
     )
-    rows = distribute(df, key).select(
+    rows = (df if distributed else distribute(df, key)).select(
         F.col(key).alias("_key"),
         F.struct(*[
             (F.when(~F.coalesce(cells[c] & nonblank(F.col(f"`{c}`")), F.lit(False)), F.col(f"`{c}`")) if c in cells else F.col(f"`{c}`")).alias(c)
