@@ -13,6 +13,7 @@ WS_CHARS = (
 )
 WS_TEXT = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{WS_CHARS}]"
+WIDE_SPACES = WS_TEXT[6:]
 
 SLUG_PATTERN = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z"
 HTML_HINT = r"(?i)<[a-z][\s\S]*>"
@@ -57,6 +58,12 @@ def strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(WS_TEXT))
 
 
+def plain_spaces(c: Column) -> Column:
+    """Every wide space to a plain one. Patterns with ``\\s`` then see all white space and stay
+    several times faster than with the full class."""
+    return F.translate(c, WIDE_SPACES, " " * len(WIDE_SPACES))
+
+
 def bound(fn):
     """Evaluate the first argument once, however often the function refers to it."""
 
@@ -92,15 +99,15 @@ def first_filled(*cols: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Every run of white space to one space, then trim."""
-    return strip_ws(F.regexp_replace(c, f"{WS}{{2,}}|[{WS_CHARS}&&[^ ]]", " "))
+    return F.trim(F.regexp_replace(plain_spaces(c), r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
+    return F.filter(F.split(plain_spaces(c), r"\s+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WS_CHARS}]++"))
+    return F.regexp_count(plain_spaces(c), F.lit(r"\S++"))
 
 
 def strip_tags(c: Column, replacement: str = "") -> Column:
@@ -117,8 +124,8 @@ def tag_count(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    c = F.regexp_replace(F.lower(c), f"[^\\w{WS_CHARS}-]", "")
-    c = F.regexp_replace(c, f"[{WS_CHARS}_]+", "-")
+    c = F.regexp_replace(plain_spaces(F.lower(c)), r"[^\w\s-]++", "")
+    c = F.regexp_replace(c, r"[\s_]+", "-")
     c = F.regexp_replace(c, "-+", "-")
     return F.regexp_replace(c, r"^-|-\z", "")
 
@@ -139,8 +146,8 @@ def excerpt(excerpt_col: Column, body_col: Column, limit: int = 110) -> Column:
 def fingerprint(c: Column) -> Column:
     """Comparison text: tags, entities and punctuation out, lower case."""
     c = F.regexp_replace(c, "(?i)<[^>]*>|&[a-z]+;", " ")
-    c = F.regexp_replace(c, f"[^\\w{WS_CHARS}]++", "")
-    return F.lower(squeeze(c))
+    c = F.regexp_replace(plain_spaces(c), r"[^\w\s]++", "")
+    return F.lower(F.trim(F.regexp_replace(c, r"\s{2,}|[\t\n\x0B\f\r]", " ")))
 
 
 def replace_first(text: Column, needle: Column, replacement: Column) -> Column:
@@ -206,7 +213,7 @@ def fix_encoding(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
-    c = F.regexp_replace(c, f"[{WS_CHARS}&&[^\\n]]{{2,}}|[{WS_CHARS}&&[^\\n ]]", " ")
+    c = F.regexp_replace(plain_spaces(c), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
     return strip_ws(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
