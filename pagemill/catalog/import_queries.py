@@ -269,12 +269,15 @@ def score_flags(spark, sf):
 
 
 @query("category_means", """
-    select l_orderkey, round(avg(l_discount) filter (l_returnflag = 'A'), 9) as mean_a, round(avg(l_discount) filter (l_returnflag = 'N'), 9) as mean_n from lineitem group by l_orderkey""")
+    select l_orderkey, l_linenumber, case when l_returnflag = 'A' then round((l_discount + l_tax) / 2, 9) else round(l_tax, 9) end as mean_a,
+      case when l_returnflag = 'N' then round(l_discount, 9) end as mean_n from lineitem""")
 def category_means(spark, sf):
-    rows = F.struct(F.lit("f").alias("field"), F.col("l_discount").alias("score"), F.col("l_returnflag").alias("category"), F.lit("").alias("reason"))
-    d = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(rows).alias("s"))
-    return d.select(
-        "l_orderkey", F.round(Z.category_mean(F.col("s"), "A"), 9).alias("mean_a"), F.round(Z.category_mean(F.col("s"), "N"), 9).alias("mean_n")
+    def score(value, category):
+        return F.struct(F.lit("f").alias("field"), value.alias("score"), category.alias("category"), F.lit("").alias("reason"))
+
+    scores = F.array(score(F.col("l_discount"), F.col("l_returnflag")), score(F.col("l_tax"), F.lit("A")))
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(Z.category_mean(scores, "A"), 9).alias("mean_a"), F.round(Z.category_mean(scores, "N"), 9).alias("mean_n")
     )
 
 

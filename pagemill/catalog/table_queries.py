@@ -404,13 +404,13 @@ def blog_index_views(spark, sf):
     return e.select("event_id", F.col("v.hero.title").alias("title"), "v.recentPosts.heading", F.col("v.recentPosts.postCount").cast("long").alias("n_posts"))
 
 
-@query("form_submissions", """select conv_id, string_agg(text, ', ' order by turn) as message from conversations where role = 'user' group by conv_id""")
+@query("form_submissions", """select conv_id, turn, replace(text, chr(10), ', ') as message, role from conversations""")
 def form_submissions(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("m")
+    values = F.create_map(
+        F.lit("message"), F.split("text", "\n"), F.lit("role"), F.array("role"), F.lit("empty"), F.array().cast("array<string>")
     )
-    values = F.create_map(F.lit("message"), F.col("m"), F.lit("empty"), F.array().cast("array<string>"))
-    return c.select("conv_id", submission(values).alias("v")).select("conv_id", F.try_element_at("v", F.lit("message")).alias("message"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", submission(values).alias("v"))
+    return c.select("conv_id", "turn", F.try_element_at("v", F.lit("message")).alias("message"), F.try_element_at("v", F.lit("role")).alias("role"))
 
 
 @query("route_bundles")

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from pagemill.operators.joins import ranged
+
 # The allowed values of enumerated columns.
 ENUMS = {
     "pages.page_type": ["standard", "practice", "landing"],
@@ -86,13 +88,13 @@ def assign_ids(existing: DataFrame, rows: DataFrame, column: str, order: str) ->
     partitions before it. Only the partition counts meet in one place.
     """
     top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).first()["top"]
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("_pid", F.spark_partition_id())
+    sorted_rows = ranged(rows, F.col(order))
     inside = Window.partitionBy("_pid").orderBy(order)
-    ranged = ranged.withColumn("_rn", F.row_number().over(inside))
-    counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
+    numbered = sorted_rows.withColumn("_rn", F.row_number().over(inside))
+    counts = sorted_rows.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    numbered = ranged.join(offsets, "_pid")
+    numbered = numbered.join(offsets, "_pid")
     return numbered.withColumn(column, F.lit(top) + F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off")
 
 
@@ -103,18 +105,31 @@ def revision_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str],
     return joined.where(row_hash(columns) != F.col("_h")).select(key, *columns, at.alias("revised_at"))
 
 
+def with_previous(df: DataFrame, key: str, order: str, columns: list[str], out: str = "_prev") -> DataFrame:
+    """Add the values of the row before, per key by ``order``, as a struct; NULL on a key's first row.
+
+    Rows are range-partitioned by key and order, so one long history spreads over many tasks.
+    A partition's first row takes its predecessor from the last rows of the partitions before,
+    the only rows that meet in one place.
+    """
+    rows = ranged(df, F.col(key), F.col(order))
+    inside = Window.partitionBy("_pid").orderBy(key, order)
+    pick = F.struct(F.col(key).alias("k"), *columns)
+    numbered = rows.withColumn("_near", F.lag(pick).over(inside)).withColumn("_n", F.row_number().over(inside))
+    tails = rows.groupBy("_pid").agg(F.max_by(pick, F.struct(key, order)).alias("_tail"))
+    shifted = tails.select("_pid", F.lag("_tail").over(Window.orderBy("_pid")).alias("_far"))
+    joined = numbered.join(shifted, "_pid")
+    before = F.when(F.col("_n") == 1, F.col("_far")).otherwise(F.col("_near"))
+    return joined.withColumn(out, F.when(before["k"] == F.col(key), before)).drop("_pid", "_near", "_n", "_far")
+
+
 def revision_changes(history: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Field-level difference of each revision to the one before it."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = history.select(
-        key, order,
-        F.array(*[
-            F.struct(F.lit(c).alias("field"), F.lag(F.col(c).cast("string")).over(w).alias("old"), F.col(c).cast("string").alias("new"))
-            for c in columns
-        ]).alias("f"),
-        F.row_number().over(w).alias("_n"),
-    ).where("_n > 1")
-    changed = F.filter("f", lambda x: ~x["old"].eqNullSafe(x["new"]))
+    rows = with_previous(history.select(key, order, *columns), key, order, columns).where(F.col("_prev").isNotNull())
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(f"_prev.{c}").cast("string").alias("old"), F.col(c).cast("string").alias("new")) for c in columns
+    ])
+    changed = F.filter(pairs, lambda x: ~x["old"].eqNullSafe(x["new"]))
     return rows.select(key, order, F.explode(changed).alias("x")).select(key, order, "x.field", "x.old", "x.new")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pagemill.session import checkpoint
+
 BROADCAST_ROWS = 100_000
 
 
@@ -28,3 +30,14 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """
     firsts = df.select(F.col(order).alias("_o"), key.alias("_k")).groupBy("_k").agg(F.min("_o").alias("_o")).select("_o")
     return df.join(firsts, df[order] == firsts["_o"], "left_semi")
+
+
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """Rows in global order over many partitions, with the partition number in ``_pid``.
+
+    The bounds come from a sample, so the result is written once: readers that look at it
+    twice, or again after a lost executor, must see the same partitions. The partition count
+    is named to keep adaptive execution from merging partitions differently per reader.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))

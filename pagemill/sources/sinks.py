@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.text import escape_xml
 from pagemill.functions.urls import strip_slashes
+from pagemill.operators.joins import ranged
 
 SITEMAP_URLS = 50_000
 SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
@@ -50,12 +51,12 @@ def sitemap_files(entries: DataFrame, descending: bool = False, per_file: int =
     before; a file is one group of at most ``per_file`` rows.
     """
     order = F.col("sort_key").desc() if descending else F.col("sort_key").asc()
-    ranged = entries.repartitionByRange(order, F.col("entry")).withColumn("_pid", F.spark_partition_id())
-    ranged = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order, "entry")))
-    counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
+    rows = ranged(entries, order, F.col("entry"))
+    counts = rows.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    numbered = ranged.join(offsets, "_pid").withColumn("_n", F.col("_off") + F.col("_rn") - 1)
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order, "entry")))
+    numbered = rows.join(offsets, "_pid").withColumn("_n", F.col("_off") + F.col("_rn") - 1)
     numbered = numbered.withColumn("file_no", F.floor(F.col("_n") / per_file))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "entry"))), lambda x: x["entry"]), "\n")
     return numbered.groupBy("file_no").agg(F.concat(F.lit(SITEMAP_HEAD + "\n"), body, F.lit("\n</urlset>")).alias("xml"))
