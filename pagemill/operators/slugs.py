@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.urls import strip_slashes
+from pagemill.session import checkpoint
 
 MAX_SUFFIX = 99
 
@@ -70,6 +71,8 @@ def resolve_collisions(
         rows.withColumn("_r", F.row_number().over(by_slug)).where(F.col("_r") <= max_suffix + 1)
         .withColumn("_family", _family(F.col("_slug"), template))
     )
+    # Narrow rows (number, slug, rank), read several times below; written once.
+    heads = checkpoint(heads)
     clashing = heads.where("_r > 1").select("_family").distinct()
     inside = heads.join(clashing, "_family", "left_semi")
     if template == "practice":
