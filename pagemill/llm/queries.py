@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pagemill.llm import decontaminate, jaccard, language, pieces, quality, secrets, sharding, substring, url_rules, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_urls": url_rules.op8_urls,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_secrets": secrets.op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op4_warc": warc.OP4_SQL,
