@@ -8,21 +8,20 @@ cutoffs that are tried hold at the same time (Bonferroni over strata, signals an
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.llm.common import PLAIN, append, checkpoint, texts, words
 
-_SYMBOL = re.compile(r"[#*$%&|<>]")
+_SYMBOLS, _CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
 #: Share of good texts that all rules of a stratum together may reject, and the chance that a bound is wrong.
 RISK, ERROR = 0.02, 0.05
 #: Signals, larger is worse. Cutoffs are the numbers n / GRID; a text fails where its signal is above the cutoff.
-SIGNALS = {"symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)"}
+SIGNALS = {"symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "capitals": "n_capitals / greatest(word_chars, 1)"}
 GRID = 20
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_capitals long"
 
 
 def repeat_words(found: list[bytes], width: int = 5) -> int:
@@ -51,15 +50,16 @@ def repeat_words(found: list[bytes], width: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1]) > 0))
 
 
-def measures(text: str | None) -> tuple[int, int, int, int, int, int]:
+def measures(text: str | None) -> tuple[int, ...]:
     """Values of ``FIELDS`` for one text."""
     if not text:
-        return 0, 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0, 0
+    raw = text.encode()
     found = words(text, PLAIN)
     blank = sum(map(text.count, "\x20\x09\x0a\x0b\x0c\x0d"))
     lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
-    symbols = sum(map(text.count, "#*$%&|<>"))
-    return len(found), len(text) - blank, symbols, len(lines), len(lines) - len(set(lines)), repeat_words(found)
+    symbols, capitals = (len(raw) - len(raw.translate(None, some)) for some in (_SYMBOLS, _CAPITALS))
+    return len(found), len(text) - blank, symbols, len(lines), len(lines) - len(set(lines)), repeat_words(found), capitals
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def start():
         def batch(rows):
-            return [list(c) for c in zip(*map(measures, texts(rows, text)))] or [[] for _ in range(6)]
+            return [list(c) for c in zip(*map(measures, texts(rows, text)))] or [[] for _ in range(7)]
 
         return batch
 
@@ -97,29 +97,29 @@ def _stratum(n_words):
     return F.when(n_words < 100, 1).when(n_words < 1000, 2).otherwise(3)
 
 
-def choose_cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, error: float = ERROR, key: str = "doc_id") -> dict[tuple[int, str], int]:
-    """{(stratum, signal): cutoff} of the sharpest cutoffs that are proven to reject few good texts.
+def choose_cutoffs(measured: DataFrame, labelled: DataFrame, risk: float = RISK, error: float = ERROR, key: str = "doc_id") -> dict[tuple[int, str], int]:
+    """{(stratum, signal): cutoff} of cutoffs that are proven to reject few good texts.
 
-    ``good`` has the keys of texts labelled good. For each stratum, signal and cutoff the labelled texts above the
-    cutoff are counted (one aggregation whose result has at most strata x signals x GRID rows). Each signal may use
-    an equal share of ``risk``, so the rules of a stratum together keep within it; ``error`` is shared by
-    all bounds that are tried. Signals for which no cutoff is proven get none, so few labels mean fewer rules.
+    ``labelled`` has a key and ``good``, true or false, per text. For each stratum, signal and cutoff the good and
+    bad texts above the cutoff are counted (one aggregation whose result has at most 2 x strata x signals x GRID rows).
+    Each signal may use an equal share of ``risk``, so the rules of a stratum together keep within it; ``error`` is
+    shared by all bounds that are tried. Of the proven cutoffs the one that rejects most bad texts is taken, of equals
+    the mildest; a signal without a proven cutoff that rejects any gets none, so few labels mean fewer rules.
     """
-    labelled = measured.where("not base_failed").join(good.select(key).distinct(), key)
     step = lambda s: F.least(F.ceil(F.expr(SIGNALS[s]) * GRID), F.lit(GRID)).cast("int")
-    rows = labelled.select(_stratum(F.col("n_words")).alias("stratum"), F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), step(s).alias("step")) for s in SIGNALS])).alias("x"))
-    counts = {(r[0], r[1], r[2]): r[3] for r in rows.groupBy("stratum", "x.signal", "x.step").count().collect()}
+    rows = measured.where("not base_failed").join(labelled.select(key, "good"), key).select(
+        "good", _stratum(F.col("n_words")).alias("stratum"), F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), step(s).alias("step")) for s in SIGNALS])).alias("x"))
+    counts = {(r[0], r[1], r[2], r[3]): r[4] for r in rows.groupBy("good", "stratum", "x.signal", "x.step").count().collect()}
     tests = 3 * len(SIGNALS) * GRID
     out = {}
     for stratum in (1, 2, 3):
         for signal in SIGNALS:
-            n = sum(v for (st, si, _), v in counts.items() if (st, si) == (stratum, signal))
-            for cutoff in range(GRID):
-                # A text is above cutoff / GRID exactly if its step is a greater number.
-                above = sum(v for (st, si, step_), v in counts.items() if (st, si) == (stratum, signal) and step_ > cutoff)
-                if n and upper_bound(above, n, error / tests) <= risk / len(SIGNALS):
-                    out[stratum, signal] = cutoff
-                    break
+            # A text is above cutoff / GRID exactly if its step is a greater number.
+            above = lambda good, cutoff: sum(v for (g, st, si, step_), v in counts.items() if (g, st, si) == (good, stratum, signal) and step_ > cutoff)  # noqa: B023, E731
+            n = above(True, -1)
+            proven = [(above(False, c), c) for c in range(GRID) if n and upper_bound(above(True, c), n, error / tests) <= risk / len(SIGNALS)]
+            if proven and max(proven)[0] > 0:
+                out[stratum, signal] = max(proven)[1]
     return out
 
 
@@ -134,13 +134,15 @@ def judge(measured: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFrame
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the text, measured and judged; cutoffs are chosen on texts that ``labels`` calls good (quality 1, toxic not 1).
 
-    Labels with null keys or null quality say nothing; a key labelled more than once is good if no label says
-    otherwise; repeated rows count as often as they stand. Without labels only the base rule holds. The texts are
-    read once: their measures are written to the checkpoint folder and read for the cutoffs and for the verdicts.
+    Labels with null keys or null quality say nothing; texts of quality 0 are bad ones; a key labelled more than once
+    is good if no label says otherwise; repeated rows count as often as they stand. Without labels only the base rule
+    holds. The texts are read once: their measures are written to the checkpoint folder and read for the cutoffs and for
+    the verdicts.
     """
-    good = labels.groupBy(key).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
+    each = labels.groupBy(key).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    labelled = each.where("q = 0 or q = 1 and t = 0").select(key, (F.col("q") == 1).alias("good"))
     measured = checkpoint(measure(docs, text).drop(text))
-    return judge(measured, choose_cutoffs(measured, good, key=key))
+    return judge(measured, choose_cutoffs(measured, labelled, key=key))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

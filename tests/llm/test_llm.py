@@ -306,9 +306,9 @@ def test_op7(spark, docs):
 def test_measures():
     rng = np.random.default_rng(3)
     for _ in range(400):
-        text = "".join(rng.choice(list("ab \n\t#é|"), rng.integers(0, 60)))
+        text = "".join(rng.choice(list("abZ \n\t#é|"), rng.integers(0, 60)))
         got = quality.measures(text)
-        assert (*got[:3], got[4], got[5]) == _measures(text), text
+        assert (*got[:3], got[4], got[5]) == _measures(text) and got[6] == len(re.findall("[A-Z]", text)), text
 
 
 def test_bound_is_exact():
