@@ -16,6 +16,7 @@ from pagemill.operators import sections as C
 from pagemill.operators import tokens as T
 from pagemill.operators.cleaning import CleaningOptions, clean_records, normalize_html
 from pagemill.operators.forms import form_usage, merge_lookups, form_lookups
+from pagemill.operators.joins import numbered
 from pagemill.operators.links import HREF, broken_links, checked_links, page_links, redirect_paths, resolve_redirects
 from pagemill.plans import qa, seo, tracking
 from pagemill.plans.content import site_paths
@@ -417,7 +418,7 @@ _CHECKED = rf"""
       select page_id, href, pos, row_number() over (partition by page_id order by pos) as n from (
         select page_id, unnest(h) as href, unnest(range(len(h))) as pos from (
           select page_id, list_filter(regexp_extract_all(html, '{_HREF}', 1), lambda x: starts_with(x, '/') and not starts_with(x, '//')) as h from pages)))
-    where n <= 25 qualify row_number() over (partition by page_id, href order by pos) = 1"""
+    qualify row_number() over (partition by page_id, href order by pos) = 1"""
 
 
 @query("qa_checked_links", _CHECKED)
@@ -491,16 +492,41 @@ def sitemap_rows(spark, sf):
 
 @query("redirect_chain", """
     with recursive r as (select '/o/' || o_orderkey as f, '/o/' || o_custkey as t from orders),
-    w(from_path, to_path, hops) as (
-      select f, t, 1 from r
-      union all select w.from_path, r.t, w.hops + 1 from w join r on w.to_path = r.f where w.hops < 64)
-    select from_path, arg_max(to_path, hops) as to_path, max(hops)::bigint as hops, arg_max(to_path, hops) in (select f from r) as is_cycle from w group by from_path""")
+    w(from_path, to_path, hops, seen) as (
+      select f, t, 1, [f] from r
+      union all select w.from_path, r.t, w.hops + 1, list_append(w.seen, r.f) from w join r on w.to_path = r.f where not list_contains(w.seen, r.f)),
+    e as (select from_path, arg_min(to_path, hops) as own, arg_max(to_path, hops) as last, max(hops) as hops from w group by from_path),
+    c as (select *, last in (select f from r) as is_cycle from e)
+    select from_path, case when is_cycle then own else last end as to_path, case when is_cycle then 1 else hops end::bigint as hops, is_cycle from c""")
 def redirect_chain(spark, sf):
     o = table(spark, sf, "orders")
     r = o.select(F.concat(F.lit("/o/"), "o_orderkey").alias("from_path"), F.concat(F.lit("/o/"), "o_custkey").alias("to_path"), F.lit(True).alias("enabled"))
     return resolve_redirects(r).withColumn("hops", F.col("hops").cast("long"))
 
 
+_CHAIN_BLOCK = 150
+
+
+@query("redirect_long_chains", f"""
+    with n as (select row_number() over (order by o_orderkey) - 1 as i from orders), m as (select max(i) as last from n),
+    b as (select i, i - i % {_CHAIN_BLOCK} as low, i - i % {_CHAIN_BLOCK} + {_CHAIN_BLOCK - 1} as high, last from n, m),
+    k as (select *, (low // {_CHAIN_BLOCK}) % 5 = 4 as turns from b)
+    select '/c/' || i as from_path,
+      '/c/' || case when turns and high <= last then (case when i = high then low else i + 1 end) when high <= last then high else last + 1 end as to_path,
+      case when turns and high <= last then 1 when high <= last then high - i else last + 1 - i end::bigint as hops, turns and high <= last as is_cycle
+    from k where turns or i < high""")
+def redirect_long_chains(spark, sf):
+    """Chains of up to 149 hops, and rings of 150; the rows of orders are their steps."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    i = numbered(o.withColumn("all", F.lit(0)), "all", "o_orderkey", "i").select((F.col("i") - 1).alias("i"))
+    low = F.col("i") - F.col("i") % _CHAIN_BLOCK
+    ring = (low / _CHAIN_BLOCK).cast("long") % 5 == 4
+    last = F.col("i") == low + _CHAIN_BLOCK - 1
+    to = F.when(last, low).otherwise(F.col("i") + 1)
+    rules = i.where(ring | ~last).select(F.concat(F.lit("/c/"), "i").alias("from_path"), F.concat(F.lit("/c/"), to).alias("to_path"), F.lit(True).alias("enabled"))
+    return resolve_redirects(rules)
+
+
 @query("redirect_paths", """
     select l_orderkey, l_linenumber, path, '/p/' || l_partkey % 7 as final_path, cast(1 as bigint) as hops
     from (select l_orderkey, l_linenumber, l_partkey, '/old/' || l_partkey as path from lineitem)""")

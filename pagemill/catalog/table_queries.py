@@ -105,12 +105,12 @@ def content_scan_query(spark, sf):
 # --- keys and constraints ---------------------------------------------------------------
 
 @query("duplicate_keys", """
-    select row_index, 'slug' as field, 'Duplicate slug "' || k || '" found in rows: ' || rows as message, 'error' as severity from (
-      select o_orderkey as row_index, o_custkey::varchar as k from orders) join
-      (select o_custkey::varchar as k, array_to_string(list_transform(list_sort(list(o_orderkey)), lambda x: (x + 1)::varchar), ', ') as rows, count(*) as n from orders group by 1) using (k)
+    select row_index, 'slug' as field, 'Duplicate slug "' || k || '" found in ' || n || ' rows, first in row ' || (low + 1) as message, 'error' as severity from (
+      select o_orderkey as row_index, (o_custkey % 7)::varchar as k from orders) join
+      (select (o_custkey % 7)::varchar as k, min(o_orderkey) as low, count(*) as n from orders group by 1) using (k)
     where n > 1""")
 def duplicate_keys(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("k"))
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 7).cast("string").alias("k"))
     return duplicate_issues(o, "o_orderkey", "k", "post")
 
 
@@ -448,9 +448,11 @@ def injected_page_data(spark, sf):
 
 # --- collisions, similarity, sessions -----------------------------------------------------
 
-@query("slug_collisions")
+@query("slug_collisions", """
+    with o as (select o_orderkey, o_custkey % 5 as g, row_number() over (partition by o_custkey % 5 order by o_orderkey) as r from orders)
+    select o_orderkey, 'post-' || 'abcde'[g + 1] || case when r > 1 then '-' || (r - 1) else '' end as slug from o""")
 def slug_collisions(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("post-"), F.col("o_custkey") % 300).alias("slug"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("post-"), F.substring(F.lit("abcde"), (F.col("o_custkey") % 5 + 1).cast("int"), F.lit(1))).alias("slug"))
     return resolve_collisions(o, "o_orderkey", "slug", "post", "unique_suffix")
 
 

@@ -31,16 +31,23 @@ IMG_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["'][^>]*>"""
 SHORT_FINGERPRINT = 20
 
 
-def repeat_until_stable(c: Column, step, passes: int) -> Column:
-    """Apply a text step up to ``passes`` times, stopping once it changes nothing."""
-    start = F.struct(c.alias("text"), F.lit(None).cast("string").alias("before"))
+def repeat_until_stable(c: Column, step) -> Column:
+    """Apply a text step until it changes nothing more.
 
-    def once(state: Column, _: Column) -> Column:
+    The steps take elements out, so there are no more changing passes than closing tags, and one that renames.
+    """
+
+    def advance(state: Column, _: Column) -> Column:
         return F.when(state["text"].eqNullSafe(state["before"]), state).otherwise(
             F.struct(step(state["text"]).alias("text"), state["text"].alias("before"))
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, once, lambda s: s["text"])
+    def settle(text: Column) -> Column:
+        start = F.struct(text.alias("text"), F.lit(None).cast("string").alias("before"))
+        passes = F.sequence(F.lit(1), F.regexp_count(text, F.lit("</")) + 2)
+        return F.aggregate(passes, start, advance, lambda s: s["text"])
+
+    return once(c, settle)
 
 
 def strip_page_shell(c: Column) -> Column:
@@ -61,16 +68,16 @@ def _drop_empty(tags: list[str], filler: str):
 
 
 def clean_empty_html(c: Column) -> Column:
-    return repeat_until_stable(c, _drop_empty(CLEAN_EMPTY_TAGS, f"{WS}++|&nbsp;"), 5)
+    return repeat_until_stable(c, _drop_empty(CLEAN_EMPTY_TAGS, f"{WS}++|&nbsp;"))
 
 
 def remove_empty_wrappers(c: Column) -> Column:
-    return repeat_until_stable(c, _drop_empty(WRAPPER_TAGS, f"{WS}++|&nbsp;"), 10)
+    return repeat_until_stable(c, _drop_empty(WRAPPER_TAGS, f"{WS}++|&nbsp;"))
 
 
 def remove_empty_elements(c: Column) -> Column:
     filler = rf"{WS}++|&nbsp;|<br\s*/?>"
-    return repeat_until_stable(c, _drop_empty(WRAPPER_TAGS + ["p"], filler), 10)
+    return repeat_until_stable(c, _drop_empty(WRAPPER_TAGS + ["p"], filler))
 
 
 def strip_layout_attributes(c: Column) -> Column:
@@ -162,7 +169,7 @@ def clean_inline_markup(c: Column) -> Column:
             t = F.regexp_replace(t, rf"(?i)</{old}>", f"</{new}>")
         return F.regexp_replace(t, rf"(?i)<(strong|em|span|b|i)(?:\s[^>]*)?>({WS}*+)</\1>", "$2")
 
-    return repeat_until_stable(c, once, 10)
+    return repeat_until_stable(c, once)
 
 
 def _later_h1_to_h2(c: Column) -> Column:

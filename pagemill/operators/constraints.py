@@ -154,9 +154,13 @@ def search_replace(df: DataFrame, table: str, key: str, columns: list[str], sear
     )
 
 
-def apply_audit(df: DataFrame, audit: DataFrame, key: str, columns: list[str], value: str = "new_value") -> DataFrame:
-    """Write audited values to the table."""
-    changes = audit.groupBy(F.col("row_id").alias("_k")).agg(
+def apply_audit(
+    df: DataFrame, audit: DataFrame, key: str, columns: list[str], value: str = "new_value", order: str = "operation_id"
+) -> DataFrame:
+    """Write audited values to the table; of several operations on one field the last by ``order`` counts."""
+    last = audit.groupBy("row_id", "field")
+    last = last.agg((F.max_by(value, order) if order in audit.columns else F.max(value)).alias(value))
+    changes = last.groupBy(F.col("row_id").alias("_k")).agg(
         F.map_from_entries(F.collect_list(F.struct("field", value))).alias("_m")
     )
     joined = df.join(changes, F.col(key) == F.col("_k"), "left")

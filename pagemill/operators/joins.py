@@ -1,35 +1,10 @@
-"""Joins that hold up when one key has a large share of the rows."""
+"""Global order and numbering over many tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagemill.session import checkpoint
-
-BROADCAST_ROWS = 100_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table is small enough to ship to every task; reads at most one row beyond the limit."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a dictionary-like table: broadcast behind a size check, else a shuffle join.
-
-    The shuffle join is left to adaptive execution, which splits a hot key of the left side.
-    """
-    return left.join(F.broadcast(small) if bounded(small, rows) else small, on, how)
-
-
-def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """First row of each key by a unique order column.
-
-    An aggregate and a join on the order column, which is unique, instead of a window over
-    the key: a key held by a third of all rows is reduced before the shuffle.
-    """
-    firsts = df.select(F.col(order).alias("_o"), key.alias("_k")).groupBy("_k").agg(F.min("_o").alias("_o")).select("_o")
-    return df.join(firsts, df[order] == firsts["_o"], "left_semi")
+from pagemill.session import checkpoint, task_count
 
 
 def ranged(df: DataFrame, *order: Column) -> DataFrame:
@@ -39,5 +14,14 @@ def ranged(df: DataFrame, *order: Column) -> DataFrame:
     twice, or again after a lost executor, must see the same partitions. The partition count
     is named to keep adaptive execution from merging partitions differently per reader.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    return checkpoint(df.repartitionByRange(task_count(df), *order).withColumn("_pid", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, by order; a large group is numbered by many tasks."""
+    rows = ranged(df, F.col(group), F.col(order))
+    counts = rows.groupBy(group, "_pid").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_pid", group).orderBy(order))
+    return rows.withColumn("_in", inside).join(offsets, [group, "_pid"]).withColumn(name, F.col("_off") + F.col("_in")).drop("_off", "_in", "_pid")

@@ -8,7 +8,6 @@ from pagemill.functions.text import strip_tags, strip_ws
 from pagemill.functions.urls import normalized_link
 from pagemill.session import checkpoint
 
-MAX_CHECKED_LINKS = 25
 HREF = r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a>"""
 
 
@@ -27,13 +26,15 @@ def is_internal(href: Column, origin: str) -> Column:
     return ~special & (same | ~absolute)
 
 
-def checked_links(df: DataFrame, key: str, html: str, origin: str, limit: int = MAX_CHECKED_LINKS) -> DataFrame:
-    """The internal links an audit follows: the first 25 of a page, without repeats.
+def checked_links(df: DataFrame, key: str, html: str, origin: str, limit: int | None = None) -> DataFrame:
+    """The internal links an audit follows: all of a page, or the first ``limit``, without repeats.
 
-    The limit is the audit's own rule; it is applied inside the row, before any shuffle.
+    A limit is applied inside the row, before any shuffle.
     """
     hrefs = F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))
-    first = F.slice(F.filter(hrefs, lambda h: is_internal(h, origin)), 1, limit)
+    first = F.filter(hrefs, lambda h: is_internal(h, origin))
+    if limit is not None:
+        first = F.slice(first, 1, limit)
     pairs = F.transform(first, lambda h: F.struct(h.alias("href"), normalized_link(h, origin).alias("target")))
     fresh = F.filter(
         pairs, lambda p, i: F.array_position(F.transform(pairs, lambda x: x["target"]), p["target"]) == i + 1
@@ -52,23 +53,32 @@ def broken_links(links: DataFrame, crawl: DataFrame, url: str = "url", status: s
     return links.join(bad, "target")
 
 
-def resolve_redirects(redirects: DataFrame, max_rounds: int = 6) -> DataFrame:
-    """End of every enabled redirect chain: ``from_path, to_path, hops, is_cycle``.
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """End of every enabled redirect chain of any length: ``from_path, to_path, hops, is_cycle``.
 
-    Pointer doubling: each round joins the table to itself, so six rounds cover chains of 64
-    hops. Rows still moving after that lie on a cycle. Lineage is cut between rounds.
+    Pointer doubling: a round joins the rows that still move to the table, so a chain of n hops takes
+    log2(n) rounds. Where a row is n hops from its end, others are at every distance below; so a round
+    that brings no row to an end leaves only rows that lead into a cycle. Those keep their own
+    target and one hop. Lineage is cut between rounds.
     """
-    rows = redirects.where(F.coalesce(F.col("enabled"), F.lit(True))).select("from_path", "to_path").withColumn("hops", F.lit(1))
-    for _ in range(max_rounds):
-        step = rows.select(F.col("from_path").alias("_f"), F.col("to_path").alias("_t"), F.col("hops").alias("_h"))
-        joined = rows.join(step, F.col("to_path") == F.col("_f"), "left")
-        rows = joined.select(
-            "from_path", F.coalesce("_t", F.col("to_path")).alias("to_path"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")
+    rules = redirects.where(F.coalesce(F.col("enabled"), F.lit(True))).select("from_path", "to_path")
+    starts = rules.select(F.col("from_path").alias("_s")).distinct()
+    rows = rules.join(starts, F.col("to_path") == F.col("_s"), "left").select(
+        "from_path", "to_path", F.lit(1).cast("long").alias("hops"), F.col("_s").isNull().alias("done"), F.col("to_path").alias("own")
+    )
+    rows = checkpoint(rows)
+    ended = -1
+    while (now := rows.where("done").count()) != ended:
+        ended = now
+        step = rows.select(F.col("from_path").alias("_f"), F.col("to_path").alias("_t"), F.col("hops").alias("_h"), F.col("done").alias("_d"))
+        moved = rows.where("not done").join(step, F.col("to_path") == F.col("_f")).select(
+            "from_path", F.col("_t").alias("to_path"), (F.col("hops") + F.col("_h")).alias("hops"), F.col("_d").alias("done"), "own"
         )
-        rows = checkpoint(rows)
-    starts = rows.select(F.col("from_path").alias("_s"))
-    out = rows.join(starts, F.col("to_path") == F.col("_s"), "left")
-    return out.select("from_path", "to_path", "hops", F.col("_s").isNotNull().alias("is_cycle"))
+        rows = checkpoint(rows.where("done").union(moved))
+    return rows.select(
+        "from_path", F.when(F.col("done"), F.col("to_path")).otherwise(F.col("own")).alias("to_path"),
+        F.when(F.col("done"), F.col("hops")).otherwise(1).cast("long").alias("hops"), (~F.col("done")).alias("is_cycle"),
+    )
 
 
 def redirect_paths(paths: DataFrame, path: str, resolved: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -187,7 +188,12 @@ def repeater_items(df: DataFrame, template: str, parent: str, mapping: Mapping)
     for e in mapping.entries:
         by_target.setdefault(e.target, []).append(e.source)
     items = []
-    for i in range(1, mapping.repeater_counts.get(parent, 10) + 1):
+    names = [*types, *by_target]
+    indexed = [int(m[1]) for n in names if (m := re.search(r"_(\d{1,9})\Z", n))] + [int(m[1]) + 1 for n in names if (m := re.search(r"\[(\d{1,9})\]\Z", n))]
+    highest = mapping.repeater_counts.get(parent) or max([0, *indexed])
+    bases = {child.key.split(".")[-1] for child in children} | {child.key for child in children}
+    present = sorted({i for i in indexed if i <= highest and any(f"{b}_{i}" in types or f"{b}_{i}" in by_target or f"{b}[{i - 1}]" in by_target for b in bases)})
+    for i in present:
         values, seen = [], F.lit(False)
         used = False
         for child in children:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from pagemill.functions import text as X
 from pagemill.functions.html import first_image
@@ -157,13 +157,15 @@ def _html_clean(fields: Fields, config: dict, target: str) -> RuleResult:
 
 
 def valid_pattern(pattern: str | None) -> bool:
-    """Patterns are checked on the driver, before a plan exists that could fail in a task."""
+    """Patterns are checked before a plan exists that could fail in a task, in the dialect that will run them."""
     if not pattern:
         return False
     try:
-        re.compile(pattern)
+        SparkSession.getActiveSession().range(1).select(F.regexp_count(F.lit(""), F.lit(pattern))).collect()
         return True
-    except re.error:
+    except Exception as err:
+        if not any(x in str(err) for x in ("INVALID_PARAMETER_VALUE.PATTERN", "REGEX_PATTERN", "PatternSyntaxException")):
+            raise
         return False
 
 

@@ -14,7 +14,6 @@ FAQ_TYPE = "array<struct<question:string,answer:string>>"
 GROUP_WORDS = 400
 SHORT_PARAGRAPH_WORDS = 50
 LONG_BODY_CHARS = 500
-FAQ_SNIPPET = 40
 
 # Question markup and FAQ headings.
 DT_DD = r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>"
@@ -246,10 +245,10 @@ def _without_faq(html: Column, used: Column) -> Column:
         plain = strip_ws(strip_tags(piece))
 
         def matches(p: Column) -> Column:
-            snippet = strip_ws(F.substring(strip_ws(strip_tags(p["answer"])), 1, FAQ_SNIPPET))
+            answer = strip_ws(strip_tags(p["answer"]))
             at = F.instr(plain, p["question"])
             rest = F.substring(plain, at + F.length(p["question"]), F.length(plain))
-            return F.contains(title, p["question"]) & (at > 0) & (snippet != "") & F.contains(rest, snippet)
+            return F.contains(title, p["question"]) & (at > 0) & (answer != "") & F.contains(rest, answer)
 
         return (title != "") & F.exists(used, matches)
 

@@ -1,24 +1,25 @@
 """Slug collisions inside an import.
 
-``unique_suffix`` gives a repeated slug the first free of ``-1 … -99``, in record order; once
-all are taken, ``-99``. What a record gets depends on the records before it, but only inside
-its family, and only until the 99 numbered slots are full. So the ordered fold sees a bounded
-set per family: row-number limits, which Spark applies before the shuffle, cut each slug to
-its first hundred holders. Every other record is decided by a join, however many share a slug.
+``unique_suffix`` gives a repeated slug the first free of ``-1 … -99``, in record order. What a record gets depends
+on the records before it, but only inside its family, and only until the 99 numbered slots are
+full. So the ordered fold sees a bounded set per slug: row-number limits, which Spark applies before the
+shuffle, cut each slug to its first hundred holders. All later holders are numbered by many tasks, from the first
+number above 99 and above every numbered slug of the batch with that name, so all slugs end up distinct.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.urls import strip_slashes
+from pagemill.operators.joins import numbered
 from pagemill.session import checkpoint
 
-MAX_SUFFIX = 99
+#: Suffixes that the ordered fold hands out; numbers beyond it are given without looking at single slugs.
+SLOTS = 99
 
 
 def _bare(slug: Column, template: str) -> Column:
@@ -26,17 +27,12 @@ def _bare(slug: Column, template: str) -> Column:
     return strip_slashes(slug) if template == "practice" else F.regexp_replace(slug, r"-\d+\z", "")
 
 
-def _suffixed(bare: Column, template: str, n: int) -> Column:
-    text = F.concat(bare, F.lit(f"-{n}"))
-    return F.concat(F.lit("/"), text, F.lit("/")) if template == "practice" else text
-
-
 def _family(slug: Column, template: str) -> Column:
     bare = _bare(slug, template)
     return F.regexp_replace(bare, r"(?:-[1-9][0-9]?)+\z", "") if template == "practice" else bare
 
 
-def _fold(template: str, max_suffix: int):
+def _fold(template: str, slots: int):
     """Per-family helper: a small ordered walk over at most a few thousand rows."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,54 +42,76 @@ def _fold(template: str, max_suffix: int):
         for slug, again in zip(pdf["_slug"], pdf["_again"]):
             new, n = slug, 1
             bare = slug.strip("/") if template == "practice" else re.sub(r"-[0-9]+$", "", slug)
-            while (new in used or (again and n == 1)) and n <= max_suffix:
+            while (new in used or (again and n == 1)) and n <= slots:
                 new = f"/{bare}-{n}/" if template == "practice" else f"{bare}-{n}"
                 n += 1
+            # No free slot: numbered later, with all others that came too late.
+            out.append(None if new in used or (again and n == 1) else new)
             used.add(new)
-            out.append(new)
         return pd.DataFrame({"_order": pdf["_order"].to_numpy(), "_new": out})
 
     return walk
 
 
 def resolve_collisions(
-    df: DataFrame, order: str, slug: str, template: str, mode: str = "skip", max_suffix: int = MAX_SUFFIX
+    df: DataFrame, order: str, slug: str, template: str, mode: str = "skip", max_suffix: int | None = None, unsolved: str | None = None
 ) -> DataFrame:
     """``df`` with ``slug`` made unique; modes ``skip`` and ``overwrite`` leave it for load time.
 
-    ``order`` is the unique record number that decides who came first.
+    ``order`` is the unique record number that decides who came first. With ``max_suffix`` no higher number is
+    given: records without a free one share the last, and a column named ``unsolved`` tells which, if asked for.
     """
     if mode != "unique_suffix":
-        return df
+        return df if unsolved is None else df.withColumn(unsolved, F.lit(False))
+    slots = SLOTS if max_suffix is None else min(SLOTS, max_suffix)
     rows = df.select(F.col(order).alias("_order"), F.col(slug).alias("_slug")).where(F.coalesce("_slug", F.lit("")) != "")
     by_slug = Window.partitionBy("_slug").orderBy("_order")
     heads = (
-        rows.withColumn("_r", F.row_number().over(by_slug)).where(F.col("_r") <= max_suffix + 1)
+        rows.withColumn("_r", F.row_number().over(by_slug)).where(F.col("_r") <= slots + 1)
         .withColumn("_family", _family(F.col("_slug"), template))
     )
     # Narrow rows (number, slug, rank), read several times below; written once.
     heads = checkpoint(heads)
     clashing = heads.where("_r > 1").select("_family").distinct()
     inside = heads.join(clashing, "_family", "left_semi")
+    none = F.lit(None).cast("string")
+    late = None
     if template == "practice":
-        work, late = inside.withColumn("_again", F.lit(False)), None
+        work = inside.withColumn("_again", F.lit(False))
     else:
         # Only ``base-1 … base-99`` compete for slots; any other repeated slug just takes one.
         slot = F.col("_slug").rlike(r"-[1-9][0-9]?\z")
         by_family = Window.partitionBy("_family").orderBy("_order")
         repeats = inside.where(~slot & (F.col("_r") > 1)).withColumn("_q", F.row_number().over(by_family))
-        takers = repeats.where(F.col("_q") <= max_suffix).drop("_q").withColumn("_again", F.lit(True))
+        takers = repeats.where(F.col("_q") <= slots).drop("_q").withColumn("_again", F.lit(True))
         work = takers.unionByName(inside.where(slot).withColumn("_again", F.lit(False)))
-        late = repeats.where(F.col("_q") > max_suffix).select(
-            "_order", _suffixed(_bare(F.col("_slug"), template), template, max_suffix).alias("_new")
-        )
+        late = repeats.where(F.col("_q") > slots).select("_order", none.alias("_new"))
     order_type = dict(rows.dtypes)["_order"]
-    parts = [work.groupBy("_family").applyInPandas(_fold(template, max_suffix), f"_order {order_type}, _new string")]
-    decided = reduce(DataFrame.unionByName, parts + ([late] if late is not None else []))
+    decided = work.groupBy("_family").applyInPandas(_fold(template, slots), f"_order {order_type}, _new string")
+    decided = decided if late is None else decided.unionByName(late)
     # Beyond its first hundred holders a slug finds every slot taken.
-    heavy = rows.groupBy("_slug").agg(F.count("*").alias("_n"), F.min("_order").alias("_first")).where(F.col("_n") > max_suffix + 1)
-    heavy = heavy.select(F.col("_slug").alias("_heavy"), "_first")
-    out = df.join(decided, F.col(order) == F.col("_order"), "left").join(heavy, F.col(slug) == F.col("_heavy"), "left")
-    last = _suffixed(_bare(F.col(slug), template), template, max_suffix)
-    new = F.coalesce("_new", F.when(F.col("_heavy").isNotNull() & (F.col(order) != F.col("_first")), last), F.col(slug))
-    return out.select(*[(new.alias(c) if c == slug else F.col(f"`{c}`")) for c in df.columns])
+    heavy = rows.groupBy("_slug").agg(F.count("*").alias("_n")).where(F.col("_n") > slots + 1).select("_slug")
+    beyond = rows.join(heavy, "_slug", "left_semi").join(heads.select("_order"), "_order", "left_anti").select("_order", none.alias("_new"))
+    decided = checkpoint(decided.unionByName(beyond))
+    open_ = rows.join(decided.where(F.col("_new").isNull()).select("_order"), "_order", "left_semi").withColumn("_bare", _bare(F.col("_slug"), template))
+    if max_suffix is not None and max_suffix <= SLOTS:
+        last = open_.select("_order", F.concat("_bare", F.lit(f"-{max_suffix}")).alias("_text"), F.lit(True).alias("_open"))
+    else:
+        # Numbers start above all that the batch itself spells out.
+        plain = strip_slashes(F.col("_slug")) if template == "practice" else F.col("_slug")
+        spelled = rows.select(F.regexp_extract(plain, r"\A(.*)-([0-9]{1,15})\z", 1).alias("_bare"), F.regexp_extract(plain, r"-([0-9]{1,15})\z", 1).try_cast("long").alias("_k"))
+        spelled = spelled.where("_k is not null").groupBy("_bare").agg(F.max("_k").alias("_k"))
+        start = F.greatest(F.coalesce("_k", F.lit(0)), F.lit(SLOTS))
+        number = numbered(open_.select("_bare", "_order"), "_bare", "_order", "_q").join(spelled, "_bare", "left").withColumn("_q", start + F.col("_q"))
+        too_many = F.lit(False) if max_suffix is None else F.col("_q") > max_suffix
+        shown = F.col("_q") if max_suffix is None else F.least("_q", F.lit(max_suffix))
+        last = number.select("_order", F.concat("_bare", F.lit("-"), shown.cast("string")).alias("_text"), too_many.alias("_open"))
+    text = F.concat(F.lit("/"), F.col("_text"), F.lit("/")) if template == "practice" else F.col("_text")
+    changed = decided.where(F.col("_new").isNotNull()).select("_order", "_new", F.lit(False).alias("_open")).unionByName(
+        last.select("_order", text.alias("_new"), "_open"))
+    # Only changed records travel to the join.
+    changed = changed.join(rows, "_order").where((F.col("_new") != F.col("_slug")) | F.col("_open")).select("_order", "_new", "_open")
+    out = df.join(changed, F.col(order) == F.col("_order"), "left")
+    new = F.coalesce("_new", F.col(slug))
+    flag = [] if unsolved is None else [F.coalesce("_open", F.lit(False)).alias(unsolved)]
+    return out.select(*[(new.alias(c) if c == slug else F.col(f"`{c}`")) for c in df.columns], *flag)

@@ -16,6 +16,7 @@ from pagemill.functions.text import WS, nonblank, squeeze_newlines, strip_ws
 from pagemill.functions.html import (
     remove_empty_wrappers, strip_layout_attributes, strip_page_shell,
 )
+from pagemill.session import task_count
 
 # Class and id vocabularies of layout markup.
 BUILDER_CLASS_PARTS = [
@@ -62,12 +63,12 @@ def _attr(attrs: Column, name: str) -> Column:
 
 
 def distribute(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows by key once, with as many tasks as the session shuffles with.
+    """Hash the rows by key once, into tasks for the size of the input.
 
     The count is named so that adaptive execution does not fold the tasks together on the
     small size of the unexploded pages.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+    return df.repartition(task_count(df), F.col(key))
 
 
 Keys = str | list[str]

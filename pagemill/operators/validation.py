@@ -16,7 +16,6 @@ from pagemill.functions.urls import is_http_url, strip_slashes
 from pagemill.operators.templates import image_fields, required_fields
 
 BAD_SLUG = "must be lowercase, alphanumeric with hyphens only"
-DUPLICATE_LIST_LIMIT = 1000
 
 
 def issue(cond: Column, field: str, message: Column | str, severity: str) -> Column:
@@ -162,24 +161,18 @@ def duplicate_groups(df: DataFrame, row_index: str, key: str) -> DataFrame:
 
 
 def duplicate_issues(df: DataFrame, row_index: str, key: str, template: str, label: str | None = None) -> DataFrame:
-    """One error per row that shares its key.
+    """One error per row that shares its key, with the number of rows and the first of them (from 1).
 
-    The message lists the rows (numbered from 1). For a key held by more than a thousand
-    rows it gives the count; ``duplicate_groups`` holds all members as rows, so no list has
-    to be gathered in one task.
+    The members of a group are rows of ``duplicate_groups``, so no list is gathered in one task
+    or copied to every member.
     """
     default, field = ("URL path", "url_path") if template == "practice" else ("slug", "slug")
-    label = label or default
     members = duplicate_groups(df, row_index, key)
-    small = members.where(F.col("n_rows") <= DUPLICATE_LIST_LIMIT).groupBy("key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("row_index")), lambda r: (r + 1).cast("string")), ", ").alias("rows")
-    )
-    head = F.concat(F.lit(f'Duplicate {label} "'), X.truncate(F.col("key"), 40), F.lit('" found in '))
-    listed = F.concat(head, F.lit("rows: "), F.col("rows"))
-    counted = F.concat(head, F.col("n_rows").cast("string"), F.lit(" rows"))
-    return members.join(small, "key", "left").select(
-        "row_index", F.lit(field).alias("field"), F.coalesce(listed, counted).alias("message"), F.lit("error").alias("severity")
+    message = F.concat(
+        F.lit(f'Duplicate {label or default} "'), X.truncate(F.col("key"), 40), F.lit('" found in '), F.col("n_rows").cast("string"),
+        F.lit(" rows, first in row "), (F.col("first_row") + 1).cast("string"),
     )
+    return members.select("row_index", F.lit(field).alias("field"), message.alias("message"), F.lit("error").alias("severity"))
 
 
 def validate_prepared(df: DataFrame, row_index: str, record: str, status: str, template: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pagemill.operators.cleaning import CleaningOptions, clean_records
 from pagemill.operators.mapping import Mapping, mapped_columns, mirror_images, repeater_items
 from pagemill.operators.rules import HERO_TYPE, Fields, Recipe, run_rule
 from pagemill.operators.scoring import FIELD_SCORE_TYPE, route, score_record
-from pagemill.operators.slugs import MAX_SUFFIX, resolve_collisions
+from pagemill.operators.slugs import resolve_collisions
 from pagemill.operators.validation import quick_checks
 from pagemill.session import checkpoint
 
@@ -36,7 +36,7 @@ class EngineOptions:
     site_name: str = ""
     source_domain: str | None = None
     slug_mode: str = "skip"
-    max_suffix: int = MAX_SUFFIX
+    max_suffix: int | None = None
     imported_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
     def cleaning(self) -> CleaningOptions:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagemill.functions import text as X
 from pagemill.functions.html import strip_page_shell
 from pagemill.functions.phones import audit_phones, digits_only
-from pagemill.operators.joins import join_small
 from pagemill.operators.links import broken_links, checked_links
 
 MEANINGFUL_CHARS = 30
@@ -133,7 +132,7 @@ def misspellings(words: DataFrame, dictionary: DataFrame, allowed: DataFrame | N
     The allow-list is taken off the dictionary, not off the words.
     """
     usable = dictionary if allowed is None else dictionary.join(allowed.select("word"), "word", "left_anti")
-    return join_small(words, usable.dropDuplicates(["word"]), ["word"])
+    return words.join(usable.dropDuplicates(["word"]), "word")
 
 
 def spelling_issues(crawl: DataFrame, dictionary: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from pagemill.functions.text import nonblank
+from pagemill.session import checkpoint
 
 BAD = "_bad_record"
 
@@ -12,10 +13,10 @@ BAD = "_bad_record"
 def with_index(df: DataFrame, name: str = "source_index") -> DataFrame:
     """Dense 0-based record number in file order.
 
-    Partition sizes are counted first and only those meet in one task; the rows themselves
-    are never sorted together.
+    The rows are written once, so that counting and numbering see the same partitions. Partition
+    sizes are counted and only those meet in one task; the rows themselves are never sorted together.
     """
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
+    tagged = checkpoint(df.withColumn("_mid", F.monotonically_increasing_id())).withColumn("_pid", F.shiftright("_mid", 33))
     sizes = tagged.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -26,15 +27,29 @@ def with_index(df: DataFrame, name: str = "source_index") -> DataFrame:
 def read_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """``(records, errors)`` of CSV files with a header row.
 
-    Header names are trimmed and rows whose cells are all blank are left out. Rows the parser
-    rejects are kept in ``errors(record, message)``.
+    Files are read in groups of equal headers and put together by column name, so files may differ in
+    columns and their order. Header names are trimmed and rows whose cells are all blank are left out. Rows the
+    parser rejects are kept in ``errors(record, message)``. A file with line breaks in cells is one task.
     """
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
+    # The first line of each file, one row per file; a header has no line breaks in its names.
+    first = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
+    heads = first.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    groups = {r["head"]: r["files"] for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()}
+    parts = [_read_alike(spark, groups[h]) for h in sorted(groups)]
+    if not parts:
+        return _read_alike(spark, path)
+    records, errors = parts[0]
+    for more, wrong in parts[1:]:
+        records, errors = records.unionByName(more, allowMissingColumns=True), errors.unionByName(wrong)
+    return records, errors
+
+
+def _read_alike(spark: SparkSession, files: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Files of one header."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    header = reader.csv(files).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(BAD, T.StringType())])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True).csv(path)
-    )
+    raw = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True).csv(files)
     named = raw.toDF(*[c.strip() for c in header], BAD)
     columns = [c for c in named.columns if c != BAD]
     filled = F.exists(F.array(*[F.col(f"`{c}`") for c in columns]), nonblank) if columns else F.lit(False)

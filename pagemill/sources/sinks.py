@@ -9,6 +9,7 @@ from pagemill.functions.urls import strip_slashes
 from pagemill.operators.joins import ranged
 
 SITEMAP_URLS = 50_000
+INDEX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
 SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
 
 
@@ -62,18 +63,28 @@ def sitemap_files(entries: DataFrame, descending: bool = False, per_file: int =
     return numbered.groupBy("file_no").agg(F.concat(F.lit(SITEMAP_HEAD + "\n"), body, F.lit("\n</urlset>")).alias("xml"))
 
 
-def sitemap_index(site_url: str, day: str) -> str:
-    """The index document that names the page and post sitemaps."""
-    origin = site_url.rstrip("/")
-    for raw, escaped in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")]:
-        origin = origin.replace(raw, escaped)
-    parts = "\n".join(
-        f"  <sitemap>\n    <loc>{origin}/sitemap-{kind}.xml</loc>\n    <lastmod>{day}</lastmod>\n  </sitemap>" for kind in ("pages", "posts")
-    )
-    return (
-        '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
-        f"{parts}\n</sitemapindex>"
-    )
+def sitemap_name(kind: str, file_no: Column) -> Column:
+    """``sitemap-pages.xml``, ``sitemap-pages-2.xml`` and so on."""
+    return F.concat(F.lit(f"sitemap-{kind}"), F.when(file_no > 0, F.concat(F.lit("-"), (file_no + 1).cast("string"))).otherwise(""), F.lit(".xml"))
+
+
+def sitemap_index(files: dict[str, DataFrame], site_url: str, day: str) -> DataFrame:
+    """``xml``: the index document that names every file of each kind (``pages``, ``posts``).
+
+    It has a line for each file, that is for 50 000 URLs; only the files' numbers are read.
+    """
+    lines = [
+        files[kind].select(F.lit(i).alias("kind_no"), "file_no", sitemap_name(kind, F.col("file_no")).alias("name"))
+        for i, kind in enumerate(files)
+    ]
+    names = lines[0]
+    for more in lines[1:]:
+        names = names.unionByName(more)
+    loc = F.concat(escape_xml(F.lit(site_url.rstrip("/"))), F.lit("/"), F.col("name"))
+    line = F.concat(F.lit("  <sitemap>\n    <loc>"), loc, F.lit(f"</loc>\n    <lastmod>{day}</lastmod>\n  </sitemap>"))
+    listed = names.select("kind_no", "file_no", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("kind_no", "file_no", "line"))).alias("x"))
+    body = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    return listed.select(F.concat(F.lit(INDEX_HEAD + "\n"), body, F.lit("\n</sitemapindex>")).alias("xml"))
 
 
 def write_sitemap(files: DataFrame, folder: str) -> None:

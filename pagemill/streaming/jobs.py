@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagemill.functions.html import SHORT_FINGERPRINT
 from pagemill.functions.text import fingerprint, null_if_blank
 from pagemill.operators.constraints import latest_per_id
 from pagemill.sources.loads import job_items, job_row, load_outcomes, written_rows
@@ -115,12 +116,22 @@ def throttled_stream(df: DataFrame, key: str, at: str, min_gap_ms: int = THROTTL
     )
 
 
-def fresh_records(df: DataFrame, text: str, at: str, lateness: str = "1 hour") -> DataFrame:
-    """Incoming records whose fingerprint was not seen within the lateness span."""
-    marked = df.withColumn("_print", fingerprint(F.col(text)))
-    if not df.isStreaming:
-        return marked.dropDuplicates(["_print"]).drop("_print")
-    return marked.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["_print"]).drop("_print")
+def fresh_records(df: DataFrame, text: str, at: str, key: str, lateness: str = "1 hour") -> DataFrame:
+    """Incoming records whose fingerprint was not seen within the lateness span; short texts are exempt.
+
+    Texts with a short or no fingerprint are told apart by ``key``. The state holds a digest, not the text.
+    A table keeps the first record of each fingerprint by time and key, as an aggregate that reduces before the shuffle.
+    """
+    print_ = fingerprint(F.col(text))
+    short = F.coalesce(F.length(print_), F.lit(0)) < SHORT_FINGERPRINT
+    marked = df.withColumn("_print", F.when(short, F.concat(F.lit("own:"), F.coalesce(F.col(key).cast("string"), F.uuid()))).otherwise(F.sha2(print_, 256)))
+    if df.isStreaming:
+        return marked.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["_print"]).drop("_print")
+    # By time, then key: null times come last, not first.
+    order = F.struct(F.col(at).isNull(), F.col(at), F.col(key).cast("string"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = marked.groupBy("_print").agg(F.min_by(rest, order).alias("_r"))
+    return first.select(*[F.col(f"_r.`{c}`").alias(c) for c in df.columns])
 
 
 def live_counters(df: DataFrame, status: str) -> DataFrame:

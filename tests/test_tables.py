@@ -1,9 +1,10 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from pagemill.operators import constraints as K
-from pagemill.operators.joins import keep_first
+from pagemill.operators.joins import numbered
 from pagemill.operators.links import resolve_redirects
 from pagemill.plans import content as C, qa, seo, tracking
 from pagemill.sources import loads, readers, sinks, stores
@@ -22,6 +23,30 @@ def test_csv(spark, tmp_path):
     assert sorted(r["source_index"] for r in indexed.collect()) == [0, 1, 2]
 
 
+def test_csv_with_several_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n9,8\n")
+    (tmp_path / "c.csv").write_text('"c ""x""",a\n5,6\n')
+    (tmp_path / "d.csv").write_text("a,b\n3,4\n")
+    records, errors = readers.read_csv(spark, str(tmp_path))
+    got = {(r["a"], r["b"], r['c "x"']) for r in records.collect()}
+    assert got == {("1", "2", None), ("8", "9", None), ("6", None, "5"), ("3", "4", None)} and errors.count() == 0
+
+
+def test_audit_of_two_operations(spark):
+    df = spark.createDataFrame([(1, "a b", "a"), (2, "z", "b")], "id int, t string, u string")
+    one = K.search_replace(df, "t", "id", ["t", "u"], "a", "b", L(1))
+    after = K.apply_audit(df, one, "id", ["t", "u"])
+    both = one.unionByName(K.search_replace(after, "t", "id", ["t", "u"], "b", "c", L(2)))
+    assert {tuple(r) for r in K.apply_audit(df, both, "id", ["t", "u"]).collect()} == {(1, "c c", "c"), (2, "z", "c")}
+
+
+def test_patterns_are_checked_as_they_run(spark):
+    from pagemill.operators.rules import valid_pattern
+
+    assert valid_pattern(r"(?<n>x)+\k<n>") and valid_pattern("a|b") and not valid_pattern("(?P<n>x)") and not valid_pattern("(") and not valid_pattern("")
+
+
 def test_json(spark, tmp_path):
     doc = {"data": {"rows": [{"a": {"b": 1}, "c": [1, 2]}, 5, {"a": {"b": 2}}]}}
     (tmp_path / "d.json").write_text(json.dumps(doc))
@@ -73,18 +98,24 @@ def test_sinks(spark, tmp_path):
     entries = spark.createDataFrame([("/%03d" % i, "<%d>" % i) for i in range(25)], "sort_key string, entry string")
     files = sinks.sitemap_files(entries, per_file=10).orderBy("file_no").collect()
     assert len(files) == 3 and files[0]["xml"].startswith('<?xml version="1.0"') and "<0>\n<1>" in files[0]["xml"] and "<24>" in files[2]["xml"]
-    assert "<loc>https://e.com/sitemap-pages.xml</loc>" in sinks.sitemap_index("https://e.com/", "2024-01-01")
+    index = sinks.sitemap_index({"pages": sinks.sitemap_files(entries, per_file=10), "posts": sinks.sitemap_files(entries.limit(0))}, "https://e.com/", "2024-01-01").first()["xml"]
+    assert [m for m in re.findall("<loc>(.*?)</loc>", index)] == [f"https://e.com/sitemap-pages{n}.xml" for n in ("", "-2", "-3")]
 
 
-def test_keep_first_with_a_hot_key(spark):
-    df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    assert keep_first(df, F.col("k"), "id").count() == 201
+def test_numbered_with_a_hot_key(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 2).cast("string")).alias("k"))
+    got = numbered(df, "k", "id", "n").collect()
+    for k in ("hot", "0", "1"):
+        assert [r["n"] for r in sorted(got, key=lambda r: r["id"]) if r["k"] == k] == list(range(1, sum(r["k"] == k for r in got) + 1))
 
 
 def test_redirects(spark):
     df = spark.createDataFrame([("/a", "/b", True), ("/b", "/c", True), ("/x", "/y", True), ("/y", "/x", True), ("/off", "/z", False)], "from_path string, to_path string, enabled boolean")
     got = {r["from_path"]: (r["to_path"], r["hops"], r["is_cycle"]) for r in resolve_redirects(df).collect()}
-    assert got["/a"] == ("/c", 2, False) and got["/b"] == ("/c", 1, False) and got["/x"][2] and "/off" not in got
+    assert got["/a"] == ("/c", 2, False) and got["/b"] == ("/c", 1, False) and got["/x"] == ("/y", 1, True) and "/off" not in got
+    long = spark.createDataFrame([(f"/{i}", f"/{i + 1}", True) for i in range(100)] + [("/in", "/x", True), ("/x", "/y", True), ("/y", "/x", True)], "from_path string, to_path string, enabled boolean")
+    got = {r["from_path"]: (r["to_path"], r["hops"], r["is_cycle"]) for r in resolve_redirects(long).collect()}
+    assert all(got[f"/{i}"] == ("/100", 100 - i, False) for i in range(100)) and got["/in"] == ("/x", 1, True) and len(got) == 103
 
 
 def test_assign_ids(spark):
@@ -198,9 +229,11 @@ def test_streaming_dedupe_and_debounce(spark, tmp_path):
 
     schema = "id int, body string, at timestamp"
     t0 = datetime(2024, 1, 1)
-    rows = [[(1, "<p>Same words</p>", t0)], [(2, "same WORDS!", t0), (3, "other", t0)]]
-    fresh = _collect(jobs.fresh_records(_stream(spark, str(tmp_path / "a"), schema, rows), "body", "at"), "fresh")
-    assert len(fresh) == 2
+    rows = [[(1, "<p>Same words, more than twenty letters</p>", t0)], [(2, "same WORDS! more than twenty letters", t0), (3, "other", t0), (4, "other", t0), (5, None, t0), (6, None, t0)]]
+    fresh = _collect(jobs.fresh_records(_stream(spark, str(tmp_path / "a"), schema, rows), "body", "at", "id"), "fresh")
+    assert sorted(r["id"] for r in fresh) == [1, 3, 4, 5, 6]
+    batch = spark.createDataFrame(sum(rows, [])[::-1], schema)
+    assert sorted(r["id"] for r in jobs.fresh_records(batch, "body", "at", "id").collect()) == [1, 3, 4, 5, 6]
     saves = spark.createDataFrame([(1, "a", t0), (1, "b", t0.replace(microsecond=500000)), (1, "c", t0.replace(second=5))], schema)
     got = jobs.debounced(saves, "id", "at", F.col("body")).orderBy("first_change").collect()
     assert [(r["state"], r["changes"]) for r in got] == [("b", 2), ("c", 1)]
