@@ -41,14 +41,19 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     ``spark.checkpoint.dir`` is read from the session. Where neither that setting nor a checkpoint
     folder exists, a local session takes a temporary folder; a cluster is asked to name one.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagemill-ckpt-"))
-    return df.checkpoint(eager=eager)
+    return sc.getCheckpointDir()
 
 
 def task_count(df: DataFrame) -> int:
