@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -81,6 +82,26 @@ def words(text: str | None, table: bytes) -> list[bytes]:
 BROADCAST_ROWS = 1_000_000
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the checkpoint folder and read again: unlike a checkpoint, plans that read it twice share their shuffles."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpoint(spark.range(0))  # sets the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table that one task takes.
+TASK_ROWS = 20_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of a narrow table, read by as many tasks as its rows need: rounds over few rows stay cheap."""
+    out = checkpoint(df)
+    return out.coalesce(max(1, -(-out.count() // TASK_ROWS)))
+
+
 def few(ids: DataFrame) -> DataFrame:
     """A checkpointed table of a few long columns, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

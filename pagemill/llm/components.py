@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import checkpoint
+from pagemill.llm.common import settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,13 +14,13 @@ def components(links: DataFrame) -> DataFrame:
     Minima are aggregates that combine before the shuffle; the join back to a hub's many neighbours is an inner
     join that adaptive execution may split. Links to oneself and repeated links count once; no links, no rows.
     """
-    edges = checkpoint(_ordered(links.select("a", "b")))
+    edges = settled(_ordered(links.select("a", "b")))
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
         large = _to_smallest(both, F.col("b") > F.col("a"))
         small = _to_smallest(_ordered(large).select("a", "b"), None)
-        edges = checkpoint(_ordered(small))
+        edges = settled(_ordered(small))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

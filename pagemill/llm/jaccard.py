@@ -9,9 +9,10 @@ Of the rest,
   lets each set stand in the lists of its first elements only: a linked pair always meets in one of them.
 
 The boundary is the size at which the rows of both ways together are fewest, from the counts of sizes and the
-measured length of lists. In each list of candidates a few central sets are compared with all others, linked
-sets fall together, and a list is done when its sets are together or all have been compared. So a group of
-copies costs about one comparison a member, yet no link between two components is missed.
+measured length of lists. In each list of candidates a central set is compared with all others, linked sets fall
+together, and then the sets that stayed apart are compared with the rest, unless the parities of their elements
+show that they differ too much. A list is done when its sets are together or all have been compared. So a group
+of copies costs about one comparison a member, yet no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import LOWER, append, checkpoint, few, texts, words
+from pagemill.llm.common import LOWER, append, checkpoint, few, settled, stored, texts, words
 from pagemill.llm.components import components
 
 #: Sets above this size are never listed by subsets; up to it the cost decides.
 SUBSET_SIZES = 40
+#: Words of 64 bits in a set's parity: bit k tells whether an odd number of its elements falls to k. Two sets differ in
+#: at least as many elements as their parities differ in bits.
+PARITY = 8
 #: A screened list holds one element more for each so many elements of its set, and a set goes on if that many are shared.
 EXTRA = 20
 
@@ -81,7 +85,7 @@ class Threshold:
 
 
 def _sets(docs: DataFrame, text: str, size: int, law: Threshold, whole: bool) -> DataFrame:
-    """``docs`` without the text, with set_id, n and keys: the whole sorted set, or of a large one the screened beginning."""
+    """``docs`` without the text, with digest, n, parity and keys: the whole sorted set, or of a large one the screened beginning."""
 
     def start():
         def batch(rows):
@@ -92,11 +96,20 @@ def _sets(docs: DataFrame, text: str, size: int, law: Threshold, whole: bool) ->
                 found = [s if len(s) <= SUBSET_SIZES else s[: law.prefix(len(s)) + len(s) // EXTRA] for s in found]
             ends = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.int32())
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
-            return [ids, counts, pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))]
+            parity = zip(*map(_parity, found)) if whole and found else [[0] * len(found)] * PARITY
+            return [ids, counts, pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64())), *map(list, parity)]
 
         return batch
 
-    return append(docs, "set_id long, n long, keys array<long>", start).drop(text)
+    return append(docs, f"digest long, n long, keys array<long>, {', '.join(f'{c} long' for c in _PARITIES)}", start).drop(text, *[] if whole else _PARITIES)
+
+
+_PARITIES = [f"odd{i}" for i in range(PARITY)]
+
+
+def _parity(keys: np.ndarray) -> list[int]:
+    odd = np.bincount((keys & (64 * PARITY - 1)), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _boundary(unique: DataFrame, law: Threshold) -> int:
@@ -116,7 +129,7 @@ def _boundary(unique: DataFrame, law: Threshold) -> int:
 
 
 def _subsets(unique: DataFrame, most: int, law: Threshold) -> DataFrame:
-    """(h, set_id, n, at): the subsets of small sets, hashed, where another set lists them too."""
+    """(h, set_id): the subsets of small sets, hashed, where another set lists them too."""
 
     def start():
         def batch(rows):
@@ -131,14 +144,14 @@ def _subsets(unique: DataFrame, most: int, law: Threshold) -> DataFrame:
         return batch
 
     listed = append(unique.where(F.col("n") <= most).select("set_id", "n", "keys"), "subsets array<long>", start)
-    rows = listed.select(F.explode("subsets").alias("h"), "set_id", "n", F.lit(0).cast("long").alias("at"))
-    return _shared(rows)
+    return _shared(listed.select(F.explode("subsets").alias("h"), "set_id"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose h stands in another set too. Both sides of the join are one shuffle, and adaptive execution splits hot values."""
-    other = rows.select(F.col("h").alias("o_h"), F.col("set_id").alias("o_id"))
-    return rows.join(other, (F.col("h") == F.col("o_h")) & (F.col("set_id") != F.col("o_id")), "left_semi")
+    """Rows (h, set_id) whose h stands in another set too. Both sides of the join are one shuffle, and adaptive execution splits hot values."""
+    here, there = rows.alias("here"), rows.alias("there")
+    other = (F.col("here.h") == F.col("there.h")) & (F.col("here.set_id") != F.col("there.set_id"))
+    return here.join(there, other, "left_semi")
 
 
 def _screened(unique: DataFrame, most: int, law: Threshold) -> DataFrame:
@@ -155,13 +168,14 @@ def _screened(unique: DataFrame, most: int, law: Threshold) -> DataFrame:
 
 
 def _lists(sets: DataFrame, law: Threshold) -> DataFrame:
-    """(h, set_id, n, at) of large sets: the lists of their first elements, elements of a single set first, ``at`` the place."""
-    rows = _shared(sets.select(F.explode("keys").alias("h"), "set_id", "n"))
+    """(h, set_id, at) of large sets: the lists of their first elements, elements of a single set first, ``at`` the place."""
+    rows = _shared(sets.select(F.explode("keys").alias("h"), "set_id"))
+    found = rows.groupBy("set_id").agg(F.count("*").alias("m"), F.sort_array(F.collect_list("h")).alias("hs"))
     alone = F.col("n") - F.col("m")
     left = F.col("n") - F.ceil(F.col("n") * law.percent / 100) + 1 - alone
-    first = rows.groupBy("set_id", "n").agg(F.count("*").alias("m"), F.sort_array(F.collect_list("h")).alias("hs")).where(left > 0)
-    return first.select(F.posexplode(F.slice("hs", F.lit(1), left.cast("int"))).alias("i", "h"), "set_id", "n", alone.alias("alone")).select(
-        "h", "set_id", "n", (F.col("alone") + F.col("i")).alias("at"))
+    first = found.join(sets.select("set_id", "n"), "set_id").where(left > 0)
+    return first.select(F.posexplode(F.slice("hs", F.lit(1), left.cast("int"))).alias("i", "h"), "set_id", alone.alias("alone")).select(
+        "h", "set_id", (F.col("alone") + F.col("i")).alias("at"))
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -171,34 +185,47 @@ def _open(lists: DataFrame) -> DataFrame:
 
 
 def _joined(lists: DataFrame, sets: DataFrame, law: Threshold) -> DataFrame:
-    """(node, label) of the sets that link to others, from the candidate lists (h, set_id, n, at)."""
+    """(node, label) of the sets that link to others, from the candidate lists (h, set_id, at).
+
+    Round by round: in each open list the most central set, later the sets whose label is rarest in the list, are pivots;
+    each is compared with all sets of other labels that it may link to, by place and parity, and leaves the list.
+    """
     spark = lists.sparkSession
-    lists = checkpoint(_open(lists.withColumn("label", F.col("set_id"))))
+    lists = lists.join(sets.drop("keys"), "set_id").withColumn("label", F.col("set_id"))
+    lists = settled(_open(lists))
     labels = spark.createDataFrame([], "node long, label long")
     tested = spark.createDataFrame([], "a long, b long")
-    central = 1
+    pivots_each = 1
     while not lists.isEmpty():
-        place = F.row_number().over(Window.partitionBy("h").orderBy("at", "set_id"))
-        pivots = checkpoint(lists.withColumn("place", place).where(F.col("place") <= central))
-        p, o = pivots.select(*[F.col(c).alias(f"p_{c}") for c in lists.columns]), lists
+        counted = lists.groupBy("h", "label").agg(F.count("*").alias("alike"))
+        place = F.row_number().over(Window.partitionBy("h").orderBy("alike", "at", "set_id"))
+        pivots = settled(lists.join(counted, ["h", "label"]).withColumn("place", place).where(F.col("place") <= pivots_each).drop("place", "alike"))
+        p = pivots.select(*[F.col(c).alias(f"p_{c}") for c in pivots.columns])
         need = law.overlap_of(F.col("n"), F.col("p_n"))
-        fit = (F.col("n") - F.col("at") >= need) & (F.col("p_n") - F.col("p_at") >= need)
-        pairs = o.join(p, (F.col("h") == F.col("p_h")) & (F.col("label") != F.col("p_label")) & fit)
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in _PARITIES), F.lit(0))
+        fit = (F.col("n") - F.col("at") >= need) & (F.col("p_n") - F.col("p_at") >= need) & (differ <= F.col("n") + F.col("p_n") - 2 * need)
+        pairs = lists.join(p, (F.col("h") == F.col("p_h")) & (F.col("label") != F.col("p_label")) & fit)
         pairs = pairs.select(F.least("set_id", "p_set_id").alias("a"), F.greatest("set_id", "p_set_id").alias("b")).distinct()
-        pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-        side = lambda c: sets.select(F.col("set_id").alias(c), F.col("keys").alias(f"{c}_keys"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        shared = F.size(F.array_intersect("a_keys", "b_keys"))
-        linked = both.where(100 * shared >= law.percent * (F.size("a_keys") + F.size("b_keys") - shared)).select("a", "b")
-        tested = checkpoint(tested.union(pairs))
-        labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(linked)))
+        pairs = settled(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        labels = settled(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_linked(pairs, sets, law))))
         rest = lists.drop("label").join(pivots.select("h", "set_id"), ["h", "set_id"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        lists = checkpoint(_open(rest.select(*lists.columns)))
-        central *= 4
+        lists = settled(_open(rest.select(*lists.columns)))
+        pivots_each *= 4096
     return labels
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, law: Threshold) -> DataFrame:
+    """Pairs (a, b) whose whole sets link. Where pairs are few they are sent to the sets, of which only the wanted ones move."""
+    some = few(pairs)
+    first = sets.select(F.col("set_id").alias("a"), F.col("keys").alias("a_keys")).join(some, "a")
+    second = sets.select(F.col("set_id").alias("b"), F.col("keys").alias("b_keys")).join(some.select("b"), "b", "left_semi")
+    both = first.join(second, "b")
+    shared = F.size(F.array_intersect("a_keys", "b_keys"))
+    return both.where(100 * shared >= law.percent * (F.size("a_keys") + F.size("b_keys") - shared)).select("a", "b")
+
+
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``docs``: component_id is the smallest key reachable by links.
 
@@ -208,34 +235,33 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, text: str
     """
     law = Threshold(percent)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
-    base = checkpoint(_sets(source, "body", size, law, False).withColumn("row", F.monotonically_increasing_id()))
+    base = stored(_sets(source, "body", size, law, False).withColumn("row", F.monotonically_increasing_id()))
     full = base.where("n > 0")
-    unique_ids = checkpoint(full.groupBy("set_id").agg(F.min("key").alias("key"), F.min(F.struct("row", "key")).alias("kept")))
-    rows = few(unique_ids.select(F.col("kept.row").alias("row")))
-    unique = full.join(rows, "row", "left_semi").select("set_id", "n", "keys")
+    # A set goes by the number of the first row that has it: shorter than its digest where many are moved.
+    unique_ids = stored(full.groupBy("digest").agg(F.min("key").alias("least"), F.min(F.struct("row", "key")).alias("kept")).select("digest", "least", "kept.row", "kept.key"))
+    unique = full.join(few(unique_ids.select("row")), "row", "left_semi").select(F.col("row").alias("set_id"), "n", "keys")
     most = _boundary(unique, law)
-    small = checkpoint(_subsets(unique, most, law))
-    large_ids = checkpoint(_screened(unique, most, law))
-    wanted = checkpoint(
-        large_ids.withColumn("large", F.lit(True)).union(small.select("set_id", F.lit(False))).groupBy("set_id").agg(F.max("large").alias("large"))
-        .join(unique_ids.select("set_id", F.col("kept.key").alias("key")), "set_id"))
-    sets = checkpoint(_sets(_holders(source, wanted), "body", size, law, True).join(few(wanted.select("set_id", "large")), "set_id"))
+    small = settled(_subsets(unique, most, law))
+    large_ids = settled(_screened(unique, most, law))
+    wanted = large_ids.withColumn("large", F.lit(True)).union(small.select("set_id", F.lit(False))).groupBy("set_id").agg(F.max("large").alias("large"))
+    wanted = settled(wanted.join(unique_ids.select("digest", F.col("row").alias("set_id"), "key"), "set_id"))
+    sets = stored(_sets(_holders(source, wanted), "body", size, law, True).join(few(wanted.select("digest", "set_id", "large")), "digest").drop("digest", "key"))
     if sets.count() > wanted.count():  # keys that stand in several rows
-        sets = checkpoint(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("large").alias("large")))
-    lists = small.union(_lists(sets.where("large"), law).select(*small.columns))
-    labels = _joined(lists, sets.select("set_id", "keys"), law)
-    named = unique_ids.select("set_id", "key").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = checkpoint(named.select("set_id", "key", F.coalesce("label", "set_id").alias("label")))
-    least = named.groupBy("label").agg(F.min("key").alias("component_id"))
-    member = named.join(least, "label").select("set_id", "component_id")
+        sets = stored(sets.groupBy("set_id").agg(*[F.first(c).alias(c) for c in sets.columns if c != "set_id"]))
+    lists = small.select("h", "set_id", F.lit(0).cast("long").alias("at")).union(_lists(sets.where("large"), law))
+    labels = _joined(lists, sets.drop("large"), law)
+    named = unique_ids.select("digest", F.col("row").alias("set_id"), "least").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = checkpoint(named.select("digest", "least", F.coalesce("label", "set_id").alias("label")))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    member = named.join(least, "label").select("digest", "component_id")
     own = [F.col("key").alias(key), F.col("n").alias("n_shingles")]
-    joined = full.join(member, "set_id").select(*own, "component_id")
+    joined = full.join(member, "digest").select(*own, "component_id")
     return joined.union(base.where("n = 0").select(*own, F.col("key").alias("component_id")))
 
 
 def _holders(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``source`` whose key is a wanted one, null keys too."""
-    keys = few(checkpoint(wanted.select(F.col("key").alias("wanted_key")).distinct()))
+    keys = few(settled(wanted.select(F.col("key").alias("wanted_key")).distinct()))
     return source.join(keys, source["key"].eqNullSafe(keys["wanted_key"]), "left_semi")
 
 
