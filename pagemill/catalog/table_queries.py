@@ -76,10 +76,10 @@ def job_counters(spark, sf):
     return loads.job_counters(_job_items(spark, sf))
 
 
-@query("job_rows", f"""{_ITEMS} select job as id, 'post' as template_type, 'completed' as status, count(*) as total_records, count(*) filter (status = 'created') as created_count,
+@query("job_rows", f"""{_ITEMS} select job as id, 'post' as template_type, 'completed' as status, 'upsert' as import_mode, 'csv' as source_type, 'r1' as recipe_id, timestamp '2024-05-01' as created_at, count(*) as total_records, count(*) filter (status = 'created') as created_count,
     count(*) filter (status = 'updated') as updated_count, 0::bigint as skipped_count, 0::bigint as failed_count, '{{}}' as recipe_json from i group by job""")
 def job_rows(spark, sf):
-    return loads.job_row(_job_items(spark, sf), "post")
+    return loads.job_row(_job_items(spark, sf), "post", mode="upsert", source_type="csv", recipe_id="r1", created_at=F.lit("2024-05-01").cast("timestamp"))
 
 
 @query("jobs_with_items", """
@@ -354,10 +354,14 @@ def newest_per_group(spark, sf):
     return C.newest_first(o, "o_custkey", "at", 3).select("o_custkey", "o_orderkey")
 
 
-@query("visible_rows", "select 'public' as role, count(*) as n from orders where o_orderstatus <> 'F' union all select 'signed_in', count(*) from orders union all select 'import_public', 0")
+@query("visible_rows", "select 'public' as role, count(*) as n from orders where o_orderstatus <> 'F' union all select 'signed_in', count(*) from orders union all select 'import_public', 0 union all select 'import_named', count(*) from orders union all select 'import_other', 0 union all select 'categories_public', count(*) from nation")
 def visible_rows(spark, sf):
     p = _posts(spark, sf)
     parts = [("public", C.visible_rows(p, "public", "posts")), ("signed_in", C.visible_rows(p, "signed_in", "posts")), ("import_public", C.visible_rows(p, "public", "import"))]
+    admins = table(spark, sf, "supplier").select(F.col("s_name").alias("user_id"))
+    named = admins.agg(F.min("user_id")).first()[0]
+    parts += [("import_named", C.visible_rows(p, "signed_in", "import", admins, named)), ("import_other", C.visible_rows(p, "signed_in", "import", admins, "nobody"))]
+    parts.append(("categories_public", C.visible_rows(table(spark, sf, "nation"), "public", "categories")))
     return K.union_all([d.agg(F.count("*").alias("n")).select(F.lit(r).alias("role"), "n") for r, d in parts])
 
 

@@ -190,7 +190,3 @@ def media_violations(df: DataFrame, key: str, mime: str = "mime_type", size: str
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

@@ -68,11 +68,6 @@ def is_block_array(content: Column) -> Column:
     return F.coalesce(F.size(bad) == 0, F.lit(False)) & items.isNotNull()
 
 
-def is_renderable(content: Column) -> Column:
-    kind = F.schema_of_variant(F.try_parse_json(content))
-    return content.isNull() | (kind == "VOID") | F.startswith(kind, F.lit("OBJECT")) | is_block_array(content)
-
-
 def page_kind(page_type: Column, content: Column) -> Column:
     practice = F.coalesce(page_type == "practice", F.lit(False)) | has_content_keys(content, "practice")
     return F.when(practice, "practice").otherwise("generic")
@@ -282,22 +277,22 @@ def injected_page_data(paths: DataFrame, path: str, pages: DataFrame, posts: Dat
     )
 
 
-def card_image(*candidates: Column) -> Column:
-    """First filled image of a listing card."""
-    return first_filled(*candidates)
-
-
 def visible_rows(df: DataFrame, role: str, kind: str, admins: DataFrame | None = None, user: str | None = None) -> DataFrame:
-    """Rows a role may read: published for the public, all for signed-in users, import tables for admins only."""
+    """Rows a role may read: published for the public, all for signed-in users, import tables for admins only.
+
+    With ``admins`` (``user_id``) a signed-in ``user`` counts as an admin if the table names them, and is none
+    otherwise. Tables without a status (templates, categories, media, forms) are open to all.
+    """
     if kind == "import":
-        if role != "admin":
-            return df.limit(0)
-        return df
+        if admins is not None:
+            named = admins.where(F.col("user_id") == F.lit(user)).select(F.lit(True).alias("_named")).distinct()
+            return df.withColumn("_named", F.lit(True)).join(named, "_named", "left_semi").drop("_named")
+        return df if role == "admin" else df.limit(0)
     if role in ("admin", "signed_in"):
         return df
     if kind == "redirects":
         return df.where(F.coalesce(F.col("enabled"), F.lit(False)))
-    return df.where(F.col("status") == "published")
+    return df.where(F.col("status") == "published") if "status" in df.columns else df
 
 
 def newest_first(df: DataFrame, key: str, order: str, top: int) -> DataFrame:

@@ -57,8 +57,11 @@ def job_items(outcomes: DataFrame, job_id: Column) -> DataFrame:
     )
 
 
-def job_row(items: DataFrame, template: str, recipe_json: str = "{}") -> DataFrame:
-    """Job rows with their counters, the recipe kept as a snapshot."""
+def job_row(
+    items: DataFrame, template: str, recipe_json: str = "{}", mode: str | None = None, source_type: str | None = None,
+    recipe_id: str | None = None, created_at: Column | None = None,
+) -> DataFrame:
+    """Job rows with their counters and when and how they ran, the recipe kept as a snapshot. ``created_at`` defaults to now."""
     def n(status: str) -> Column:
         return F.count_if(F.col("status") == status).alias(f"{status}_count")
 
@@ -66,6 +69,8 @@ def job_row(items: DataFrame, template: str, recipe_json: str = "{}") -> DataFra
         F.count("*").alias("total_records"), n("created"), n("updated"), n("skipped"), n("failed")
     ).select(
         F.col("import_job_id").alias("id"), F.lit(template).alias("template_type"), F.lit("completed").alias("status"),
+        F.lit(mode).cast("string").alias("import_mode"), F.lit(source_type).cast("string").alias("source_type"),
+        F.lit(recipe_id).cast("string").alias("recipe_id"), (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
         "total_records", "created_count", "updated_count", "skipped_count", "failed_count", F.lit(recipe_json).alias("recipe_json"),
     )
 
@@ -83,7 +88,3 @@ def jobs_with_items(jobs: DataFrame, items: DataFrame) -> DataFrame:
 def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
     return jobs.orderBy(F.desc_nulls_first("created_at"), "id").limit(limit)
 
-
-def append(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)

@@ -39,7 +39,7 @@ def import_batches(
         done = load_outcomes(before if before is not None else rows.limit(0), rows, key, order, mode)
         job_items(done, F.lit(f"batch-{batch_id}")).write.mode("overwrite").parquet(f"{items}/batch_id={batch_id}")
         log = spark.read.parquet(f"{items}/batch_id={batch_id}")
-        job_row(log, template).write.mode("overwrite").parquet(f"{jobs}/batch_id={batch_id}")
+        job_row(log, template, mode=mode, source_type="stream").write.mode("overwrite").parquet(f"{jobs}/batch_id={batch_id}")
         written_rows(rows, log, key, order).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
