@@ -643,11 +643,15 @@ def _phone_pages(spark, sf):
 
 @query("phone_mapping", """select page_id, '5124441000' as original_digits, '512555' || lpad((page_id % 10000)::varchar, 4, '0') as swapped_digits from pages""")
 def phone_mapping(spark, sf):
-    return tracking.phone_mapping(tracking.phone_counts(_phone_pages(spark, sf), "page_id", "html"), "page_id")
+    return tracking.page_mapping(_phone_pages(spark, sf), "page_id", "html")
 
 
-@query("phone_rewrite")
+_PHONE_BODY = """'<p>Call <a href="tel:' || n || '">now</a> or ' || o || ', ' || o || case when page_id % 2 = 0 then ' <a href="tel:' || n || '">x</a>' else '' end || ', 512.333.' || lpad((page_id % 10000)::varchar, 4, '0') || '</p>'"""
+
+
+@query("phone_rewrite", f"""
+    with p as (select page_id, html, '512555' || lpad((page_id % 10000)::varchar, 4, '0') as n from pages),
+    f as (select *, '512-555-' || substr(n, 7) as o from p)
+    select page_id, replace(html, '<article>', '<article>' || {_PHONE_BODY}) as html from f""")
 def phone_rewrite(spark, sf):
-    p = _phone_pages(spark, sf)
-    m = tracking.phone_mapping(tracking.phone_counts(p, "page_id", "html"), "page_id")
-    return tracking.sync_pages(p, "page_id", "html", m)
+    return tracking.sync_pages(_phone_pages(spark, sf).select("page_id", "html"), "page_id", "html")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagemill.functions.text import WS, null_if_empty, slugify, strip_ws
+from pagemill.functions.text import null_if_empty, slugify, strip_ws
 
 # The query parameters that lead tracking captures.
 TRACKING_PARAMS = [

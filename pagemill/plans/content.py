@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagemill.functions.text import first_filled, null_if_empty
+from pagemill.functions.text import null_if_empty
 from pagemill.functions.urls import cms_path, is_blog_post_path, strip_slashes
 from pagemill.operators.forms import route_lookups
 

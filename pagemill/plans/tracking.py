@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions.phones import format_variants, primary_format, sync_digits, sync_phones
-from pagemill.functions.text import null_if_blank, plain_text, replace_first, strip_ws
+from pagemill.functions.text import once, null_if_blank, plain_text, replace_first, strip_ws
 from pagemill.functions.html import strip_page_shell
 from pagemill.functions.urls import TRACKING_PARAMS, query_param
 
@@ -43,29 +43,70 @@ def text_numbers(html: Column) -> Column:
     return sync_phones(plain_text(F.regexp_replace(strip_page_shell(html), TEL_LINK, " ")))
 
 
+def _with_numbers(df: DataFrame, html: str) -> DataFrame:
+    """``df`` and ``_numbers``: one entry per number of a page, counted inside the row."""
+    found = F.struct(tel_numbers(F.col(html)).alias("links"), text_numbers(F.col(html)).alias("texts"))
+
+    def counted(v: Column) -> Column:
+        links, texts = v["links"], v["texts"]
+
+        def times(numbers: Column, d: Column) -> Column:
+            return F.size(F.filter(numbers, lambda x: x == d)).cast("long")
+
+        def first(numbers: Column, d: Column) -> Column:
+            at = F.array_position(numbers, d)
+            return F.when(at > 0, (at - 1).cast("int"))
+
+        return F.transform(
+            F.array_distinct(F.concat(links, texts)),
+            lambda d: F.struct(
+                d.alias("digits"), times(links, d).alias("in_links"), times(texts, d).alias("in_text"),
+                first(links, d).alias("first_link"), first(texts, d).alias("first_text"),
+            ),
+        )
+
+    return df.withColumn("_numbers", once(found, counted))
+
+
 def phone_counts(df: DataFrame, key: str, html: str) -> DataFrame:
     """``key, digits, in_links, in_text, first_link, first_text``: one row per number and page."""
-    h = F.col(html)
-    links = df.select(key, F.posexplode(tel_numbers(h)).alias("pos", "digits")).withColumn("kind", F.lit("link"))
-    texts = df.select(key, F.posexplode(text_numbers(h)).alias("pos", "digits")).withColumn("kind", F.lit("text"))
-    link, text = F.col("kind") == "link", F.col("kind") == "text"
-    return links.unionByName(texts).groupBy(key, "digits").agg(
-        F.count_if(link).alias("in_links"), F.count_if(text).alias("in_text"),
-        F.min(F.when(link, F.col("pos"))).alias("first_link"), F.min(F.when(text, F.col("pos"))).alias("first_text"),
-    )
+    return _with_numbers(df.select(key, html), html).select(key, F.inline("_numbers"))
 
 
 def phone_mapping(counts: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
-    """``key, original_digits, swapped_digits``: which number stands for which, per page.
+    """``key, original_digits, swapped_digits`` from a table of ``phone_counts``; see ``page_mapping``. A page's numbers are few."""
+    gathered = F.collect_list(F.struct("digits", "in_links", "in_text", "first_link", "first_text")).alias("_numbers")
+    return _mapping(counts.groupBy(key).agg(gathered), key, known, [key])
+
+
+def page_mapping(df: DataFrame, key: str, html: str, known: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``key, original_digits, swapped_digits``: which number stands for which, per page, inside the row.
 
     Two or more linked numbers: a known original, else the linked number most frequent in the
     text, else whatever differs from the last swapped number, else the most linked one. One
     linked number: the text number that differs from it. ``known(key, originals, last_swapped)``
-    is the state of earlier runs. A page's numbers are few; they meet in one row.
+    is the state of earlier runs. With ``keep`` all pages stay, with these columns, and unmapped numbers are NULL.
     """
-    sorted_links = F.array_sort(F.collect_list(F.when(F.col("in_links") > 0, F.struct("first_link", "digits", "in_links", "in_text"))))
-    sorted_texts = F.array_sort(F.collect_list(F.when(F.col("in_text") > 0, F.struct((-F.col("in_text")).alias("rank"), "first_text", "digits"))))
-    pages = counts.groupBy(key).agg(sorted_links.alias("links"), sorted_texts.alias("texts")).where(F.size("links") > 0)
+    return _mapping(_with_numbers(df, html), key, known, keep or [key], all_pages=keep is not None)
+
+
+def _mapping(pages: DataFrame, key: str, known: DataFrame | None, keep: list[str], all_pages: bool = False) -> DataFrame:
+    def order(n: Column) -> Column:
+        return F.struct(n["first_link"].alias("first_link"), n["digits"].alias("digits"), n["in_links"].alias("in_links"), n["in_text"].alias("in_text"))
+
+    def rank(n: Column) -> Column:
+        return F.struct((-n["in_text"]).alias("rank"), n["first_text"].alias("first_text"), n["digits"].alias("digits"))
+
+    pages = pages.select(
+        *[F.col(f"`{c}`") for c in keep],
+        once(F.col("_numbers"), lambda v: F.struct(
+            F.array_sort(F.transform(F.filter(v, lambda n: n["in_links"] > 0), order)).alias("links"),
+            F.array_sort(F.transform(F.filter(v, lambda n: n["in_text"] > 0), rank)).alias("texts"),
+        )).alias("_sorted"),
+    )
+    # Generated rows keep Spark from writing the whole expression out again at every use of it.
+    pages = pages.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array("_sorted")).alias("_s")).select(*[F.col(f"`{c}`") for c in keep], "_s.links", "_s.texts")
+    pages = pages if all_pages else pages.where(F.size("links") > 0)
     if known is not None:
         pages = pages.join(known.select(key, "originals", "last_swapped"), key, "left")
     else:
@@ -91,11 +132,15 @@ def phone_mapping(counts: DataFrame, key: str, known: DataFrame | None = None) -
     text_other = first_digits(F.filter("texts", lambda t: t["digits"] != only))
     known_other = F.when(only == last, F.get(F.filter(originals, lambda d: d != only), F.lit(0)))
     many = F.size(links) >= 2
-    chosen = pages.select(key, "links", last.alias("last"), F.when(many, original_many).otherwise(F.coalesce(text_other, known_other)).alias("original_digits"), many.alias("many"), only.alias("only"))
+    chosen = pages.select(*keep, "links", last.alias("last"), F.when(many, original_many).otherwise(F.coalesce(text_other, known_other)).alias("original_digits"), many.alias("many"), only.alias("only"))
     rest = F.filter("links", lambda l: l["digits"] != F.col("original_digits"))
     swapped = F.when(F.exists(rest, lambda l: l["digits"] == F.col("last")), F.col("last")).otherwise(first_digits(rest))
-    out = chosen.select(key, "original_digits", F.when(F.col("many"), swapped).otherwise(F.col("only")).alias("swapped_digits"))
-    return out.where(F.col("original_digits").isNotNull() & F.col("swapped_digits").isNotNull() & (F.col("original_digits") != F.col("swapped_digits")))
+    original, swap = F.col("original_digits"), F.when(F.col("many"), swapped).otherwise(F.col("only"))
+    found = chosen.select(*keep, original, swap.alias("swapped_digits"))
+    good = F.coalesce(original != F.col("swapped_digits"), F.lit(False))
+    if not all_pages:
+        return found.where(good)
+    return found.select(*keep, F.when(good, original).alias("original_digits"), F.when(good, F.col("swapped_digits")).alias("swapped_digits"))
 
 
 def rewrite_phones(text: Column, original: Column, swapped: Column) -> Column:
@@ -112,7 +157,8 @@ def rewrite_page(html: Column, original: Column, swapped: Column) -> Column:
     )
 
 
-def sync_pages(df: DataFrame, key: str, html: str, mapping: DataFrame) -> DataFrame:
-    joined = df.join(mapping, key, "left")
+def sync_pages(df: DataFrame, key: str, html: str, known: DataFrame | None = None) -> DataFrame:
+    """``df`` with each page's original number swapped; without ``known`` nothing is shuffled."""
+    joined = page_mapping(df, key, html, known, keep=df.columns)
     new = F.when(F.col("original_digits").isNotNull(), rewrite_page(F.col(html), F.col("original_digits"), F.col("swapped_digits"))).otherwise(F.col(html))
     return joined.withColumn(html, new).select(*df.columns)
