@@ -7,14 +7,13 @@ these are mapped to characters of the original.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import ALNUM, append, checkpoint, few, texts, words
+from pagemill.llm.common import ALNUM, append, checkpoint, texts, words
 
 #: Bytes of item texts in one automaton. More items are read in several blocks, a pass over the texts for each.
 BLOCK_BYTES = 16 << 20
