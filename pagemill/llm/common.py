@@ -34,11 +34,23 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
-def append(df: DataFrame, ddl: str, start: Callable[[], Batch], needs: Iterable[str] = ()) -> DataFrame:
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """A large object that a worker process keeps over tasks. It keeps one at a time: a task of another kind frees it."""
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        _HELD.update(key=key, value=make())
+    return _HELD["value"]
+
+
+def append(df: DataFrame, ddl: str, start: Callable[[], Batch], needs: Iterable[str] = (), keeps: bool = False) -> DataFrame:
     """``df`` and new columns that Python makes from each Arrow batch; no shuffle.
 
     ``start()`` runs once in each task and returns the function from a batch to the list of new columns.
     Columns of ``df`` named like a new one are replaced, unless ``needs`` says that the function reads them.
+    ``keeps`` says that ``start`` uses ``held``; else what the worker holds is freed first.
     """
     bound_batches(df.sparkSession)
     new = StructType.fromDDL(ddl)
@@ -51,6 +63,8 @@ def append(df: DataFrame, ddl: str, start: Callable[[], Batch], needs: Iterable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        if not keeps:
+            _HELD.clear()
         made = start()
         types = [to_arrow_type(f.dataType) for f in new.fields]
         for batch in batches:

@@ -4,15 +4,13 @@ Each prefix of a text has one last token in the encoding of that prefix. An auto
 vocabulary finds the tokens that end at a position; the one that goes with the last token of the prefix
 before it (the pair, merged alone, stays this pair) is the last token here. The ids of the whole text are
 then read from the table backwards. No merge crosses from a letter to a later blank, so the table is made
-for each chunk of blanks and the letters after it, and kept for chunks that come again.
+for each chunk of blanks and the letters after it, and kept for words that come again.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
-import re
 
 import ahocorasick
 import numpy as np
@@ -20,16 +18,16 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import append, texts
+from pagemill.llm.common import append, held, texts
 
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
 #: Largest model file that is sent to the executors.
 MODEL_BYTES = 64 << 20
-#: Chunks and token pairs that a worker remembers; a full memory is emptied.
-REMEMBERED = 400_000
-#: Longer chunks are not remembered.
-CHUNK_CHARS = 48
+#: Words and token pairs that a worker remembers; a full memory is emptied.
+REMEMBERED = 300_000
+#: Longer words are not remembered.
+WORD_CHARS = 48
 
 
 class PieceModel:
@@ -56,8 +54,8 @@ class PieceModel:
                 self.ends.add_word(piece, (i, len(piece)))
         self.ends.make_automaton()
         self.known = frozenset(p for p in self.rank if len(p) == 1)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Best pair first, leftmost of equals: the definition, used for token pairs and runs of blanks."""
@@ -84,11 +82,10 @@ class PieceModel:
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether the two tokens' joint text is encoded as these two."""
-        if (known := self.pairs.get((first, second))) is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            a, b = self.names[first], self.names[second]
-            self.pairs[first, second] = known = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        a, b = self.names[first], self.names[second]
+        self.pairs[first << 32 | second] = known = self.merged(a + b) == [a, b]
         return known
 
     def table(self, text: str) -> list[int]:
@@ -101,7 +98,7 @@ class PieceModel:
                 if before < 0:
                     last[end] = token
                 elif (left := last[before]) >= 0:
-                    known = pairs.get((left, token))
+                    known = pairs.get(left << 32 | token)
                     if compatible(left, token) if known is None else known:
                         last[end] = token
         out, at = [], len(text) - 1
@@ -128,41 +125,43 @@ class PieceModel:
     def blanks(self, n: int) -> list[int]:
         return [self.ids[p] for p in self.merged(BLANK * n)] if n else []
 
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of blanks and the letters after them. Blanks merge among themselves last, so the letters take theirs first."""
-        if (known := self.chunks.get(chunk)) is not None:
-            return known
-        body = chunk.lstrip(BLANK)
-        n = len(chunk) - len(body)
-        if body:
-            ids = self.letters(BLANK + body)
-            bare = ids[0] == self.ids[BLANK]
-            ids = self.blanks(n) + ids[1:] if bare else self.blanks(n - 1) + ids
-        else:
-            ids = self.blanks(n)
-        out = np.array(ids, np.int32).tobytes()
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[chunk] = out
-        return out
+    def chunk(self, n: int, body: str) -> bytes:
+        """Ids of n blanks and the letters after them. Blanks merge among themselves last, so the letters take theirs first."""
+        ids = self.letters(BLANK + body)
+        bare = ids[0] == self.ids[BLANK]
+        return np.array(self.blanks(n) + ids[1:] if bare else self.blanks(n - 1) + ids, np.int32).tobytes()
+
+    def word(self, body: str) -> bytes:
+        """Ids of one blank and the letters after it."""
+        if (known := self.words.get(body)) is None:
+            known = self.chunk(1, body)
+            if len(body) <= WORD_CHARS:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[body] = known
+        return known
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        found = re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + text.replace(" ", BLANK))
-        return np.frombuffer(b"".join(map(self.chunk, found)), np.int32)
+        found = text.replace(BLANK, " ").split(" ")  # a blank stands before the text, too
+        if "" not in found:
+            return np.frombuffer(b"".join(map(self.word, found)), np.int32)
+        out, n = [], 1
+        for body in found:
+            if body:
+                out.append(self.word(body) if n == 1 else self.chunk(n, body))
+                n = 1
+            else:
+                n += 1
+        if n > 1:
+            out.append(np.array(self.blanks(n - 1), np.int32).tobytes())
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
 
-@functools.lru_cache(2)
-def model_of(proto: bytes) -> PieceModel:
-    """One model for each worker process."""
-    return PieceModel(proto)
-
-
 def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``decoded``, the text that the ids stand for.
 
@@ -176,7 +175,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataF
         proto = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        model = model_of(proto.value)
+        model = held(("pieces", hash(proto.value)), lambda: PieceModel(proto.value))
 
         def batch(rows):
             found = [model.encode(t or "") for t in texts(rows, text)]
@@ -187,7 +186,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataF
 
         return batch
 
-    return append(docs, "ids array<int>, decoded string", start, needs=[text] if text in ("ids", "decoded") else [])
+    return append(docs, "ids array<int>, decoded string", start, needs=[text] if text in ("ids", "decoded") else [], keeps=True)
 
 
 def op1_pieces(spark, sf_dir: str) -> DataFrame:
