@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -9,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+import pagemill
 from pagemill.session import checkpoint  # noqa: F401  (the operators take it from here)
 
 #: Text bytes that one Arrow batch may hold, so that a run of very long texts stays within a worker's memory.
@@ -19,8 +24,19 @@ BATCH_ROWS = 2000
 Batch = Callable[[pa.RecordBatch], list]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers where they would not find it: imported from a path of the driver's own."""
+    root = os.path.realpath(os.path.dirname(os.path.dirname(pagemill.__file__)))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    sc = spark.sparkContext
+    if root in map(os.path.realpath, filter(None, found)) or any(os.path.basename(x) == "pagemill.zip" for x in sc.listFiles):
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="pagemill-"), "pagemill"), "zip", root, "pagemill"))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to ``BATCH_BYTES`` and ``BATCH_ROWS``, unless the session already asks for less."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
         now = spark.conf.get(key, None)
         digits = "".join(c for c in str(now or "") if c.isdigit())
