@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pagemill.operators.rules import Recipe, Rule
 from pagemill.functions import text as X
 from pagemill.operators.sections import FAQ_TYPE
 
@@ -159,3 +160,16 @@ def majority_rules(diff: DataFrame) -> DataFrame:
         F.max_by("rule", F.struct("samples", "rule")).alias("rule"), F.max("samples").alias("samples")
     )
     return best.select("target_field", "rule.*", "samples")
+
+
+def infer_recipe(majority: DataFrame, template: str = "post", name: str = "") -> Recipe:
+    """A recipe that ``run_recipe`` takes, from the table of ``majority_rules``: one row per target field, control data."""
+    rules = []
+    for i, r in enumerate(majority.orderBy("target_field").collect(), 1):
+        sources = list(r["source_fields"] or [])
+        config = {
+            "static_value": {"value": r["static_value"]}, "concat": {"fields": sources},
+            "slugify": {"sourceField": sources[0] if sources else "title", "prefix": r["prefix"] or ""},
+        }.get(r["rule_type"], {"sourceField": sources[0]} if sources else {})
+        rules.append(Rule(f"rule_{i}", r["target_field"], r["rule_type"], config, inferred_from="diff"))
+    return Recipe(rules, template=template, name=name)

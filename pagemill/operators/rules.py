@@ -7,9 +7,10 @@ rule type of the user's own.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields as fields_of_class
 from typing import Any
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -44,6 +45,17 @@ class Recipe:
     def uses_ai(self) -> bool:
         return any(r.rule_type == "ai_transform" and r.enabled for r in self.rules)
 
+    def to_json(self) -> str:
+        """The recipe as the recipe store keeps it."""
+        return json.dumps(asdict(self), ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Recipe:
+        """A recipe from ``to_json``; unknown keys are left out, missing ones take their defaults."""
+        known = lambda kind, d: {k: v for k, v in d.items() if k in {f.name for f in fields_of_class(kind)}}
+        given = known(cls, json.loads(text))
+        return cls(**given | {"rules": [Rule(**known(Rule, r)) for r in given.get("rules", [])]})
+
 
 @dataclass
 class RuleResult:

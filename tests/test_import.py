@@ -130,6 +130,17 @@ def test_slug_collisions_match_the_ordered_loop(spark, template):
     assert kept == slugs
 
 
+def test_recipe_from_samples_and_json(spark):
+    from pagemill.operators.inference import infer_recipe
+
+    rows = [("title", "direct_map", ["name"], None, None, 3), ("slug", "slugify", ["name"], "p-", None, 3), ("og_title", "concat", ["name", "author"], None, None, 2), ("status", "static_value", [], None, "draft", 2)]
+    table = spark.createDataFrame(rows, "target_field string, rule_type string, source_fields array<string>, prefix string, static_value string, samples int")
+    recipe = infer_recipe(table, "post", "n")
+    assert Recipe.from_json(recipe.to_json()) == recipe
+    assert {r.target: r.config for r in recipe.rules} == {"title": {"sourceField": "name"}, "slug": {"sourceField": "name", "prefix": "p-"}, "og_title": {"fields": ["name", "author"]}, "status": {"value": "draft"}}
+    assert Recipe.from_json('{"name": "x", "other": 1, "rules": [{"id": "a", "target": "t", "rule_type": "ignore", "z": 2}]}').rules[0].rule_type == "ignore"
+
+
 def test_large_duplicate_groups_keep_every_row(spark):
     df = spark.range(1500).select(F.col("id").alias("r"), L("same").alias("k"))
     got = duplicate_issues(df, "r", "k", "post")
