@@ -25,7 +25,7 @@ BLANK = "▁"
 #: Largest model file that is sent to the executors.
 MODEL_BYTES = 64 << 20
 #: Words and token pairs that a worker remembers; a full memory is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Longer words are not remembered.
 WORD_CHARS = 48
 
@@ -85,7 +85,8 @@ class PieceModel:
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
         a, b = self.names[first], self.names[second]
-        self.pairs[first << 32 | second] = known = self.merged(a + b) == [a, b]
+        # Two tokens that make a piece never stay apart.
+        self.pairs[first << 32 | second] = known = a + b not in self.rank and self.merged(a + b) == [a, b]
         return known
 
     def table(self, text: str) -> list[int]:
