@@ -2,7 +2,7 @@
 
 A worklist starts with the text itself. Each layer is scanned; its percent-encoded, Unicode-escaped and base64
 runs are decoded, and decoded bytes unpacked where they are gzip, zlib or bzip2 data. What comes out is a new layer
-unless it was seen before in this text, until nothing new turns up. Every layer knows which characters of the
+unless the same was seen before from the same place of this text, until nothing new turns up. Every layer knows which characters of the
 original each of its characters came from, so a secret found five layers deep is a span of the text.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import re
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -64,6 +66,13 @@ class Layer:
             return start, end
         return min(self.starts[start:end]), max(self.ends[start:end])
 
+    def key(self) -> bytes:
+        """What makes a layer a new one: the same text from other places holds other spans."""
+        out = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        out.update(array("q", self.starts))
+        out.update(array("q", self.ends))
+        return out.digest()
+
     def places(self, start: int, end: int) -> tuple[list[int], list[int]]:
         if self.starts is None:
             return list(range(start, end)), list(range(start + 1, end + 1))
@@ -202,13 +211,13 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
         return [], []
     base = plain_matches(text)
     every = set(base)
-    work, seen = [Layer(text)], {text}
+    work, seen = [Layer(text)], set()
     while work:
         layer = work.pop()
         for inner in _inner(layer):
-            if inner.text in seen:
+            if (key := inner.key()) in seen:
                 continue
-            seen.add(inner.text)
+            seen.add(key)
             work.append(inner)
             every.update((s, kind, e) for start, kind, end in plain_matches(inner.text) for s, e in [inner.origin(start, end)])
     return base, sorted(every)

@@ -483,6 +483,23 @@ def test_layer_places():
     assert secrets.find_spans("%2525252541" * 50 + " %25" * 100)[1] == []  # ends
 
 
+@pytest.mark.parametrize("wraps", [
+    [lambda s: quote(s, safe="")] * 2, [lambda s: base64.b64encode(s.encode()).decode()] * 3, [lambda s: "".join(f"\\u{ord(c):04x}" for c in s)] * 2,
+    [lambda s: base64.b64encode(gzip.compress(s.encode(), mtime=0)).decode()] * 2, [lambda s: quote(s, safe=""), lambda s: base64.b64encode(s.encode()).decode()],
+    [lambda s: base64.b64encode(f"{quote(s, safe='')} {quote(s, safe='')}".encode()).decode()] * 2,
+])
+def test_secret_twice(wraps):
+    runs = [w("é " + SECRET + " ü") for w in wraps]
+    text = "one " + " two ".join(runs) + " three"
+    at, spans = 0, [s for s in secrets.find_spans(text)[1] if s[1] == 0]
+    for run in runs:
+        at = text.index(run, at)
+        assert any(at <= a < b <= at + len(run) for a, _, b in spans)
+        at += len(run)
+    out = secrets.redacted(text, "#")
+    assert out.count("#") >= len(runs) and secrets.find_spans(out)[1] == []
+
+
 def test_secrets_odd(odd, none):
     got = secrets.scan_secrets(odd).collect()
     assert len(got) == 9 and not any(r.all_spans for r in got)
