@@ -1,15 +1,16 @@
 """Secret scans through nested encodings.
 
-A worklist starts with the text itself. Each layer is scanned; its percent-encoded, Unicode-escaped and base64
-runs are decoded, and decoded bytes unpacked where they are gzip, zlib or bzip2 data. What comes out is a new layer
-unless the same was seen before from the same place of this text, until nothing new turns up. Every layer knows which characters of the
-original each of its characters came from, so a secret found five layers deep is a span of the text.
+A worklist starts with the text itself. Each layer is scanned and decoded: the layer with all its percent codes replaced,
+the layer with all its Unicode escapes replaced, the bytes of its base64 runs, and what gzip, zlib or bzip2 data in
+decoded bytes holds. What comes out is a new layer unless the same was seen before from the same place of this text,
+until nothing new turns up. Every layer knows which characters of the original each of its characters came from, so a
+secret found five layers deep is a span of the text. Decoded bytes are one character each: all patterns are ASCII, so
+bytes that are no UTF-8 or no text need no special case.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -34,11 +35,18 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_HEX = bytes(48 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _IS_BASE64 = bytes(48 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/-_") else 32 for c in range(256))
-_PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})")
-_ESCAPED = re.compile(r"""[^\s\\&"']*(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};)[^\s\\&"']*)+""", re.ASCII)
+_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&\#([0-9]{1,7});|&\#[xX]([0-9A-Fa-f]{1,6});", re.ASCII)
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: A run of base64, or several that only line breaks (as such or written as escapes), indents and quote marks part.
+_BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:[ \t]*\r?\n[ \t>]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+_BASE64_LEAST = 16
+_PLAIN_BASE64 = str.maketrans("-_", "+/")
+#: How gzip, zlib and bzip2 data begin.
+_MAGIC = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+_BYTES = re.compile(r"[\x00-\xff]+")
+#: A layer without any of these has no inner layers.
+_INNER = re.compile(rf"%[0-9A-Fa-f]{{2}}|\\[ux]|&\#|[A-Za-z0-9+/_-]{{{_BASE64_LEAST}}}|{_MAGIC.pattern}")
 
 
 def plain_matches(text: str) -> list[tuple[int, int, int]]:
@@ -55,6 +63,23 @@ def plain_matches(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def inner_matches(text: str) -> list[tuple[int, int, int]]:
+    """``plain_matches`` of a decoded layer, and assigns that begin inside an earlier one and reach beyond it.
+
+    A layer goes on after what was encoded, and a keyword that is the value of the one before it takes none of its own value away.
+    """
+    out = plain_matches(text)
+    small = text.encode("utf-8", "surrogatepass").translate(_SMALL)
+    if any(k in small for k in _KEYWORDS):
+        at, reach = 0, -1
+        while m := _ASSIGN.search(text, at):
+            at = max(m.start() + 1, m.end() - len("password"))  # only a keyword that ends the value reaches beyond it
+            if len(m[2]) >= _ASSIGN_LEAST and m.end() > reach:
+                out.append((m.start(), 0, m.end()))
+                reach = m.end()
+    return sorted(set(out))
+
+
 class Layer:
     """A text and, for each of its characters, where in the original it starts and ends; None: the original itself."""
 
@@ -79,130 +104,90 @@ class Layer:
         return self.starts[start:end], self.ends[start:end]
 
 
-def _readable(text: str) -> bool:
-    return bool(text) and not any(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text)
+def _unpacked(raw: memoryview) -> tuple[bytes, int]:
+    """What the gzip, zlib or bzip2 data at the start of ``raw`` holds, and its length there; nothing for anything else."""
+    tool = bz2.BZ2Decompressor() if raw[:3] == b"BZh" else zlib.decompressobj(47)
+    try:
+        out = tool.decompress(raw, UNPACKED_BYTES)
+        return (out, len(raw) - len(tool.unused_data)) if tool.eof else (b"", 0)
+    except (zlib.error, OSError, EOFError, ValueError):
+        return b"", 0
 
 
-def _from_bytes(raw: bytes, starts: list[int], ends: list[int]) -> Layer | None:
-    """A layer from decoded bytes with a place for each byte."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not _readable(text):
+def _replaced(layer: Layer, codes: re.Pattern, char) -> Layer | None:
+    """The whole layer with each code replaced by ``char(match)``; None if there is no code, or ``char`` knows none of them."""
+    text, at, parts, starts, ends = layer.text, 0, [], [], []
+    for m in codes.finditer(text):
+        if (new := char(m)) is None:
+            continue
+        for given, kept in zip(layer.places(at, m.start()), (starts, ends)):
+            kept += given
+        start, end = layer.origin(m.start(), m.end())
+        parts += [text[at : m.start()], new]
+        starts.append(start)
+        ends.append(end)
+        at = m.end()
+    if not parts:
         return None
-    if len(text) < len(raw):
-        first, at = [], 0
-        for char in text:
-            first.append(at)
-            at += len(char.encode())
-        first.append(at)
-        ends = [max(ends[a:b]) for a, b in zip(first, first[1:])]
-        starts = [min(starts[a:b]) for a, b in zip(first, first[1:])]
-    return Layer(text, starts, ends)
-
-
-def _unpacked(raw: bytes) -> bytes | None:
-    """What gzip, zlib or bzip2 data holds; None for anything else."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            tool = zlib.decompressobj(47)
-            out = tool.decompress(raw, UNPACKED_BYTES)
-            return out if tool.eof else None
-        if raw[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-            out = tool.decompress(raw, UNPACKED_BYTES)
-            return out if tool.eof else None
-    except (zlib.error, OSError, EOFError, ValueError):
-        pass
-    return None
-
-
-def _percent(layer: Layer):
-    for m in _PERCENT.finditer(layer.text):
-        raw, starts, ends, at = b"", [], [], m.start()
-        given_starts, given_ends = layer.places(m.start(), m.end())
-        parts = []
-        while at < m.end():
-            i = at - m.start()
-            if code := _PERCENT_BYTE.match(layer.text, at, m.end()):
-                parts.append(bytes([int(code[1], 16)]))
-                starts.append(min(given_starts[i : i + 3]))
-                ends.append(max(given_ends[i : i + 3]))
-                at += 3
-            else:
-                char = layer.text[at].encode("utf-8", "surrogatepass")
-                parts.append(char)
-                starts += [given_starts[i]] * len(char)
-                ends += [given_ends[i]] * len(char)
-                at += 1
-        raw = b"".join(parts)
-        if out := _from_bytes(raw, starts, ends):
-            yield out
-
-
-def _escapes(layer: Layer):
-    for m in _ESCAPED.finditer(layer.text):
-        given_starts, given_ends = layer.places(m.start(), m.end())
-        chars, starts, ends, at = [], [], [], m.start()
-        while at < m.end():
-            i = at - m.start()
-            code = _ESCAPE.match(layer.text, at, m.end())
-            number = next(int(g, 10 if k == 2 else 16) for k, g in enumerate(code.groups()) if g) if code else -1
-            if code and number < 0x110000:
-                chars.append(chr(number))
-                starts.append(min(given_starts[i : i + len(code[0])]))
-                ends.append(max(given_ends[i : i + len(code[0])]))
-                at = code.end()
-            else:
-                chars.append(layer.text[at])
-                starts.append(given_starts[i])
-                ends.append(given_ends[i])
-                at += 1
-        # Escaped pairs of surrogates stand for one character.
-        text = "".join(chars)
-        if any("\ud800" <= c <= "\udfff" for c in chars):
-            joined, s, e, i = [], [], [], 0
-            while i < len(chars):
-                pair = i + 1 < len(chars) and "\ud800" <= chars[i] <= "\udbff" and "\udc00" <= chars[i + 1] <= "\udfff"
-                joined.append((chars[i] + chars[i + 1]).encode("utf-16", "surrogatepass").decode("utf-16") if pair else chars[i])
-                s.append(starts[i])
-                e.append(ends[i + 1] if pair else ends[i])
-                i += 2 if pair else 1
-            text, starts, ends = "".join(joined), s, e
-        yield Layer(text, starts, ends)
+    for given, kept in zip(layer.places(at, len(text)), (starts, ends)):
+        kept += given
+    return Layer("".join([*parts, text[at:]]), starts, ends)
+
+
+def _escaped(m: re.Match) -> str | None:
+    number = next(int(g, 10 if k == 2 else 16) for k, g in enumerate(m.groups()) if g)
+    return chr(number) if number < 0x110000 else None
 
 
 def _base64(layer: Layer):
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+    """Bytes of runs of base64, read from each of four characters on: a run may begin before what was encoded, as in a path."""
+    for m in _BASE64_LINES.finditer(layer.text):
+        lines = [(r.start() + m.start(), r.end() + m.start()) for r in _BASE64.finditer(re.sub(r"\\[rn]", "  ", m[0]))]
+        if max(b - a for a, b in lines) < _BASE64_LEAST:
             continue
-        given_starts, given_ends = layer.places(m.start(), m.end())
-        unpacked = _unpacked(raw)
-        if unpacked is not None:
-            start, end = min(given_starts), max(given_ends)
-            if out := _from_bytes(unpacked, [start] * len(unpacked), [end] * len(unpacked)):
-                yield out
+        # The lines as one run, and each by itself: what follows it may be no part of it.
+        for group in [[x] for x in lines if x[1] - x[0] >= _BASE64_LEAST] + [lines] * (len(lines) > 1):
+            body = "".join(layer.text[a:b] for a, b in group).translate(_PLAIN_BASE64)
+            places = None
+            for skip in range(4):
+                run = body[skip:]
+                run = run[: len(run) - (len(run) % 4 == 1)]
+                raw = base64.b64decode(run + "=" * (-len(run) % 4))
+                text = raw.decode("latin-1")
+                if not (_INNER.search(text) or inner_matches(text)):
+                    continue
+                places = places or [sum(given, []) for given in zip(*(layer.places(a, b) for a, b in group))]
+                starts, ends = places
+                yield Layer(text, [starts[skip + 8 * i // 6] for i in range(len(raw))], [ends[skip + (8 * i + 7) // 6] for i in range(len(raw))])
+
+
+def _packed(layer: Layer):
+    """What packed data among the bytes of a layer holds; all of it comes from all the bytes of that data."""
+    done, raw, first = 0, b"", 0
+    for m in _MAGIC.finditer(layer.text):
+        at = m.start()
+        if at < done:
             continue
-        starts = [given_starts[8 * i // 6] for i in range(len(raw))]
-        ends = [given_ends[(8 * i + 7) // 6] for i in range(len(raw))]
-        if out := _from_bytes(raw, starts, ends):
-            yield out
+        if at >= first + len(raw):
+            raw, first = memoryview(_BYTES.match(layer.text, at)[0].encode("latin-1")), at
+        out, used = _unpacked(raw[at - first :])
+        if used:
+            done = at + used
+            start, end = layer.origin(at, done)
+            yield Layer(out.decode("latin-1"), [start] * len(out), [end] * len(out))
 
 
 def _inner(layer: Layer):
-    """Layers that one more decoding of parts of a layer gives."""
+    """Layers that one more decoding of a layer gives."""
     text = layer.text
-    if "%" in text:
-        yield from _percent(layer)
-    if "\\u" in text or "\\x" in text or "&#" in text:
-        yield from _escapes(layer)
-    if b"0" * 16 in text.encode("utf-8", "surrogatepass").translate(_IS_BASE64):
+    if "%" in text and (out := _replaced(layer, _PERCENT, lambda m: chr(int(m[1], 16)))):
+        yield out
+    if ("\\u" in text or "\\x" in text or "&#" in text) and (out := _replaced(layer, _ESCAPE, _escaped)):
+        yield out
+    if b"0" * _BASE64_LEAST in text.encode("utf-8", "surrogatepass").translate(_IS_BASE64):
         yield from _base64(layer)
+    if layer.starts is not None:
+        yield from _packed(layer)
 
 
 def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -219,7 +204,7 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
                 continue
             seen.add(key)
             work.append(inner)
-            every.update((s, kind, e) for start, kind, end in plain_matches(inner.text) for s, e in [inner.origin(start, end)])
+            every.update((s, kind, e) for start, kind, end in inner_matches(inner.text) for s, e in [inner.origin(start, end)])
     return base, sorted(every)
 
 

@@ -500,6 +500,29 @@ def test_secret_twice(wraps):
     assert out.count("#") >= len(runs) and secrets.find_spans(out)[1] == []
 
 
+def _b64(s):
+    return base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+
+
+LINES = "\n".join(re.findall(".{1,76}", _b64("some filling words " * 9 + SECRET + " more words" * 20)))
+PACKED = gzip.compress((SECRET + "".join(map(str, range(200)))).encode(), mtime=0)
+
+
+@pytest.mark.parametrize("text, part", [
+    ("so password: %68unter2222 it is", "password: %68unter2222"), ('{"password": "\\u0068unter2222"}', 'password": "\\u0068unter2222'), ('{"api_key":"abc\\u003ddef"}', 'api_key":"abc\\u003ddef'),
+    ("password %3D hunter2222", "password %3D hunter2222"), ("secret: token%3Ahunter2222", "token%3Ahunter2222"), ("token: passwd%3Ahunter2222", "passwd%3Ahunter2222"),
+    ("name=Jos%E9&password%3Dhunter2222", "password%3Dhunter2222"), ("%00%1B%20password%3Dhunter2222", "password%3Dhunter2222"), ("q " + _b64(b"\xff\x00\x1b " + SECRET.encode()), None),
+    (LINES, None), (LINES.replace("\n", "\r\n  "), None), ("> " + LINES.replace("\n", "\n> "), None), (LINES.replace("\n", "\\n"), None), ("\n".join(re.findall(".{1,64}", _b64(PACKED))), None),
+    *[(f"https://example.com/{'a' * k}/{x}", None) for k in range(5) for x in (_b64(SECRET), _b64(PACKED))], ("da-ta_" + _b64("é " + SECRET), None), ("data:text/plain;base64," + _b64(SECRET), None),
+    (_b64(gzip.compress(gzip.compress(zlib.compress(SECRET.encode())))), None), (_b64(b"abc\x00" + PACKED + b"tail"), None), (quote(PACKED), None), ("".join(f"\\x{c:02x}" for c in PACKED), None),
+])
+def test_whole_layers(text, part):
+    got = {text[a:b] for a, k, b in secrets.find_spans(text)[1] if k == 0}
+    assert part in got if part else got
+    assert "hunter2" not in secrets.redacted(text, "#") and set(secrets.find_spans(text)[0]) <= set(secrets.find_spans(text)[1])
+    assert not [s for s in secrets.find_spans(secrets.redacted(text, " # "))[1] if s[1] == 0]
+
+
 def test_secrets_odd(odd, none):
     got = secrets.scan_secrets(odd).collect()
     assert len(got) == 9 and not any(r.all_spans for r in got)
