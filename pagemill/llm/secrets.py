@@ -16,6 +16,8 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,8 +30,12 @@ _ASSIGN_LEAST = 6
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Bytes that compressed data may unpack to in one step; data that is larger stays packed, which bounds a worker's memory.
-UNPACKED_BYTES = 16 << 20
+#: Bytes that are unpacked in one piece; larger contents are scanned as windows of so many and some more, which bounds a worker's memory.
+PIECE = 1 << 20
+#: Characters that a window shares with the one before it: an encoded secret that is shorter is whole in one of them.
+OVERLAP = 1 << 16
+#: Packed data in packed data is opened so many times: data that unpacks to ever new packed data has no end.
+NESTS = 100
 
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -44,6 +50,7 @@ _BASE64_LEAST = 16
 _PLAIN_BASE64 = str.maketrans("-_", "+/")
 #: How gzip, zlib and bzip2 data begin.
 _MAGIC = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+_MAGIC_BYTES = re.compile(_MAGIC.pattern.encode())
 _BYTES = re.compile(r"[\x00-\xff]+")
 #: A layer without any of these has no inner layers.
 _INNER = re.compile(rf"%[0-9A-Fa-f]{{2}}|\\[ux]|&\#|[A-Za-z0-9+/_-]{{{_BASE64_LEAST}}}|{_MAGIC.pattern}")
@@ -81,10 +88,13 @@ def inner_matches(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, where in the original it starts and ends; None: the original itself."""
+    """A text and, for each of its characters, where in the original it starts and ends; None: the original itself.
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
-        self.text, self.starts, self.ends = text, starts, ends
+    ``more`` of a window, or of what its last run of base64 holds, gives pieces of bytes from its start on and beyond its end.
+    """
+
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, more: Callable | None = None, nests: int = 0) -> None:
+        self.text, self.starts, self.ends, self.more, self.nests = text, starts, ends, more, nests
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -104,14 +114,89 @@ class Layer:
         return self.starts[start:end], self.ends[start:end]
 
 
-def _unpacked(raw: memoryview) -> tuple[bytes, int]:
-    """What the gzip, zlib or bzip2 data at the start of ``raw`` holds, and its length there; nothing for anything else."""
-    tool = bz2.BZ2Decompressor() if raw[:3] == b"BZh" else zlib.decompressobj(47)
-    try:
-        out = tool.decompress(raw, UNPACKED_BYTES)
-        return (out, len(raw) - len(tool.unused_data)) if tool.eof else (b"", 0)
-    except (zlib.error, OSError, EOFError, ValueError):
-        return b"", 0
+class _Unpacked:
+    """Pieces of what gzip, zlib or bzip2 data at the start of ``pieces`` holds, of all its members, up to damage or a missing end.
+
+    ``used`` are the bytes of whole members, ``ran_out`` says that more input could give more.
+    """
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.used, self.ran_out = iter(pieces), 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        head, taken = b"", 0
+        while True:
+            while len(head) < 10 and (more := next(self.pieces, None)):
+                head += bytes(more)
+                taken += len(more)
+            if not _MAGIC_BYTES.match(head):
+                return
+            tool = bz2.BZ2Decompressor() if head[:3] == b"BZh" else zlib.decompressobj(47)
+            try:
+                while not tool.eof:
+                    out = tool.decompress(head, PIECE)
+                    head = getattr(tool, "unconsumed_tail", b"")
+                    if out:
+                        yield out
+                    elif not head and not tool.eof:
+                        if not (head := next(self.pieces, b"")):
+                            self.ran_out = True
+                            return
+                        taken += len(head)
+            except (zlib.error, OSError, EOFError, ValueError):
+                return
+            head = tool.unused_data
+            self.used = taken - len(head)
+
+
+def _slices(raw: memoryview) -> Iterator[memoryview]:
+    return (raw[i : i + 65536] for i in range(0, len(raw), 65536))
+
+
+def _skipped(pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
+    for piece in pieces:
+        if most < len(piece):
+            yield piece[most:]
+        most = max(0, most - len(piece))
+
+
+def _run_bytes(pieces: Iterator[bytes], skip: int) -> Iterator[bytes]:
+    """Bytes of the base64 run at the start of ``pieces`` without its first ``skip`` characters, over line breaks."""
+    rest, tail = b"", b""
+    for piece in pieces:
+        text = tail + piece
+        tail = b"\\" if text.endswith(b"\\") else b""
+        text = re.sub(rb"\\[rn]|[ \t\r\n>]", b"", text[: len(text) - len(tail)])
+        run = re.match(rb"[A-Za-z0-9+/_-]*", text)[0]
+        body = rest + run
+        body, skip = body[skip:], max(0, skip - len(body))
+        last = len(run) < len(text)
+        cut = len(body) - (len(body) % 4 == 1) if last else len(body) // 4 * 4
+        if cut:
+            yield base64.b64decode(body[:cut].replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-cut % 4))
+        if last:
+            return
+        rest = body[cut:]
+    if len(rest) > 1:
+        yield base64.b64decode(rest.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(rest) % 4))
+
+
+def _windows(source: Callable, start: int, end: int, nests: int) -> Iterator[Layer]:
+    """Layers over the pieces of ``source()``, which all come from one place."""
+    text, at, fresh = "", 0, 0
+
+    def window() -> Iterator[Layer]:
+        if _INNER.search(text) or inner_matches(text):
+            yield Layer(text, [start] * len(text), [end] * len(text), lambda at=at: _skipped(source(), at), nests)
+
+    for piece in source():
+        if fresh and len(text) + len(piece) > PIECE + OVERLAP:
+            yield from window()
+            at, text, fresh = at + max(0, len(text) - OVERLAP), text[-OVERLAP:], 0
+        text += bytes(piece).decode("latin-1")
+        fresh += len(piece)
+    if fresh:
+        yield from window()
 
 
 def _replaced(layer: Layer, codes: re.Pattern, char) -> Layer | None:
@@ -131,7 +216,7 @@ def _replaced(layer: Layer, codes: re.Pattern, char) -> Layer | None:
         return None
     for given, kept in zip(layer.places(at, len(text)), (starts, ends)):
         kept += given
-    return Layer("".join([*parts, text[at:]]), starts, ends)
+    return Layer("".join([*parts, text[at:]]), starts, ends, nests=layer.nests)
 
 
 def _escaped(m: re.Match) -> str | None:
@@ -156,9 +241,12 @@ def _base64(layer: Layer):
                 text = raw.decode("latin-1")
                 if not (_INNER.search(text) or inner_matches(text)):
                     continue
-                places = places or [sum(given, []) for given in zip(*(layer.places(a, b) for a, b in group))]
+                places = places or [list(chain.from_iterable(given)) for given in zip(*(layer.places(a, b) for a, b in group))]
                 starts, ends = places
-                yield Layer(text, [starts[skip + 8 * i // 6] for i in range(len(raw))], [ends[skip + (8 * i + 7) // 6] for i in range(len(raw))])
+                more = None
+                if layer.more and group[-1][1] == len(layer.text):
+                    more = lambda at=group[0][0], skip=skip: _run_bytes(_skipped(layer.more(), at), skip)
+                yield Layer(text, [starts[skip + 8 * i // 6] for i in range(len(raw))], [ends[skip + (8 * i + 7) // 6] for i in range(len(raw))], more, layer.nests)
 
 
 def _packed(layer: Layer):
@@ -170,11 +258,17 @@ def _packed(layer: Layer):
             continue
         if at >= first + len(raw):
             raw, first = memoryview(_BYTES.match(layer.text, at)[0].encode("latin-1")), at
-        out, used = _unpacked(raw[at - first :])
-        if used:
-            done = at + used
-            start, end = layer.origin(at, done)
-            yield Layer(out.decode("latin-1"), [start] * len(out), [end] * len(out))
+        source = lambda at=at, raw=raw, first=first: iter(_Unpacked(_slices(raw[at - first :])))
+        probe, size = _Unpacked(_slices(raw[at - first :])), 0
+        for piece in probe:
+            size += len(piece)
+        if not size:
+            continue
+        if probe.ran_out and layer.more and first + len(raw) == len(layer.text):
+            source = lambda at=at: iter(_Unpacked(_skipped(layer.more(), at)))
+        done = at + probe.used if probe.used else at
+        start, end = layer.origin(at, done if probe.used else first + len(raw))
+        yield from _windows(source, start, end, layer.nests + 1)
 
 
 def _inner(layer: Layer):
@@ -186,7 +280,7 @@ def _inner(layer: Layer):
         yield out
     if b"0" * _BASE64_LEAST in text.encode("utf-8", "surrogatepass").translate(_IS_BASE64):
         yield from _base64(layer)
-    if layer.starts is not None:
+    if layer.starts is not None and layer.nests < NESTS:
         yield from _packed(layer)
 
 
@@ -196,15 +290,14 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
         return [], []
     base = plain_matches(text)
     every = set(base)
-    work, seen = [Layer(text)], set()
+    work, seen = [_inner(Layer(text))], set()
     while work:
-        layer = work.pop()
-        for inner in _inner(layer):
-            if (key := inner.key()) in seen:
-                continue
+        if (inner := next(work[-1], None)) is None:
+            work.pop()
+        elif (key := inner.key()) not in seen:
             seen.add(key)
-            work.append(inner)
             every.update((s, kind, e) for start, kind, end in inner_matches(inner.text) for s, e in [inner.origin(start, end)])
+            work.append(_inner(inner))
     return base, sorted(every)
 
 

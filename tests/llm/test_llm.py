@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and small cases with nulls, ties and clashing columns."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
@@ -523,6 +524,34 @@ def test_whole_layers(text, part):
     assert not [s for s in secrets.find_spans(secrets.redacted(text, " # "))[1] if s[1] == 0]
 
 
+def _filler(n):
+    return np.random.default_rng(n).integers(0, 255, n, np.uint8).tobytes()
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_large_packed_data(pack):
+    large, blank = b" " * (17 << 20), b" " * (2 << 20)
+    edge = b" " * (secrets.PIECE - 9)
+    for data in (large + SECRET.encode(), SECRET.encode() + blank, edge + SECRET.encode() + blank, blank + quote(SECRET, safe="").encode() + b"\n" * 99, blank + _b64(PACKED).encode()):
+        text = f"some {_b64(pack(data))} words"
+        (a, _, b), = [s for s in secrets.find_spans(text)[1] if s[1] == 0]
+        assert text[a:b] == text[5:-6].rstrip("=") and secrets.redacted(text, "#").rstrip("= words") == "some #"
+    assert secrets.find_spans(f"some {_b64(pack(blank))} words")[1] == []
+
+
+def test_large_packed_in_packed_data(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    inner = _b64(gzip.compress(_filler(1 << 17) + b" " + SECRET.encode()))
+    for run in (inner, "\n".join(re.findall(".{1,76}", inner)), "/aa/" + inner):
+        text = "some " + _b64(gzip.compress(b"a line\n" * 30 + run.encode(), 1)) + " words"
+        assert [s for s in secrets.find_spans(text)[1] if s[1] == 0]
+    cut = _b64(gzip.compress(SECRET.encode() + _filler(1 << 16))[:-9000])
+    assert [s for s in secrets.find_spans(cut)[1] if s[1] == 0]
+    parts = gzip.compress(SECRET[:14].encode()) + gzip.compress(SECRET[14:].encode())
+    assert [s for s in secrets.find_spans(_b64(parts))[1] if s[1] == 0] == [(0, 0, len(_b64(parts).rstrip("=")))]
+
+
 def test_secrets_odd(odd, none):
     got = secrets.scan_secrets(odd).collect()
     assert len(got) == 9 and not any(r.all_spans for r in got)
