@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pagemill.llm import alignment, decontaminate, jaccard, language, periodic, pieces, quality, secrets, sharding, substring, url_rules, warc
+from pagemill.llm import alignment, decontaminate, jaccard, language, periodic, pieces, pitman_yor, quality, secrets, sharding, substring, url_rules, warc
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_secrets": secrets.op10_secrets,
     "op11_alignment": alignment.op11_alignment,
+    "op12_pitman_yor": pitman_yor.op12_pitman_yor,
     "op13_runs": periodic.op13_runs,
     "pipeline": corpus_pipeline.run,
 }
