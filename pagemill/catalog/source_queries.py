@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pagemill.catalog import sql as S
 from pagemill.catalog.page_queries import ORIGIN, _CMS_PAGES, _cms_pages
@@ -37,6 +37,46 @@ def csv_records(spark, sf):
     return records.select("doc_id", "lang", "source", "text")
 
 
+@query("csv_multiline_records", """select doc_id::varchar as doc_id, '"' || lang || '",' || chr(10) || text || chr(10) || '"a, b" 5" ' as text, source from documents""")
+def csv_multiline_records(spark, sf):
+    """Cells with line breaks, quotes and commas, in files whose folder has blanks in its name; a large file is many tasks."""
+    folder = f"{_folder(spark, 'csv of lines')}/part one"
+    text = F.concat(F.lit('"'), "lang", F.lit('",\n'), "text", F.lit('\n"a, b" 5" '))
+    d = table(spark, sf, "documents").select("doc_id", text.alias("text"), "source")
+    d.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return readers.read_csv(spark, folder)[0].select("doc_id", "text", "source")
+
+
+def _write_arrays(df, folder):
+    """Rows as JSON objects, each partition one file that is an array, with a number between some of them."""
+    n = F.monotonically_increasing_id()
+    rows = df.select(F.shiftright(n, 33).alias("part"), n.alias("n"), F.to_json(F.struct(*df.columns)).alias("item"))
+    ordered = Window.partitionBy("part").orderBy("n")
+    first, last = F.lag("n").over(ordered).isNull(), F.lead("n").over(ordered).isNull()
+    lines = rows.select("part", "n", F.concat(F.when(first, "[").otherwise(","), "item", F.when(F.col("n") % 3 == 0, ",5").otherwise(""), F.when(last, "]").otherwise("")).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(folder)
+
+
+@query("json_array_items", "select doc_id, text, lang, length(text)::bigint as chars from documents")
+def json_array_items(spark, sf):
+    """Items of a file that is one JSON array, with braces and quotes in its texts and nested objects."""
+    folder = _folder(spark, "json")
+    nested = F.struct(F.length("text").alias("chars"), F.array(F.struct(F.lit("}{][").alias("x"))).alias("y"))
+    _write_arrays(table(spark, sf, "documents").select("doc_id", "text", F.struct("lang", nested.alias("more")).alias("about")), folder)
+    records, _ = readers.read_json(spark, folder)
+    return records.select("doc_id", "text", F.col("`about.lang`").alias("lang"), F.col("`about.more.chars`").alias("chars"))
+
+
+@query("json_array_errors", """
+    select 'Row ' || row || ' is not an object' as message from (select n, row_number() over (order by n, k) as row, k from (
+      select row_number() over () - 1 as n from documents) cross join (values (0), (1)) as e(k) where k = 0 or n % 3 = 0) where k = 1""")
+def json_array_errors(spark, sf):
+    """Numbers between the items of an array, by their place in it. The given table is one part."""
+    folder = _folder(spark, "json")
+    _write_arrays(table(spark, sf, "documents").select("doc_id", "text").coalesce(1), folder)
+    return readers.json_entries(spark, folder)[1].select("message")
+
+
 @query("feed_records", "select doc_id, lang, text from documents")
 def feed_records(spark, sf):
     folder = _folder(spark, "feed")

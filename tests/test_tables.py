@@ -1,6 +1,9 @@
+import csv
 import json
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import constraints as K
@@ -33,6 +36,67 @@ def test_csv_with_several_headers(spark, tmp_path):
     assert got == {("1", "2", None), ("8", "9", None), ("6", None, "5"), ("3", "4", None)} and errors.count() == 0
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_cut_by_many_tasks(spark, tmp_path, small_splits):
+    """Random cells with quotes and line breaks, LF and CRLF, a path with blanks, several headers: as the standard reader has them."""
+    rng, want = random.Random(5), {}
+    (tmp_path / "a b").mkdir()
+    for f, columns in enumerate((["id", "x", "long name"], ["id", "x", "long name"], ["x", "id"])):
+        rows = []
+        for i in range(60):
+            cell = "".join(rng.choice(["a", "b", ",", '"', "\n", " ", '"\n"', "é", '""', ' ,"']) for _ in range(rng.randint(0, 30)))
+            rows.append({"id": f"{f}-{i}", "x": cell, "long name": rng.choice(["", "q", "a\r\nb"])})
+            want[f"{f}-{i}"] = (cell or None, (rows[-1]["long name"] or None) if f < 2 else None)
+        with open(tmp_path / "a b" / f"x {f}.csv", "w", newline="") as file:
+            file.write("\n \n" if f == 0 else "")
+            out = csv.writer(file, lineterminator="\r\n" if f == 1 else "\n")
+            out.writerow(columns)
+            out.writerows([[r[c] for c in columns] for r in rows])
+    assert spark.read.text(str(tmp_path / "a b")).rdd.getNumPartitions() > 9
+    records, errors = readers.read_csv(spark, str(tmp_path / "a b"))
+    assert {r["id"]: (r["x"], r["long name"]) for r in records.collect()} == want and errors.count() == 0
+
+
+def test_csv_row_errors(spark, tmp_path, small_splits):
+    (tmp_path / "e.csv").write_text('a,b\n1,2\n\n3\n4,5,6\n5" x,y\n7,"8\nrest,1\n' + "z,y\n" * 200)
+    records, errors = readers.read_csv(spark, str(tmp_path / "e.csv"))
+    assert sorted(tuple(r) for r in records.collect()) == [("1", "2"), ("3", None), ("4", "5"), ('5" x', "y")]
+    found = errors.select("row", "message").distinct().collect()
+    assert sorted(map(tuple, found)) == [(3, "Row does not match the header"), (4, "Row does not match the header"), (6, "Quoted field unterminated")]
+
+
+@pytest.mark.parametrize("kind", ["array", "spread", "lines"])
+def test_json_cut_by_many_tasks(spark, tmp_path, small_splits, kind):
+    rng, entries = random.Random(6), []
+    for i in range(80):
+        s = "".join(rng.choice(["a", "{", "}", "[", "]", '"', "\\", ",", " ", "\n", "é"]) for _ in range(rng.randint(0, 20)))
+        entries.append({"i": i, "s": s, "o": {"k": [{"z": s}, i]}})
+        if kind != "lines" and rng.random() < 0.3:
+            entries.append(rng.choice([5, "x}", [1, {"q": 1}], None]))
+    text = "\n".join(map(json.dumps, entries)) if kind == "lines" else json.dumps(entries, indent=1 if kind == "spread" else None)
+    (tmp_path / "j.json").write_text(text)
+    items, errors = readers.json_entries(spark, str(tmp_path / "j.json"))
+    assert sorted((json.loads(r["item"]) for r in items.collect()), key=lambda x: x["i"]) == [x for x in entries if isinstance(x, dict)]
+    assert sorted(r["row"] for r in errors.collect()) == [i + 1 for i, x in enumerate(entries) if not isinstance(x, dict)]
+
+
+@pytest.mark.parametrize("text, items, messages", [
+    ("{}", 1, []), ("[]", 0, []), ("", 0, []), ("  [ ]  ", 0, []), ("5", 0, ["JSON must be an array of objects or an object"]),
+    ("{oops", 0, ["Invalid JSON"]), ('[{"a":1},', 1, ["Invalid JSON"])])
+def test_json_odd(spark, tmp_path, text, items, messages):
+    (tmp_path / "k.json").write_text(text)
+    found, errors = readers.json_entries(spark, str(tmp_path / "k.json"))
+    assert found.count() == items and [r["message"] for r in errors.collect()] == messages
+
+
 def test_audit_of_two_operations(spark):
     df = spark.createDataFrame([(1, "a b", "a"), (2, "z", "b")], "id int, t string, u string")
     one = K.search_replace(df, "t", "id", ["t", "u"], "a", "b", L(1))
