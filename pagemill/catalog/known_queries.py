@@ -28,6 +28,26 @@ def main_content_known(spark, sf):
     return T.extract_main_content(_docs(spark, sf).select("doc_id", page.alias("html")), "doc_id", "html").select("doc_id", "html")
 
 
+@query("main_content_columns", f"select doc_id, '<h2>' || source || '</h2><p>' || {_TEXT} || '</p>' as html from documents")
+def main_content_columns(spark, sf):
+    """A wide and a narrow column of a page builder, in both orders; the narrow one goes with all that is in it."""
+    wide = F.concat(F.lit('<div class="et_pb_column et_pb_column_2_3"><div class="et_pb_text_inner"><h2>'), "source", F.lit("</h2><p>"), "text", F.lit("</p></div></div>"))
+    narrow = F.concat(F.lit('<div class="et_pb_column et_pb_column_1_3"><div><p>'), "lang", F.lit("</p><div><p>more</p></div></div></div>"))
+    both = F.when(F.col("doc_id") % 2 == 0, F.concat(wide, narrow)).otherwise(F.concat(narrow, wide))
+    page = F.concat(F.lit('<div class="et_pb_section"><div class="et_pb_row"> '), both, F.lit(" </div></div>"))
+    return T.extract_main_content(_docs(spark, sf).select("doc_id", page.alias("html")), "doc_id", "html").select("doc_id", "html")
+
+
+@query("main_content_sidebar", f"""
+    with t as (select doc_id, source, {_TEXT} as text from documents)
+    select doc_id, case when length(text) + length(source) + 14 >= (length(text) + length(source) + 14 + 34 + length(source)) * 0.95
+      then '<div><p>' || source || '</p></div>' else '' end || '<p>' || text || '</p><p>' || source || '</p>' as html from t""")
+def main_content_sidebar(spark, sf):
+    """A side bar beside the text: it goes unless that takes out less than a twentieth of the page."""
+    page = F.concat(F.lit('<div class="sidebar"><p>'), "source", F.lit("</p></div><p>"), "text", F.lit("</p><p>"), "source", F.lit("</p>"))
+    return T.extract_main_content(_docs(spark, sf).select("doc_id", page.alias("html")), "doc_id", "html").select("doc_id", "html")
+
+
 @query("inline_markup_known", f"select doc_id, '<p>' || {_TEXT} || ' <strong>' || source || '</strong> <em>' || lang || '</em> <strong>z</strong></p>' as html from documents")
 def inline_markup_known(spark, sf):
     h = F.concat(

@@ -2,8 +2,9 @@
 
 ``split`` turns a page into tokens, one row each. A running count per tag name
 gives the nesting level; the next token of the same page, tag and level is the
-matching close. Pages are distributed once, by key, before they are exploded;
-every window and the final reassembly reuse that distribution.
+matching close. Pages are distributed once, by key, before they are exploded, and
+every window reuses that distribution. Main-content extraction sends only an index of the tags through
+the windows: positions, lengths and flags.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagemill.functions.text import WS, nonblank, squeeze_newlines, strip_ws
+from pagemill.functions.text import WS, nonblank, once, squeeze_newlines, strip_ws
 from pagemill.functions.html import (
     remove_empty_wrappers, strip_layout_attributes, strip_page_shell,
 )
@@ -78,6 +79,11 @@ def _keys(key: Keys) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def split_at_tags(html: Column, tags: list[str]) -> Column:
+    """A page cut before each of its structural tags."""
+    return F.split(F.coalesce(html, F.lit("")), rf"(?i)(?=</?(?:{'|'.join(tags)})(?:\s|>|/))")
+
+
 def tokenize(df: DataFrame, key: Keys, html: str, tags: list[str], carry: list[str] | None = None) -> DataFrame:
     """One row per structural tag: ``key, pos, head, tail, tag, kind, attrs`` and the carried columns.
 
@@ -85,10 +91,8 @@ def tokenize(df: DataFrame, key: Keys, html: str, tags: list[str], carry: list[s
     running text and inline markup cost no rows. ``kind`` is ``open``, ``close``,
     ``single`` or ``text``. Concatenating head and tail by ``pos`` gives the page back.
     """
-    names = "|".join(tags)
-    pieces = F.split(F.coalesce(F.col(html), F.lit("")), rf"(?i)(?=</?(?:{names})(?:\s|>|/))")
-    rows = df.select(*_keys(key), *(carry or []), F.posexplode(pieces).alias("pos", "_piece"))
-    rows = rows.withColumn("head", F.regexp_extract("_piece", rf"(?i)^</?(?:{names})(?:\s[^>]*|/)?>", 0))
+    rows = df.select(*_keys(key), *(carry or []), F.posexplode(split_at_tags(F.col(html), tags)).alias("pos", "_piece"))
+    rows = rows.withColumn("head", F.regexp_extract("_piece", rf"(?i)^</?(?:{'|'.join(tags)})(?:\s[^>]*|/)?>", 0))
     rows = rows.withColumn("tail", F.expr("substr(_piece, length(head) + 1)")).drop("_piece")
     kind = (
         F.when(F.col("head") == "", "text")
@@ -145,39 +149,42 @@ def drop_spans(tokens: DataFrame, key: Keys, unwanted: Column) -> DataFrame:
     )
 
 
-def _apply_keep(marked: DataFrame, columns: list[str], keep_head: Column, keep_tail: Column) -> DataFrame:
-    """Blank dropped heads and tails; a page keeps its first row, which carries its other columns."""
-    out = marked.withColumn("_kh", keep_head).withColumn("_kt", keep_tail)
-    out = out.where(F.col("_kh") | F.col("_kt") | (F.col("pos") == 0))
-    gone = ~F.col("_kh")
-    return (
-        out.withColumn("head", F.when(gone, F.lit("")).otherwise(F.col("head")))
-        .withColumn("tail", F.when(F.col("_kt"), F.col("tail")).otherwise(F.lit("")))
-        .withColumn("kind", F.when(gone, F.lit("text")).otherwise(F.col("kind")))
-        .withColumn("tag", F.when(gone, F.lit("")).otherwise(F.col("tag")))
-        .withColumn("attrs", F.when(gone, F.lit("")).otherwise(F.col("attrs")))
-        .select(*columns)
-    )
-
-
-def main_column_tokens(tokens: DataFrame, key: Keys) -> DataFrame:
-    """Drop narrow columns, asides or sidebars, whichever the page's layout calls for."""
-    cls = _attr(F.col("attrs"), "class")
-    narrow = F.col("tag").isin(REMOVABLE_TAGS) & _contains_any(cls, NARROW_COLUMNS)
-    sidebar = F.col("tag").isin(REMOVABLE_TAGS) & F.lower(cls).rlike("|".join(SIDEBAR_CLASSES))
-    unwanted = (F.col("kind") == "open") & (
-        F.when(F.col("_layout") == "columns", narrow)
+def span_index(tokens: DataFrame, key: Keys) -> DataFrame:
+    """What the rules ask of each token, without its text: lengths, and flags of its attributes and its tail."""
+    attrs, tail = F.col("attrs"), F.col("tail")
+    cls, ident = _attr(attrs, "class"), F.lower(strip_ws(_attr(attrs, "id")))
+    removable = F.col("tag").isin(REMOVABLE_TAGS)
+    side = (
+        F.when(F.col("_layout") == "columns", removable & _contains_any(cls, NARROW_COLUMNS))
         .when(F.col("_layout") == "aside", F.col("tag") == "aside")
-        .when(F.col("_layout") == "sidebar", sidebar)
+        .when(F.col("_layout") == "sidebar", removable & F.lower(cls).rlike("|".join(SIDEBAR_CLASSES)))
         .otherwise(F.lit(False))
     )
+    is_open = F.col("kind") == "open"
+    return tokens.select(
+        *_keys(key), "pos", "tag", "kind", F.length("head").alias("head_len"), F.length("tail").alias("tail_len"), (F.col("_layout") == "sidebar").alias("by_share"),
+        (is_open & side).alias("side"), _is_layout_wrapper().alias("wrapper"),
+        (is_open & F.col("tag").isin(CONTENT_CONTAINER_TAGS) & _contains_any(cls, CONTENT_CLASSES)).alias("container"),
+        (~nonblank(attrs)).alias("bare"), _contains_any(attrs, BUILDER_CLASS_PARTS).alias("builder"),
+        (((ident != "") & _contains_any(ident, CONTAINER_IDS)) | cls.rlike(KEPT_LAYOUT_WORDS)).alias("layout_name"),
+        tail.rlike(rf"(?i)<(?:{'|'.join(SEMANTIC_IN_CONTAINER)})\b").cast("int").alias("core"), tail.rlike(rf"(?i)<(?:{'|'.join(SEMANTIC_IN_WRAPPER)})\b").cast("int").alias("semantic"),
+    )
+
+
+def main_column(index: DataFrame, key: Keys) -> DataFrame:
+    """Drop narrow columns, asides or sidebars, whichever the page's layout calls for: ``keep_head``, ``keep_tail``; tokens of which nothing stays are left out."""
     whole = Window.partitionBy(*_keys(key))
-    marked = drop_spans(tokens, key, unwanted)
-    head, tail = F.length("head"), F.length("tail")
-    kept = F.when(F.col("_keep_head"), head).otherwise(0) + F.when(F.col("_keep_tail"), tail).otherwise(0)
-    marked = marked.withColumn("_all_len", F.sum(head + tail).over(whole)).withColumn("_kept_len", F.sum(kept).over(whole))
-    too_little = (F.col("_layout") == "sidebar") & (F.col("_kept_len") >= F.col("_all_len") * SIDEBAR_KEEP_SHARE)
-    return _apply_keep(marked, tokens.columns, F.col("_keep_head") | too_little, F.col("_keep_tail") | too_little)
+    marked = drop_spans(index, key, F.col("side"))
+    kept = F.when(F.col("_keep_head"), F.col("head_len")).otherwise(0) + F.when(F.col("_keep_tail"), F.col("tail_len")).otherwise(0)
+    marked = marked.withColumn("_all_len", F.sum(F.col("head_len") + F.col("tail_len")).over(whole)).withColumn("_kept_len", F.sum(kept).over(whole))
+    too_little = F.col("by_share") & (F.col("_kept_len") >= F.col("_all_len") * SIDEBAR_KEEP_SHARE)
+    marked = marked.withColumn("keep_head", F.col("_keep_head") | too_little).withColumn("keep_tail", F.col("_keep_tail") | too_little)
+    gone = ~F.col("keep_head")
+    out = marked.where(F.col("keep_head") | F.col("keep_tail"))
+    flags = [F.when(gone, F.lit(False)).otherwise(F.col(c)).alias(c) for c in ("wrapper", "container", "bare", "builder", "layout_name")]
+    counts = [F.when(F.col("keep_tail"), F.col(c)).otherwise(0).alias(c) for c in ("core", "semantic")]
+    kind, tag = F.when(gone, "text").otherwise(F.col("kind")).alias("kind"), F.when(gone, "").otherwise(F.col("tag")).alias("tag")
+    return out.select(*_keys(key), "pos", tag, kind, "head_len", *flags, *counts, "keep_head", "keep_tail")
 
 
 def page_layout(html: Column) -> Column:
@@ -207,8 +214,8 @@ def _is_layout_wrapper() -> Column:
     )
 
 
-def unwrap_tokens(tokens: DataFrame, key: Keys) -> DataFrame:
-    """Delete the tags of layout wrappers and of content containers that hold content.
+def unwrap(index: DataFrame, key: Keys) -> DataFrame:
+    """Delete the tags of layout wrappers and of content containers that hold content: ``keep_head``, and which tails lose white space at an edge.
 
     Closed form of the repeated outer-to-inner unwrapping: a kept wrapper has no nested
     block, so a later pass could not change it.
@@ -216,53 +223,52 @@ def unwrap_tokens(tokens: DataFrame, key: Keys) -> DataFrame:
     pairs = _pair_window(key)
     running = Window.partitionBy(*_keys(key)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     order = Window.partitionBy(*_keys(key)).orderBy("pos")
-    attrs, tail = F.col("attrs"), F.col("tail")
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
 
     def inside(total: str) -> Column:
         return F.lead(total).over(pairs) - F.col(total)
 
-    def tails_before(pattern: str) -> Column:
-        hit = tail.rlike(pattern).cast("int")
-        return F.sum(hit).over(running) - hit
-
     t = (
-        with_close(tokens, key)
-        .withColumn("_n_core", tails_before(rf"(?i)<(?:{'|'.join(SEMANTIC_IN_CONTAINER)})\b"))
-        .withColumn("_n_sem", tails_before(rf"(?i)<(?:{'|'.join(SEMANTIC_IN_WRAPPER)})\b"))
+        with_close(index, key)
+        .withColumn("_n_core", F.sum("core").over(running) - F.col("core"))
+        .withColumn("_n_sem", F.sum("semantic").over(running) - F.col("semantic"))
     )
     closed = F.col("close_pos").isNotNull()
-    container = is_open & F.col("tag").isin(CONTENT_CONTAINER_TAGS) & _contains_any(_attr(attrs, "class"), CONTENT_CLASSES)
-    t = t.withColumn("_opened", F.coalesce(container & closed & (inside("_n_core") > 0), F.lit(False)))
+    t = t.withColumn("_opened", F.coalesce(F.col("container") & closed & (inside("_n_core") > 0), F.lit(False)))
     nested = F.col("kind").isin("open", "single") & F.col("tag").isin(NESTED_BLOCK_TAGS) & ~F.col("_opened")
     t = t.withColumn("_n_block", F.sum(nested.cast("int")).over(running))
-    ident = F.lower(strip_ws(_attr(attrs, "id")))
-    unwrap = (
-        F.when(~nonblank(attrs), F.lit(True))
-        .when((inside("_n_block") > 0) | _contains_any(attrs, BUILDER_CLASS_PARTS), F.lit(True))
-        .when(
-            inside("_n_sem") > 0,
-            ((ident != "") & _contains_any(ident, CONTAINER_IDS)) | _attr(attrs, "class").rlike(KEPT_LAYOUT_WORDS),
-        )
+    cut = (
+        F.when(F.col("bare"), F.lit(True))
+        .when((inside("_n_block") > 0) | F.col("builder"), F.lit(True))
+        .when(inside("_n_sem") > 0, F.col("layout_name"))
         .otherwise(F.lit(True))
     )
-    t = t.withColumn(
-        "_verdict",
-        F.when(F.col("_opened"), "cut").when(_is_layout_wrapper() & closed, F.when(unwrap, "cut").otherwise("keep")),
-    )
+    t = t.withColumn("_verdict", F.when(F.col("_opened"), "cut").when(F.col("wrapper") & closed, F.when(cut, "cut").otherwise("keep")))
     t = t.withColumn("_verdict", F.when(is_close, F.lag("_verdict").over(pairs)).otherwise(F.col("_verdict")))
     # Nothing inside a kept wrapper is visited.
     held = F.col("_verdict") == "keep"
     step = F.when(held & is_open, 1).when(held & is_close, -1).otherwise(0)
     t = t.withColumn("_in_kept", F.sum(step).over(running))
-    cut = (F.col("_verdict") == "cut") & ((F.col("_in_kept") == 0) | F.col("_opened"))
-    t = t.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    gone = (F.col("_verdict") == "cut") & ((F.col("_in_kept") == 0) | F.col("_opened"))
+    t = t.withColumn("_cut", F.coalesce(gone, F.lit(False)))
     # An unwrapped element loses the white space at both inner edges.
     next_cut = F.coalesce(F.lead("_cut").over(order) & (F.lead("kind").over(order) == "close"), F.lit(False))
-    t = t.withColumn("_tail_ws", next_cut)
-    text = F.when(F.col("_cut") & is_open, F.regexp_replace(tail, f"^{WS}+", "")).otherwise(tail)
-    text = F.when(F.col("_tail_ws"), F.regexp_replace(text, f"(?<!{WS}){WS}++\\z", "")).otherwise(text)
-    return _apply_keep(t.withColumn("tail", text), tokens.columns, ~F.col("_cut"), F.lit(True))
+    return t.select(
+        *_keys(key), "pos", "head_len", (F.col("keep_head") & ~F.col("_cut")).alias("keep_head"), "keep_tail",
+        (F.col("_cut") & is_open).alias("trim_left"), next_cut.alias("trim_right"))
+
+
+def kept_text(pieces: Column, spans: Column) -> Column:
+    """The text of the spans that stay, of a page cut at its tags."""
+
+    def one(piece: Column, s: Column) -> Column:
+        tail = F.substring(piece, s["head_len"] + 1, F.length(piece))
+        tail = F.when(s["trim_left"], F.regexp_replace(tail, f"^{WS}+", "")).otherwise(tail)
+        tail = F.when(s["trim_right"], F.regexp_replace(tail, f"(?<!{WS}){WS}++\\z", "")).otherwise(tail)
+        head = F.when(s["keep_head"], F.substring(piece, F.lit(1), s["head_len"])).otherwise("")
+        return F.concat(head, F.when(s["keep_tail"], tail).otherwise(""))
+
+    return once(pieces, lambda p: F.array_join(F.transform(spans, lambda s: one(F.get(p, s["pos"]), s)), ""))
 
 
 def reassemble(tokens: DataFrame, key: Keys, out: str, carry: str | None = None) -> DataFrame:
@@ -279,54 +285,31 @@ def main_content_of_cells(
     """Main content of several text columns in one pass.
 
     ``cells`` maps a column to the condition under which its value is a page body; other
-    values stay as they are. ``finish`` runs on the extracted text. ``key`` must be unique:
-    rows are hashed by it once (unless ``distributed`` says they are already), every window
-    and both groupings reuse that distribution, and a row's other columns ride on its first
-    token.
+    values stay as they are. ``finish`` runs on the extracted text. ``key`` must be unique and not null:
+    rows are hashed by it once (unless ``distributed`` says they are already). An index of
+    the tags, without text, goes through the windows; the verdicts come back as one array per row and are
+    applied to the text where it stands, so no text is ever sorted.
     """
-    none = F.lit(None).cast("string")
-    picked = F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.when(F.coalesce(cond & nonblank(F.col(f"`{name}`")), F.lit(False)), F.col(f"`{name}`")).otherwise(none).alias("html"),
-            )
-            for name, cond in cells.items()
-        ]),
-        lambda c: c["html"].isNotNull(),
-    )
-    rows = (df if distributed else distribute(df, key)).select(
-        F.col(key).alias("_key"),
-        F.struct(*[
-            (F.when(~F.coalesce(cells[c] & nonblank(F.col(f"`{c}`")), F.lit(False)), F.col(f"`{c}`")) if c in cells else F.col(f"`{c}`")).alias(c)
-            for c in df.columns
-        ]).alias("_row"),
-        F.posexplode_outer(picked).alias("_no", "_cell"),
-    )
-    rows = rows.select(
-        "_key", F.coalesce("_no", F.lit(-1)).alias("_no"), "_row", F.col("_cell.name").alias("_name"),
-        strip_page_shell(F.col("_cell.html")).alias("_shell"),
-    )
-    rows = rows.withColumn("_layout", page_layout(F.col("_shell")))
-    # Names and other columns only once per row of the source.
-    rows = rows.withColumn("_row", F.when(F.col("_no") <= 0, F.col("_row")))
+    spread = df if distributed else distribute(df, key)
+    names = list(cells)
+    body = {n: F.when(F.coalesce(cells[n] & nonblank(F.col(f"`{n}`")), F.lit(False)), F.col(f"`{n}`")) for n in names}
+    shells = F.filter(F.array(*[F.struct(F.lit(i).alias("no"), strip_page_shell(body[n]).alias("shell")) for i, n in enumerate(names)]), lambda c: c["shell"].isNotNull())
+    rows = spread.select(F.col(key).alias("_key"), F.explode(shells).alias("_cell")).select("_key", F.col("_cell.no").alias("_no"), F.col("_cell.shell").alias("_shell"))
     keys = ["_key", "_no"]
-    tokens = tokenize(rows, keys, "_shell", STRUCTURE_TAGS, ["_layout", "_row", "_name"])
-    tokens = tokens.withColumn("_row", F.when(F.col("pos") == 0, F.struct("_row", "_name"))).drop("_name")
-    tokens = unwrap_tokens(main_column_tokens(tokens, keys), keys)
-    text = reassemble(tokens, keys, "_main", "_row")
-    text = text.withColumn("_main", strip_layout_attributes(F.col("_main")))
-    text = text.withColumn("_main", squeeze_newlines(remove_empty_wrappers(F.col("_main"))))
-    text = text.withColumn("_main", finish(F.col("_main")))
-    whole = text.groupBy("_key").agg(
-        F.first("_row._row", ignorenulls=True).alias("_row"),
-        F.collect_list(F.when(F.col("_row._name").isNotNull(), F.struct("_row._name", "_main"))).alias("_done"),
-    )
-    done = F.map_from_entries(F.col("_done"))
-    return whole.select(*[
-        (F.coalesce(F.try_element_at(done, F.lit(c)), F.col(f"_row.`{c}`")) if c in cells else F.col(f"_row.`{c}`")).alias(c)
-        for c in df.columns
-    ])
+    index = span_index(tokenize(rows.withColumn("_layout", page_layout(F.col("_shell"))), keys, "_shell", STRUCTURE_TAGS, ["_layout"]), keys)
+    spans = unwrap(main_column(index, keys), keys)
+    fields = ["pos", "head_len", "keep_head", "keep_tail", "trim_left", "trim_right"]
+    spans = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_no", *fields))).alias("_spans"))
+    joined = spread.withColumn("_key", F.col(key)).join(spans.hint("shuffle_hash"), "_key", "left")
+    # Each step is a column of its own: the optimizer keeps apart what is costly and used more than once.
+    joined = joined.select("*", *[strip_page_shell(body[n]).alias(f"_s{i}") for i, n in enumerate(names)])
+    for i in range(len(names)):
+        own = F.coalesce(F.filter("_spans", lambda s: s["_no"] == i) if len(names) > 1 else F.col("_spans"), F.array())
+        joined = joined.withColumn(f"_m{i}", F.when(F.col(f"_s{i}").isNotNull(), kept_text(split_at_tags(F.col(f"_s{i}"), STRUCTURE_TAGS), own)))
+    for i in range(len(names)):
+        joined = joined.withColumn(f"_m{i}", squeeze_newlines(remove_empty_wrappers(strip_layout_attributes(F.col(f"_m{i}")))))
+    done = {n: F.when(F.col(f"_s{i}").isNotNull(), finish(F.col(f"_m{i}"))).otherwise(F.col(f"`{n}`")) for i, n in enumerate(names)}
+    return joined.select(*[done[c].alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns])
 
 
 def extract_main_content(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -336,8 +319,3 @@ def extract_main_content(df: DataFrame, key: str, html: str) -> DataFrame:
     """
     return main_content_of_cells(df, key, {html: F.lit(True)}, lambda c: c)
 
-
-__all__ = [
-    "distribute", "tokenize", "with_levels", "with_close", "drop_spans", "main_column_tokens",
-    "page_layout", "unwrap_tokens", "reassemble", "main_content_of_cells", "extract_main_content",
-]
