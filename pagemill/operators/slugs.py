@@ -1,25 +1,25 @@
 """Slug collisions inside an import.
 
 ``unique_suffix`` gives a repeated slug the first free of ``-1 … -99``, in record order. What a record gets depends
-on the records before it, but only inside its family, and only until the 99 numbered slots are
-full. So the ordered fold sees a bounded set per slug: row-number limits, which Spark applies before the
-shuffle, cut each slug to its first hundred holders. All later holders are numbered by many tasks, from the first
-number above 99 and above every numbered slug of the batch with that name, so all slugs end up distinct.
+only on those that compete for the numbers of one base: its repeated records, which take the lowest free number each, and slugs of
+the batch that spell such a number and hold it if they come before it is taken. Row-number limits, which Spark applies before the
+shuffle, leave at most 99 of either, so a base is one short array, and a fold over it hands out the numbers. A slug that lost
+its own name is a taker itself: at the same base for posts, and for pages at its own, which is one level deeper. All
+later holders are numbered by many tasks, from the first number above 99 and above every numbered slug of the batch with that name,
+so all slugs end up distinct.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.urls import strip_slashes
 from pagemill.operators.joins import numbered
 from pagemill.session import checkpoint
 
-#: Suffixes that the ordered fold hands out; numbers beyond it are given without looking at single slugs.
+#: Suffixes that are handed out one by one; numbers beyond them are given without looking at single slugs.
 SLOTS = 99
+_SLOT = r"\A(.*)-([1-9][0-9]?)\z"
 
 
 def _bare(slug: Column, template: str) -> Column:
@@ -27,30 +27,69 @@ def _bare(slug: Column, template: str) -> Column:
     return strip_slashes(slug) if template == "practice" else F.regexp_replace(slug, r"-\d+\z", "")
 
 
-def _family(slug: Column, template: str) -> Column:
-    bare = _bare(slug, template)
-    return F.regexp_replace(bare, r"(?:-[1-9][0-9]?)+\z", "") if template == "practice" else bare
-
-
-def _fold(template: str, slots: int):
-    """Per-family helper: a small ordered walk over at most a few thousand rows."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        used: set[str] = set()
-        out = []
-        for slug, again in zip(pdf["_slug"], pdf["_again"]):
-            new, n = slug, 1
-            bare = slug.strip("/") if template == "practice" else re.sub(r"-[0-9]+$", "", slug)
-            while (new in used or (again and n == 1)) and n <= slots:
-                new = f"/{bare}-{n}/" if template == "practice" else f"{bare}-{n}"
-                n += 1
-            # No free slot: numbered later, with all others that came too late.
-            out.append(None if new in used or (again and n == 1) else new)
-            used.add(new)
-        return pd.DataFrame({"_order": pdf["_order"].to_numpy(), "_new": out})
+def _hand_out(competing: DataFrame, slots: int, losers_take: bool) -> DataFrame:
+    """``(_base, _order, _got)`` of competitors ``(_base, _order, _k)``: the number each gets, 0 without one, -1 for a slug that lost its own.
 
-    return walk
+    ``_k`` is 0 for a taker of the lowest free number, else the number that the slug spells. ``losers_take`` lets
+    a slug whose number is gone take another one.
+    """
+    used = F.array_repeat(F.lit(False), slots)
+    events = competing.groupBy("_base").agg(F.array_sort(F.collect_list(F.struct("_order", "_k"))).alias("_events"))
+    out_type = dict(events.dtypes)["_events"].replace("_k:", "_got:")
+
+    def step(acc: Column, e: Column) -> Column:
+        own = (e["_k"] > 0) & ~F.get(acc["used"], e["_k"] - 1)
+        lowest = F.array_position(acc["used"], False).cast("int")
+        got = F.when(own, e["_k"]).when((e["_k"] > 0) & F.lit(not losers_take), F.lit(-1)).otherwise(lowest)
+        return F.struct(
+            F.transform(acc["used"], lambda x, i: x | (i == got - 1)).alias("used"),
+            F.array_append(acc["out"], F.struct(e["_order"].alias("_order"), got.alias("_got"))).alias("out"))
+
+    start = F.struct(used.alias("used"), F.array().cast(out_type).alias("out"))
+    told = events.select("_base", F.explode(F.aggregate("_events", start, step, lambda acc: acc["out"])).alias("x"))
+    return told.select("_base", "x._order", "x._got")
+
+
+def _compete(heads: DataFrame, slots: int, template: str) -> DataFrame:
+    """``(_order, _new)`` of all repeated slugs among the first holders of each, and of slugs that lost their name; null without a free number."""
+    practice = template == "practice"
+    bare = strip_slashes(F.col("_slug")) if practice else F.col("_slug")
+    spelled = F.regexp_extract("_bare", _SLOT, 2).try_cast("int")
+    in_slots = (spelled <= slots) & (F.col("_slug") == F.concat(F.lit("/"), "_bare", F.lit("/")) if practice else F.lit(True))
+    named = heads.withColumn("_bare", bare).select("_order", "_r", "_bare", F.when(in_slots, spelled).alias("_k"), F.when(in_slots, F.regexp_extract("_bare", _SLOT, 1)).alias("_parent"))
+    if practice:
+        # How many numbers stand at the end: a slug can lose its name only to a base one level up.
+        depth = F.length(F.regexp_replace(F.regexp_extract("_bare", r"((?:-[1-9][0-9]?)*)\z", 1), "[0-9]", ""))
+        named = named.withColumn("_base", F.col("_bare")).withColumn("_depth", depth)
+    else:
+        named = named.withColumn("_base", F.regexp_replace("_bare", r"-\d+\z", "")).withColumn("_depth", F.lit(0))
+    named = checkpoint(named)
+    firsts = named.where("_r = 1 and _k is not null").select(F.col("_parent").alias("_base"), "_order", "_k", F.col("_bare").alias("_name"))
+    by_base = Window.partitionBy("_base").orderBy("_order")
+    levels = sorted(r["_depth"] for r in named.where("_r > 1").select("_depth").distinct().collect())
+    lost, done = None, []
+    while levels:
+        level = levels.pop(0)
+        takers = named.where((F.col("_depth") == level) & (F.col("_r") > 1)).select("_base", "_order")
+        if lost is not None:
+            takers = takers.unionByName(lost)
+        ranked = takers.withColumn("_q", F.row_number().over(by_base))
+        some, late = ranked.where(F.col("_q") <= slots).select("_base", "_order", F.lit(0).alias("_k")), ranked.where(F.col("_q") > slots)
+        rivals = firsts.join(some.select("_base").distinct(), "_base", "left_semi").select("_base", "_order", "_k")
+        got = checkpoint(_hand_out(some.unionByName(rivals), slots, not practice))
+        number = F.when(F.col("_got") > 0, F.concat("_base", F.lit("-"), F.col("_got").cast("string")))
+        done += [got.where("_got >= 0").select("_order", number.alias("_new")), late.select("_order", F.lit(None).cast("string").alias("_new"))]
+        losers = got.where("_got < 0").select("_order") if practice else None
+        lost = None
+        if losers is not None and not losers.isEmpty():
+            # Their base is their own name, one level down.
+            lost = checkpoint(firsts.join(losers, "_order", "left_semi").select(F.col("_name").alias("_base"), "_order"))
+            if level + 1 not in levels:
+                levels.insert(0, level + 1)
+    out = done[0] if done else named.select("_order", F.lit(None).cast("string").alias("_new")).limit(0)
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("_new", F.concat(F.lit("/"), "_new", F.lit("/"))) if practice else out
 
 
 def resolve_collisions(
@@ -66,29 +105,10 @@ def resolve_collisions(
     slots = SLOTS if max_suffix is None else min(SLOTS, max_suffix)
     rows = df.select(F.col(order).alias("_order"), F.col(slug).alias("_slug")).where(F.coalesce("_slug", F.lit("")) != "")
     by_slug = Window.partitionBy("_slug").orderBy("_order")
-    heads = (
-        rows.withColumn("_r", F.row_number().over(by_slug)).where(F.col("_r") <= slots + 1)
-        .withColumn("_family", _family(F.col("_slug"), template))
-    )
     # Narrow rows (number, slug, rank), read several times below; written once.
-    heads = checkpoint(heads)
-    clashing = heads.where("_r > 1").select("_family").distinct()
-    inside = heads.join(clashing, "_family", "left_semi")
+    heads = checkpoint(rows.withColumn("_r", F.row_number().over(by_slug)).where(F.col("_r") <= slots + 1))
     none = F.lit(None).cast("string")
-    late = None
-    if template == "practice":
-        work = inside.withColumn("_again", F.lit(False))
-    else:
-        # Only ``base-1 … base-99`` compete for slots; any other repeated slug just takes one.
-        slot = F.col("_slug").rlike(r"-[1-9][0-9]?\z")
-        by_family = Window.partitionBy("_family").orderBy("_order")
-        repeats = inside.where(~slot & (F.col("_r") > 1)).withColumn("_q", F.row_number().over(by_family))
-        takers = repeats.where(F.col("_q") <= slots).drop("_q").withColumn("_again", F.lit(True))
-        work = takers.unionByName(inside.where(slot).withColumn("_again", F.lit(False)))
-        late = repeats.where(F.col("_q") > slots).select("_order", none.alias("_new"))
-    order_type = dict(rows.dtypes)["_order"]
-    decided = work.groupBy("_family").applyInPandas(_fold(template, slots), f"_order {order_type}, _new string")
-    decided = decided if late is None else decided.unionByName(late)
+    decided = _compete(heads, slots, template)
     # Beyond its first hundred holders a slug finds every slot taken.
     heavy = rows.groupBy("_slug").agg(F.count("*").alias("_n")).where(F.col("_n") > slots + 1).select("_slug")
     beyond = rows.join(heavy, "_slug", "left_semi").join(heads.select("_order"), "_order", "left_anti").select("_order", none.alias("_new"))

@@ -113,6 +113,20 @@ def brute(slugs, template):
     return out
 
 
+@pytest.mark.parametrize("template", ["post", "practice"])
+def test_slug_chains_and_a_large_family(spark, template):
+    """Names that are numbers of each other over three levels, and thousands of dated slugs, of which only some compete."""
+    rng = random.Random(8)
+    pool = ["x"] * 5 + [f"x-{i}" for i in (1, 1, 2, 3, 9)] + [f"x-{i}-{j}" for i in (1, 2) for j in (1, 2, 3)] + ["x-1-1-1", "x-1-1-2", "y-01", "y", "x-0"]
+    slugs = [rng.choice(pool) for _ in range(160)] + [f"post-{i % 12 + 1}-{i % 31 + 1}-{i}" for i in range(3000)] + ["post-1-1-0", "post-1-1-0", "post"]
+    rng.shuffle(slugs)
+    slugs = [f"/{s}/" if rng.random() < 0.9 else s for s in slugs] if template == "practice" else slugs
+    df = spark.createDataFrame(list(enumerate(slugs)), "i int, s string")
+    got = resolve_collisions(df, "i", "s", template, "unique_suffix", max_suffix=99, unsolved="open").orderBy("i").collect()
+    want = brute(slugs, template)
+    assert [r["s"] for r in got] == want or [(i, r["s"], w) for i, (r, w) in enumerate(zip(got, want)) if r["s"] != w][:3] == []
+
+
 @pytest.mark.parametrize("template", ["post", "practice"])
 def test_slug_collisions_match_the_ordered_loop(spark, template):
     rng = random.Random(7)
