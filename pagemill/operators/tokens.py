@@ -288,7 +288,7 @@ def main_content_of_cells(
     values stay as they are. ``finish`` runs on the extracted text. ``key`` must be unique and not null:
     rows are hashed by it once (unless ``distributed`` says they are already). An index of
     the tags, without text, goes through the windows; the verdicts come back as one array per row and are
-    applied to the text where it stands, so no text is ever sorted.
+    applied to the text where it stands, so no text is sorted; only several columns meet in one grouping by key.
     """
     spread = df if distributed else distribute(df, key)
     names = list(cells)
@@ -301,15 +301,26 @@ def main_content_of_cells(
     fields = ["pos", "head_len", "keep_head", "keep_tail", "trim_left", "trim_right"]
     spans = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_no", *fields))).alias("_spans"))
     joined = spread.withColumn("_key", F.col(key)).join(spans.hint("shuffle_hash"), "_key", "left")
-    # Each step is a column of its own: the optimizer keeps apart what is costly and used more than once.
-    joined = joined.select("*", *[strip_page_shell(body[n]).alias(f"_s{i}") for i, n in enumerate(names)])
-    for i in range(len(names)):
-        own = F.coalesce(F.filter("_spans", lambda s: s["_no"] == i) if len(names) > 1 else F.col("_spans"), F.array())
-        joined = joined.withColumn(f"_m{i}", F.when(F.col(f"_s{i}").isNotNull(), kept_text(split_at_tags(F.col(f"_s{i}"), STRUCTURE_TAGS), own)))
-    for i in range(len(names)):
-        joined = joined.withColumn(f"_m{i}", squeeze_newlines(remove_empty_wrappers(strip_layout_attributes(F.col(f"_m{i}")))))
-    done = {n: F.when(F.col(f"_s{i}").isNotNull(), finish(F.col(f"_m{i}"))).otherwise(F.col(f"`{n}`")) for i, n in enumerate(names)}
-    return joined.select(*[done[c].alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns])
+
+    def finished(rows: DataFrame, shell: Column, own: Column) -> DataFrame:
+        # Each step is a column of its own: the optimizer keeps apart what is costly and used more than once.
+        rows = rows.withColumn("_shell", shell)
+        rows = rows.withColumn("_main", F.when(F.col("_shell").isNotNull(), kept_text(split_at_tags(F.col("_shell"), STRUCTURE_TAGS), F.coalesce(own, F.array()))))
+        return rows.withColumn("_main", finish(squeeze_newlines(remove_empty_wrappers(strip_layout_attributes(F.col("_main"))))))
+
+    if len(names) == 1:
+        done = finished(joined, strip_page_shell(body[names[0]]), F.col("_spans"))
+        return done.select(*[(F.when(F.col("_shell").isNotNull(), F.col("_main")).otherwise(F.col(f"`{c}`")).alias(c) if c in cells else F.col(f"`{c}`")) for c in df.columns])
+    # Several cells of a row are finished as rows, so that the plan holds the steps once; they meet again in one grouping.
+    held = F.struct(*[(F.when(body[c].isNull(), F.col(f"`{c}`")).alias(c) if c in cells else F.col(f"`{c}`")) for c in df.columns])
+    rows = joined.select("_key", held.alias("_row"), "_spans", F.posexplode_outer(shells).alias("_at", "_cell"))
+    rows = rows.withColumn("_row", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_row")))
+    done = finished(rows, F.col("_cell.shell"), F.filter("_spans", lambda s: s["_no"] == F.col("_cell.no")))
+    whole = done.groupBy("_key").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.collect_list(F.when(F.col("_cell").isNotNull(), F.struct("_cell.no", "_main"))).alias("_done"))
+    texts = F.map_from_entries(F.col("_done"))
+    return whole.select(*[
+        (F.coalesce(F.try_element_at(texts, F.lit(names.index(c))), F.col(f"_row.`{c}`")) if c in cells else F.col(f"_row.`{c}`")).alias(c) for c in df.columns])
 
 
 def extract_main_content(df: DataFrame, key: str, html: str) -> DataFrame:
