@@ -233,3 +233,88 @@ def streamed_counters(spark, sf):
     written = spark.read.parquet(f"{folder}/out")
     last = written.agg(F.max("batch").alias("b"))
     return written.join(F.broadcast(last), F.col("batch") == F.col("b")).select("status", "count")
+
+
+def _import_stream(spark, sf, folder):
+    """Orders of each customer in three files, one batch each, loaded by customer; the progress that was told."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").cast("string").alias("slug"), F.col("o_orderpriority").alias("title"))
+    for part in range(3):
+        o.where(F.col("i") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    told = []
+    jobs.import_batches(
+        stream, lambda d: d, f"{folder}/target", f"{folder}/jobs", f"{folder}/items", f"{folder}/state", "slug", "i", "upsert", "post", progress=told.append, compact_every=2,
+    ).trigger(availableNow=True).start().awaitTermination()
+    return told
+
+
+@query("streamed_import", "select count(distinct o_custkey)::bigint as keys, count(distinct o_custkey)::bigint as created, (count(*) - count(distinct o_custkey))::bigint as updated from orders")
+def streamed_import(spark, sf):
+    """Rows loaded by a stream of several batches, with a snapshot between them."""
+    folder = _folder(spark, "import")
+    _import_stream(spark, sf, folder)
+    keys = jobs.loaded_rows(spark, f"{folder}/target", "slug").agg(F.count("*").alias("keys"))
+    counts = spark.read.parquet(f"{folder}/jobs").agg(F.sum("created_count").alias("created"), F.sum("updated_count").alias("updated"))
+    return counts.join(F.broadcast(keys)).select("keys", "created", "updated")
+
+
+@query("import_progress", "select count(*)::bigint as total_records, count(distinct o_custkey)::bigint as created_count, 0::bigint as failed_count from orders")
+def import_progress(spark, sf):
+    """The progress that each batch of a finished import told, as a table."""
+    folder = _folder(spark, "import")
+    told = _import_stream(spark, sf, folder)
+    rows = spark.read.parquet(f"{folder}/target_progress")
+    if sorted(r["batch_id"] for r in rows.select("batch_id").collect()) != [t["batch_id"] for t in told]:
+        raise ValueError("progress was told of other batches than were written")
+    return rows.agg(*[F.sum(c).alias(c) for c in ("total_records", "created_count", "failed_count")])
+
+
+def _as_stream(spark, sf, folder, make):
+    """Events as a stream that reads what is there; a last event, long after all, closes every session."""
+    e = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e.write.parquet(f"{folder}/in")
+    e.agg(F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
+    out = make(stream)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+_HALF_DAY_MS = 43_200_000
+_THROTTLED = """
+    with recursive e as (select user_id, min(ts) as t from events group by user_id
+      union all select e.user_id, (select min(v.ts) from events v where v.user_id = e.user_id and v.ts >= e.t + interval 12 hours) from e
+      where exists (select 1 from events v where v.user_id = e.user_id and v.ts >= e.t + interval 12 hours))
+    select user_id::varchar as key, t as emitted from e"""
+
+
+@query("throttled_calls", _THROTTLED)
+def throttled_calls(spark, sf):
+    """Calls of each user that go through, at least half a day after the last one that did."""
+    return jobs.throttled(table(spark, sf, "events"), "user_id", "ts", _HALF_DAY_MS).withColumn("emitted", F.col("emitted").cast("timestamp_ntz"))
+
+
+@query("throttled_calls_stream", _THROTTLED)
+def throttled_calls_stream(spark, sf):
+    out = _as_stream(spark, sf, _folder(spark, "throttle"), lambda d: jobs.throttled(d, "user_id", "ts", _HALF_DAY_MS, "1 day"))
+    return out.where("key <> '-1'").withColumn("emitted", F.col("emitted").cast("timestamp_ntz"))
+
+
+_TOUCHES = """
+    with g as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 1800000000 then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g)
+    select user_id::varchar as session, arg_min('/' || event_type, (ts, event_type)) as landing_page, min(ts) as seen_at from s group by user_id, n"""
+
+
+@query("first_touch_sessions", _TOUCHES)
+def first_touch_sessions(spark, sf):
+    """Landing page of every visit of a user, which ends after half an hour without events."""
+    e = table(spark, sf, "events").withColumn("url", F.concat(F.lit("/"), "event_type"))
+    return jobs.first_touches(e, "user_id", "url", "ts")
+
+
+@query("first_touch_stream", _TOUCHES)
+def first_touch_stream(spark, sf):
+    make = lambda d: jobs.first_touches(d.withColumn("url", F.concat(F.lit("/"), "event_type")), "user_id", "url", "ts", lateness="1 day")
+    out = _as_stream(spark, sf, _folder(spark, "touches"), make)
+    return out.where("session <> '-1'").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
