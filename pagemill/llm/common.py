@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import site
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -112,6 +114,14 @@ def words(text: str | None, table: bytes) -> list[bytes]:
 BROADCAST_ROWS = 1_000_000
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone: it does so once the driver has collected its garbage, which may be long after."""
+    for _ in range(2):  # what Python lets go of in the first round, the JVM can collect in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the checkpoint folder and read again: unlike a checkpoint, plans that read it twice share their shuffles."""
     spark = df.sparkSession
@@ -119,7 +129,10 @@ def stored(df: DataFrame) -> DataFrame:
         checkpoint(spark.range(0))  # sets the folder
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 #: Rows of a narrow table that one task takes.

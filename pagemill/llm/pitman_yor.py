@@ -46,15 +46,17 @@ BEGIN, END = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers without sign in the narrowest of 1, 2, 4 or 8 bytes, or floating-point numbers, compressed."""
+    """Numbers without sign in the narrowest of 1, 2, 4 or 8 bytes, or floating-point numbers: compressed, all first bytes before all second ones."""
     if values.dtype.kind != "f":
-        most = int(values.max()) if len(values) else 0
-        values = values.astype(np.min_scalar_type(most))
-    return values.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+        values = values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    return values.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), data[:1].decode())
+    kind = np.dtype(data[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _pack_words(values: np.ndarray) -> bytes:
@@ -425,9 +427,9 @@ def _second_seating(asked: DataFrame, parent: DataFrame, totals: dict, hot: dict
             token = np.repeat(own.pair_of[at:at + len(each)], each)
             at += len(each)
             who, holder = np.unique(holders, return_inverse=True)
-            sums = [pack(np.bincount(holder, weights=x[token], minlength=len(who))) for x in (score, base)]
+            sums = [np.bincount(holder, weights=x[token], minlength=len(who)) for x in (score, base)]
             count = np.bincount(holder, weights=known[token], minlength=len(who)).astype(np.int64)
-            out.append({"chunk": r["chunk"], "bucket": number, "holders": pack(who), "score": sums[0], "base": sums[1], "known": pack(count)})
+            out.append({"chunk": r["chunk"], "bucket": number, "holders": pack(who), "score": pack(sums[0].astype(np.float32)), "base": pack(sums[1]), "known": pack(count)})
         return pa.Table.from_pylist(out, schema=_arrow(schema))
 
     return asked.groupBy("bucket").cogroup(parent.groupBy("bucket")).applyInArrow(run, schema)
