@@ -328,18 +328,18 @@ def quick_issues(spark, sf):
 
 
 @query("mapped_issues", f"""
-    with r as (select doc_id, substr(text, 1, 40) as title, case when doc_id % 9 = 0 then 'Bad Slug ' || doc_id else lang || '-' || doc_id end as slug,
+    with r as (select doc_id, text as title, text as body, case when doc_id % 9 = 0 then 'Bad Slug ' || doc_id else lang || '-' || doc_id end as slug,
         case when doc_id % 2 = 0 then '2024-05-01' else 'soon ' || doc_id end as published_at, case when doc_id % 4 = 1 then 'img ' || doc_id end as og_image from documents)
     select doc_id as row_index, 'title' as field, '"Post Title" is required' as message, 'error' as severity from r where not regexp_matches(title, '{S.NOT_WS}')
     union all select doc_id, 'published_at', 'Publish date "' || published_at || '" could not be parsed', 'error' from r where doc_id % 2 = 1
     union all select doc_id, 'slug', 'Slug "' || {S.truncate('slug', 40)} || '" {_SHAPE}', 'error' from r where not regexp_matches(slug, '{S.SLUG_OK}')
-    union all select doc_id, 'body', 'No body content — post will be empty', 'warning' from r
+    union all select doc_id, 'body', 'No body content — post will be empty', 'warning' from r where not regexp_matches(body, '{S.NOT_WS}')
     union all select doc_id, 'excerpt', 'No excerpt — it won''t appear in blog listings', 'warning' from r
     union all select doc_id, 'og_image', '"OG Image" has an invalid URL: "' || og_image || '"', 'error' from r where og_image is not null""")
 def mapped_issues(spark, sf):
     k = F.col("doc_id")
     d = table(spark, sf, "documents").select(
-        "doc_id", F.substring("text", 1, 40).alias("title"), F.when(k % 9 == 0, F.concat(F.lit("Bad Slug "), k)).otherwise(F.concat("lang", F.lit("-"), k)).alias("slug"),
+        "doc_id", F.col("text").alias("title"), F.col("text").alias("body"), F.when(k % 9 == 0, F.concat(F.lit("Bad Slug "), k)).otherwise(F.concat("lang", F.lit("-"), k)).alias("slug"),
         F.when(k % 2 == 0, "2024-05-01").otherwise(F.concat(F.lit("soon "), k)).alias("published_at"), F.when(k % 4 == 1, F.concat(F.lit("img "), k)).alias("og_image"),
     )
     return V.validate_mapped(d, "doc_id", "post")

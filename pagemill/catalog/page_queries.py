@@ -300,9 +300,9 @@ def form_blocks(spark, sf):
     select page_id, n >= 5 and links > 3 and n - linked < 50 and linked / n > 0.6 as dense, linked, n as words
     from (select page_id, {S.n_words(S.plain('nav'))} as n, len(regexp_extract_all(nav, '(?is)<a\b[^>]*>.*?</a>')) as links,
       {S.n_words("array_to_string(list_transform(regexp_extract_all(nav, '(?is)<a\\b[^>]*>.*?</a>'), lambda l: regexp_replace(l, '<[^>]*>', '', 'g')), ' ')")} as linked
-      from (select page_id, regexp_extract(html, '(?is)<nav>.*?</nav>') as nav from pages))""")
+      from (select page_id, unnest(regexp_extract_all(html, '(?is)<nav>.*?</nav>')) as nav from pages))""")
 def link_density(spark, sf):
-    p = _pages(spark, sf).select("page_id", F.regexp_extract("html", "(?is)<nav>.*?</nav>", 0).alias("nav"))
+    p = _pages(spark, sf).select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<nav>.*?</nav>"), F.lit(0))).alias("nav"))
     p = p.withColumn("words", X.word_count(X.plain_text(F.col("nav"))).cast("long"))
     return p.select("page_id", B.is_link_dense(F.col("nav"), F.col("words")).alias("dense"), B.link_words(F.col("nav")).cast("long").alias("linked"), "words")
 
@@ -434,10 +434,9 @@ def qa_broken_links(spark, sf):
 
 
 @query("top_links", rf"""
-    select page_id, href from (select page_id, unnest(h) as href, unnest(range(len(h))) as pos from (select page_id, regexp_extract_all(html, '{_HREF}', 1) as h from pages))
-    qualify row_number() over (partition by page_id order by pos) <= 5""")
+    select page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) as href from pages""")
 def top_links(spark, sf):
-    hrefs = F.slice(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), 1, 5)
+    hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
     return _pages(spark, sf).select("page_id", F.explode(hrefs).alias("href"))
 
 
@@ -504,6 +503,15 @@ def redirect_chain(spark, sf):
     return resolve_redirects(r).withColumn("hops", F.col("hops").cast("long"))
 
 
+@query("redirect_repeated", """
+    select '/o/' || o_orderkey as from_path, '/end/' || min(o_custkey)::varchar as to_path, 1::bigint as hops, false as is_cycle from (select o_orderkey, o_custkey % 7 as o_custkey from orders) group by o_orderkey""")
+def redirect_repeated(spark, sf):
+    """Each rule four times, once with another target; a path has one end."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("/o/"), "o_orderkey").alias("from_path"), (F.col("o_custkey") % 7).alias("k"))
+    rules = o.withColumn("more", F.explode(F.array(*[F.lit(x) for x in ("", "", "", "9")]))).select("from_path", F.concat(F.lit("/end/"), "k", "more").alias("to_path"), F.lit(True).alias("enabled"))
+    return resolve_redirects(rules).withColumn("hops", F.col("hops").cast("long"))
+
+
 _CHAIN_BLOCK = 150
 
 

@@ -432,7 +432,7 @@ def _cms(spark, sf):
         F.lit("published").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("published_at"), F.lit("2024-01-02").cast("timestamp").alias("updated_at"),
     )
     d = table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("title"), F.concat(F.lit("doc-"), "doc_id", F.lit("/")).alias("slug"),
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), F.concat(F.lit("doc-"), "doc_id", F.lit("/")).alias("slug"),
         F.col("text").alias("body"), none.alias("excerpt"), none.alias("featured_image"), F.col("source").alias("category_id"), F.lit("published").alias("status"),
         F.timestamp_seconds(F.col("n_chars") * 1000).alias("published_at"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
         F.lit("2024-01-02").cast("timestamp").alias("updated_at"),
@@ -442,7 +442,7 @@ def _cms(spark, sf):
 
 @query("injected_page_data", f"""
     select distinct path, title from (
-      select '/blog/doc-' || doc_id || '/' as path, substr(text, 1, 40) as title from documents
+      select '/blog/doc-' || doc_id || '/' as path, text as title from documents
       union all select {S.cms_path(S.path_of('url'))}, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) from pages)""")
 def injected_page_data(spark, sf):
     pages, posts = _cms(spark, sf)

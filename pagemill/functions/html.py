@@ -34,16 +34,16 @@ SHORT_FINGERPRINT = 20
 def repeat_until_stable(c: Column, step) -> Column:
     """Apply a text step until it changes nothing more.
 
-    The steps take elements out, so there are no more changing passes than closing tags, and one that renames.
+    The steps take elements out, so there are no more changing passes than closing tags, and one that renames. A pass
+    that changes nothing is the last to look at the text: elements nested n deep take n passes and one more.
     """
 
     def advance(state: Column, _: Column) -> Column:
-        return F.when(state["text"].eqNullSafe(state["before"]), state).otherwise(
-            F.struct(step(state["text"]).alias("text"), state["text"].alias("before"))
-        )
+        done = once(step(state["text"]), lambda new: F.struct(new.alias("text"), new.eqNullSafe(state["text"]).alias("done")))
+        return F.when(state["done"], state).otherwise(done)
 
     def settle(text: Column) -> Column:
-        start = F.struct(text.alias("text"), F.lit(None).cast("string").alias("before"))
+        start = F.struct(text.alias("text"), text.isNull().alias("done"))
         passes = F.sequence(F.lit(1), F.regexp_count(text, F.lit("</")) + 2)
         return F.aggregate(passes, start, advance, lambda s: s["text"])
 

@@ -59,9 +59,9 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
     Pointer doubling: a round joins the rows that still move to the table, so a chain of n hops takes
     log2(n) rounds. Where a row is n hops from its end, others are at every distance below; so a round
     that brings no row to an end leaves only rows that lead into a cycle. Those keep their own
-    target and one hop. Lineage is cut between rounds.
+    target and one hop. Lineage is cut between rounds. Of several rules for a path the one with the smallest target counts.
     """
-    rules = redirects.where(F.coalesce(F.col("enabled"), F.lit(True))).select("from_path", "to_path")
+    rules = redirects.where(F.coalesce(F.col("enabled"), F.lit(True))).groupBy("from_path").agg(F.min("to_path").alias("to_path"))
     starts = rules.select(F.col("from_path").alias("_s")).distinct()
     rows = rules.join(starts, F.col("to_path") == F.col("_s"), "left").select(
         "from_path", "to_path", F.lit(1).cast("long").alias("hops"), F.col("_s").isNull().alias("done"), F.col("to_path").alias("own")

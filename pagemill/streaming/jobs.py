@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,12 +87,9 @@ def _ddl(df: DataFrame) -> str:
 
 def _read(spark, path: str) -> DataFrame | None:
     """A folder of Parquet, None where nothing was written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as err:
-        if "PATH_NOT_FOUND" not in str(err) and "UNABLE_TO_INFER_SCHEMA" not in str(err):
-            raise
-        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.parquet(path) if there else None
 
 
 def _log(spark, target: str, before_batch: int | None) -> DataFrame | None:
