@@ -133,3 +133,36 @@ def sitemap_posts(spark, sf):
         F.concat(F.lit("/o-"), "o_orderkey", F.lit("&x/")).alias("slug"), F.when(F.col("o_orderstatus") == "F", "published").otherwise("draft").alias("status"),
         (F.col("o_orderkey") % 5 == 0).alias("noindex"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
     return sinks.sitemap_files(sinks.post_entries(posts, ORIGIN), descending=True).select("xml")
+
+
+_NEWEST = "select doc_id, text, row_number() over (order by n_chars * 1000 + doc_id desc) as r from documents"
+
+
+@query("route_lists", f"""
+    with n as ({_NEWEST}),
+    routes as (select '/' as path, 'home' as route, null as doc_id, 4 as k union all select '/blog/', 'index', null, 7
+      union all select '/blog/doc-' || doc_id || '/', 'post', doc_id, 3 from documents union all select '/contact/', 'contact', null, 0),
+    l as (select path, n.doc_id, n.r, row_number() over (partition by path order by n.r) as q, k, n.text from routes join n on (route <> 'post' or n.r <= 4) and (routes.doc_id is null or routes.doc_id <> n.doc_id))
+    select path, string_agg(doc_id::varchar, ',' order by q) as listed, sum(length(text))::bigint as chars, case when starts_with(path, '/blog/doc') then 'a.png' end as sidebar,
+      null::varchar as cta from l where q <= k group by path
+    union all select '/contact/', '', 0, null, 'c' || min(c_custkey) from customer""")
+def route_lists(spark, sf):
+    """Posts that each route lists, as many as it asks for; the side bar of posts; the shared section of a contact page."""
+    none = F.lit(None).cast("string")
+    first = table(spark, sf, "customer").agg(F.min("c_custkey").alias("c"))
+    contents = {"/": F.lit("{}"), "/blog/": F.lit('[{"type":"hero"},{"type":"recent-posts","postCount":7}]'), "/contact/": F.lit('{"cta":"own"}'), "/about/": F.to_json(F.struct(F.concat(F.lit("c"), "c").alias("cta")))}
+    at = F.lit("2024-01-01").cast("timestamp")
+    pages = None
+    for path, content in contents.items():
+        page = first.select(F.lit(path).alias("url_path"), F.lit("t").alias("title"), none.alias("page_type"), content.alias("content"), F.lit("published").alias("status"), at.alias("published_at"), at.alias("updated_at"))
+        pages = page if pages is None else pages.unionByName(page)
+    posts = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.concat(F.lit("doc-"), "doc_id").alias("slug"), F.col("text").alias("body"), none.alias("excerpt"),
+        none.alias("featured_image"), F.col("source").alias("category_id"), F.lit("published").alias("status"), F.timestamp_seconds(F.col("n_chars") * 1000 + F.col("doc_id")).alias("published_at"),
+        at.alias("created_at"), at.alias("updated_at"))
+    forms = table(spark, sf, "documents").select(F.col("source").alias("name"), F.md5("source").alias("id")).distinct()
+    sidebar = first.select(F.lit("a.png").alias("attorney_image"), F.lit("[]").alias("award_images"))
+    out = C.route_bundles(pages, posts, forms, {"siteName": "Mill"}, sidebar)
+    return out.where("path <> '/about/'").select(
+        "path", F.array_join("recent_post_ids", ",").alias("listed"), F.aggregate("recent_posts", F.lit(0).cast("long"), lambda a, x: a + F.length(x["body"])).alias("chars"),
+        "sidebar.attorney_image", F.get_json_object("page.content", "$.cta").alias("cta")).withColumnRenamed("attorney_image", "sidebar").withColumn("cta", F.when(F.col("path") == "/contact/", F.col("cta")))

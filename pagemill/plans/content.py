@@ -235,11 +235,17 @@ def site_paths(pages: DataFrame, posts: DataFrame) -> DataFrame:
     return p.unionByName(b).distinct()
 
 
-def route_bundles(pages: DataFrame, posts: DataFrame, forms: DataFrame, settings: dict[str, Any]) -> DataFrame:
-    """One row per route: its document, the forms it needs and the posts it lists.
+HOME_POSTS, RELATED_POSTS = 4, 3
 
-    Settings and the newest posts are the same for all routes, so they enter as literals.
+
+def route_bundles(pages: DataFrame, posts: DataFrame, forms: DataFrame, settings: dict[str, Any], sidebar: DataFrame | None = None) -> DataFrame:
+    """One row per route: its document, the forms it needs, the posts it lists and, for a post, the side bar.
+
+    The home page lists four posts, a post the three newest others, the blog index as many as its view asks for. They are cut from
+    one list of the newest posts, which is as long as the longest of these and joins the routes as one row. Contact and practice-areas
+    pages take the About page's shared sections. ``sidebar`` (``attorney_image``, ``award_images``) has one row.
     """
+    pages = lay_shared_sections(pages, shared_sections(pages))
     docs = page_documents(pages).withColumn("post", F.lit(None).cast(post_documents(posts).schema["post"].dataType))
     blog = post_documents(posts).withColumn("page", F.lit(None).cast(docs.schema["page"].dataType))
     routes = docs.select("path", "page", "post").unionByName(blog.select("path", "page", "post"))
@@ -248,18 +254,32 @@ def route_bundles(pages: DataFrame, posts: DataFrame, forms: DataFrame, settings
     wanted = routes.select("path", F.explode("lookups.ids").alias("form_id")).join(f, "form_id").select("path", "form_id").unionByName(
         routes.select("path", F.explode("lookups.names").alias("form_name")).join(f, "form_name").select("path", "form_id")
     ).groupBy("path").agg(F.sort_array(F.collect_set("form_id")).alias("form_ids"))
-    newest = [r["id"] for r in recent_posts(posts, 4).select("id").collect()]
-    ids = F.array(*[F.lit(i) for i in newest]) if newest else F.array().cast("array<string>")
-    is_post = is_blog_post_path(F.col("path"))
+    is_post, on_index = is_blog_post_path(F.col("path")), F.col("path") == "/blog/"
+    asked = pages.where(cms_path(F.col("url_path")) == "/blog/").select(blog_index_view(F.col("content"))["recentPosts"]["postCount"].alias("n"))
+    longest = max(HOME_POSTS, asked.agg(F.max("n")).first()[0] or 0)
+    # Posts as they are listed, newest first.
+    top = post_documents(recent_posts(posts, longest)).select("post")
+    age = F.struct(F.col("post.published_at").isNotNull().alias("dated"), (-F.unix_micros("post.published_at")).alias("age"), F.col("post.id").alias("id"), "post")
+    newest = top.agg(F.transform(F.array_sort(F.collect_list(age)), lambda x: x["post"]).alias("newest")).withColumn("_one", F.lit(1))
+    view = blog_index_view(F.col("page.content"))["recentPosts"]["postCount"]
+    none = F.array().cast(newest.schema["newest"].dataType)
     listed = (
-        F.when(F.col("path") == "/", ids)
-        .when(is_post, F.slice(F.filter(ids, lambda i: i != F.col("post.id")), 1, 3))
-        .otherwise(F.array().cast("array<string>"))
+        F.when(F.col("path") == "/", F.slice("newest", 1, HOME_POSTS))
+        .when(on_index, F.slice("newest", 1, F.greatest(F.coalesce(view, F.lit(0)), F.lit(0))))
+        .when(is_post, F.slice(F.filter(F.slice("newest", 1, HOME_POSTS), lambda x: x["id"] != F.col("post.id")), 1, RELATED_POSTS))
+        .otherwise(none)
     )
-    kind = F.when(is_post, "post").when(F.col("path") == "/blog/", "blog_index").otherwise(page_kind(F.col("page.page_type"), F.col("page.content")))
-    return routes.join(wanted, "path", "left").select(
+    kind = F.when(is_post, "post").when(on_index, "blog_index").otherwise(page_kind(F.col("page.page_type"), F.col("page.content")))
+    side = F.lit(None).cast("struct<attorney_image:string,award_images:string>")
+    row = sidebar.select("attorney_image", "award_images").first() if sidebar is not None else None
+    if row is not None:
+        side = F.when(is_post, F.struct(F.lit(row["attorney_image"]).cast("string").alias("attorney_image"), F.lit(row["award_images"]).cast("string").alias("award_images")))
+    placed = routes.join(wanted, "path", "left").withColumn("_one", F.lit(1)).join(F.broadcast(newest), "_one", "left")
+    placed = placed.withColumn("recent_posts", F.coalesce(listed, none))
+    return placed.select(
         "path", kind.alias("kind"), "page", "post", F.coalesce("form_ids", F.array().cast("array<string>")).alias("form_ids"),
-        listed.alias("recent_post_ids"), F.lit(settings.get("siteName") or "").alias("site_name"),
+        F.transform("recent_posts", lambda x: x["id"]).alias("recent_post_ids"), "recent_posts", side.alias("sidebar"),
+        F.lit(settings.get("siteName") or "").alias("site_name"),
     )
 
 
