@@ -59,10 +59,14 @@ class Recipe:
 
 @dataclass
 class RuleResult:
-    """``outcome`` is ``struct<value, score, category, reason, description>``."""
+    """``outcome`` is ``struct<value, score, category, reason, description>``.
+
+    ``error`` is a message for rows on which the rule cannot run, null for others. Such a row is set apart by the pipeline.
+    """
 
     outcome: Column
     ai_used: bool = False
+    error: Column | None = None
 
 
 def outcome(value: Column, score: Column | float, category: str, reason: Column | str, description: Column | str | None = None) -> Column:

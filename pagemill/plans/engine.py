@@ -88,13 +88,15 @@ def _fields(df: DataFrame) -> Fields:
 
 
 def apply_rules(df: DataFrame, recipe: Recipe) -> DataFrame:
-    """Add ``out`` (one field per target), ``field_scores`` and ``log``; a later value wins over an earlier one."""
+    """Add ``out`` (one field per target), ``field_scores``, ``log`` and ``rule_errors``; a later value wins over an earlier one."""
     fields = _fields(df)
-    stages, scores, logs = [], [], []
+    stages, scores, logs, errors = [], [], [], []
     values: dict[str, Column] = {}
     for i, rule in enumerate(r for r in recipe.rules if r.enabled):
         result = run_rule(rule, fields)
         stages.append(result.outcome.alias(f"_r{i}"))
+        if result.error is not None:
+            errors.append(result.error.cast("string"))
         got = F.col(f"_r{i}")
         value = got["value"]
         if rule.target in values and rule.rule_type not in ("ai_transform", "ignore"):
@@ -112,7 +114,8 @@ def apply_rules(df: DataFrame, recipe: Recipe) -> DataFrame:
     out = F.struct(*[v.alias(k) for k, v in values.items()]) if values else F.struct(F.lit(None).cast("string").alias("_"))
     score_col = F.array(*scores).cast(FIELD_SCORE_TYPE) if scores else F.array().cast(FIELD_SCORE_TYPE)
     log_col = F.array(*logs).cast(LOG_TYPE) if logs else F.array().cast(LOG_TYPE)
-    return staged.select(*df.columns, out.alias("out"), score_col.alias("field_scores"), log_col.alias("log"))
+    error_col = F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast("array<string>")
+    return staged.select(*df.columns, out.alias("out"), score_col.alias("field_scores"), log_col.alias("log"), error_col.alias("rule_errors"))
 
 
 def _outputs(df: DataFrame) -> Fields:
@@ -262,15 +265,20 @@ def build_records(df: DataFrame, key: str, options: EngineOptions) -> DataFrame:
 def run_recipe(df: DataFrame, key: str, mapping: Mapping, recipe: Recipe, options: EngineOptions, failed: Column | None = None) -> DataFrame:
     """Full pipeline: ``key, record, confidence, status, log, cleaning_log``.
 
-    ``key`` is the unique source index. A row for which ``failed`` holds becomes an empty
-    record with score 0 and the flag ``processing_error``; it still takes part in the output.
+    ``key`` is the unique source index. A row on which a rule cannot run (``RuleResult.error``), or for which ``failed``
+    holds, becomes an empty record with score 0, the flag ``processing_error`` and the error in its log; it still takes
+    part in the output, but not in slug collisions.
     """
     marked = df if failed is None else df.withColumn("__failed", failed)
     cleaned = clean_records(marked, key, options.cleaning())
     mapped = map_records(cleaned, key, mapping, options.template)
     built = build_records(apply_rules(mapped, recipe), key, options)
     slug = "url_path" if options.template == "practice" else "slug"
-    built = built.withColumn("_slug", F.col(f"record.{slug}"))
+    catches = failed is not None or any(run_rule(r, Fields({})).error is not None for r in recipe.rules if r.enabled)
+    bad = (F.col("source.__failed") if failed is not None else F.lit(False)) | (F.size("rule_errors") > 0)
+    built = built.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    # A failed row takes no slug from others.
+    built = built.withColumn("_slug", F.when(~F.col("_bad"), F.col(f"record.{slug}")) if catches else F.col(f"record.{slug}"))
     if options.slug_mode == "unique_suffix":
         # Slugs are read three times; the built records are written once instead of built again.
         built = checkpoint(built)
@@ -280,16 +288,15 @@ def run_recipe(df: DataFrame, key: str, mapping: Mapping, recipe: Recipe, option
         "confidence", score_record(F.col("record"), options.template, F.col("field_scores"), F.col("log"), recipe.uses_ai)
     )
     status = route(F.col("confidence.overall"), recipe.threshold)
-    if failed is not None:
-        bad = F.coalesce(F.col("source.__failed"), F.lit(False))
-        scored = _blank_failed(scored, bad, options)
-        status = F.when(bad, "needs_review").otherwise(status)
+    if catches:
+        scored = _blank_failed(scored, F.col("_bad"), F.get("rule_errors", F.lit(0)))
+        status = F.when(F.col("_bad"), "needs_review").otherwise(status)
     return scored.withColumn("status", status).select(
         key, "record", "confidence", "status", "log", F.col("source.cleaning_log").alias("cleaning_log")
     )
 
 
-def _blank_failed(df: DataFrame, bad: Column, options: EngineOptions) -> DataFrame:
+def _blank_failed(df: DataFrame, bad: Column, error: Column) -> DataFrame:
     """Empty record, score 0 and an error entry for failed rows."""
     record = F.col("record")
     empty_dims = F.array().cast(df.schema["confidence"].dataType["dimensions"].dataType)
@@ -299,7 +306,7 @@ def _blank_failed(df: DataFrame, bad: Column, options: EngineOptions) -> DataFra
     )
     entry = F.array(F.struct(
         F.lit("error").alias("rule_id"), F.lit("*").alias("target_field"), F.lit("direct_map").alias("rule_type"),
-        F.lit(False).alias("ai_used"), F.lit(0.0).alias("confidence"), F.lit("Processing error").alias("description"),
+        F.lit(False).alias("ai_used"), F.lit(0.0).alias("confidence"), F.concat(F.lit("Processing error"), F.coalesce(F.concat(F.lit(": "), error), F.lit(""))).alias("description"),
     )).cast(LOG_TYPE)
     keep = {"title", "published_at", "publish_date_source", "status", "page_type"}
     fields = []
