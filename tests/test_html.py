@@ -46,6 +46,17 @@ def test_empty_elements(ev):
     assert ev(H.clean_empty_html(L("<p>" + " " * 20000 + "</p>x"))) == "x"
 
 
+def test_many_empty_elements_are_few_passes(ev):
+    """As many passes as they are nested, not as many as there are."""
+    import time
+
+    page = "<div><p>x</p><span></span></div>" * 30_000
+    begin = time.perf_counter()
+    assert ev(H.clean_empty_html(L(page))) == "<div><p>x</p></div>" * 30_000
+    assert time.perf_counter() - begin < 20
+    assert ev(H.clean_empty_html(L("<div>" * 300 + "</div>" * 300 + "k"))) == "k"
+
+
 def test_page_shell(ev):
     raw = "<!DOCTYPE html><html><head><title>t</title></head><body class='x'><script>a</script><!-- c --><p>k</p></body></html>"
     assert ev(H.strip_page_shell(L(raw))) == "<p>k</p>"

@@ -188,3 +188,18 @@ def test_mapping_default_and_blank(spark):
     df = spark.createDataFrame([(1, " ", "x")], "i int, a string, b string")
     m = Mapping([FieldMapping("t", "a", default="d"), FieldMapping("u", "b", transform="html"), FieldMapping("v", "gone")])
     assert apply_mapping(df, m, ["i"]).first().asDict() == {"i": 1, "t": "d", "u": "<p>x</p>"}
+
+
+def test_rows_that_break_a_rule_are_set_apart(spark):
+    """The pipeline itself finds the row on which a rule cannot run; its slug stays free for others."""
+    register_rule("needs_digits", lambda fields, config, target: RuleResult(
+        outcome(fields.text("og_title"), 1.0, "structural", "ok"), error=F.when(~fields.text("og_title").rlike("^[0-9]+$"), F.concat(F.lit("bad "), fields.text("og_title")))))
+    rows = [(0, "One", "same", "12"), (1, "Two", "same", "x"), (2, "Three", "same", "7"), (3, "Four", "other", None)]
+    df = spark.createDataFrame(rows, "i int, t string, s string, o string")
+    mapping = Mapping([FieldMapping("title", "t"), FieldMapping("slug", "s"), FieldMapping("og_title", "o")])
+    recipe = Recipe([Rule("r", "og_title", "needs_digits")], template="post")
+    out = {r["i"]: r for r in run_recipe(df, "i", mapping, recipe, EngineOptions("post", slug_mode="unique_suffix", imported_at=AT)).collect()}
+    assert [out[i]["record"]["slug"] for i in (0, 2, 3)] == ["same", "same-1", "other"]
+    assert out[1]["confidence"]["flags"] == ["processing_error"] and out[1]["confidence"]["overall"] == 0 and out[1]["status"] == "needs_review"
+    assert out[1]["log"][0]["description"] == "Processing error: bad x" and out[1]["record"]["title"] == "Two" and out[1]["record"]["body"] is None
+    assert all("processing_error" not in out[i]["confidence"]["flags"] for i in (0, 2, 3))

@@ -269,6 +269,69 @@ def test_streaming_import(spark, tmp_path):
     assert tuple(done) == (3, 1)
 
 
+def test_import_retries_and_keeps_failed_rows(spark, tmp_path):
+    """A sink that fails once is tried again; one that fails for a batch leaves its rows as failed, and later batches go on."""
+    schema = "i int, slug string, title string"
+    stream = _stream(spark, str(tmp_path / "in"), schema, [[(1, "a", "A")], [(2, "b", "B"), (3, "a", "A2")], [(4, "c", "C"), (5, "a", "A3")]])
+    where = {n: str(tmp_path / n) for n in ("target", "jobs", "items", "ck")}
+    tries, told = [], []
+
+    def write(rows, path):
+        batch = int(path.rsplit("=", 1)[1])
+        tries.append(batch)
+        if batch == 0 and tries.count(0) == 1 or batch == 1:
+            raise OSError(f"no room for batch {batch}")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+    query = jobs.import_batches(stream, lambda d: d, where["target"], where["jobs"], where["items"], where["ck"], "slug", "i", "upsert", "post", write=write, progress=told.append, compact_every=2)
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    assert tries == [0, 0, 1, 1, 2]
+    assert {r["slug"]: r["title"] for r in jobs.loaded_rows(spark, where["target"], "slug").collect()} == {"a": "A3", "c": "C"}
+    assert [(t["batch_id"], t["created_count"], t["updated_count"], t["failed_count"]) for t in told] == [(0, 1, 0, 0), (1, 0, 0, 2), (2, 1, 1, 0)]
+    lost = spark.read.parquet(where["items"]).where("status = 'failed'").collect()
+    assert {r["slug"] for r in lost} == {"a", "b"} and {r["error_message"] for r in lost} == {"no room for batch 1"}
+    assert {r["title"] for r in spark.read.parquet(where["target"] + "_failed").collect()} == {"B", "A2"}
+
+
+def test_snapshots_hold_the_newest_rows(spark, tmp_path):
+    """Reading through snapshots gives what reading all deltas gives, also for a batch that is repeated."""
+    target = str(tmp_path / "t")
+    for batch in range(5):
+        rows = [(f"k{i}", f"{batch}", i % 3) for i in range(batch, 9)]
+        spark.createDataFrame(rows, "slug string, title string, bucket int").write.partitionBy("bucket").parquet(f"{target}/deltas/batch_id={batch}")
+    want = {f"k{i}": str(min(i, 4)) for i in range(9)}
+    assert {r["slug"]: r["title"] for r in jobs.loaded_rows(spark, target, "slug").collect()} == want
+    for before in (2, 4, 4):
+        jobs.compact(spark, target, "slug", before)
+    assert {r["slug"]: r["title"] for r in jobs.loaded_rows(spark, target, "slug").collect()} == want
+    assert {r["slug"]: r["title"] for r in jobs.loaded_rows(spark, target, "slug", 2).collect()} == {f"k{i}": str(min(i, 1)) for i in range(9)}
+
+
+def test_throttle_and_first_touch_as_folds(spark):
+    from datetime import datetime, timedelta
+
+    rng, t0 = random.Random(9), datetime(2024, 1, 1)
+    rows, want = [], []
+    for key in ("x", "y"):
+        at, last = 0, None
+        for _ in range(200):
+            at += rng.choice([1, 100, 250, 499, 500, 501, 2000])
+            rows.append((key, f"/{at}", t0 + timedelta(milliseconds=at)))
+            if last is None or at - last >= 500:
+                last = at
+                want.append((key, t0 + timedelta(milliseconds=at)))
+    df = spark.createDataFrame(rows, "s string, url string, at timestamp")
+    assert sorted(map(tuple, jobs.throttled(df, "s", "at").collect())) == sorted(want)
+    touches = spark.createDataFrame([("x", " ", t0), ("x", "/b", t0 + timedelta(minutes=1)), ("x", "/a", t0 + timedelta(minutes=1)), ("x", "/c", t0 + timedelta(hours=2))], df.schema)
+    assert sorted(r["landing_page"] for r in jobs.first_touches(touches, "s", "url", "at").collect()) == ["/a", "/c"]
+
+
+def test_repeated_redirects(spark):
+    rules = spark.createDataFrame([(f"/{i}", f"/{i + 1}", True) for i in range(40)] * 2 + [("/0", "/9", True), ("/0", "/0a", False)], "from_path string, to_path string, enabled boolean")
+    got = {r["from_path"]: (r["to_path"], r["hops"]) for r in resolve_redirects(rules).collect()}
+    assert len(got) == 40 and resolve_redirects(rules).count() == 40 and got["/0"] == ("/40", 40)
+
+
 def _collect(stream, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
