@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -86,10 +87,13 @@ def _ddl(df: DataFrame) -> str:
 
 
 def _read(spark, path: str) -> DataFrame | None:
-    """A folder of Parquet, None where nothing was written yet."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.parquet(path) if there else None
+    """A folder of Parquet, None where no row was written yet: batches without rows leave folders without files."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def _log(spark, target: str, before_batch: int | None) -> DataFrame | None:
@@ -103,8 +107,8 @@ def _log(spark, target: str, before_batch: int | None) -> DataFrame | None:
     upto = None if ready is None else ready.agg(F.max("batch_id")).first()[0]
     if upto is None:
         return deltas
-    snapshot = spark.read.parquet(f"{target}/snapshots/upto={upto}")
-    return snapshot.unionByName(deltas.where(F.col("batch_id") > upto))
+    snapshot, since = _read(spark, f"{target}/snapshots/upto={upto}"), deltas.where(F.col("batch_id") > upto)
+    return since if snapshot is None else snapshot.unionByName(since)
 
 
 def compact(spark, target: str, key: str, before_batch: int) -> None:

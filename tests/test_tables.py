@@ -293,6 +293,17 @@ def test_import_retries_and_keeps_failed_rows(spark, tmp_path):
     assert {r["title"] for r in spark.read.parquet(where["target"] + "_failed").collect()} == {"B", "A2"}
 
 
+def test_import_of_batches_without_rows(spark, tmp_path):
+    """Batches without rows, also the first and those before a snapshot, leave folders without files; later rows are loaded all the same."""
+    stream = _stream(spark, str(tmp_path / "in"), "i int, slug string, title string", [[], [], [], [(1, "a", "A"), (2, "b", "B")], [], [(3, "a", "A2")]])
+    where = {n: str(tmp_path / n) for n in ("target", "jobs", "items", "ck")}
+    told = []
+    query = jobs.import_batches(stream, lambda d: d, where["target"], where["jobs"], where["items"], where["ck"], "slug", "i", "upsert", "post", progress=told.append, compact_every=2)
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["slug"]: r["title"] for r in jobs.loaded_rows(spark, where["target"], "slug").collect()} == {"a": "A2", "b": "B"}
+    assert [(t["total_records"], t["created_count"], t["updated_count"], t["failed_count"]) for t in told] == [(0, 0, 0, 0)] * 3 + [(2, 2, 0, 0), (0, 0, 0, 0), (1, 0, 1, 0)]
+
+
 def test_snapshots_hold_the_newest_rows(spark, tmp_path):
     """Reading through snapshots gives what reading all deltas gives, also for a batch that is repeated."""
     target = str(tmp_path / "t")
