@@ -79,9 +79,9 @@ def _score_sql(template: str) -> str:
     s as (select name, unnest({_score_sql('post')}) as s from n)
     select name, string_agg(s.key || ':' || s.score, ',' order by s.score desc, s.i) as ranked from s where s.score > 0 group by name""")
 def column_suggestions(spark, sf):
-    names = _column_names(spark, sf).select("name").distinct()
-    ranked = F.array_join(F.transform(M.suggestions(F.col("name"), "post"), lambda s: F.concat(s["key"], F.lit(":"), s["score"].cast("string"))), ",")
-    return names.select("name", ranked.alias("ranked")).where(F.col("ranked") != "")
+    ranked = M.suggestions_table(_column_names(spark, sf), "name", "post")
+    shown = F.array_join(F.transform("ranked", lambda s: F.concat(s["key"], F.lit(":"), s["score"].cast("string"))), ",")
+    return ranked.where(F.size("ranked") > 0).select("name", shown.alias("ranked"))
 
 
 @query("unmapped_columns", f"select name from (select distinct name from ({_names_sql()})) where name not in (select distinct source from documents) and name not in (select lower(n_name) from nation)")

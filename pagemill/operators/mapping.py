@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from pagemill.functions.text import WS_CHARS, html_transform, markdown_to_html, nonblank, null_if_blank, null_if_empty, once, slugify
 from pagemill.operators.templates import alias_lookup, mappable_fields, repeater_children
+from pagemill.session import task_count
 
 
 @dataclass
@@ -95,6 +96,16 @@ def suggestions(name: Column, template: str, used: list[str] | None = None) -> C
     return F.transform(ranked, lambda s: F.struct(s["key"].alias("key"), (-s["rank"]).alias("score")))
 
 
+def suggestions_table(columns: DataFrame, name: str, template: str, used: list[str] | None = None) -> DataFrame:
+    """``name, ranked``: the suggestions of each distinct column name.
+
+    Names are few and narrow but costly to rank, so they go to a named count of tasks. The ranking leaves
+    a generator: a filter on it would else be pushed below the distinct names and rank every row that holds one.
+    """
+    names = columns.select(name).repartition(task_count(columns), F.col(f"`{name}`")).distinct()
+    return names.select(name, F.explode(F.array(suggestions(F.col(f"`{name}`"), template, used))).alias("ranked"))
+
+
 def auto_map_table(columns: DataFrame, name: str, order: str, template: str) -> DataFrame:
     """One source column per target, first by ``order``: ``target, source``."""
     matched = columns.select(F.col(name).alias("source"), F.col(order).alias("at"), match_field(F.col(name), template).alias("target"))
@@ -218,6 +229,6 @@ def repeater_items(df: DataFrame, template: str, parent: str, mapping: Mapping)
 
 
 __all__ = [
-    "FieldMapping", "Mapping", "match_field", "suggestions", "auto_map", "auto_map_table", "coverage",
+    "FieldMapping", "Mapping", "match_field", "suggestions", "suggestions_table", "auto_map", "auto_map_table", "coverage",
     "apply_mapping", "mapped_columns", "mirror_images", "repeater_items", "transform_text", "nonblank",
 ]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import inference as N
-from pagemill.operators.mapping import FieldMapping, Mapping, auto_map, suggestions
+from pagemill.operators.mapping import FieldMapping, Mapping, auto_map, suggestions, suggestions_table
 from pagemill.operators.rules import Fields, Recipe, Rule, outcome, register_rule, RuleResult, run_rule
 from pagemill.operators.slugs import resolve_collisions
 from pagemill.operators.templates import grouped_fields, mappable_fields, registry, repeater_children, required_fields
@@ -42,6 +42,16 @@ def test_registry(spark):
     assert grouped_fields(spark).where("template = 'post' and field_group = 'Content'").first()["keys"] == ["body"]
 
 
+def test_suggestions_rank_distinct_names(spark):
+    """Names are ranked after they are made distinct: no filter takes the ranking below the grouping."""
+    rows = spark.createDataFrame([("Title",), ("qqq",), ("image",)] * 50, "name string")
+    ranked = suggestions_table(rows, "name", "post").where(F.size("ranked") > 0)
+    got = {r["name"]: r["ranked"][0]["score"] for r in ranked.collect()}
+    assert got["Title"] == 100 and "image" in got and "qqq" not in got
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" in plan and "transform" not in plan[plan.index("Aggregate"):]
+
+
 def test_auto_map(spark, ev):
     m = auto_map(spark, ["Title", "post_title", "url", "permalink", "body", "featured_image"], "practice")
     assert [(e.target, e.source) for e in m.entries] == [("title", "Title"), ("url_slug", "url"), ("body", "body"), ("featured_image", "featured_image")]
