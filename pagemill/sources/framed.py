@@ -2,7 +2,7 @@
 
 A file is read in units that end with a separator: a line break, or a closing brace. Whether a unit begins inside of quotes
 depends on all units before it, but each unit by itself maps that state to the state at its end, and such maps compose.
-So states come from running sums on two levels: narrow rows compose the maps of each piece of a file (what one task reads), the
+So states come from running sums on two levels: narrow rows compose the maps of each piece of a file (a few thousand units), the
 pieces of a file follow one another, and with the state at its start each piece gives every unit its own. Units form
 records inside of their piece; only the first and last part of a piece meets those of others.
 """
@@ -12,12 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PIECE = ["file", "block"]
+#: A piece is at most 2 ** PIECE_BITS units of what one task reads, so that its texts are few beside a task's memory.
+PIECE_BITS = 12
 
 
 def read_units(spark: SparkSession, path: str | list[str], separator: str) -> DataFrame:
-    """(file, block, n, value): units of text without their separator; ``n`` orders the units of a piece, ``block`` the pieces of a file."""
+    """(file, block, n, value): units of text without their separator; ``n`` orders the units of a piece, ``block`` the pieces of a file.
+
+    What a task reads of a file is cut into pieces after a fixed number of units. ``block`` is the place in the file where the read
+    begins plus the number of the piece; a unit is a byte or more, so that stays below the place where the next read begins.
+    """
     raw = spark.read.option("lineSep", separator).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("n"), "value")
+    nth = F.shiftright(F.col("n").bitwiseAND(F.lit((1 << 33) - 1)), PIECE_BITS)
+    return raw.select("file", (F.col("begin") + nth).alias("block"), "n", "value")
 
 
 def with_states(df: DataFrame, parts: list[str], order: str, **starts: Column) -> DataFrame:

@@ -125,12 +125,13 @@ def read_json(spark: SparkSession, path: str | list[str], json_path: str | None
     return flatten(_infer(items)), errors
 
 
-def json_entries(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def json_entries(spark: SparkSession, path: str | list[str], one_list: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(items(file, item json), errors(row, message))`` of files that hold a JSON array, one object, or objects one after the other.
 
     The text is read in units up to each closing brace, and running sums over strings and depth tell which brace ends an entry
     of the array (``sources.framed``); so arrays of any size are read by many tasks. Entries that are no objects become errors; ``row`` counts
-    entries from 1. What is no JSON is an error of its entry only, without a row.
+    entries from 1, in each file or, with ``one_list``, on through all files in the order of their paths. What is no JSON is
+    an error of its entry only, without a row.
     """
     units = framed.read_units(spark, path, "}")
     ends = dict(zip(("end0", "end1", "depth0", "depth1"), framed.brace_ends(F.col("value"))))
@@ -157,7 +158,7 @@ def json_entries(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
     entries = entries.withColumn("good", F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT")))
     inside = Window.partitionBy(*framed.PIECE).orderBy("n", "pos")
     counts = entries.groupBy(*framed.PIECE).agg(F.count("*").alias("held"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (Window.orderBy("file", "block") if one_list else Window.partitionBy("file").orderBy("block")).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*framed.PIECE, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("held"))
     nth = entries.select(*framed.PIECE, "n", "pos", "base", "good").join(counts, framed.PIECE).withColumn("row", F.col("held") + F.row_number().over(inside))
     message = F.when(F.col("base") == 1, F.concat(F.lit("Row "), F.col("row"), F.lit(" is not an object"))).otherwise("JSON must be an array of objects or an object")

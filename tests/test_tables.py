@@ -6,11 +6,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.catalog import source_queries
 from pagemill.operators import constraints as K
 from pagemill.operators.joins import numbered
 from pagemill.operators.links import resolve_redirects
 from pagemill.plans import content as C, qa, seo, tracking
-from pagemill.sources import loads, readers, sinks, stores
+from pagemill.sources import framed, loads, readers, sinks, stores
 from pagemill.streaming import jobs
 
 L = F.lit
@@ -257,6 +258,39 @@ def _stream(spark, folder, schema, frames):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def test_a_file_is_cut_into_small_pieces(spark, tmp_path):
+    """Pieces hold a bounded number of lines however much one task reads, and records that cross their edges stay whole."""
+    rows = [(f"k{i}", "\n".join(f'line {j} "of", {i}' for j in range(i % 7))) for i in range(4000)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([("key", "text"), *rows])
+    units = framed.read_units(spark, str(tmp_path / "a.csv"), "\n")
+    sizes = [r["count"] for r in units.groupBy(*framed.PIECE).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 1 << framed.PIECE_BITS and sum(sizes) == units.count()
+    records, errors = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert sorted((r["key"], r["text"] or "") for r in records.collect()) == sorted(rows) and errors.isEmpty()
+
+
+def test_json_arrays_as_one_list(spark, tmp_path):
+    for i, text in enumerate(('[{"a":1},5,{"a":2}]', '[7,{"a":3}]', '[{"a":4},{"a":"}"},8]')):
+        (tmp_path / f"part={i:03d}.json").write_text(text)
+    items, errors = readers.json_entries(spark, str(tmp_path), one_list=True)
+    assert items.count() == 5
+    assert sorted(r["row"] for r in errors.collect()) == [2, 4, 8]
+    assert sorted(r["row"] for r in readers.json_entries(spark, str(tmp_path))[1].collect()) == [1, 2, 3]
+
+
+def test_json_array_errors_write_many_files(spark, tmp_path, monkeypatch):
+    """The given table is written by many tasks, and its rows are numbered through all files."""
+    monkeypatch.setattr(source_queries, "_FILE_ROWS", 10)
+    d = spark.range(45).select(F.col("id").alias("doc_id"), F.concat(L("t{"), "id").alias("text"))
+    d.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(source_queries, "_folder", lambda *_: f"{tmp_path}/out")
+    got = sorted(int(r["message"].split()[1]) for r in source_queries.json_array_errors(spark, str(tmp_path)).collect())
+    # Entries are the rows and, behind every third from the first, a number.
+    assert got == [n + n // 3 + 2 for n in range(0, 45, 3)]
+    assert spark.read.text(f"{tmp_path}/out").select("part").distinct().count() == 5
+
+
 def test_streaming_import(spark, tmp_path):
     folder = str(tmp_path / "in")
     stream = _stream(spark, folder, "i int, slug string, title string", [[(1, "a", "A"), (2, "b", "B")], [(3, "a", "A2"), (4, "c", "C")]])
