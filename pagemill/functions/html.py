@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagemill.functions.text import (
-    WS, bound, fingerprint, nonblank, once, squeeze_newlines, strip_tags, strip_ws,
+    WS, bound, fingerprint, nonblank, once, squeeze_newlines, strip_tags, strip_ws, where_holds,
 )
 from pagemill.functions.urls import resolve_url
 
@@ -23,8 +23,8 @@ CONTENT_TAGS = [
 ]
 # A block runs to the first closing tag of any block name.
 BLOCK_PATTERN = (
-    r"(?i)<(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|hr|form|nav|header|footer)\b[^>]*>"
-    r"[\s\S]*?</(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|form|nav|header|footer)>"
+    r"(?is)<(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|hr|form|nav|header|footer)\b[^>]*>"
+    r".*?</(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|form|nav|header|footer)>"
     r"|<hr\s*/?>"
 )
 IMG_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["'][^>]*>"""
@@ -45,13 +45,18 @@ def repeat_until_stable(c: Column, step) -> Column:
     def settle(text: Column) -> Column:
         start = F.struct(text.alias("text"), text.isNull().alias("done"))
         passes = F.sequence(F.lit(1), F.regexp_count(text, F.lit("</")) + 2)
-        return F.aggregate(passes, start, advance, lambda s: s["text"])
+        return where_holds(text, ["<"], lambda _: F.aggregate(passes, start, advance, lambda s: s["text"]))
 
     return once(c, settle)
 
 
+@bound
 def strip_page_shell(c: Column) -> Column:
     """Doctype, head, scripts, styles, comments and the html/body tags out."""
+    return where_holds(c, ["<"], _strip_page_shell)
+
+
+def _strip_page_shell(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?i)<!DOCTYPE[^>]*>", "")
     c = F.regexp_replace(c, r"(?is)<head\b[^>]*>.*?</head>", "")
     c = F.regexp_replace(c, r"(?is)^.*?<body\b[^>]*>(.*)</body>.*\z", "$1")
@@ -80,8 +85,13 @@ def remove_empty_elements(c: Column) -> Column:
     return repeat_until_stable(c, _drop_empty(WRAPPER_TAGS + ["p"], filler))
 
 
+@bound
 def strip_layout_attributes(c: Column) -> Column:
     """Class, id, style, data, role and aria attributes off layout tags; builder classes off content tags."""
+    return where_holds(c, ["<"], _strip_layout_attributes)
+
+
+def _strip_layout_attributes(c: Column) -> Column:
     layout = rf"(?i)^<({'|'.join(WRAPPER_TAGS)})(\s[^>]*)>"
     noise = (
         r"""(?i)\s*(?:class|id|style|role|data-[a-z-]*|aria-[a-z-]*)\s*=\s*(?:"[^"]*"|'[^']*')"""
@@ -221,6 +231,10 @@ def _heading_levels(c: Column) -> Column:
 
 def normalize_headings(c: Column) -> Column:
     """One h1 per page and no skipped heading level."""
+    return once(c, lambda t: where_holds(t, ["<"], _normalize_headings))
+
+
+def _normalize_headings(c: Column) -> Column:
     c = _later_h1_to_h2(c)
 
     def relevel(packed: Column) -> Column:
@@ -272,7 +286,7 @@ def remove_duplicate_blocks(c: Column) -> Column:
         long = F.filter(s["f"], lambda f: F.length(f) >= SHORT_FINGERPRINT)
         return F.when(F.size(F.array_distinct(long)) == F.size(long), c).otherwise(rebuild(s))
 
-    return once(prints, decide)
+    return where_holds(c, ["<"], lambda _: once(prints, decide))
 
 
 def strip_h1(c: Column) -> Column:

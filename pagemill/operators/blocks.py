@@ -212,13 +212,16 @@ def strip_sub_sections(html: Column, options: FilterOptions | None = None) -> Co
         )
 
     parts = F.transform(F.split(html, r"(?i)(?=<h[1-6]\b[^>]*>)"), describe)
-    return F.aggregate(
+    cut = F.aggregate(
         parts, start, step,
         lambda s: F.struct(
             F.when(F.size(s["removed"]) > 0, squeeze_newlines(s["html"])).otherwise(html).alias("html"),
             s["removed"].alias("removed"),
         ),
     )
+    # Only headings of these levels give a reason.
+    whole = F.struct(html.alias("html"), F.array().cast(removed_type).alias("removed"))
+    return F.when(html.rlike(r"(?i)<h[3-6]\b"), cut).when(html.isNotNull(), whole)
 
 
 @bound

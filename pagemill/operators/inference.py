@@ -14,6 +14,8 @@ from pagemill.operators.sections import FAQ_TYPE
 
 STATIC_MAX = 200
 SIMILAR = 0.9
+#: Characters of a longer value whose slug tells how long the whole slug is at least.
+SLUG_HEAD = 512
 
 
 def unpivot(df: DataFrame, sample: str, columns: list[str], prefix: str) -> DataFrame:
@@ -25,6 +27,11 @@ def unpivot(df: DataFrame, sample: str, columns: list[str], prefix: str) -> Data
     return rows.select(sample, F.col("p.no").alias(f"{prefix}_no"), F.col("p.key").alias(f"{prefix}_key"), F.col("p.value").alias(f"{prefix}_value"))
 
 
+def _text_words(value: Column, plain) -> Column:
+    """Number of distinct words in the text of a value that has tags: only such a value can have been cleaned."""
+    return F.when(F.contains(value, F.lit("<")), F.size(F.array_distinct(X.words(F.lower(plain(value))))))
+
+
 def infer_from_diff(mapped: DataFrame, output: DataFrame, sample: str) -> DataFrame:
     """One row per sample and output field: ``rule_type, source_fields, prefix, static_value``.
 
@@ -34,16 +41,22 @@ def infer_from_diff(mapped: DataFrame, output: DataFrame, sample: str) -> DataFr
     def plain(c: Column) -> Column:
         return X.strip_ws(X.strip_tags(c))
 
-    # Everything that concerns one value is computed once per value, before the pairs exist.
+    # Short facts of one value are computed once per value, before the pairs exist; what is as long as the value is not sent along.
+    value = F.col("mapped_value")
+    long = F.length(value) > SLUG_HEAD
     m = mapped.select(
-        sample, "mapped_no", "mapped_key", F.col("mapped_value").alias("_src"), X.slugify(F.col("mapped_value")).alias("_slug"),
-        plain(F.col("mapped_value")).alias("_src_text"), X.tag_count(F.col("mapped_value")).alias("_src_tags"),
+        sample, "mapped_no", "mapped_key", value.alias("_src"), F.when(~long, X.slugify(value)).alias("_short_slug"),
+        F.when(long, F.length(X.slugify(F.substring(value, 1, SLUG_HEAD)))).alias("_slug_head"),
+        X.tag_count(value).alias("_src_tags"), _text_words(value, plain).alias("_src_words"),
     )
     o = output.where(X.nonblank(F.col("output_value"))).withColumn("_text", plain(F.col("output_value"))).withColumn(
         "_tags", X.tag_count(F.col("output_value"))
-    )
+    ).withColumn("_words", F.size(F.array_distinct(X.words(F.lower("_text")))))
     pairs = o.join(m, sample, "left")
-    src, out, slug = F.col("_src"), F.col("output_value"), F.col("_slug")
+    src, out = F.col("_src"), F.col("output_value")
+    # The slug of a long value is at least as long as that of its head, give or take a character at the cut.
+    pairs = pairs.withColumn("_slug", F.when(F.col("_slug_head").isNull(), F.col("_short_slug")).when(F.col("_slug_head") - 3 <= F.length(out), X.slugify(src)))
+    slug = F.col("_slug")
     tier = (
         F.when(src == out, 1)
         .when((slug != "") & (out == slug), 2)
@@ -51,9 +64,11 @@ def infer_from_diff(mapped: DataFrame, output: DataFrame, sample: str) -> DataFr
     )
     contained = (F.length(src) > 3) & F.contains(out, src)
     related = (F.length(src) > 3) & (F.length(out) > 3) & (F.contains(out, src) | F.contains(src, out))
+    # Two sets are no more alike than their sizes.
+    near = F.least("_src_words", "_words") > SIMILAR * F.greatest("_src_words", "_words") * 0.999
     cleaned = F.when(
-        (F.length("_src_text") > 20) & (F.length("_text") > 20) & (F.col("_src_tags") > F.col("_tags")),
-        X.jaccard(F.col("_src_text"), F.col("_text")) > SIMILAR,
+        (F.length("_text") > 20) & (F.col("_src_tags") > F.col("_tags")) & near,
+        X.once(plain(src), lambda text: (F.length(text) > 20) & (X.jaccard(text, F.col("_text")) > SIMILAR)),
     )
     facts = pairs.select(
         sample, "output_no", "output_key", "output_value", "mapped_no", "mapped_key", tier.alias("_tier"),

@@ -84,6 +84,11 @@ def split_at_tags(html: Column, tags: list[str]) -> Column:
     return F.split(F.coalesce(html, F.lit("")), rf"(?i)(?=</?(?:{'|'.join(tags)})(?:\s|>|/))")
 
 
+def has_tags(html: Column, tags: list[str]) -> Column:
+    """Whether ``split_at_tags`` would cut a text."""
+    return F.contains(html, F.lit("<")) & html.rlike(rf"(?i)</?(?:{'|'.join(tags)})(?:\s|>|/)")
+
+
 def tokenize(df: DataFrame, key: Keys, html: str, tags: list[str], carry: list[str] | None = None) -> DataFrame:
     """One row per structural tag: ``key, pos, head, tail, tag, kind, attrs`` and the carried columns.
 
@@ -92,7 +97,8 @@ def tokenize(df: DataFrame, key: Keys, html: str, tags: list[str], carry: list[s
     ``single`` or ``text``. Concatenating head and tail by ``pos`` gives the page back.
     """
     rows = df.select(*_keys(key), *(carry or []), F.posexplode(split_at_tags(F.col(html), tags)).alias("pos", "_piece"))
-    rows = rows.withColumn("head", F.regexp_extract("_piece", rf"(?i)^</?(?:{'|'.join(tags)})(?:\s[^>]*|/)?>", 0))
+    head = F.regexp_extract("_piece", rf"(?i)^</?(?:{'|'.join(tags)})(?:\s[^>]*|/)?>", 0)
+    rows = rows.withColumn("head", F.when(F.startswith("_piece", F.lit("<")), head).otherwise(""))
     rows = rows.withColumn("tail", F.expr("substr(_piece, length(head) + 1)")).drop("_piece")
     kind = (
         F.when(F.col("head") == "", "text")
@@ -295,6 +301,8 @@ def main_content_of_cells(
     body = {n: F.when(F.coalesce(cells[n] & nonblank(F.col(f"`{n}`")), F.lit(False)), F.col(f"`{n}`")) for n in names}
     shells = F.filter(F.array(*[F.struct(F.lit(i).alias("no"), strip_page_shell(body[n]).alias("shell")) for i, n in enumerate(names)]), lambda c: c["shell"].isNotNull())
     rows = spread.select(F.col(key).alias("_key"), F.explode(shells).alias("_cell")).select("_key", F.col("_cell.no").alias("_no"), F.col("_cell.shell").alias("_shell"))
+    # A text without such tags stays as it is and needs no index.
+    rows = rows.where(has_tags(F.col("_shell"), STRUCTURE_TAGS))
     keys = ["_key", "_no"]
     index = span_index(tokenize(rows.withColumn("_layout", page_layout(F.col("_shell"))), keys, "_shell", STRUCTURE_TAGS, ["_layout"]), keys)
     spans = unwrap(main_column(index, keys), keys)
@@ -305,7 +313,8 @@ def main_content_of_cells(
     def finished(rows: DataFrame, shell: Column, own: Column) -> DataFrame:
         # Each step is a column of its own: the optimizer keeps apart what is costly and used more than once.
         rows = rows.withColumn("_shell", shell)
-        rows = rows.withColumn("_main", F.when(F.col("_shell").isNotNull(), kept_text(split_at_tags(F.col("_shell"), STRUCTURE_TAGS), F.coalesce(own, F.array()))))
+        kept = kept_text(split_at_tags(F.col("_shell"), STRUCTURE_TAGS), F.coalesce(own, F.array()))
+        rows = rows.withColumn("_main", F.when(has_tags(F.col("_shell"), STRUCTURE_TAGS), kept).otherwise(F.col("_shell")))
         return rows.withColumn("_main", finish(squeeze_newlines(remove_empty_wrappers(strip_layout_attributes(F.col("_main"))))))
 
     if len(names) == 1:

@@ -284,9 +284,9 @@ def run_recipe(df: DataFrame, key: str, mapping: Mapping, recipe: Recipe, option
         built = checkpoint(built)
     built = resolve_collisions(built, key, "_slug", options.template, options.slug_mode, options.max_suffix)
     built = built.withColumn("record", F.col("record").withField(slug, F.col("_slug"))).drop("_slug")
-    scored = built.withColumn(
-        "confidence", score_record(F.col("record"), options.template, F.col("field_scores"), F.col("log"), recipe.uses_ai)
-    )
+    # The score is costly and read several times: it leaves a generator, so that the optimizer does not copy it to each place.
+    score = score_record(F.col("record"), options.template, F.col("field_scores"), F.col("log"), recipe.uses_ai)
+    scored = built.select("*", F.explode(F.array(score)).alias("confidence"))
     status = route(F.col("confidence.overall"), recipe.threshold)
     if catches:
         scored = _blank_failed(scored, F.col("_bad"), F.get("rule_errors", F.lit(0)))
