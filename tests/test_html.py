@@ -194,3 +194,14 @@ def test_clean_records(spark):
         ("title", "fix_encoding"), ("title", "normalize_whitespace"), ("body", "strip_shortcodes"), ("body", "clean_empty_html"), ("body", "normalize_html"),
     ]
     assert (two["title"], two["body"], two["other"], two["cleaning_log"]) == (None, " ", "k", [])
+
+
+def test_texts_without_structural_tags_pass(spark):
+    """They need no tag index; a page of which nothing stays is still empty."""
+    texts = {1: "plain < text & more", 2: "<p>One</p> <p>two</p>", 3: "<aside><p>gone</p></aside>", 4: "<div><p>in</p></div>"}
+    df = spark.createDataFrame(list(texts.items()), "id int, html string")
+    out = T.extract_main_content(df, "id", "html")
+    tagged = df.where(T.has_tags(F.col("html"), T.STRUCTURE_TAGS)).collect()
+    assert {r["id"] for r in tagged} == {3, 4}
+    got = {r["id"]: r["html"] for r in out.collect()}
+    assert got == {1: texts[1], 2: texts[2], 3: "", 4: "<p>in</p>"}

@@ -52,6 +52,16 @@ def test_suggestions_rank_distinct_names(spark):
     assert "transform" in plan and "transform" not in plan[plan.index("Aggregate"):]
 
 
+def test_long_values_are_still_slugs(spark):
+    """The slug of a long value is compared where the output is long enough, and not sent along with every value."""
+    long, tagged = "Word two " * 200, "<div><p>" + " ".join(f"word{i}" for i in range(40)) + "</p></div>"
+    slug = "-".join(["word-two"] * 200)
+    mapped = spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", tagged)], "s int, mapped_no int, mapped_key string, mapped_value string")
+    output = spark.createDataFrame([(1, 0, "x", slug), (1, 1, "y", f"/{slug}/"), (1, 2, "z", tagged.replace("<div>", "").replace("</div>", "") + " more")], "s int, output_no int, output_key string, output_value string")
+    got = N.infer_from_diff(mapped, output, "s")
+    assert {r["target_field"]: (r["rule_type"], r["prefix"]) for r in got.collect()} == {"x": ("slugify", ""), "y": ("slugify", "/"), "z": ("html_clean", "")}
+
+
 def test_auto_map(spark, ev):
     m = auto_map(spark, ["Title", "post_title", "url", "permalink", "body", "featured_image"], "practice")
     assert [(e.target, e.source) for e in m.entries] == [("title", "Title"), ("url_slug", "url"), ("body", "body"), ("featured_image", "featured_image")]
