@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagemill.functions.text import (
-    WS, bound, fingerprint, nonblank, once, squeeze_newlines, strip_tags, strip_ws, where_holds,
+    WS, bound, fingerprint, nonblank, once, safe_start, squeeze_newlines, strip_long, strip_tags, strip_ws, tag_like, up_to, where_holds,
 )
 from pagemill.functions.urls import resolve_url
 
@@ -22,13 +22,15 @@ CONTENT_TAGS = [
     "figure", "figcaption", "a", "img", "strong", "em",
 ]
 # A block runs to the first closing tag of any block name.
+_BLOCK_CLOSE = "/(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|form|nav|header|footer)>"
 BLOCK_PATTERN = (
     r"(?is)<(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|hr|form|nav|header|footer)\b[^>]*>"
-    r".*?</(?:p|div|section|article|aside|blockquote|ul|ol|dl|table|figure|h[1-6]|pre|form|nav|header|footer)>"
-    r"|<hr\s*/?>"
+    rf"{up_to(_BLOCK_CLOSE)}|<hr\s*/?>"
 )
 IMG_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["'][^>]*>"""
 SHORT_FINGERPRINT = 20
+# Characters of a block and of its fingerprint that mostly tell it from others.
+START_CHARS, START_PRINT = 400, 40
 
 
 def repeat_until_stable(c: Column, step) -> Column:
@@ -44,7 +46,8 @@ def repeat_until_stable(c: Column, step) -> Column:
 
     def settle(text: Column) -> Column:
         start = F.struct(text.alias("text"), text.isNull().alias("done"))
-        passes = F.sequence(F.lit(1), F.regexp_count(text, F.lit("</")) + 2)
+        closing = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("</"), F.lit("")))) / 2
+        passes = F.sequence(F.lit(1), closing.cast("int") + 2)
         return where_holds(text, ["<"], lambda _: F.aggregate(passes, start, advance, lambda s: s["text"]))
 
     return once(c, settle)
@@ -57,10 +60,14 @@ def strip_page_shell(c: Column) -> Column:
 
 
 def _strip_page_shell(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?i)<!DOCTYPE[^>]*>", "")
-    c = F.regexp_replace(c, r"(?is)<head\b[^>]*>.*?</head>", "")
+    c = once(c, lambda t: where_holds(t, ["<!"], lambda t: F.regexp_replace(t, r"(?i)<!DOCTYPE[^>]*>", "")))
+    c = once(c, lambda t: where_holds(t, ["<he", "<hE", "<He", "<HE"], lambda t: F.regexp_replace(t, r"(?is)<head\b[^>]*>.*?</head>", "")))
     c = F.regexp_replace(c, r"(?is)^.*?<body\b[^>]*>(.*)</body>.*\z", "$1")
     c = F.regexp_replace(c, r"(?i)</?(?:html|body)\b[^>]*>", "")
+    return once(c, lambda t: F.when(tag_like(t, "(?i)<(?:script|style|noscript|link|meta|!--)", "<s", "<n", "<l", "<m", "<!"), _strip_unseen(t)).otherwise(t))
+
+
+def _strip_unseen(c: Column) -> Column:
     for tag in ("script", "style", "noscript"):
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
     c = F.regexp_replace(c, r"(?i)<(?:link|meta)\b[^>]*/?>", "")
@@ -106,7 +113,12 @@ def _strip_layout_attributes(c: Column) -> Column:
         )
         return F.when(tag != "", F.concat(head, rest)).otherwise(piece)
 
-    c = F.array_join(F.transform(F.split(c, "(?=<)"), clean), "")
+    pieces = F.array_join(F.transform(F.split(c, "(?=<)"), clean), "")
+    c = F.when(c.rlike(rf"(?i)<(?:{'|'.join(WRAPPER_TAGS)})\s"), pieces).otherwise(c)
+    return once(c, lambda t: where_holds(t, ['="'], _strip_builder_classes))
+
+
+def _strip_builder_classes(c: Column) -> Column:
     return F.regexp_replace(
         c,
         rf"""(?i)<({'|'.join(CONTENT_TAGS)})\b([^>]*)\s+class="[^"]*(?:elementor|et_pb_|vc_|fl-|fusion-|av-|cs-)[^"]*"([^>]*)>""",
@@ -163,7 +175,7 @@ def clean_inline_markup(c: Column) -> Column:
     """Unwrap plain spans, flatten doubled emphasis, b to strong, i to em, drop empty inline tags."""
     bare = r"(?:\s+(?:class|id|style|data-[a-z-]+)\s*=[^>]*|\s*)"
 
-    def once(t: Column) -> Column:
+    def unwrapped(t: Column) -> Column:
         # A span with another first attribute is kept whole (group 1); others keep their inside (group 2).
         t = F.regexp_replace(
             t, rf"(?is)(<span(?!{bare}>)\s[^>]*>.*?</span>)|<span{bare}>(.*?)</span>", "$1$2"
@@ -179,7 +191,7 @@ def clean_inline_markup(c: Column) -> Column:
             t = F.regexp_replace(t, rf"(?i)</{old}>", f"</{new}>")
         return F.regexp_replace(t, rf"(?i)<(strong|em|span|b|i)(?:\s[^>]*)?>({WS}*+)</\1>", "$2")
 
-    return repeat_until_stable(c, once)
+    return once(c, lambda t: F.when(t.rlike(r"(?i)</?(?:span|strong|b|em|i)[\s>]"), repeat_until_stable(t, unwrapped)).otherwise(t))
 
 
 def _later_h1_to_h2(c: Column) -> Column:
@@ -235,7 +247,7 @@ def normalize_headings(c: Column) -> Column:
 
 
 def _normalize_headings(c: Column) -> Column:
-    c = _later_h1_to_h2(c)
+    c = F.when(tag_like(c, r"(?i)<h1[\s>]", "<h1"), _later_h1_to_h2(c)).otherwise(c)
 
     def relevel(packed: Column) -> Column:
         def retag(piece: Column) -> Column:
@@ -251,7 +263,8 @@ def _normalize_headings(c: Column) -> Column:
             ).otherwise(piece)
 
         pieces = F.transform(F.split(packed["text"], r"(?i)(?=</?h[1-6][\s>])"), retag)
-        return F.when(F.size(packed["levels"]) > 1, F.array_join(pieces, "")).otherwise(packed["text"])
+        moved = F.exists(packed["levels"], lambda level: F.get(packed["to"], level) != level)
+        return F.when((F.size(packed["levels"]) > 1) & moved, F.array_join(pieces, "")).otherwise(packed["text"])
 
     return once(
         once(
@@ -277,20 +290,37 @@ def remove_duplicate_blocks(c: Column) -> Column:
         trailing = F.element_at(F.split(c, BLOCK_PATTERN), -1)
         return F.concat(F.array_join(kept(s), "\n"), once(trailing, lambda t: F.when(nonblank(t), t).otherwise("")))
 
-    prints = once(
-        F.regexp_extract_all(c, F.lit(BLOCK_PATTERN), F.lit(0)),
-        lambda b: F.struct(b.alias("b"), F.transform(b, fingerprint).alias("f")),
-    )
+    def long_ones(prints: Column) -> Column:
+        return F.filter(prints, lambda f: F.length(f) >= SHORT_FINGERPRINT)
 
     def decide(s: Column) -> Column:
-        long = F.filter(s["f"], lambda f: F.length(f) >= SHORT_FINGERPRINT)
-        return F.when(F.size(F.array_distinct(long)) == F.size(long), c).otherwise(rebuild(s))
+        return once(long_ones(s["f"]), lambda f: F.when(F.size(F.array_distinct(f)) == F.size(f), c).otherwise(rebuild(s)))
+
+    def by_start(blocks: Column) -> Column:
+        # Blocks whose fingerprints begin differently are no duplicates. A start without enough text (null) tells nothing.
+        whole = once(F.struct(blocks.alias("b"), F.transform(blocks, fingerprint).alias("f")), decide)
+        return once(
+            F.transform(blocks, _print_start),
+            lambda starts: F.when(
+                F.forall(starts, lambda p: p.isNotNull()) & (F.size(F.array_distinct(long_ones(starts))) == F.size(long_ones(starts))), c
+            ).otherwise(whole),
+        )
+
+    return where_holds(c, ["<"], lambda _: once(F.regexp_extract_all(c, F.lit(BLOCK_PATTERN), F.lit(0)), by_start))
+
 
-    return where_holds(c, ["<"], lambda _: once(prints, decide))
+def _print_start(block: Column) -> Column:
+    """How the fingerprint of a block begins, from its first characters; null where these do not tell."""
+    short = F.length(block) <= START_CHARS
+    seen = fingerprint(F.when(short, block).otherwise(safe_start(block, START_CHARS)))
+    return once(
+        F.struct(short.alias("all"), seen.alias("f")),
+        lambda s: F.when(s["all"] | (F.length(s["f"]) >= START_PRINT), F.substring(s["f"], 1, START_PRINT)),
+    )
 
 
 def strip_h1(c: Column) -> Column:
-    return strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<h1[^>]*>.*?</h1>", ""))
+    return once(F.coalesce(c, F.lit("")), lambda t: strip_long(where_holds(t, ["<h1", "<H1"], lambda t: F.regexp_replace(t, r"(?is)<h1[^>]*>.*?</h1>", ""))))
 
 
 @bound

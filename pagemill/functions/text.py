@@ -14,9 +14,13 @@ WS_CHARS = (
 WS_TEXT = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{WS_CHARS}]"
 WIDE_SPACES = WS_TEXT[6:]
+# The wide ones as a regex class; the range before it turns plain letters away at once.
+WIDE = rf"[\x{{A0}}-\x{{FEFF}}&&[{WS_CHARS.partition(' ')[2]}]]"
 
 SLUG_PATTERN = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z"
-HTML_HINT = r"(?is)<[a-z].*>"
+HTML_HINT = r"(?i)<[a-z][^>]*>"
+# White space that ``squeeze`` changes: a run, or one that is no plain space.
+RUN = r"\s(?:\s+|(?<! ))"
 
 # Shortcode names that carry layout only.
 SHORTCODE_NAMES = [
@@ -56,17 +60,6 @@ MOJIBAKE_HINT = (
 )
 
 
-def strip_ws(c: Column) -> Column:
-    """Trim every kind of white space, line breaks included."""
-    return F.trim(c, F.lit(WS_TEXT))
-
-
-def plain_spaces(c: Column) -> Column:
-    """Every wide space to a plain one. Patterns with ``\\s`` then see all white space and stay
-    several times faster than with the full class."""
-    return F.translate(c, WIDE_SPACES, " " * len(WIDE_SPACES))
-
-
 def bound(fn):
     """Evaluate the first argument once, however often the function refers to it."""
 
@@ -82,16 +75,49 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def strip_ws(c: Column) -> Column:
+    """Trim every kind of white space, line breaks included."""
+    return F.trim(c, F.lit(WS_TEXT))
+
+
+@bound
+def strip_long(c: Column) -> Column:
+    """As ``strip_ws``, for long texts: trimming looks at every character, while visible ASCII at both ends tells that nothing goes."""
+    raw = c.cast("binary")
+    shown = [F.substring(raw, at, 1).between(F.lit(b"!"), F.lit(b"~")) for at in (1, -1)]
+    return F.when(shown[0] & shown[1], c).otherwise(strip_ws(c))
+
+
+def plain_spaces(c: Column) -> Column:
+    """Every wide space to a plain one. Patterns with ``\\s`` then see all white space and stay
+    several times faster than with the full class; ``translate`` would look up each character."""
+    return F.regexp_replace(c, WIDE, " ")
+
+
 def holds(c: Column, *marks: str) -> Column:
     """Whether a text holds one of some literals. A literal that every match of a pattern has tells far faster where there is none."""
     return functools.reduce(lambda a, b: a | b, [F.contains(c, F.lit(m)) for m in marks])
 
 
+def tag_like(c: Column, pattern: str, *starts: str) -> Column:
+    """``c.rlike(pattern)`` for a pattern whose matches begin with one of ``starts``, which have one letter at most, small or capital.
+
+    A literal is sought in the bytes as they stand; for a pattern they are decoded first.
+    """
+    both = dict.fromkeys(v for s in starts for v in (s, s.upper()))
+    return holds(c, *both) & c.rlike(pattern)
+
+
 def where_holds(c: Column, marks: list[str], step: Callable[[Column], Column]) -> Column:
     """``step`` on texts that hold one of ``marks``; without them it would change nothing."""
     return F.when(holds(c, *marks), step(c)).otherwise(c)
 
 
+def up_to(close: str) -> str:
+    """Regex: everything up to and with the first ``<`` that ``close`` follows. As ``.*?<close``, but text is run over in one loop."""
+    return f"[^<]*(?:<(?!{close})[^<]*)*+<{close}"
+
+
 def nonblank(c: Column) -> Column:
     return F.coalesce(c.rlike(f"[^{WS_CHARS}]"), F.lit(False))
 
@@ -112,7 +138,7 @@ def first_filled(*cols: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Every run of white space to one space, then trim."""
-    return F.trim(F.regexp_replace(plain_spaces(c), r"\s{2,}|[\t\n\x0B\f\r]", " "))
+    return F.trim(F.regexp_replace(plain_spaces(c), RUN, " "))
 
 
 def words(c: Column) -> Column:
@@ -120,7 +146,13 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(plain_spaces(c), F.lit(r"\S++"))
+    return squeezed_word_count(squeeze(c))
+
+
+@bound
+def squeezed_word_count(c: Column) -> Column:
+    """Words of a text that ``squeeze`` gave: its spaces and one. Counting matches would build an array of all words."""
+    return F.when(c == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
 
 
 def strip_tags(c: Column, replacement: str = "") -> Column:
@@ -160,7 +192,7 @@ def fingerprint(c: Column) -> Column:
     """Comparison text: tags, entities and punctuation out, lower case."""
     c = F.regexp_replace(c, "(?i)<[^>]*>|&[a-z]+;", " ")
     c = F.regexp_replace(plain_spaces(c), r"[^\w\s]++", "")
-    return F.lower(F.trim(F.regexp_replace(c, r"\s{2,}|[\t\n\x0B\f\r]", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, RUN, " ")))
 
 
 def replace_first(text: Column, needle: Column, replacement: Column) -> Column:
@@ -176,26 +208,34 @@ def replace_first(text: Column, needle: Column, replacement: Column) -> Column:
     ).otherwise(text)
 
 
-@bound
+def safe_start(c: Column, n: int) -> Column:
+    """The first ``n`` characters less a tag or entity that is cut: what stays cleans to the start of what the whole text cleans to."""
+    return F.regexp_replace(F.substring(c, 1, n), r"(?:<[^>]*|&[a-zA-Z]*)\z", "")
+
+
 def strip_shortcodes(c: Column) -> Column:
-    return where_holds(c, ["[", '="', "='"], _strip_shortcodes)
+    return once(once(c, lambda t: where_holds(t, ["["], _strip_brackets)), lambda t: where_holds(t, ['="', "='"], _strip_builder_data))
 
 
-def _strip_shortcodes(c: Column) -> Column:
+def _strip_brackets(c: Column) -> Column:
     prefixes = "|".join(SHORTCODE_PREFIXES)
     names = "|".join(SHORTCODE_NAMES)
     layout = "|".join(SHORTCODE_WORDS)
-    c = F.regexp_replace(
+    return F.regexp_replace(
         c,
         rf"(?i)\[/?(?:{prefixes})[^\]]*\]|\[(?:{names})[^\]]*\]|\[/(?:{names})\]"
         rf"|\[/?(?:{layout})\b[^\]]*\]",
         "",
     )
-    return F.regexp_replace(
+
+
+def _strip_builder_data(c: Column) -> Column:
+    gone = F.regexp_replace(
         c,
         r"""(?i)\s*data-elementor-[a-z-]*="[^"]*"|\s*data-(?:widget|element)_type="[^"]*"|\s*data-settings='[^']*'""",
         "",
     )
+    return F.when(c.rlike("(?i)data-(?:elementor|widget|element|settings)"), gone).otherwise(c)
 
 
 def _code_unit(n: Column) -> Column:
@@ -228,19 +268,22 @@ def _replaced(pairs: list[tuple[str, str]]) -> Callable[[Column], Column]:
 
 @bound
 def fix_encoding(c: Column) -> Column:
-    entities = once(where_holds(c, ["&#"], decode_numeric_entities), _replaced(NAMED_ENTITIES))
+    entities = once(
+        where_holds(c, ["&#"], decode_numeric_entities), lambda t: F.when(t.rlike("&[a-z]+[0-9]*;"), _replaced(NAMED_ENTITIES)(t)).otherwise(t))
     return once(F.when(holds(c, "&"), entities).otherwise(c), lambda t: where_holds(t, MOJIBAKE_MARKS, _replaced(MOJIBAKE)))
 
 
 @bound
 def normalize_whitespace(c: Column) -> Column:
     c = where_holds(c, ZERO_WIDTH, lambda t: F.regexp_replace(t, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""))
-    return squeeze_newlines(F.regexp_replace(plain_spaces(c), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "))
+    c = once(c, lambda t: F.when(F.length(t) < F.octet_length(t), plain_spaces(t)).otherwise(t))
+    return squeeze_newlines(once(c, lambda t: where_holds(
+        t, ["  ", "\t", "\x0b", "\f", "\r"], lambda t: F.regexp_replace(t, r"[ \t\x0B\f\r](?:[ \t\x0B\f\r]+|(?<! ))", " "))))
 
 
 @bound
 def squeeze_newlines(c: Column) -> Column:
-    return strip_ws(where_holds(c, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n")))
+    return strip_long(where_holds(c, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n")))
 
 
 def _paragraphs(c: Column) -> Column:
@@ -260,7 +303,7 @@ def ensure_html(c: Column) -> Column:
     """Plain text to paragraphs; text that already holds a tag passes."""
     return (
         F.when(~nonblank(c), F.lit(""))
-        .when(c.rlike(HTML_HINT), c)
+        .when(F.substring(c, 1, 200).rlike(HTML_HINT) | c.rlike(HTML_HINT), c)
         .otherwise(_wrap(_paragraphs(c)))
     )
 

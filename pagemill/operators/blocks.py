@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagemill.functions.text import bound, nonblank, once, plain_text, squeeze_newlines, strip_tags, strip_ws, word_count, words
+from pagemill.functions.text import bound, nonblank, once, plain_text, squeeze_newlines, safe_start, squeezed_word_count, strip_long, strip_tags, strip_ws, tag_like, up_to, word_count, words
 
 # Heading texts of secondary blocks, in matching order.
 SECONDARY_HEADINGS = [
@@ -28,6 +28,9 @@ FORM_PARTS = [
     r"(?i)<input\b", r"(?i)<textarea\b", r"(?i)<select\b", r"""(?i)<button\b[^>]*type=["']submit["']""",
     r"(?i)nf-form", r"(?i)wpcf7", r"(?i)wpforms", r"(?i)nf-form-cont", r"(?i)gform_wrapper",
 ]
+SUB_HEADING = r"(?i)<h[3-6]\b"
+# Characters of a block that mostly hold the words it needs to stay.
+SURE_CHARS = 1000
 LINK = r"(?is)<a\b[^>]*>.*?</a>"
 
 
@@ -52,8 +55,10 @@ class FilterOptions:
 @bound
 def heading_reason(heading: Column, options: FilterOptions | None = None) -> Column:
     """Why a heading marks secondary content, NULL when it does not."""
-    options = options or FilterOptions()
-    h = strip_ws(heading)
+    return once(strip_ws(heading), lambda h: _heading_reason(h, options or FilterOptions()))
+
+
+def _heading_reason(h: Column, options: FilterOptions) -> Column:
     out = F.when(F.coalesce(h, F.lit("")) == "", F.lit(None).cast("string"))
     for pattern, reason in SECONDARY_HEADINGS:
         out = out.when(h.rlike(pattern), reason)
@@ -67,7 +72,7 @@ def _block(html: Column, level: Column, heading: Column) -> Column:
         F.struct(html.alias("html"), level.alias("level"), heading.alias("heading"), plain_text(html).alias("plain")),
         lambda b: F.struct(
             b["html"].alias("html"), b["heading"].alias("heading"), b["level"].alias("level"),
-            b["plain"].alias("plain"), word_count(b["plain"]).alias("words"),
+            b["plain"].alias("plain"), squeezed_word_count(b["plain"]).alias("words"),
         ),
     )
 
@@ -75,16 +80,31 @@ def _block(html: Column, level: Column, heading: Column) -> Column:
 @bound
 def content_blocks(html: Column) -> Column:
     """``array<struct<html, heading, level, plain, words>>``: intro, then one block per h2."""
-    pieces = F.split(html, r"(?i)(?=<h2\b[^>]*>)")
-    several = F.filter(F.transform(pieces, strip_ws), lambda p: p != "")
-    whole = F.array(html)
+    return F.transform(_pieces(html), lambda p: once(_heading(p), lambda h: _block(p, h["level"], h["heading"])))
+
+
+def _pieces(html: Column) -> Column:
+    """A body cut at its h2."""
+    several = F.filter(F.transform(F.split(html, r"(?i)(?=<h2\b[^>]*>)"), strip_long), lambda p: p != "")
+    return F.when(html.rlike(r"(?i)<h2\b[^>]*>"), several).otherwise(F.array(html))
+
 
-    def build(p: Column) -> Column:
-        is_h2 = p.rlike(r"(?i)^<h2\b[^>]*>")
-        heading = F.when(is_h2, strip_ws(strip_tags(F.regexp_extract(p, r"(?is)<h2\b[^>]*>(.*?)</h2>", 1)))).otherwise("")
-        return _block(p, F.when(is_h2, 2).otherwise(0), heading)
+def _heading(piece: Column) -> Column:
+    is_h2 = piece.rlike(r"(?i)^<h2\b[^>]*>")
+    heading = F.when(is_h2, strip_ws(strip_tags(F.regexp_extract(piece, r"(?is)<h2\b[^>]*>(.*?)</h2>", 1)))).otherwise("")
+    return F.struct(F.when(is_h2, 2).otherwise(0).alias("level"), heading.alias("heading"))
 
-    return F.transform(F.when(html.rlike(r"(?i)<h2\b[^>]*>"), several).otherwise(whole), build)
+
+def _surely_stays(piece: Column, h: Column, options: FilterOptions) -> Column:
+    """Whether the start of a block tells that the first keep rules of ``_judge`` hold, and that no sub-section could go."""
+    n = squeezed_word_count(plain_text(safe_start(piece, SURE_CHARS)))
+    paragraph = rf"(?is)^<h2\b[^>]*>[^<]*</h2>\s*<p\b[^>]*>.{{20}}{up_to('/p>')}"
+    section = (h["level"] == 2) & (n >= 50) & heading_reason(h["heading"], options).isNull() & piece.rlike(paragraph)
+    return (((h["level"] == 0) & (n > 10)) | section) & ~_has_sub_heading(piece)
+
+
+def _has_sub_heading(html: Column) -> Column:
+    return tag_like(html, SUB_HEADING, "<h3", "<h4", "<h5", "<h6")
 
 
 def is_form_block(html: Column) -> Column:
@@ -148,7 +168,7 @@ def _judge(block: Column, by_heading: Column, options: FilterOptions) -> Column:
     html, plain, n = block["html"], block["plain"], block["words"]
     heading, level = block["heading"], block["level"]
     after = F.regexp_replace(html, r"(?is)^(.*?)<h2\b[^>]*>.*?</h2>", "$1")
-    substantial = (level == 2) & (n >= 50) & after.rlike(r"(?is)<p\b[^>]*>.{20,}?</p>")
+    substantial = (level == 2) & (n >= 50) & after.rlike(rf"(?is)<p\b[^>]*>.{{20}}{up_to('/p>')}")
     stays = (
         ((level == 0) & (n > 10))
         | (substantial & (by_heading.isNull() | (F.length(plain_text(after)) > 200)))
@@ -221,7 +241,7 @@ def strip_sub_sections(html: Column, options: FilterOptions | None = None) -> Co
     )
     # Only headings of these levels give a reason.
     whole = F.struct(html.alias("html"), F.array().cast(removed_type).alias("removed"))
-    return F.when(html.rlike(r"(?i)<h[3-6]\b"), cut).when(html.isNotNull(), whole)
+    return F.when(_has_sub_heading(html), cut).when(html.isNotNull(), whole)
 
 
 @bound
@@ -239,23 +259,26 @@ def filter_secondary(html: Column, options: FilterOptions | None = None) -> Colu
         )
 
     def judge(t: Column) -> Column:
-        return F.struct(
-            t["block"].alias("block"), t["removed"].alias("removed"), secondary_reason(t["block"], options).alias("reason")
-        )
+        return F.struct(t["block"]["html"].alias("html"), t["removed"].alias("removed"), secondary_reason(t["block"], options).alias("reason"))
+
+    def look(p: Column, h: Column) -> Column:
+        sure = F.struct(p.alias("html"), F.array().cast("array<struct<reason:string,snippet:string>>").alias("removed"), F.lit(None).cast("string").alias("reason"))
+        judged = once(_block(p, h["level"], h["heading"]), lambda b: once(trim_block(b), judge))
+        return F.when(F.coalesce(_surely_stays(p, h, options), F.lit(False)), sure).otherwise(judged)
 
     def assemble(judged: Column) -> Column:
         kept = F.filter(judged, lambda t: t["reason"].isNull())
         dropped = F.transform(
             F.filter(judged, lambda t: t["reason"].isNotNull()),
-            lambda t: F.struct(t["reason"].alias("reason"), _snippet(t["block"]["html"]).alias("snippet")),
+            lambda t: F.struct(t["reason"].alias("reason"), _snippet(t["html"]).alias("snippet")),
         )
         subs = F.flatten(F.transform(judged, lambda t: t["removed"]))
-        text = squeeze_newlines(F.array_join(F.transform(kept, lambda t: t["block"]["html"]), "\n"))
+        text = squeeze_newlines(F.array_join(F.transform(kept, lambda t: t["html"]), "\n"))
         return F.when(
             F.size(kept) > 0, F.struct(text.alias("html"), F.concat(subs, dropped).alias("removed"))
         ).otherwise(F.struct(html.alias("html"), F.array().cast("array<struct<reason:string,snippet:string>>").alias("removed")))
 
-    filtered = once(F.transform(F.transform(content_blocks(html), trim_block), judge), assemble)
+    filtered = once(F.transform(_pieces(html), lambda p: once(_heading(p), lambda h: look(p, h))), assemble)
     untouched = F.struct(html.alias("html"), F.array().cast("array<struct<reason:string,snippet:string>>").alias("removed"))
     return F.when(nonblank(html), filtered).otherwise(untouched)
 

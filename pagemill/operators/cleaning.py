@@ -63,7 +63,7 @@ def clean_records(df: DataFrame, key: str, options: CleaningOptions | None = Non
     options = options or CleaningOptions()
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
     # One plain column per value and step: the optimizer keeps them apart because each is used more than once.
-    out, logs = distribute(df, key), {n: [] for n in names}
+    out, logs = df, {n: [] for n in names}
     before = {n: F.col(f"`{n}`") for n in names}
     for i, (action, detail, step) in enumerate(STEPS):
         out = out.select("*", *[step(before[n]).alias(f"_c{i}_{n}") for n in names])
@@ -84,13 +84,13 @@ def clean_records(df: DataFrame, key: str, options: CleaningOptions | None = Non
     ]
     staged = out.select(*[f"`{c}`" for c in keep], *cleaned, log.cast(LOG_TYPE).alias("cleaning_log"))
     if not names:
-        return staged
+        return distribute(staged, key)
     # The body steps: keep the value before them to see what changed.
     bodies = {n: is_content_value(n, F.col(f"`{n}`")) for n in names}
     before = F.transform(
         F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.col(f"`{n}`")).alias("h")) for n in names]), lambda x: x
     )
-    done = main_content_of_cells(staged.withColumn("_before", before), key, bodies, lambda c: finish_body(c, options), distributed=True)
+    done = main_content_of_cells(staged.withColumn("_before", before), key, bodies, lambda c: finish_body(c, options))
     after = F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.col(f"`{n}`")).alias("h")) for n in names])
     changed = F.filter(F.zip_with("_before", after, lambda b, a: F.when(b["h"] != a["h"], b["n"])), lambda n: n.isNotNull())
     extra = F.transform(

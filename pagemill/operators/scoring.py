@@ -13,7 +13,7 @@ WEIGHTS = {
     True: {"structural": 0.25, "extraction": 0.20, "content_quality": 0.20, "validation": 0.15, "ai_ambiguity": 0.20},
 }
 FIELD_SCORE_TYPE = "array<struct<field:string,score:double,category:string,reason:string>>"
-ENTITY = r"(?i)&[a-z]+;|&#\d+;"
+ENTITY = r"(?i)&(?:[a-z]+|#\d+);"
 
 
 def _texts(*items: Column) -> Column:

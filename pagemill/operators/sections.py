@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from pagemill.functions.html import IMG_PATTERN, strip_h1
 from pagemill.functions.text import (
-    WS, bound, ensure_html, nonblank, once, replace_first, squeeze, squeeze_newlines, strip_tags, strip_ws, word_count,
+    WS, bound, ensure_html, nonblank, once, replace_first, safe_start, squeeze, squeeze_newlines, strip_long, strip_tags, strip_ws, tag_like, up_to, word_count,
 )
 
 SECTION_TYPE = "array<struct<body:string,image:string,imageAlt:string,imagePosition:string,showCTAs:boolean>>"
@@ -34,12 +34,12 @@ def split_on_h2(html: Column) -> Column:
         first = F.get(pieces, F.lit(0))
         has_intro = ~first.rlike(r"(?i)^<h2[\s>]") & (F.size(pieces) > 1)
         joined = F.concat(
-            F.array(F.concat(strip_ws(first), strip_ws(F.get(pieces, F.lit(1))))),
+            F.array(F.concat(strip_long(first), strip_long(F.get(pieces, F.lit(1))))),
             F.slice(pieces, F.lit(3), F.size(pieces)),
         )
         return F.when(has_intro, joined).otherwise(pieces)
 
-    merged = F.transform(once(F.split(html, r"(?i)(?=<h2[\s>])"), merge), strip_ws)
+    merged = F.transform(once(F.split(html, r"(?i)(?=<h2[\s>])"), merge), strip_long)
     return F.when(nonblank(html), F.filter(merged, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
 
 
@@ -47,20 +47,21 @@ def _entity_free(c: Column) -> Column:
     return squeeze(F.regexp_replace(strip_tags(c, " "), "(?i)&[a-z]+;", " "))
 
 
+def _shorter(c: Column, n: int) -> Column:
+    """Whether the text of a section has fewer than ``n`` characters; mostly its start tells."""
+    return F.when(F.length(_entity_free(safe_start(c, 500))) >= n, F.lit(False)).otherwise(F.length(_entity_free(c)) < n)
+
+
 @bound
 def is_thin_section(s: Column) -> Column:
     """Too little text, or no block beyond a heading."""
 
     def has(tags: str) -> Column:
-        return s.rlike(rf"(?is)<(?:{tags})\b[^>]*>.*?</(?:{tags})>")
+        return s.rlike(rf"(?is)<(?:{tags})\b[^>]*>{up_to(f'/(?:{tags})>')}")
 
-    paragraph, rich = has("p"), has("ul|ol") | has("table") | has("blockquote")
+    rich = s.rlike(r"(?i)<(?:ul|ol|table|blockquote)\b") & (has("ul|ol") | has("table") | has("blockquote"))
     body = F.regexp_replace(s, r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>", "")
-    return (
-        (F.length(_entity_free(s)) < 50)
-        | (~paragraph & ~rich)
-        | (paragraph & ~rich & (F.length(_entity_free(body)) < 30))
-    )
+    return _shorter(s, 50) | (~rich & (~has("p") | once(body, lambda b: _shorter(b, 30))))
 
 
 @bound
@@ -216,7 +217,8 @@ def detect_faq(html: Column) -> Column:
     """FAQ pairs from a definition list or h3 questions; fewer than two is none."""
     none = F.array().cast(FAQ_TYPE)
     by_h3 = once(h3_faq(html), lambda p: F.when(F.size(p) >= 2, p).otherwise(none))
-    return F.coalesce(once(dl_faq(html), lambda p: F.when(F.size(p) >= 2, p).otherwise(by_h3)), none)
+    found = once(dl_faq(html), lambda p: F.when(F.size(p) >= 2, p).otherwise(by_h3))
+    return F.coalesce(F.when(tag_like(html, "(?i)<(?:dt|h3)", "<d", "<h3"), found), none)
 
 
 @bound
@@ -310,6 +312,11 @@ def normalize_sections(sections: Column) -> Column:
 @bound
 def extract_image(body: Column) -> Column:
     """First image of a body: ``struct<body, image, imageAlt>``, its figure or paragraph wrapper removed."""
+    bare = F.struct(body.alias("body"), F.lit("").alias("image"), F.lit("").alias("imageAlt"))
+    return F.when(F.coalesce(tag_like(body, "(?i)<img", "<i"), F.lit(True)), _with_image(body)).otherwise(bare)
+
+
+def _with_image(body: Column) -> Column:
     img = F.regexp_extract(body, IMG_PATTERN, 0)
     inner = IMG_PATTERN.replace("(?i)", "").replace("([^", "(?:[^")
     figure = rf"(?is)<figure[^>]*>{WS}*({inner}){WS}*(?:<figcaption[^>]*>.*?</figcaption>{WS}*)?</figure>"

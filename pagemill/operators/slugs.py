@@ -19,6 +19,8 @@ from pagemill.session import checkpoint
 
 #: Suffixes that are handed out one by one; numbers beyond them are given without looking at single slugs.
 SLOTS = 99
+#: Changed slugs that are sent to all tasks at most.
+BROADCAST_CHANGES = 100_000
 _SLOT = r"\A(.*)-([1-9][0-9]?)\z"
 
 
@@ -103,9 +105,9 @@ def resolve_collisions(
     if mode != "unique_suffix":
         return df if unsolved is None else df.withColumn(unsolved, F.lit(False))
     slots = SLOTS if max_suffix is None else min(SLOTS, max_suffix)
-    rows = df.select(F.col(order).alias("_order"), F.col(slug).alias("_slug")).where(F.coalesce("_slug", F.lit("")) != "")
+    # Narrow rows (number, slug, rank), read several times below; written once, as the whole records are far wider.
+    rows = checkpoint(df.select(F.col(order).alias("_order"), F.col(slug).alias("_slug")).where(F.coalesce("_slug", F.lit("")) != ""))
     by_slug = Window.partitionBy("_slug").orderBy("_order")
-    # Narrow rows (number, slug, rank), read several times below; written once.
     heads = checkpoint(rows.withColumn("_r", F.row_number().over(by_slug)).where(F.col("_r") <= slots + 1))
     none = F.lit(None).cast("string")
     decided = _compete(heads, slots, template)
@@ -129,8 +131,10 @@ def resolve_collisions(
     text = F.concat(F.lit("/"), F.col("_text"), F.lit("/")) if template == "practice" else F.col("_text")
     changed = decided.where(F.col("_new").isNotNull()).select("_order", "_new", F.lit(False).alias("_open")).unionByName(
         last.select("_order", text.alias("_new"), "_open"))
-    # Only changed records travel to the join.
-    changed = changed.join(rows, "_order").where((F.col("_new") != F.col("_slug")) | F.col("_open")).select("_order", "_new", "_open")
+    # Only changed records travel to the join; where they are few, the whole records stay where they are.
+    changed = checkpoint(changed.join(rows, "_order").where((F.col("_new") != F.col("_slug")) | F.col("_open")).select("_order", "_new", "_open"))
+    if changed.limit(BROADCAST_CHANGES + 1).count() <= BROADCAST_CHANGES:
+        changed = F.broadcast(changed)
     out = df.join(changed, F.col(order) == F.col("_order"), "left")
     new = F.coalesce("_new", F.col(slug))
     flag = [] if unsolved is None else [F.coalesce("_open", F.lit(False)).alias(unsolved)]

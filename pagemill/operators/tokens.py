@@ -12,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from pagemill.functions.text import WS, nonblank, once, squeeze_newlines, strip_ws
+from pagemill.functions.text import WS_TEXT, holds, nonblank, once, squeeze_newlines, strip_long, strip_ws, tag_like
 from pagemill.functions.html import (
     remove_empty_wrappers, strip_layout_attributes, strip_page_shell,
 )
@@ -47,7 +48,8 @@ KEPT_LAYOUT_WORDS = r"(?i)\b(wrap|wrapper|container|row|column|grid|layout|site-
 LAYOUT_ID_WORDS = r"(?i)^(wrap|wrapper|container|page|main|content|primary|site|app|root|layout)\z"
 WIDE_COLUMNS = ["et_pb_column_2_3", "et_pb_column_3_4"]
 NARROW_COLUMNS = ["et_pb_column_1_3", "et_pb_column_1_4"]
-SIDEBAR_HINT = r"(?i)\bsidebar\b|\bwidget-area\b|\bsecondary-content\b|\baside-content\b"
+SIDEBAR_WORDS = ["sidebar", "widget-area", "secondary-content", "aside-content"]
+SIDEBAR_HINT = r"(?i)" + "|".join(rf"\b{w}\b" for w in SIDEBAR_WORDS)
 SIDEBAR_CLASSES = ["sidebar", "widget-area"]
 SIDEBAR_KEEP_SHARE = 0.95
 
@@ -197,8 +199,8 @@ def page_layout(html: Column) -> Column:
     """Which main-column rule applies to a page."""
     return (
         F.when(_contains_any(html, WIDE_COLUMNS) & _contains_any(html, NARROW_COLUMNS), "columns")
-        .when(html.rlike(r"(?i)<aside\b"), "aside")
-        .when(html.rlike(SIDEBAR_HINT), "sidebar")
+        .when(tag_like(html, r"(?i)<aside\b", "<a"), "aside")
+        .when(holds(F.lower(html), *SIDEBAR_WORDS) & html.rlike(SIDEBAR_HINT), "sidebar")
         .otherwise("none")
     )
 
@@ -269,8 +271,7 @@ def kept_text(pieces: Column, spans: Column) -> Column:
 
     def one(piece: Column, s: Column) -> Column:
         tail = F.substring(piece, s["head_len"] + 1, F.length(piece))
-        tail = F.when(s["trim_left"], F.regexp_replace(tail, f"^{WS}+", "")).otherwise(tail)
-        tail = F.when(s["trim_right"], F.regexp_replace(tail, f"(?<!{WS}){WS}++\\z", "")).otherwise(tail)
+        tail = F.when(s["trim_left"] & s["trim_right"], strip_long(tail)).when(s["trim_left"], F.ltrim(tail, F.lit(WS_TEXT))).when(s["trim_right"], F.rtrim(tail, F.lit(WS_TEXT))).otherwise(tail)
         head = F.when(s["keep_head"], F.substring(piece, F.lit(1), s["head_len"])).otherwise("")
         return F.concat(head, F.when(s["keep_tail"], tail).otherwise(""))
 
@@ -285,22 +286,43 @@ def reassemble(tokens: DataFrame, key: Keys, out: str, carry: str | None = None)
     return tokens.groupBy(*_keys(key)).agg(text.alias(out), *extra)
 
 
+def _filled_key(df: DataFrame, key: str) -> Column:
+    """A key without nulls, as these would be filtered on one side of the join and so give it an exchange of its own."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, (IntegralType, StringType)):
+        return F.coalesce(F.col(key), F.lit("") if isinstance(kind, StringType) else F.lit(0).cast(kind))
+    return F.col(key)
+
+
+def _spread_together(df: DataFrame, key: str, body: dict[str, Column], shells: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows ``_key, _cell`` of the bodies, and rows ``_key, _no_key, _row, _shells``, both from one exchange behind the steps up to the shells."""
+    held = F.struct(*[(F.when(body[c].isNull(), F.col(f"`{c}`")).alias(c) if c in body else F.col(f"`{c}`")) for c in df.columns])
+    spread = distribute(df.select(_filled_key(df, key).alias("_key"), F.col(key).isNull().alias("_no_key"), held.alias("_row"), shells.alias("_shells")), "_key")
+    # The second part is always true: it names the other column, which would else be left out on this side, and the exchange with it be another one.
+    seen = ~F.col("_no_key") & (F.coalesce(F.xxhash64("_row") % 2, F.lit(0)) < 2)
+    return spread.select("_key", F.explode(F.filter("_shells", lambda c: seen)).alias("_cell")), spread
+
+
 def main_content_of_cells(
-    df: DataFrame, key: str, cells: dict[str, Column], finish: Callable[[Column], Column], distributed: bool = False
+    df: DataFrame, key: str, cells: dict[str, Column], finish: Callable[[Column], Column]
 ) -> DataFrame:
     """Main content of several text columns in one pass.
 
     ``cells`` maps a column to the condition under which its value is a page body; other
     values stay as they are. ``finish`` runs on the extracted text. ``key`` must be unique and not null:
-    rows are hashed by it once (unless ``distributed`` says they are already). An index of
-    the tags, without text, goes through the windows; the verdicts come back as one array per row and are
+    rows are hashed by it once. An index of the tags, without text, goes through the windows; the verdicts come back as one array per row and are
     applied to the text where it stands, so no text is sorted; only several columns meet in one grouping by key.
     """
-    spread = df if distributed else distribute(df, key)
     names = list(cells)
     body = {n: F.when(F.coalesce(cells[n] & nonblank(F.col(f"`{n}`")), F.lit(False)), F.col(f"`{n}`")) for n in names}
     shells = F.filter(F.array(*[F.struct(F.lit(i).alias("no"), strip_page_shell(body[n]).alias("shell")) for i, n in enumerate(names)]), lambda c: c["shell"].isNotNull())
-    rows = spread.select(F.col(key).alias("_key"), F.explode(shells).alias("_cell")).select("_key", F.col("_cell.no").alias("_no"), F.col("_cell.shell").alias("_shell"))
+    alone = len(names) == 1
+    if alone:
+        spread = distribute(df, key)
+        rows, joined = spread.select(F.col(key).alias("_key"), F.explode(shells).alias("_cell")), spread.withColumn("_key", F.col(key))
+    else:
+        rows, joined = _spread_together(df, key, body, shells)
+    rows = rows.select("_key", F.col("_cell.no").alias("_no"), F.col("_cell.shell").alias("_shell"))
     # A text without such tags stays as it is and needs no index.
     rows = rows.where(has_tags(F.col("_shell"), STRUCTURE_TAGS))
     keys = ["_key", "_no"]
@@ -308,7 +330,7 @@ def main_content_of_cells(
     spans = unwrap(main_column(index, keys), keys)
     fields = ["pos", "head_len", "keep_head", "keep_tail", "trim_left", "trim_right"]
     spans = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_no", *fields))).alias("_spans"))
-    joined = spread.withColumn("_key", F.col(key)).join(spans.hint("shuffle_hash"), "_key", "left")
+    joined = joined.join(spans.hint("shuffle_hash"), "_key", "left")
 
     def finished(rows: DataFrame, shell: Column, own: Column) -> DataFrame:
         # Each step is a column of its own: the optimizer keeps apart what is costly and used more than once.
@@ -317,15 +339,14 @@ def main_content_of_cells(
         rows = rows.withColumn("_main", F.when(has_tags(F.col("_shell"), STRUCTURE_TAGS), kept).otherwise(F.col("_shell")))
         return rows.withColumn("_main", finish(squeeze_newlines(remove_empty_wrappers(strip_layout_attributes(F.col("_main"))))))
 
-    if len(names) == 1:
+    if alone:
         done = finished(joined, strip_page_shell(body[names[0]]), F.col("_spans"))
         return done.select(*[(F.when(F.col("_shell").isNotNull(), F.col("_main")).otherwise(F.col(f"`{c}`")).alias(c) if c in cells else F.col(f"`{c}`")) for c in df.columns])
     # Several cells of a row are finished as rows, so that the plan holds the steps once; they meet again in one grouping.
-    held = F.struct(*[(F.when(body[c].isNull(), F.col(f"`{c}`")).alias(c) if c in cells else F.col(f"`{c}`")) for c in df.columns])
-    rows = joined.select("_key", held.alias("_row"), "_spans", F.posexplode_outer(shells).alias("_at", "_cell"))
+    rows = joined.select("_key", "_no_key", "_row", F.when(~F.col("_no_key"), F.col("_spans")).alias("_spans"), F.posexplode_outer("_shells").alias("_at", "_cell"))
     rows = rows.withColumn("_row", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_row")))
     done = finished(rows, F.col("_cell.shell"), F.filter("_spans", lambda s: s["_no"] == F.col("_cell.no")))
-    whole = done.groupBy("_key").agg(
+    whole = done.groupBy("_key", "_no_key").agg(
         F.first("_row", ignorenulls=True).alias("_row"), F.collect_list(F.when(F.col("_cell").isNotNull(), F.struct("_cell.no", "_main"))).alias("_done"))
     texts = F.map_from_entries(F.col("_done"))
     return whole.select(*[

@@ -279,8 +279,10 @@ def run_recipe(df: DataFrame, key: str, mapping: Mapping, recipe: Recipe, option
     built = built.withColumn("_bad", F.coalesce(bad, F.lit(False)))
     # A failed row takes no slug from others.
     built = built.withColumn("_slug", F.when(~F.col("_bad"), F.col(f"record.{slug}")) if catches else F.col(f"record.{slug}"))
+    # Of the source only its log is asked for from here on.
+    built = built.select(key, "record", "field_scores", "log", "rule_errors", F.col("source.cleaning_log").alias("cleaning_log"), "_bad", "_slug")
     if options.slug_mode == "unique_suffix":
-        # Slugs are read three times; the built records are written once instead of built again.
+        # Slugs are read several times; the built records are written once instead of built again.
         built = checkpoint(built)
     built = resolve_collisions(built, key, "_slug", options.template, options.slug_mode, options.max_suffix)
     built = built.withColumn("record", F.col("record").withField(slug, F.col("_slug"))).drop("_slug")
@@ -292,7 +294,7 @@ def run_recipe(df: DataFrame, key: str, mapping: Mapping, recipe: Recipe, option
         scored = _blank_failed(scored, F.col("_bad"), F.get("rule_errors", F.lit(0)))
         status = F.when(F.col("_bad"), "needs_review").otherwise(status)
     return scored.withColumn("status", status).select(
-        key, "record", "confidence", "status", "log", F.col("source.cleaning_log").alias("cleaning_log")
+        key, "record", "confidence", "status", "log", "cleaning_log"
     )
 
 

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions import html as H
+from pagemill.functions import html as H, text as X
 from pagemill.operators import blocks as B
 from pagemill.operators import sections as S
 from pagemill.operators import tokens as T
@@ -205,3 +205,55 @@ def test_texts_without_structural_tags_pass(spark):
     assert {r["id"] for r in tagged} == {3, 4}
     got = {r["id"]: r["html"] for r in out.collect()}
     assert got == {1: texts[1], 2: texts[2], 3: "", 4: "<p>in</p>"}
+
+
+def test_pages_are_cleaned_once(spark):
+    """Both uses of a page read one exchange, also where several columns may hold pages, so no step before it runs twice."""
+    df = spark.createDataFrame([(1, "t", "<div><p>Some text.</p></div>"), (2, "u", "<p>More.</p>")], "id long, title string, body string")
+    out = clean_records(df, "id")
+    assert [tuple(r) for r in out.select("id", "title", "body").orderBy("id").collect()] == [(1, "t", "<p>Some text.</p>"), (2, "u", "<p>More.</p>")]
+    out.foreach(lambda _: None)
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_keys_stay_rows(spark):
+    df = spark.createDataFrame([(None, "t", "plain"), (0, "u", "<div><p>Zero.</p></div>")], "id long, title string, body string")
+    assert [tuple(r) for r in clean_records(df, "id").select("id", "title", "body").orderBy("id").collect()] == [(None, "t", "plain"), (0, "u", "<p>Zero.</p>")]
+
+
+def test_blocks_that_begin_alike(ev):
+    long = "<p>" + "Same words &amp; <b>more</b> of them. " * 30
+    first, second = long + "one</p>", long + "two</p>"
+    copy = "<p class='k'>" + first[3:]
+    assert ev(H.remove_duplicate_blocks(L(first + " gap " + second))) == first + " gap " + second
+    assert ev(H.remove_duplicate_blocks(L(first + " gap " + second + copy))) == first + "\n" + second
+    # Starts without text of their own: attributes, or letters that a fingerprint leaves out.
+    bare = "<p title='" + "x" * 500 + "'>"
+    body = "These are words enough for a fingerprint that counts.</p>"
+    assert ev(H.remove_duplicate_blocks(L(bare + body + "<p>" + body))) == bare + body
+
+
+def test_words_and_spaces(ev):
+    text = "  a b\tc  d　\ne é "
+    assert ev(X.word_count(L(text))) == 6
+    assert ev(X.squeeze(L(text))) == "a b c d e é"
+    assert ev(X.normalize_whitespace(L(text))) == "a b c d \ne é"
+    assert [ev(X.word_count(L(t))) for t in ("", " \n", "x")] == [0, 0, 1]
+    assert [ev(X.strip_long(L(t))) for t in ("", " <p>\n", "<p>é ", "é", "<p>")] == ["", "<p>", "<p>é", "é", "<p>"]
+
+
+def test_starts_tell_of_wholes(ev):
+    for n in range(1, 60):
+        text = "<p>ab &amp; <b class='c'>d</b> e &x; <i"
+        start, whole = ev(X.plain_text(X.safe_start(L(text), n))), ev(X.plain_text(L(text)))
+        assert whole.startswith(start) or n > len(text)
+
+
+def test_secondary_sections_after_long_ones(ev):
+    keep = "<h2>Our work</h2><p>" + "word " * 400 + "</p>"
+    posts = "<h2>Recent posts</h2><ul><li><a href='/a'>A one</a></li><li><a href='/b'>B</a></li></ul>"
+    sub = "<h2>More</h2><p>" + "word " * 400 + "</p><h3>Newsletter</h3><p>Sign up.</p>"
+    got = ev(B.filter_secondary(L("<p>" + "intro " * 20 + "</p>" + keep + posts + sub)))
+    assert [r["reason"] for r in got["removed"]] == ["newsletter-widget", "post-listing-widget"]
+    assert got["html"] == "<p>" + "intro " * 20 + "</p>\n" + keep + "\n" + sub.split("<h3>")[0]

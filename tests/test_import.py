@@ -223,3 +223,21 @@ def test_rows_that_break_a_rule_are_set_apart(spark):
     assert out[1]["confidence"]["flags"] == ["processing_error"] and out[1]["confidence"]["overall"] == 0 and out[1]["status"] == "needs_review"
     assert out[1]["log"][0]["description"] == "Processing error: bad x" and out[1]["record"]["title"] == "Two" and out[1]["record"]["body"] is None
     assert all("processing_error" not in out[i]["confidence"]["flags"] for i in (0, 2, 3))
+
+
+def test_written_records_hold_their_text_once(spark, monkeypatch):
+    """What a run writes on its way holds neither the source nor the mapped fields beside the record."""
+    from pagemill.operators import slugs
+    from pagemill.plans import engine
+
+    seen = []
+    monkeypatch.setattr(engine, "checkpoint", lambda df: seen.append(set(df.columns)) or checkpoint(df))
+    wide = []
+    monkeypatch.setattr(slugs, "checkpoint", lambda df: wide.append(set(df.columns)) or checkpoint(df))
+    df = spark.createDataFrame([(0, "A", "/x/", BODY), (1, "B", "/x/", BODY)], "i int, title string, url string, html string")
+    mapping = Mapping([FieldMapping("title", "title"), FieldMapping("url_slug", "url"), FieldMapping("body", "html")])
+    out = run_recipe(df, "i", mapping, Recipe([Rule("r", "title", "direct_map")]), EngineOptions(slug_mode="unique_suffix", imported_at=AT))
+    assert [r["url_path"] for r in out.orderBy("i").select("record.url_path").collect()] == ["/x/", "/x-1/"]
+    assert len(seen) == 1 and "record" in seen[0] and not seen[0] & {"mapped", "out", "source"}
+    # Slugs are read from rows of their own.
+    assert wide[0] == {"_order", "_slug"}
